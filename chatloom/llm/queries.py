@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from chatloom.llm import chat_format, license_scan, packing, token_counts, token_files
+from chatloom.llm import chat_format, decontaminate, language_id, license_scan, ngram_join, packing, token_counts, token_files
 
 QUERIES = {
     "op2_chat_format": chat_format.op2_chat_format,
     "op3_license_scan": license_scan.op3_license_scan,
+    "op5_language_id": language_id.op5_language_id,
+    "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_token_files": token_files.op8_token_files,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_token_counts": token_counts.op10_token_counts,
 }
 ORACLE_SQL = {"op2_chat_format": chat_format.ORACLE}
