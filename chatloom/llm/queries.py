@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from chatloom.llm import chat_format, decontaminate, language_id, license_scan, ngram_join, packing, token_counts, token_files
+from chatloom.llm import chat_format, decontaminate, language_id, license_scan, ngram_join, packing, suffix_dedup, token_counts, token_files
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_chat_format": chat_format.op2_chat_format,
     "op3_license_scan": license_scan.op3_license_scan,
     "op5_language_id": language_id.op5_language_id,
