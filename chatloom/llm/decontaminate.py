@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.llm.util import table, utf8
+from chatloom.llm.util import carried, carried_kinds, table, utf8, with_columns
 from chatloom.llm.words import SIGNS, cuts, grams, word_hashes
 
 SEED = 4
@@ -112,14 +112,15 @@ def _verdicts(index: Index, hashes: np.ndarray, at: np.ndarray, cover: float) ->
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, cover: float = COVER, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, cover: float = COVER, broadcast_bytes: int = BROADCAST_BYTES, carry: list[str] | None = None) -> DataFrame:
     """One row for each document: contaminated, best item and its coverage, number of tiles, all items over ``cover``.
 
     Words are runs of letters and digits (bytes outside ASCII count as letters) in lower case. Null and empty texts, and
     texts shorter than a seed, share nothing (item_id null, coverage 0). Items with fewer than ``seed`` words can't be
-    found and are left out; repeated items each count. Equal coverage: the smallest item_id. Other columns are ignored.
+    found and are left out; repeated items each count. Equal coverage: the smallest item_id. Columns named in ``carry`` are passed through, others
+    are ignored.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried(docs, carry))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
     if (items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0) <= broadcast_bytes:
         shared = docs.sparkSession.sparkContext.broadcast(Index([(r["item_id"], r["text"].encode()) for r in items.collect()], seed))
@@ -131,10 +132,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, cover
                 for a, b in cuts(offsets, 1_000_000):
                     hashes, at = word_hashes(code[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], SIGNS)
                     found = _verdicts(shared.value, hashes, at, cover)
-                    yield _rows(batch.column(0).slice(a, b - a), found)
+                    yield with_columns(_rows(batch.column(0).slice(a, b - a), found), batch.slice(a, b - a), carry)
 
-        return texts.mapInArrow(run, RESULT)
-    return _joined(texts, items, seed, cover)
+        return texts.mapInArrow(run, RESULT + carried_kinds(docs, carry))
+    return _joined(texts, items, seed, cover, carry)
 
 
 def _rows(ids: pa.Array, found: dict) -> pa.RecordBatch:
@@ -152,7 +153,7 @@ def _rows(ids: pa.Array, found: dict) -> pa.RecordBatch:
     )
 
 
-def _joined(texts: DataFrame, items: DataFrame, seed: int, cover: float) -> DataFrame:
+def _joined(texts: DataFrame, items: DataFrame, seed: int, cover: float, carry: list[str] | None) -> DataFrame:
     """For benchmarks that are too large to send: seeds meet by a shuffle join, then the texts of each pair."""
     keyed = texts.withColumn("row", F.xxhash64("doc_id", "text"))
 
@@ -193,6 +194,7 @@ def _joined(texts: DataFrame, items: DataFrame, seed: int, cover: float) -> Data
         F.coalesce("b.coverage", F.lit(0.0)).alias("coverage"),
         F.coalesce("b.n_tiles", F.lit(0)).cast("long").alias("n_tiles"),
         F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"),
+        *[F.col(f"carry_{n}").alias(n) for n in carry or []],
     )
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chatloom.llm.util import crc32_of_id, table, utf8
+from chatloom.llm.util import carried, carried_kinds, crc32_of_id, table, utf8, with_columns
 
 ORDER = 4
 ROWS = 150
@@ -206,9 +206,11 @@ def fit(docs: DataFrame, rows: int = ROWS) -> Model:
     return train(sample(docs, rows))
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
+def predict(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
     """(doc_id, lang_pred, score, bits) for every row of (doc_id, text); lang_pred is ``und`` without any letter.
 
+    Columns named in ``carry`` are passed through.
+
     bits: code length for each byte in the best language. score: how much shorter the best code is than the second
     best, as the logistic posterior of the two at one byte in eight, between 0 and 1; 0 for ``und``, 1 if one language
     was learned. Ties go to the first language in order. Null text counts as empty.
@@ -242,7 +244,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     score = np.ones(rows)
                 known = letters.astype(bool) & bool(languages)
                 size = offsets[1:] - offsets[:-1]
-                yield pa.RecordBatch.from_arrays(
+                answer = pa.RecordBatch.from_arrays(
                     [
                         batch.column(0),
                         pa.array([languages[k] if ok else "und" for k, ok in zip(best.tolist(), known.tolist())], pa.string()),
@@ -251,9 +253,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     ],
                     ["doc_id", "lang_pred", "score", "bits"],
                 )
+                yield with_columns(answer, batch, carry)
 
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), has_letter(F.col("text").cast("string")).alias("letters"))
-    return plain.mapInArrow(run, "doc_id long, lang_pred string, score double, bits double")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), has_letter(F.col("text").cast("string")).alias("letters"), *carried(docs, carry))
+    return plain.mapInArrow(run, "doc_id long, lang_pred string, score double, bits double" + carried_kinds(docs, carry))
 
 
 def _cuts(offsets: np.ndarray) -> list[tuple[int, int]]:

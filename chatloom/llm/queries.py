@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from chatloom.llm import chat_format, decontaminate, language_id, license_scan, ngram_join, packing, suffix_dedup, token_counts, token_files
+from chatloom.llm import chat_format, decontaminate, embedding_dedup, language_id, license_scan, ngram_join, packing, suffix_dedup, token_counts, token_files
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_chat_format": chat_format.op2_chat_format,
     "op3_license_scan": license_scan.op3_license_scan,
+    "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
     "op5_language_id": language_id.op5_language_id,
     "op6_ngram_join": ngram_join.op6_ngram_join,
     "op7_best_fit_packing": packing.op7_best_fit_packing,

@@ -28,7 +28,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.llm.util import table, utf8, written
+from chatloom.llm.util import carried, carried_kinds, table, utf8, with_columns, written
 from chatloom.llm.words import VALUE, cuts, mix, prefix, span
 
 LENGTH = 400
@@ -317,15 +317,16 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     return whole.unionByName(inside).unionByName(across)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry: list[str] | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, spans) of every row.
 
     Texts are UTF-8 bytes (null: empty); passages never cross documents; a text shorter than ``length`` keeps all.
     ``kept`` are the remaining bytes, ``spans`` the removed (start, end). Rows are told apart by a 64-bit hash of id and
-    text, so repeated rows (which remove each other), ties and null ids are ordinary cases. Other columns are ignored.
+    text, so repeated rows (which remove each other), ties and null ids are ordinary cases. Columns named in ``carry`` are
+    passed through, others are ignored.
     """
     whole_text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text.alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text.alias("text"), *carried(docs, carry)).withColumn("row", F.xxhash64("doc_id", "text"))
     ranges = repeated_ranges(texts.filter(F.octet_length("text") >= length).select("row", "text"), length, gram)
     per_row = ranges.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
 
@@ -354,7 +355,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
                     digest.append(hashlib.sha256(text).hexdigest())
                     kept.append(text)
                     found.append([{"start": a, "end": b} for a, b in own])
-                yield pa.RecordBatch.from_arrays(
+                answer = pa.RecordBatch.from_arrays(
                     [
                         batch.column(0),
                         pa.array(offsets[1:] - offsets[:-1]),
@@ -366,9 +367,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
                     ],
                     ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"],
                 )
+                yield with_columns(answer, batch, carry)
 
-    joined = texts.join(per_row, "row", "left").select("doc_id", "text", "ranges")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,end:long>>")
+    joined = texts.join(per_row, "row", "left").select("doc_id", "text", "ranges", *[f"carry_{n}" for n in carry or []])
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,end:long>>" + carried_kinds(docs, carry))
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,6 +48,23 @@ def utf8(batch: pa.RecordBatch, name: str) -> tuple[bytes, "object"]:
     return whole, offsets - offsets[0]
 
 
+def carried(df: DataFrame, names: list[str] | None) -> list[Column]:
+    """Columns that a mapper passes through, under names that can't clash with its own."""
+    return [F.col(n).alias(f"carry_{n}") for n in names or []]
+
+
+def carried_kinds(df: DataFrame, names: list[str] | None) -> str:
+    return "".join(f", `{n}` {df.schema[n].dataType.simpleString()}" for n in names or [])
+
+
+def with_columns(answer: pa.RecordBatch, batch: pa.RecordBatch, names: list[str] | None) -> pa.RecordBatch:
+    """The mapper's answer and the columns passed through (the rows of both agree)."""
+    if not names:
+        return answer
+    own = [batch.column(batch.schema.get_field_index(f"carry_{n}")) for n in names]
+    return pa.RecordBatch.from_arrays([*answer.columns, *own], [*answer.schema.names, *names])
+
+
 def grouped(df: DataFrame, keys: list[str], function: Callable[[pa.Table], pa.Table], schema: str, partitions: int | None = None) -> DataFrame:
     """Apply ``function`` to the rows of each key, streaming over sorted partitions.
 
