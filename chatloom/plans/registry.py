@@ -1,6 +1,471 @@
-"""Registered queries and their DuckDB SQL."""
+"""Registered queries, one for each operation, and their DuckDB SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chatloom.functions import parsing
+from chatloom.operators import catalog, export, quality, search
+from chatloom.plans import synth
+from chatloom.plans.oracle import MESSAGE, SESSION, sql
+from chatloom.sources import claude, codex, copilot, files, gemini, opencode
+from chatloom.streaming import incremental
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+AS_OF = "2026-01-01T00:00:00Z"
+
+
+def query(name: str, oracle: str | None = None, fts: bool = False):
+    def keep(f):
+        QUERIES[name] = f
+        if oracle is not None:
+            ORACLE_SQL[name] = sql(oracle, fts)
+        return f
+
+    return keep
+
+
+def as_of():
+    return F.lit(AS_OF).cast("timestamp")
+
+
+def rendered(spark: SparkSession, d: str):
+    return synth.render(spark, d)
+
+
+def sessions(spark: SparkSession, d: str) -> DataFrame:
+    return files.all_sessions(rendered(spark, d))
+
+
+def messages(spark: SparkSession, d: str) -> DataFrame:
+    return files.all_messages(rendered(spark, d), as_of())
+
+
+def session_rows(df: DataFrame) -> DataFrame:
+    return df.select(
+        "provider", "session_id", "project_path", "project_name", "git_branch", F.unix_timestamp("started_at").alias("started"), F.unix_timestamp("ended_at").alias("ended"), "summary", "model",
+        F.col("token_usage.input_tokens").alias("input_tokens"), F.col("token_usage.output_tokens").alias("output_tokens"), "message_count",
+    )
+
+
+def message_rows(df: DataFrame) -> DataFrame:
+    return df.select(
+        "provider", "session_id", "seq", "message_id", "role", F.unix_timestamp("timestamp").alias("ts"), F.array_join(F.transform("content", lambda b: b["type"]), ",").alias("types"),
+        F.md5(F.array_join(F.transform("content", lambda b: b["text"]), "|").cast("binary")).alias("body"),
+    )
+
+
+# ---- sources
+_OWN = {
+    "claude": ("claude_code", lambda r: claude.sessions(r.claude, r.history), lambda r: claude.messages(r.claude, as_of())),
+    "copilot": ("copilot_cli", lambda r: copilot.sessions(r.workspaces, r.events), lambda r: copilot.messages(r.workspaces, r.events, r.checkpoints, as_of())),
+    "gemini": ("gemini_cli", lambda r: gemini.sessions(r.chats, r.projects), lambda r: gemini.messages(r.chats, as_of())),
+    "codex": ("codex_cli", lambda r: codex.sessions(r.rollouts), lambda r: codex.messages(r.rollouts, as_of())),
+    "opencode": ("opencode", lambda r: opencode.sessions(r.oc_sessions, r.oc_messages), lambda r: opencode.messages(r.oc_messages, r.oc_parts, as_of())),
+}
+
+
+def _own(key: str, name: str, which: int, where: str = "true") -> None:
+    provider, *made = _OWN[name]
+    rows = session_rows if which == 0 else message_rows
+    oracle = f"SELECT {SESSION} FROM s WHERE provider = '{provider}'" if which == 0 else f"SELECT {MESSAGE} FROM m WHERE provider = '{provider}'"
+    query(key, f"{oracle} AND {where}")(lambda spark, d: rows(made[which](rendered(spark, d))))
+
+
+for _key, _name, _which in (
+    ("src_claude_sessions", "claude", 0), ("src_copilot_events", "copilot", 1), ("src_gemini_chats", "gemini", 0), ("src_codex_rollouts", "codex", 0), ("src_opencode_sessions", "opencode", 0), ("src_opencode_messages", "opencode", 1),
+    ("norm_claude", "claude", 1), ("norm_copilot", "copilot", 1), ("norm_gemini", "gemini", 1), ("norm_codex", "codex", 1), ("norm_opencode", "opencode", 1), ("sess_meta_times", "copilot", 0), ("sess_project_path_join", "gemini", 0),
+):
+    _own(_key, _name, _which)
+
+
+@query("src_claude_history", "SELECT 'session-' || conv_id AS session_id, 'talk ' || conv_id AS display, min(epoch)::BIGINT * 1000 AS millis FROM c0 WHERE kind = 0 GROUP BY conv_id")
+def _(spark, d):
+    return claude.history(rendered(spark, d).history).select("session_id", "display", "millis")
+
+
+@query("src_copilot_workspace", "SELECT 'session-' || conv_id AS id, '/work/' || any_value(project) AS cwd, strftime(to_timestamp(min(epoch)) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS created_at, strftime(to_timestamp(max(epoch)) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS updated_at FROM c0 WHERE kind = 1 GROUP BY conv_id")
+def _(spark, d):
+    return copilot.workspaces(rendered(spark, d).workspaces).select("id", "cwd", "created_at", "updated_at")
+
+
+@query("src_copilot_checkpoint", "SELECT sid AS session_id, body FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM c0 WHERE kind = 1) x JOIN (SELECT conv_id AS k, '# notes' || chr(10) || first(text ORDER BY turn) AS raw, regexp_replace('# notes' || chr(10) || first(text ORDER BY turn), '\\s+$', '') AS body FROM c0 WHERE kind = 1 GROUP BY conv_id) y ON k = conv_id WHERE n = 1 AND NOT newer AND conv_id % 3 <> 0")
+def _(spark, d):
+    """Older conversations lose their events; every third one has headings alone and gives nothing."""
+    c = synth.conversations(spark, d).filter("kind = 1")
+    first = c.groupBy("conv_id", "sid").agg(F.min_by("said", "turn").alias("t"))
+    raw = spark.read.parquet(f"{d}/conversations.parquet").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
+    notes = first.join(raw, "conv_id").select(F.concat(F.lit("/p/"), "sid", F.lit("/checkpoints/index.md")).alias("source_path"), F.lit(0).cast("long").alias("ord"), F.when(F.col("conv_id") % 3 == 0, "# only\n\n| head |").otherwise(F.concat(F.lit("# notes\n"), "text")).alias("value"))
+    r = rendered(spark, d)
+    kept = r.events.filter(F.regexp_extract("source_path", r"session-(\d+)/", 1).cast("long") % 2 == 1)
+    got = copilot.messages(r.workspaces, kept, notes, as_of()).filter("role = 'system'")
+    return got.select("session_id", F.element_at("content", 1)["text"].alias("body"))
+
+
+@query("src_gemini_projects", "SELECT 'project-' || k AS slug, '/work/project-' || k AS project_path FROM range(6) t(k)")
+def _(spark, d):
+    return gemini.projects(rendered(spark, d).projects).select("slug", "project_path")
+
+
+@query("src_opencode_parts", "SELECT message_id, CASE WHEN role = 'assistant' THEN 'text,code_block' ELSE 'text' END AS types FROM (SELECT *, sid || '-' || lpad(turn::VARCHAR, 4, '0') AS message_id FROM c0 WHERE kind = 4 AND newer)")
+def _(spark, d):
+    return opencode.part_blocks(rendered(spark, d).oc_parts).select("message_id", F.array_join(F.transform("parts", lambda b: b["type"]), ",").alias("types"))
+
+
+@query("src_multi_base", "SELECT session_id, count(*)::BIGINT AS copies FROM s WHERE provider = 'codex_cli' GROUP BY 1 HAVING true UNION ALL SELECT session_id || '-b', count(*)::BIGINT FROM s WHERE provider = 'codex_cli' GROUP BY 1")
+def _(spark, d):
+    """Two bases of one provider, and a third that is missing: a plain union."""
+    r = rendered(spark, d).rollouts
+    other = r.withColumn("source_path", F.regexp_replace("source_path", r"^/x/(.*)\.jsonl$", "/y/$1-b.jsonl"))
+    return codex.sessions(r.unionByName(other).unionByName(r.filter("false"))).groupBy("session_id").agg(F.count(F.lit(1)).alias("copies"))
+
+
+@query("src_bad_lines", "SELECT 'session-' || conv_id AS session_id, count(*)::BIGINT + count(*) FILTER (WHERE (conv_id + turn) % 17 = 0) AS lines, count(*) FILTER (WHERE (conv_id + turn) % 17 = 0)::BIGINT AS parse_errors, count(*)::BIGINT AS kept FROM c0 WHERE kind = 0 GROUP BY conv_id")
+def _(spark, d):
+    rows = claude.annotated(rendered(spark, d).claude)
+    return rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if("bad").alias("parse_errors"), F.count_if(~F.col("bad")).alias("kept"))
+
+
+# ---- normalisation
+_BLOCK = "provider, sid AS session_id, seq::BIGINT AS seq, pos::INT AS pos, type, btext AS text, language"
+
+
+def _blocks(key: str, name: str) -> None:
+    provider, _, made = _OWN[name]
+    query(key, f"SELECT {_BLOCK} FROM b WHERE provider = '{provider}'")(lambda spark, d: catalog.content_blocks(made(rendered(spark, d))).select("provider", "session_id", "seq", "pos", "type", "text", "language"))
+
+
+_blocks("norm_claude_blocks", "claude")
+_blocks("norm_copilot_blocks", "copilot")
+
+
+@query("norm_explode_blocks", f"SELECT {_BLOCK} FROM b")
+def _(spark, d):
+    return catalog.content_blocks(messages(spark, d)).select("provider", "session_id", "seq", "pos", "type", "text", "language")
+
+
+@query("norm_tool_result_text", "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN text WHEN turn % 3 = 1 THEN text || chr(10) || role ELSE '' END AS output FROM c0")
+def _(spark, d):
+    rows = spark.read.parquet(f"{d}/conversations.parquet")
+    item = lambda t: F.struct(F.lit("text").alias("type"), t.alias("text"))
+    image = F.struct(F.lit("image").alias("type"), F.lit("x").alias("text"))
+    made = F.when(F.col("turn") % 3 == 0, F.to_json(F.struct(F.col("text").alias("content")))).when(F.col("turn") % 3 == 1, F.to_json(F.struct(F.array(item(F.col("text")), image, item(F.col("role"))).alias("content")))).otherwise(F.lit("{}"))
+    return rows.select("conv_id", "turn", claude.tool_result_text(F.parse_json(made)).alias("output"))
+
+
+@query("norm_tool_args", "SELECT event_id, '{\"k\":' || json_extract_string(props, '$.k') || '}' AS arguments FROM events")
+def _(spark, d):
+    rows = spark.read.parquet(f"{d}/events.parquet")
+    return rows.select("event_id", parsing.canonical_json(F.try_parse_json("props")).alias("arguments"))
+
+
+@query("norm_fences", "SELECT conv_id, turn, pos::INT AS pos, type, btext AS text, language FROM (SELECT * FROM b UNION ALL SELECT *, regexp_replace(regexp_replace(text, '^\\n+', ''), '\\s+$', ''), 0, 'text', regexp_replace(regexp_replace(text, '^\\n+', ''), '\\s+$', ''), NULL FROM (SELECT *, 0 AS seq, '' AS message_id FROM c0 WHERE role = 'system'))")
+def _(spark, d):
+    c = synth.conversations(spark, d)
+    return c.select("conv_id", "turn", F.posexplode(parsing.fences(F.col("said"))).alias("pos", "b")).select("conv_id", "turn", "pos", "b.type", "b.text", "b.language")
+
+
+@query("norm_timestamp", "SELECT event_id, epoch(ts)::BIGINT AS zoned, NULL::BIGINT AS bare, epoch(ts)::BIGINT AS by_millis, (epoch(ts) - 7200)::BIGINT AS offset FROM (SELECT event_id, date_trunc('second', ts) AS ts FROM events)")
+def _(spark, d):
+    rows = spark.read.parquet(f"{d}/events.parquet").select("event_id", parsing.utc_text(F.col("ts"), "yyyy-MM-dd'T'HH:mm:ss").alias("t"), F.unix_timestamp("ts").alias("n"))
+    return rows.select(
+        "event_id", F.unix_timestamp(parsing.iso_time(F.concat("t", F.lit("Z")))).alias("zoned"), F.unix_timestamp(parsing.iso_time(F.col("t"))).alias("bare"),
+        F.unix_timestamp(parsing.millis(F.col("n") * 1000)).alias("by_millis"), F.unix_timestamp(parsing.iso_time(F.concat("t", F.lit("+02:00")))).alias("offset"),
+    )
+
+
+@query("norm_tokens", "SELECT provider, sid AS session_id, seq::BIGINT AS seq, inp::BIGINT AS input_tokens, outp::BIGINT AS output_tokens FROM m WHERE role = 'assistant' AND (kind IN (0, 2, 4) OR kind = 1 AND NOT newer)")
+def _(spark, d):
+    return messages(spark, d).filter("token_usage is not null").select("provider", "session_id", "seq", "token_usage.input_tokens", "token_usage.output_tokens")
+
+
+@query("norm_drop_empty", "SELECT sid AS session_id, turn::BIGINT AS n, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS seq FROM c0 WHERE kind = 3 AND role IN ('user', 'assistant') AND turn % 3 <> 0")
+def _(spark, d):
+    """Every third turn says nothing, so its message goes and the others are numbered without it."""
+    r = rendered(spark, d).rollouts
+    empty = r.withColumn("value", F.when(F.floor(F.col("ord") / 10) % 3 == 0, F.regexp_replace("value", r'"(content|message)":"(?:[^"\\]|\\.)*"', '"$1":""')).otherwise(F.col("value")))
+    got = codex.messages(empty, as_of())
+    return got.select("session_id", ((F.unix_timestamp("timestamp") - 1735689600) % 3600 / 5).cast("long").alias("n"), "seq")
+
+
+@query("norm_order", "SELECT provider, sid AS session_id, seq::BIGINT AS seq, epoch::BIGINT AS ts FROM m")
+def _(spark, d):
+    return messages(spark, d).select("provider", "session_id", "seq", F.unix_timestamp("timestamp").alias("ts"))
+
+
+# ---- session roll-up
+def _session_part(key: str, columns: str, where: str = "true") -> None:
+    query(key, f"SELECT provider, session_id, {columns} FROM s WHERE {where}")(lambda spark, d: session_rows(sessions(spark, d)).filter(where).select("provider", "session_id", *[c.strip() for c in columns.split(",")]))
+
+
+_session_part("sess_time_bounds", "started, ended", "provider in ('claude_code', 'codex_cli')")
+_session_part("sess_message_count", "message_count")
+_session_part("sess_first_meta", "git_branch, model, project_path", "provider in ('claude_code', 'gemini_cli', 'opencode')")
+_session_part("sess_token_sum", "input_tokens, output_tokens", "provider in ('claude_code', 'gemini_cli')")
+_session_part("sess_summary_history", "summary", "provider = 'claude_code'")
+_session_part("sess_summary_first_user", "summary", "provider <> 'claude_code'")
+_session_part("sess_project_name", "project_name")
+
+
+@query("sess_drop_rules", "SELECT provider, count(*)::BIGINT AS sessions FROM s GROUP BY provider")
+def _(spark, d):
+    return sessions(spark, d).groupBy("provider").agg(F.count(F.lit(1)).alias("sessions"))
+
+
+# ---- catalog
+@query("cat_union", f"SELECT {SESSION} FROM s")
+def _(spark, d):
+    return session_rows(sessions(spark, d))
+
+
+@query("cat_sort", "SELECT provider, session_id, started FROM l ORDER BY started DESC, rank, session_id")
+def _(spark, d):
+    return session_rows(catalog.sort(sessions(spark, d))).select("provider", "session_id", "started")
+
+
+@query("cat_provider_counts", "SELECT provider, count(*)::BIGINT AS sessions FROM s GROUP BY ROLLUP (provider)")
+def _(spark, d):
+    return catalog.provider_counts(sessions(spark, d))
+
+
+@query("cat_recent", "SELECT strftime(to_timestamp(started) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M') AS started, label AS provider, coalesce(project_name, '(unknown)') AS project, coalesce(git_branch, '') AS branch, CASE WHEN length(summary) > 60 THEN left(summary, 57) || '...' ELSE coalesce(summary, '') END AS summary, session_id FROM (SELECT * FROM l ORDER BY started DESC, rank, session_id LIMIT 20)")
+def _(spark, d):
+    return catalog.recent(sessions(spark, d))
+
+
+@query("cat_list_labels", "SELECT provider, session_id, coalesce(project_name, '(unknown project)') AS project, CASE WHEN length(summary) > 80 THEN left(summary, 77) || '...' ELSE coalesce(summary, '') END AS summary, CASE WHEN a < 60 THEN 'just now' WHEN a < 3600 THEN (a // 60) || 'm ago' WHEN a < 86400 THEN (a // 3600) || 'h ago' WHEN a < 604800 THEN (a // 86400) || 'd ago' ELSE strftime(to_timestamp(started) AT TIME ZONE 'UTC', '%b %d') END AS age FROM (SELECT *, 1736121600 - started AS a FROM s)")
+def _(spark, d):
+    return catalog.list_labels(sessions(spark, d), F.timestamp_seconds(F.lit(1736121600)))
+
+
+@query("cat_filter_provider", "SELECT provider, session_id FROM s WHERE provider IN ('codex_cli', 'opencode')")
+def _(spark, d):
+    return catalog.filter_provider(sessions(spark, d), ["codex_cli", "opencode"]).select("provider", "session_id")
+
+
+@query("cat_filter_project", "SELECT provider, session_id FROM s WHERE project_name LIKE '%ect-3%' OR project_path LIKE '%ect-3%'")
+def _(spark, d):
+    return catalog.filter_project(sessions(spark, d), "ECT-3").select("provider", "session_id")
+
+
+@query("cat_filter_dates", "SELECT provider, session_id FROM s WHERE (to_timestamp(started) AT TIME ZONE 'UTC')::DATE BETWEEN DATE '2025-01-02' AND DATE '2025-01-03'")
+def _(spark, d):
+    return catalog.filter_dates(sessions(spark, d), "2025-01-02", "2025-01-03").select("provider", "session_id")
+
+
+@query("cat_filter_all", "SELECT provider, session_id FROM s WHERE provider <> 'codex_cli' AND (project_name LIKE '%-2%' OR project_path LIKE '%-2%') AND (to_timestamp(started) AT TIME ZONE 'UTC')::DATE >= DATE '2025-01-02'")
+def _(spark, d):
+    return catalog.filter_all(sessions(spark, d), ["claude_code", "copilot_cli", "gemini_cli", "opencode"], "-2", "2025-01-02").select("provider", "session_id")
+
+
+@query("cat_enabled_providers", "SELECT provider, session_id FROM s WHERE provider IN ('claude_code', 'gemini_cli')")
+def _(spark, d):
+    return catalog.enabled_providers(sessions(spark, d), ["claude-code", "gemini-cli", "other"]).select("provider", "session_id")
+
+
+@query("cat_lookup", "SELECT key, provider, session_id FROM (SELECT k.key, l.provider, l.session_id, row_number() OVER (PARTITION BY k.key ORDER BY rank, started DESC, session_id) AS n FROM l JOIN (VALUES ('session-1'), ('ses'), ('rollout-session-3'), ('none')) AS k(key) ON starts_with(l.session_id, k.key)) WHERE n = 1")
+def _(spark, d):
+    keys = spark.createDataFrame([("session-1",), ("ses",), ("rollout-session-3",), ("none",)], "key string")
+    return catalog.lookup(sessions(spark, d), keys).select("key", "provider", "session_id")
+
+
+@query("cat_messages_capped", "SELECT provider, session_id, seq, total FROM (SELECT provider, sid AS session_id, seq::BIGINT AS seq, count(*) OVER (PARTITION BY conv_id)::BIGINT AS total FROM m) WHERE seq < 3")
+def _(spark, d):
+    return catalog.capped(messages(spark, d), 3).select("provider", "session_id", "seq", "total")
+
+
+@query("cat_transcript", "SELECT provider, sid AS session_id, seq::BIGINT AS seq, pos::INT AS pos, CASE role WHEN 'user' THEN 'You' ELSE 'Assistant' END AS speaker, type AS kind, btext AS body FROM b")
+def _(spark, d):
+    return catalog.transcript(messages(spark, d)).select("provider", "session_id", "seq", "pos", "speaker", "kind", "body")
+
+
+@query("cat_token_label", "SELECT provider, session_id, CASE WHEN input_tokens + output_tokens > 0 THEN ((input_tokens + output_tokens) // 1000) || 'k tokens' END AS tokens FROM s")
+def _(spark, d):
+    return catalog.token_label(sessions(spark, d))
+
+
+@query("cat_resume_command", "SELECT provider, session_id, CASE provider WHEN 'claude_code' THEN 'claude --resume ' WHEN 'copilot_cli' THEN 'copilot --resume=' WHEN 'gemini_cli' THEN 'gemini --resume ' WHEN 'codex_cli' THEN 'codex resume ' ELSE 'opencode --session ' END || CASE provider WHEN 'codex_cli' THEN replace(session_id, 'rollout-', '') ELSE session_id END AS command FROM s")
+def _(spark, d):
+    return sessions(spark, d).select("provider", "session_id", catalog.resume_command(F.col("provider"), F.col("session_id")).alias("command"))
+
+
+# ---- search
+QUERY_ROWS = [("a", "select that"), ("b", "project thon"), ("c", "   "), ("d", "nosuchword")]
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    r = rendered(spark, d)
+    return search.documents(files.all_messages(r, as_of()), files.all_sessions(r))
+
+
+def asked(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(QUERY_ROWS, "query string, text string")
+
+
+def hits(spark: SparkSession, d: str, k: int = 200) -> DataFrame:
+    scored = search.scored(docs(spark, d), asked(spark)).withColumn("score", F.round("score", 9))
+    return search.topk(scored.drop("terms"), k)
+
+
+@query("fts_extract_text", "SELECT provider, sid AS session_id, seq::BIGINT AS seq, body || CASE WHEN role = 'assistant' THEN chr(10) || 'select ' || turn ELSE '' END AS text FROM m")
+def _(spark, d):
+    return messages(spark, d).select("provider", "session_id", "seq", search.block_text(F.col("content")).alias("text")).filter("text <> ''")
+
+
+@query("fts_docs", "SELECT provider, session_id, seq::BIGINT AS seq, message_id, provider_label, project, role_label, content, ts AS timestamp FROM d", True)
+def _(spark, d):
+    return docs(spark, d)
+
+
+@query("fts_postings", "SELECT field, term, provider, session_id, seq::BIGINT AS seq, tf, dl::BIGINT AS dl FROM p", True)
+def _(spark, d):
+    return search.postings(docs(spark, d)).select("field", "term", "provider", "session_id", "seq", F.col("tf").cast("long").alias("tf"), F.col("dl").cast("long").alias("dl"))
+
+
+@query("fts_term_stats", "SELECT field, term, df FROM df", True)
+def _(spark, d):
+    return search.term_stats(search.postings(docs(spark, d)))
+
+
+@query("fts_search", "SELECT query, provider, session_id, seq::BIGINT AS seq, round(score, 6) AS score FROM r", True)
+def _(spark, d):
+    """Every hit, so that the whole ranking is compared; ``fts_topk`` has the limit."""
+    return hits(spark, d, 1 << 30).select("query", "provider", "session_id", "seq", F.round("score", 6).alias("score"))
+
+
+@query("fts_topk", "SELECT query, provider, session_id, seq::BIGINT AS seq, rank::INT AS rank FROM r WHERE rank <= 200", True)
+def _(spark, d):
+    return hits(spark, d).select("query", "provider", "session_id", "seq", "rank")
+
+
+@query("fts_search_clauses", r"SELECT provider, session_id, seq::BIGINT AS seq FROM d WHERE list_contains(regexp_split_to_array(lower(content), '[^\p{L}\p{N}]+'), 'the') AND NOT list_contains(regexp_split_to_array(lower(content), '[^\p{L}\p{N}]+'), 'was') AND regexp_matches(lower(content), '(^|[^\p{L}\p{N}])of[^\p{L}\p{N}]+the([^\p{L}\p{N}]|$)')", True)
+def _(spark, d):
+    """Required and excluded words and a phrase, in one field."""
+    return search.search_clauses(docs(spark, d), "in", must=["the"], must_not=["was"], phrases=["of the"], field="content", k=1 << 30).select("provider", "session_id", "seq")
+
+
+@query("fts_snippet", r"SELECT provider, session_id, seq::BIGINT AS seq, CASE WHEN st > 0 THEN '...' ELSE '' END || trim(regexp_replace(substr(content, st + 1, least(120, length(content) - st)), '\s+', ' ', 'g')) || CASE WHEN st + 120 < length(content) THEN '...' ELSE '' END AS snippet FROM (SELECT *, greatest(instr(lower(content), 'select') - 1 - 60, 0) AS st FROM d)", True)
+def _(spark, d):
+    return docs(spark, d).select("provider", "session_id", "seq", search.snippet(F.col("content"), F.lit("SELECT")).alias("snippet"))
+
+
+@query("fts_sessions", "SELECT query, provider, session_id, min(rank)::INT AS rank FROM r WHERE rank <= 200 GROUP BY ALL HAVING true", True)
+def _(spark, d):
+    return search.hit_sessions(hits(spark, d))
+
+
+@query("fts_filtered_sessions", "SELECT r.query, r.provider, r.session_id, min(r.rank)::INT AS rank FROM r JOIN s USING (provider, session_id) WHERE r.rank <= 200 AND provider IN ('claude_code', 'opencode') GROUP BY ALL HAVING true", True)
+def _(spark, d):
+    return search.filtered_sessions(hits(spark, d), sessions(spark, d), ["claude_code", "opencode"]).select("query", "provider", "session_id", "rank")
+
+
+# ---- incremental refresh: the older state lacks the last turns of every third conversation
+def _split(spark: SparkSession, d: str):
+    c = docs(spark, d).drop("timestamp")
+    third = F.regexp_extract("session_id", r"(\d+)$", 1).cast("long") % 3 == 0
+    now = c.groupBy("provider", "session_id").agg(F.concat_ws("-", F.count(F.lit(1)), F.sum(F.length("content"))).alias("fingerprint"))
+    old_docs = c.filter(~(third & (F.col("seq") >= 2)))
+    old = old_docs.groupBy("provider", "session_id").agg(F.concat_ws("-", F.count(F.lit(1)), F.sum(F.length("content"))).alias("fingerprint"))
+    return c, now, old_docs, old
+
+
+@query("inc_changed", "SELECT provider, session_id FROM d WHERE regexp_extract(session_id, '(\\d+)$', 1)::BIGINT % 3 = 0 GROUP BY ALL HAVING max(seq) >= 2", True)
+def _(spark, d):
+    _, now, _, old = _split(spark, d)
+    return incremental.changed(now, old).select("provider", "session_id")
+
+
+@query("inc_upsert", "SELECT provider, session_id, seq::BIGINT AS seq, content FROM d", True)
+def _(spark, d):
+    """Refreshing the older state gives what a full build gives."""
+    new, now, old_docs, old = _split(spark, d)
+    return incremental.upsert(old_docs, new, incremental.changed(now, old)).select("provider", "session_id", "seq", "content")
+
+
+@query("inc_clear", "SELECT count(DISTINCT provider || '/' || session_id)::BIGINT AS sessions_indexed, count(*)::BIGINT AS messages_indexed FROM d", True)
+def _(spark, d):
+    """After clearing, the next build takes every session."""
+    new, now, old_docs, old = _split(spark, d)
+    _, none = incremental.cleared(old_docs, old)
+    return incremental.stats(new, incremental.changed(now, none))
+
+
+@query("inc_stats", "SELECT count(DISTINCT provider || '/' || session_id)::BIGINT AS sessions_indexed, count(*)::BIGINT AS messages_indexed FROM d JOIN (SELECT provider, session_id FROM d WHERE regexp_extract(session_id, '(\\d+)$', 1)::BIGINT % 3 = 0 GROUP BY ALL HAVING max(seq) >= 2) USING (provider, session_id)", True)
+def _(spark, d):
+    new, now, _, old = _split(spark, d)
+    return incremental.stats(new, incremental.changed(now, old))
+
+
+# ---- sinks
+_MD = "'# ' || coalesce(project_name, 'Conversation') || chr(10) || chr(10) || '- **Provider**: ' || label || chr(10) || '- **Date**: ' || strftime(to_timestamp(started) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M') || ' UTC' || chr(10) || CASE WHEN git_branch IS NULL THEN '' ELSE '- **Branch**: ' || git_branch || chr(10) END || CASE WHEN model IS NULL THEN '' ELSE '- **Model**: ' || model || chr(10) END || chr(10) || '---' || chr(10) || chr(10)"
+_MD_PARTS = "(SELECT sid, provider, string_agg('## ' || CASE role WHEN 'user' THEN 'You' ELSE 'Assistant' END || chr(10) || chr(10) || body || chr(10) || chr(10) || CASE role WHEN 'assistant' THEN '```sql' || chr(10) || 'select ' || turn || chr(10) || '```' || chr(10) || chr(10) ELSE '' END, '' ORDER BY seq) AS parts FROM m GROUP BY ALL HAVING true)"
+
+
+@query("out_markdown", f"SELECT l.provider, session_id, md5({_MD} || coalesce(parts, '')) AS document FROM l LEFT JOIN {_MD_PARTS} x ON x.sid = l.session_id AND x.provider = l.provider")
+def _(spark, d):
+    r = rendered(spark, d)
+    return export.to_markdown(files.all_sessions(r), files.all_messages(r, as_of())).select("provider", "session_id", F.md5(F.col("document").cast("binary")).alias("document"))
+
+
+@query("out_json", "SELECT s.provider, s.session_id, count(m.seq)::BIGINT AS messages, coalesce(sum(CASE WHEN role = 'assistant' THEN 2 WHEN role IS NULL THEN 0 ELSE 1 END), 0)::BIGINT AS blocks, max(CASE WHEN m.seq = 0 THEN m.body END) AS first_text, s.summary FROM s LEFT JOIN m ON m.sid = s.session_id AND m.provider = s.provider GROUP BY s.provider, s.session_id, s.summary")
+def _(spark, d):
+    """The exported JSON is parsed again; counts, first text and summary are read back from it."""
+    r = rendered(spark, d)
+    shape = "session struct<id:string,provider:string,summary:string>, messages array<struct<id:string,role:string,content:array<struct<type:string,data:variant>>>>"
+    j = export.to_json_document(files.all_sessions(r), files.all_messages(r, as_of())).select("provider", "session_id", F.from_json("document", shape).alias("j"))
+    first = F.get(F.get("j.messages", F.lit(0))["content"], F.lit(0))["data"]
+    blocks = F.aggregate("j.messages", F.lit(0).cast("long"), lambda a, m: a + F.size(m["content"]))
+    return j.select("provider", "session_id", F.size("j.messages").cast("long").alias("messages"), blocks.alias("blocks"), F.try_variant_get(first, "$", "string").alias("first_text"), F.col("j.session.summary").alias("summary"))
+
+
+@query("out_html", "SELECT s.provider, s.session_id, count(m.seq)::BIGINT AS sections, coalesce(sum(CASE WHEN m.role = 'assistant' THEN 1 ELSE 0 END), 0)::BIGINT AS code FROM s LEFT JOIN m ON m.sid = s.session_id AND m.provider = s.provider GROUP BY s.provider, s.session_id")
+def _(spark, d):
+    r = rendered(spark, d)
+    made = export.to_html(files.all_sessions(r), files.all_messages(r, as_of()))
+    return made.select("provider", "session_id", F.regexp_count("document", F.lit('<section class="message ')).cast("long").alias("sections"), F.regexp_count("document", F.lit('<code class="language-sql">')).cast("long").alias("code"))
+
+
+@query("out_files", "SELECT provider, session_id, 'conversation-' || left(session_id, 8) || '.md' AS file_name FROM s")
+def _(spark, d):
+    return sessions(spark, d).select("provider", "session_id", export.file_name(F.col("session_id"), "markdown").alias("file_name"))
+
+
+@query("out_tables", f"SELECT {SESSION} FROM s")
+def _(spark, d):
+    """Written by provider and read again."""
+    import tempfile
+    import uuid
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="chatloom-")
+    path = f"{folder.rstrip('/')}/tables-{uuid.uuid4().hex}"
+    r = rendered(spark, d)
+    export.write_tables(files.all_sessions(r), files.all_messages(r, as_of()), path)
+    return session_rows(spark.read.parquet(f"{path}/sessions"))
+
+
+# ---- quality
+@query("dq_parse_counters", "SELECT '/c/projects/' || any_value(project) || '/session-' || conv_id || '.jsonl' AS source_path, count(*)::BIGINT + count(*) FILTER (WHERE (conv_id + turn) % 17 = 0) AS lines, count(*) FILTER (WHERE (conv_id + turn) % 17 = 0)::BIGINT AS parse_errors, count(*) FILTER (WHERE role NOT IN ('user', 'assistant'))::BIGINT AS skipped_types, 0::BIGINT AS empty_content, count(*) FILTER (WHERE role IN ('user', 'assistant'))::BIGINT AS messages FROM c0 WHERE kind = 0 GROUP BY conv_id")
+def _(spark, d):
+    return quality.parse_counters(claude.annotated(rendered(spark, d).claude))
+
+
+@query("dq_format_mismatch", "SELECT provider, session_id, message_count FROM s WHERE message_count > 0 AND (provider = 'codex_cli' OR NOT EXISTS (SELECT 1 FROM m WHERE m.provider = s.provider AND m.sid = s.session_id))")
+def _(spark, d):
+    """One provider's messages are withheld, as if its format had changed."""
+    r = rendered(spark, d)
+    return quality.format_mismatch(files.all_sessions(r), files.all_messages(r, as_of()).filter("provider <> 'codex_cli'"))
+
+
+@query("dq_block_checks", "SELECT rule, CASE rule WHEN 'empty_text' THEN (SELECT count(*) FROM b WHERE type = 'text' AND trim(btext) = '') ELSE 0 END::BIGINT AS broken FROM (VALUES ('empty_text'), ('empty_thinking'), ('empty_code_block'), ('empty_error'), ('tool_without_name'), ('result_without_call')) AS v(rule)")
+def _(spark, d):
+    return quality.block_checks(messages(spark, d))
+
+
+@query("dq_provider_sample", "SELECT provider, session_id, message_count, (SELECT count(*) FROM m WHERE m.provider = x.provider AND m.sid = x.session_id)::BIGINT AS loaded, coalesce((SELECT string_agg(DISTINCT role, ',' ORDER BY role) FROM m WHERE m.provider = x.provider AND m.sid = x.session_id), '') AS roles FROM (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY started DESC, session_id) AS n FROM s) x WHERE n <= 5")
+def _(spark, d):
+    r = rendered(spark, d)
+    return quality.provider_sample(files.all_sessions(r), files.all_messages(r, as_of()))
