@@ -32,6 +32,9 @@ PERCENT = 85
 _BITS = 54
 _MASK = np.uint64((1 << _BITS) - 1)
 _ROUNDS = 16
+SKETCH = 1024
+#: The most rounds in which sets propose their likeliest partner.
+PROPOSALS = 4
 #: Signature groups up to this size are compared by a join, larger ones in blocks.
 SMALL = 48
 BLOCK = 2048
@@ -79,7 +82,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
 
 
 def set_facts(keys: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each row: set size, 64-bit name of the set, 32-byte parity sketch."""
+    """Of each row: set size, 64-bit name of the set, parity sketch."""
     row = (keys >> np.uint64(_BITS)).astype(np.int64)
     size = np.bincount(row, minlength=rows)
     name = np.zeros(rows, np.uint64)
@@ -87,7 +90,7 @@ def set_facts(keys: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.n
     if len(full):
         first = np.concatenate(([0], np.cumsum(size[full])[:-1]))
         name[full] = mix(np.add.reduceat(mix((keys & _MASK) + np.uint64(1)), first) + size[full].astype(np.uint64))
-    parity = np.bincount(row * 256 + (keys & np.uint64(255)).astype(np.int64), minlength=rows * 256).reshape(rows, 256) & 1
+    parity = np.bincount(row * SKETCH + (keys & np.uint64(SKETCH - 1)).astype(np.int64), minlength=rows * SKETCH).reshape(rows, SKETCH) & 1
     return size, name, np.packbits(parity.astype(np.uint8), axis=1)
 
 
@@ -237,7 +240,7 @@ def _shared(sig: np.ndarray, name: np.ndarray, buckets: int) -> Iterator[pa.Reco
 def _possible(pairs: DataFrame, percent: int) -> DataFrame:
     """Drop pairs that sizes or sketches exclude; columns a, b, size_a, size_b, sketch_a, sketch_b."""
     most = F.floor((100 - percent) * (F.col("size_a") + F.col("size_b")) / (100 + percent))
-    apart = sum((F.bit_count(F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k])) for k in range(4)), F.lit(0))
+    apart = sum((F.bit_count(F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k])) for k in range(SKETCH // 64)), F.lit(0))
     near = (F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent) & (apart <= most)
     return pairs.filter(near)
 
@@ -279,7 +282,7 @@ def ngram_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataF
     facts = written(_facts(texts, n, percent, int(spark.conf.get("spark.sql.shuffle.partitions"))), "facts")
     rows = facts.filter("kind = 0").select("doc_id", "size", "name", "sketch")
     named = rows.filter("size > 0")
-    words = [F.conv(F.hex(F.substring("sketch", 8 * k + 1, 8)), 16, -10).cast("long") for k in range(4)]
+    words = [F.conv(F.hex(F.substring("sketch", 8 * k + 1, 8)), 16, -10).cast("long") for k in range(SKETCH // 64)]
     sets = written(named.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("sketch").alias("sketch")).select("name", "doc_id", "size", F.array(*words).alias("sketch")), "sets")
     shared = facts.filter("kind = 1").select("sig", "name").distinct()
     apart = shared.groupBy("sig").agg(F.min("name").alias("low"), F.max("name").alias("high"), F.count("*").alias("n")).filter("low <> high")
@@ -297,12 +300,19 @@ def ngram_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataF
         found = written(_verified(_possible(_sized(pairs, sets), percent).select("a", "b"), held, n, percent), "links")
         links = found if links is None else links.unionByName(found)
         state = components(links)
+    for _ in range(PROPOSALS):
+        large = _open(members.filter(F.col("n") > SMALL), state).join(sets.select("name", "size", "sketch"), "name")
+        found = written(_verified(_blocked(large, percent, True).distinct(), held, n, percent), "links")
+        if not found.head(1):
+            break
+        links = links.unionByName(found)
+        state = components(links)
     now = written(_open(members, state).join(sets.select("name", "size", "sketch"), "name"), "open")
     few = now.filter(F.col("n") <= SMALL)
     left = few.select("sig", F.col("name").alias("a"), F.col("component").alias("ca"), F.col("size").alias("size_a"), F.col("sketch").alias("sketch_a"))
     right = few.select("sig", F.col("name").alias("b"), F.col("component").alias("cb"), F.col("size").alias("size_b"), F.col("sketch").alias("sketch_b"))
     joined = _possible(left.join(right, "sig").filter("a < b and ca <> cb"), percent).select("a", "b")
-    pairs = joined.unionByName(_blocked(now.filter(F.col("n") > SMALL), percent)).distinct()
+    pairs = joined.unionByName(_blocked(now.filter(F.col("n") > SMALL), percent, False)).distinct()
     found = written(_verified(pairs, held, n, percent), "links")
     state = components(links.unionByName(found)) if found.head(1) else state
 
@@ -331,24 +341,40 @@ def _sized(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs
 
 
-def _blocked(now: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in large signature groups, compared block by block on sizes and sketches."""
+def _blocked(now: DataFrame, percent: int, likeliest: bool) -> DataFrame:
+    """Pairs of different components in large signature groups, compared block by block on sizes and sketches.
+
+    ``likeliest``: of each set only the pair whose sketches differ least.
+    """
 
     def pairs(t: pa.Table) -> pa.Table:
         side = np.asarray(t.column("side"))
         name, comp, size = (np.asarray(t.column(c)) for c in ("name", "component", "size"))
-        sketch = np.array(t.column("sketch").to_pylist(), np.int64).reshape(len(name), 4)
+        sketch = np.array(t.column("sketch").to_pylist(), np.int64).reshape(len(name), -1)
         same = t.column("i")[0].as_py() == t.column("j")[0].as_py()
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if same else 1))
-        out_a, out_b = [], []
+        out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        least = np.full(len(name), np.iinfo(np.int64).max)
+        partner = np.full(len(name), -1)
         for k in left.tolist():
             apart = np.bitwise_count(sketch[right] ^ sketch[k]).sum(axis=1)
             both = size[right] + size[k]
             ok = (comp[right] != comp[k]) & (np.minimum(size[right], size[k]) * 100 >= np.maximum(size[right], size[k]) * percent) & (apart <= (100 - percent) * both // (100 + percent))
+            if likeliest:
+                apart = np.where(ok, apart.astype(np.int64), np.iinfo(np.int64).max)
+                best = int(apart.argmin()) if len(apart) else 0
+                if ok.any() and apart[best] < least[k]:
+                    least[k], partner[k] = apart[best], right[best]
+                nearer = ok & (apart < least[right])
+                least[right[nearer]], partner[right[nearer]] = apart[nearer], k
+                continue
             b = name[right[ok]]
             out_a.append(np.minimum(b, name[k]))
             out_b.append(np.maximum(b, name[k]))
-        got = np.unique(np.stack((np.concatenate(out_a), np.concatenate(out_b)), 1), axis=0) if out_a else np.empty((0, 2), np.int64)
+        mine = np.flatnonzero(partner >= 0)
+        out_a.append(np.minimum(name[mine], name[partner[mine]]))
+        out_b.append(np.maximum(name[mine], name[partner[mine]]))
+        got = np.unique(np.stack((np.concatenate(out_a), np.concatenate(out_b)), 1), axis=0)
         return pa.table({"a": got[:, 0].astype(np.int64), "b": got[:, 1].astype(np.int64)})
 
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
