@@ -12,7 +12,8 @@ all pairs of shards being compared:
    position whose left neighbours agree inherits its predecessor's prefix less one, only the others are compared.
    Starts of one run of prefixes >= ``length`` are one passage.
 4. An anchor with more stretches than a shard holds is split over several shards. Each of these gives its distinct
-   passages as a sorted run; runs meet by ranges of the digest and are merged by binary search.
+   passages as a sorted run, cut by binary search at the borders of digest ranges (one range for every ``RUNS`` shards);
+   the cuts of a range meet in one task and are merged by binary search.
 
 Hashes are 64-bit; passages across shards are compared by 128-bit digests.
 """
@@ -28,7 +29,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.llm.util import carried, carried_kinds, table, utf8, with_columns, written
+from chatloom.llm.util import carried, carried_kinds, grouped, table, utf8, with_columns, written
 from chatloom.llm.words import VALUE, cuts, mix, prefix, span
 
 LENGTH = 400
@@ -37,6 +38,9 @@ GRAM = 32
 SHARD = 1_500_000
 #: Stretches of one anchor that go to one shard.
 SPLIT = 1024
+#: Shards of a split anchor whose runs fall into one digest range.
+RUNS = 8
+_RUN = np.dtype([("digest", "S16"), ("row", "<i8"), ("first", "<i4"), ("known", "?")])
 #: Texts longer than this are cut into overlapping pieces before their anchors are sought.
 PIECE = 8_000_000
 
@@ -217,11 +221,10 @@ def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _search(stretches: DataFrame, length: int) -> DataFrame:
-    """Ranges of repeated starts (row, first, last) within shards, and passages (salted anchors) still to be merged.
+    """Ranges of repeated starts within shards, and cut runs of split anchors that are still to be merged.
 
-    Input rows: anchor, salt, split (whether the anchor has other salts), row, first, last, times, body. Output kind 0:
-    repeated starts; kind 1: a distinct passage of a split anchor (digest; row, first = last of its only start, or row
-    null if it is already known to repeat).
+    Input rows: anchor, salt, parts (shards of the anchor), row, first, last, times, body. Output kind 0: repeated starts
+    (row, first, last); kind 1: the part of a sorted run that falls into a digest range (anchor, part, run).
     """
 
     def classes(held: list) -> Iterator[tuple]:
@@ -241,15 +244,25 @@ def _search(stretches: DataFrame, length: int) -> DataFrame:
             o, p = owner[twice], at[twice]
             new = np.flatnonzero(np.concatenate(([True], (o[1:] != o[:-1]) | (p[1:] != p[:-1] + 1))))
             end = np.append(new[1:], len(p)) - 1
-            yield from zip([0] * len(new), row[o[new]].tolist(), p[new].tolist(), p[end].tolist(), [None] * len(new))
-        split = np.array([h[6] for h in held])
-        if split.any():
-            todo = np.flatnonzero(split[owner])
+            yield from zip([0] * len(new), row[o[new]].tolist(), p[new].tolist(), p[end].tolist(), [None] * len(new), [None] * len(new), [None] * len(new))
+        parts = np.array([h[6] for h in held])
+        split = np.flatnonzero(parts[owner] > 1)
+        for anchor in {held[k][0] for k in np.unique(owner[split]).tolist()}:
+            mine = np.array([h[0] == anchor for h in held])
+            todo = split[mine[owner[split]]]
             _, one = np.unique(back[todo], return_index=True)
-            for k in todo[one].tolist():
-                digest = hashlib.blake2b(text[starts[k] : starts[k] + length].tobytes(), digest_size=16).digest()
-                known = bool(weight[back[k]] >= 2)
-                yield 1, None if known else int(row[owner[k]]), int(at[k]), int(at[k]), digest
+            todo = todo[one]
+            sequence = np.empty(len(todo), _RUN)
+            sequence["digest"] = [hashlib.blake2b(text[k : k + length].tobytes(), digest_size=16).digest() for k in starts[todo].tolist()]
+            sequence["row"], sequence["first"], sequence["known"] = row[owner[todo]], at[todo], weight[back[todo]] >= 2
+            # S16 drops zero bytes at the end, which keeps digests of one passage equal and the order the same
+            sequence = np.sort(sequence, order="digest")
+            ranges = -(-int(parts[owner[todo[0]]]) // RUNS)
+            borders = np.array([(k * (1 << 32) // ranges).to_bytes(4, "big") for k in range(1, ranges)], "S16")
+            cuts_at = [0, *np.searchsorted(sequence["digest"], borders).tolist(), len(sequence)]
+            for k, (x, y) in enumerate(zip(cuts_at, cuts_at[1:])):
+                if y > x:
+                    yield 1, None, None, None, int(anchor), k, sequence[x:y].tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -266,39 +279,37 @@ def _search(stretches: DataFrame, length: int) -> DataFrame:
         if held:
             yield _found(list(classes(held)))
 
-    return stretches.select("anchor", "salt", "split", "row", "first", "last", "times", "body").mapInArrow(run, "kind int, row long, first int, last int, digest binary")
+    return stretches.select("anchor", "salt", "parts", "row", "first", "last", "times", "body").mapInArrow(run, "kind int, row long, first int, last int, anchor long, part int, run binary")
 
 
 def _found(rows: list) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["kind", "row", "first", "last", "digest"])
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["kind", "row", "first", "last", "anchor", "part", "run"])
 
 
-def _merge(passages: DataFrame) -> DataFrame:
-    """Sorted runs of digests that fall into one range are merged by binary search; repeated single starts come out."""
+def _merge(runs: DataFrame) -> DataFrame:
+    """(row, ranges) of starts whose passage also stands in another shard of its anchor."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: np.ndarray | None = None
-        parts = []
-        for batch in batches:
-            digest = np.frombuffer(b"".join(batch.column(3).to_pylist()), "S16") if batch.num_rows else np.empty(0, "S16")
-            parts.append((digest, batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()))
-        if not parts:
-            return
-        digest = np.concatenate([p[0] for p in parts])
-        order = np.argsort(digest, kind="stable")
-        seen = digest[order]
-        for own, row, first in parts:
-            times = np.searchsorted(seen, own, "right") - np.searchsorted(seen, own)
-            hit = (times > 1) & ~np.isnan(row.astype(float))
-            if hit.any():
-                yield pa.RecordBatch.from_arrays([pa.array(row[hit].astype(np.int64)), pa.array(first[hit].astype(np.int32)), pa.array(first[hit].astype(np.int32))], ["row", "first", "last"])
-
-    return passages.select("row", "first", "last", "digest").repartition("digest").mapInArrow(run, "row long, first int, last int")
+    def merge(t: pa.Table) -> pa.Table:
+        cut = [np.frombuffer(r, _RUN) for r in t.column("run").to_pylist()]
+        whole = np.sort(np.concatenate([c["digest"] for c in cut]))
+        hit = [c[(np.searchsorted(whole, c["digest"], "right") - np.searchsorted(whole, c["digest"]) > 1) & ~c["known"]] for c in cut]
+        found = np.concatenate(hit)
+        found = found[np.lexsort((found["first"], found["row"]))]
+        row, first = found["row"].astype(np.int64), found["first"].astype(np.int32)
+        new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (first[1:] != first[:-1] + 1)))[: len(row)])
+        end = np.append(new[1:], len(row))[: len(new)] - 1
+        owner = row[new]
+        at = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))[: len(owner)])
+        pairs = pa.StructArray.from_arrays([pa.array(first[new]), pa.array(first[end])], ["first", "last"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(owner)).astype(np.int32)), pairs)
+        return pa.table({"row": pa.array(owner[at]), "ranges": lists})
+
+    return grouped(runs.select("anchor", "part", "run"), ["anchor", "part"], merge, "row long, ranges array<struct<first:int,last:int>>")
 
 
 def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(row, first, last): ranges of starts whose passage also starts elsewhere; ``texts`` has (row, text)."""
+    """(row, ranges): ranges of starts whose passage also starts elsewhere; ``texts`` has (row, text)."""
     stretches = _stretches(texts, length, gram)
     # one row for each distinct stretch, with how often it occurs and one place of it
     distinct = stretches.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("row", "first", "last")).alias("one"))
@@ -310,11 +321,12 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     unlike = kept.filter("kinds > 1")
     asked = unlike.groupBy("row").agg(F.collect_list(F.struct("anchor", "first", "last", "times", "kinds", "content")).alias("asked"))
     parts = F.ceil(F.col("kinds") / SPLIT).cast("int")
-    cut = _bodies(asked.join(texts, "row"), length).withColumn("salt", F.pmod("content", parts).cast("int")).withColumn("split", parts > 1)
+    cut = _bodies(asked.join(texts, "row"), length).withColumn("parts", parts).withColumn("salt", F.pmod("content", "parts").cast("int"))
     found = written(_search(cut.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt"), length), "found")
     inside = found.filter("kind = 0").select("row", "first", "last")
     across = _merge(found.filter("kind = 1"))
-    return whole.unionByName(inside).unionByName(across)
+    single = whole.unionByName(inside).select("row", F.array(F.struct("first", "last")).alias("ranges"))
+    return single.unionByName(across).groupBy("row").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry: list[str] | None = None) -> DataFrame:
@@ -328,7 +340,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carr
     whole_text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text.alias("text"), *carried(docs, carry)).withColumn("row", F.xxhash64("doc_id", "text"))
     ranges = repeated_ranges(texts.filter(F.octet_length("text") >= length).select("row", "text"), length, gram)
-    per_row = ranges.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -369,7 +380,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carr
                 )
                 yield with_columns(answer, batch, carry)
 
-    joined = texts.join(per_row, "row", "left").select("doc_id", "text", "ranges", *[f"carry_{n}" for n in carry or []])
+    joined = texts.join(ranges, "row", "left").select("doc_id", "text", "ranges", *[f"carry_{n}" for n in carry or []])
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,end:long>>" + carried_kinds(docs, carry))
 
 
