@@ -310,7 +310,7 @@ def _merge(runs: DataFrame) -> DataFrame:
 
 def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(row, ranges): ranges of starts whose passage also starts elsewhere; ``texts`` has (row, text)."""
-    stretches = _stretches(texts, length, gram)
+    stretches = written(_stretches(texts, length, gram), "anchors")  # read three times
     # one row for each distinct stretch, with how often it occurs and one place of it
     distinct = stretches.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("row", "first", "last")).alias("one"))
     kinds = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.max("times").alias("most")).filter("kinds > 1 or most > 1")
