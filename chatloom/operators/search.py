@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatloom.operators.catalog import label, role_label
+from chatloom.operators.tables import materialized
 
 K1, B = 1.2, 0.75
 #: Words of this many bytes or more are not indexed.
@@ -93,7 +94,7 @@ def search_clauses(docs: DataFrame, text: str, must: list[str] = (), must_not: l
     fields = (field,) if field else ("content", "project")
     spark = docs.sparkSession
     words = " ".join([text, *must, *phrases])
-    posted = postings(docs, fields)
+    posted = materialized(postings(docs, fields), "postings")
     hits = scored(docs, spark.createDataFrame([("q", words)], "query string, text string"), fields, posted)
     required = sorted({w for m in must for w in m.lower().split()})
     if required:

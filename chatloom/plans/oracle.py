@@ -49,15 +49,15 @@ FTS = r"""
     m.body || CASE WHEN m.role = 'assistant' THEN chr(10) || 'select ' || m.turn ELSE '' END AS content, m.epoch::BIGINT AS ts, m.message_id
   FROM m JOIN l ON l.provider = m.provider AND l.session_id = m.sid
 ), f AS (
-  SELECT provider, session_id, seq, 'content' AS field, list_filter(regexp_split_to_array(lower(content), '[^\p{L}\p{N}]+'), x -> x <> '' AND strlen(x) < 40) AS t FROM d WHERE content <> ''
-  UNION ALL SELECT provider, session_id, seq, 'project', list_filter(regexp_split_to_array(lower(project), '[^\p{L}\p{N}]+'), x -> x <> '' AND strlen(x) < 40) FROM d WHERE content <> ''
+  SELECT provider, session_id, seq, 'content' AS field, [x FOR x IN regexp_split_to_array(lower(content), '[^\p{L}\p{N}]+') IF x <> '' AND strlen(x) < 40] AS t FROM d WHERE content <> ''
+  UNION ALL SELECT provider, session_id, seq, 'project', [x FOR x IN regexp_split_to_array(lower(project), '[^\p{L}\p{N}]+') IF x <> '' AND strlen(x) < 40] FROM d WHERE content <> ''
 ), p AS (
   SELECT field, term, provider, session_id, seq, count(*)::BIGINT AS tf, any_value(dl) AS dl
   FROM (SELECT provider, session_id, seq, field, len(t) AS dl, unnest(t) AS term FROM f) GROUP BY ALL HAVING true
 ), df AS (SELECT field, term, count(*)::BIGINT AS df FROM p GROUP BY field, term),
 fs AS (SELECT field, count(*)::BIGINT AS n_docs, avg(len(t)) AS avgdl FROM f GROUP BY field),
 q AS (SELECT * FROM (VALUES ('a', 'select that'), ('b', 'project thon'), ('c', '   '), ('d', 'nosuchword')) AS v(query, text)),
-qt AS (SELECT query, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), x -> x <> ''))) AS term FROM q),
+qt AS (SELECT query, unnest(list_distinct([x FOR x IN regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+') IF x <> ''])) AS term FROM q),
 h AS (
   SELECT query, provider, session_id, seq, sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score
   FROM p JOIN qt USING (term) JOIN df USING (field, term) JOIN fs USING (field) GROUP BY ALL
@@ -70,7 +70,7 @@ def sql(select: str, fts: bool = False) -> str:
     return f"WITH {BASE.strip()}{FTS if fts else ''}\n{select.strip()}"
 
 
-SESSION = "provider, session_id, project_path, project_name, git_branch, started, ended, summary, model, input_tokens, output_tokens, message_count"
+SESSION = "provider, session_id, project_path, project_name, git_branch, started, ended, summary, model, input_tokens::VARCHAR AS input_tokens, output_tokens::VARCHAR AS output_tokens, message_count"
 MESSAGE = (
     "provider, sid AS session_id, seq::BIGINT AS seq, message_id, role, epoch::BIGINT AS ts, CASE WHEN role = 'assistant' THEN 'text,code_block' ELSE 'text' END AS types, "
     "md5(body || CASE WHEN role = 'assistant' THEN '|select ' || turn ELSE '' END) AS body"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from chatloom.functions import parsing
 from chatloom.operators import catalog, export, quality, search
+from chatloom.operators.tables import materialized, shared_folder
 from chatloom.plans import synth
 from chatloom.plans.oracle import MESSAGE, SESSION, sql
 from chatloom.sources import claude, codex, copilot, files, gemini, opencode
@@ -48,7 +50,7 @@ def messages(spark: SparkSession, d: str) -> DataFrame:
 def session_rows(df: DataFrame) -> DataFrame:
     return df.select(
         "provider", "session_id", "project_path", "project_name", "git_branch", F.unix_timestamp("started_at").alias("started"), F.unix_timestamp("ended_at").alias("ended"), "summary", "model",
-        F.col("token_usage.input_tokens").alias("input_tokens"), F.col("token_usage.output_tokens").alias("output_tokens"), "message_count",
+        F.col("token_usage.input_tokens").cast("string").alias("input_tokens"), F.col("token_usage.output_tokens").cast("string").alias("output_tokens"), "message_count",
     )
 
 
@@ -169,11 +171,11 @@ def _(spark, d):
     return c.select("conv_id", "turn", F.posexplode(parsing.fences(F.col("said"))).alias("pos", "b")).select("conv_id", "turn", "pos", "b.type", "b.text", "b.language")
 
 
-@query("norm_timestamp", "SELECT event_id, epoch(ts)::BIGINT AS zoned, NULL::BIGINT AS bare, epoch(ts)::BIGINT AS by_millis, (epoch(ts) - 7200)::BIGINT AS offset FROM (SELECT event_id, date_trunc('second', ts) AS ts FROM events)")
+@query("norm_timestamp", "SELECT event_id, epoch(ts)::BIGINT AS zoned, NULL::VARCHAR AS bare, epoch(ts)::BIGINT AS by_millis, (epoch(ts) - 7200)::BIGINT AS offset FROM (SELECT event_id, date_trunc('second', ts) AS ts FROM events)")
 def _(spark, d):
     rows = spark.read.parquet(f"{d}/events.parquet").select("event_id", parsing.utc_text(F.col("ts"), "yyyy-MM-dd'T'HH:mm:ss").alias("t"), F.unix_timestamp("ts").alias("n"))
     return rows.select(
-        "event_id", F.unix_timestamp(parsing.iso_time(F.concat("t", F.lit("Z")))).alias("zoned"), F.unix_timestamp(parsing.iso_time(F.col("t"))).alias("bare"),
+        "event_id", F.unix_timestamp(parsing.iso_time(F.concat("t", F.lit("Z")))).alias("zoned"), F.unix_timestamp(parsing.iso_time(F.col("t"))).cast("string").alias("bare"),
         F.unix_timestamp(parsing.millis(F.col("n") * 1000)).alias("by_millis"), F.unix_timestamp(parsing.iso_time(F.concat("t", F.lit("+02:00")))).alias("offset"),
     )
 
@@ -199,7 +201,8 @@ def _(spark, d):
 
 # ---- session roll-up
 def _session_part(key: str, columns: str, where: str = "true") -> None:
-    query(key, f"SELECT provider, session_id, {columns} FROM s WHERE {where}")(lambda spark, d: session_rows(sessions(spark, d)).filter(where).select("provider", "session_id", *[c.strip() for c in columns.split(",")]))
+    typed = columns.replace("input_tokens, output_tokens", "input_tokens::VARCHAR AS input_tokens, output_tokens::VARCHAR AS output_tokens")
+    query(key, f"SELECT provider, session_id, {typed} FROM s WHERE {where}")(lambda spark, d: session_rows(sessions(spark, d)).filter(where).select("provider", "session_id", *[c.strip() for c in columns.split(",")]))
 
 
 _session_part("sess_time_bounds", "started, ended", "provider in ('claude_code', 'codex_cli')")
@@ -298,8 +301,9 @@ QUERY_ROWS = [("a", "select that"), ("b", "project thon"), ("c", "   "), ("d", "
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
+    """The search documents as a written table, as an index is: they are read several times."""
     r = rendered(spark, d)
-    return search.documents(files.all_messages(r, as_of()), files.all_sessions(r))
+    return materialized(search.documents(files.all_messages(r, as_of()), files.all_sessions(r)), "docs")
 
 
 def asked(spark: SparkSession) -> DataFrame:
@@ -307,7 +311,8 @@ def asked(spark: SparkSession) -> DataFrame:
 
 
 def hits(spark: SparkSession, d: str, k: int = 200) -> DataFrame:
-    scored = search.scored(docs(spark, d), asked(spark)).withColumn("score", F.round("score", 9))
+    held = docs(spark, d)
+    scored = search.scored(held, asked(spark), posted=materialized(search.postings(held), "postings")).withColumn("score", F.round("score", 9))
     return search.topk(scored.drop("terms"), k)
 
 
@@ -400,6 +405,23 @@ def _(spark, d):
     return incremental.stats(new, incremental.changed(now, old))
 
 
+@query("inc_stream", "SELECT provider, sid AS session_id, seq::BIGINT AS seq, body || CASE WHEN role = 'assistant' THEN chr(10) || 'select ' || turn ELSE '' END AS content FROM m WHERE provider = 'codex_cli'")
+def _(spark, d):
+    """Log files as a stream; what is upserted by then is read back."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    lines = rendered(spark, d).rollouts.withColumn("session", parsing.stem(F.col("source_path")))
+    lines.repartition("session").sortWithinPartitions("session", "ord").select("session", "value").write.partitionBy("session").text(f"{folder}/logs")
+
+    def build(batch):
+        named = batch.select(F.regexp_replace("source_path", r"^.*/session=([^/]+)/.*$", "/x/$1.jsonl").alias("source_path"), F.monotonically_increasing_id().alias("ord"), "value")
+        new = codex.messages(named, as_of()).select("provider", "session_id", "seq", search.block_text(F.col("content")).alias("content"))
+        held = materialized(new, "batch")
+        return held, held.select("provider", "session_id").distinct()
+
+    incremental.stream_lines(spark, f"{folder}/logs", build, f"{folder}/docs", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/docs").select("provider", "session_id", "seq", "content")
+
+
 # ---- sinks
 _MD = "'# ' || coalesce(project_name, 'Conversation') || chr(10) || chr(10) || '- **Provider**: ' || label || chr(10) || '- **Date**: ' || strftime(to_timestamp(started) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M') || ' UTC' || chr(10) || CASE WHEN git_branch IS NULL THEN '' ELSE '- **Branch**: ' || git_branch || chr(10) END || CASE WHEN model IS NULL THEN '' ELSE '- **Model**: ' || model || chr(10) END || chr(10) || '---' || chr(10) || chr(10)"
 _MD_PARTS = "(SELECT sid, provider, string_agg('## ' || CASE role WHEN 'user' THEN 'You' ELSE 'Assistant' END || chr(10) || chr(10) || body || chr(10) || chr(10) || CASE role WHEN 'assistant' THEN '```sql' || chr(10) || 'select ' || turn || chr(10) || '```' || chr(10) || chr(10) ELSE '' END, '' ORDER BY seq) AS parts FROM m GROUP BY ALL HAVING true)"
@@ -437,11 +459,7 @@ def _(spark, d):
 @query("out_tables", f"SELECT {SESSION} FROM s")
 def _(spark, d):
     """Written by provider and read again."""
-    import tempfile
-    import uuid
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="chatloom-")
-    path = f"{folder.rstrip('/')}/tables-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
     r = rendered(spark, d)
     export.write_tables(files.all_sessions(r), files.all_messages(r, as_of()), path)
     return session_rows(spark.read.parquet(f"{path}/sessions"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chatloom.operators.tables import materialized
+
 KEY = ["provider", "session_id"]
 
 
@@ -62,7 +64,7 @@ def refresh_stored(spark: SparkSession, fresh: DataFrame, touched: DataFrame, pa
             raise
         old = fresh.filter("false")
     # the old rows are read from the folder that is written, so the result is cut off from it first
-    store(upsert(old, fresh, touched).checkpoint(), path, buckets)
+    store(materialized(upsert(old, fresh, touched), "upsert"), path, buckets)
 
 
 def stream_lines(spark: SparkSession, folder: str, build, target: str, checkpoint: str):
