@@ -146,7 +146,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, pivots: float = PIV
     keyed = rows.withColumn("key", F.xxhash64("label", "embedding"))
     good = keyed.filter(can_link()).select("vec_id", "key").join(facts.withColumnRenamed("entry", "key"), "key").select("vec_id", "n_links", "component_id")
     alone = keyed.filter(~can_link()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return good.unionByName(alone).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    return good.unionByName(alone).select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:

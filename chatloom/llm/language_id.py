@@ -101,6 +101,8 @@ def packed(data: np.ndarray, n: int) -> np.ndarray:
 
 def train(texts: dict[str, list[bytes]]) -> Model:
     languages = sorted(texts)
+    if not languages:
+        return Model([], [], [], [], [])
     counts = []  # [length][language] -> (keys, counts)
     for n in range(1, ORDER + 2):
         own = []

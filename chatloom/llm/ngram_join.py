@@ -149,7 +149,7 @@ def differences_array(total: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _facts(texts: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
-    """Two kinds of rows: 0, a document (doc_id, size, name, sketch); 1, a set that has a shared signature (sig, name)."""
+    """Two kinds of rows: 0, a document (doc_id, size, name, hash of its text as sig, sketch); 1, a set that has a shared signature (sig, name)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,7 +161,7 @@ def _facts(texts: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
                     b = min(a + 1000, high)
                     keys = shingle_sets(code[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
                     size, name, sketch = set_facts(keys, b - a)
-                    yield _batch(0, doc_id=batch.column(0).slice(a, b - a), size=size, name=name, sketch=sketch, bucket=mix(name + np.arange(b - a).astype(np.uint64)) % np.uint64(buckets))
+                    yield _batch(0, doc_id=batch.column(0).slice(a, b - a), size=size, name=name, sig=batch.column(2).slice(a, b - a).to_numpy().view(np.uint64), sketch=sketch, bucket=mix(name + np.arange(b - a).astype(np.uint64)) % np.uint64(buckets))
                     # one set of those that are equal within the batch
                     once = np.zeros(b - a, bool)
                     full = np.flatnonzero(size)
@@ -274,21 +274,21 @@ def ngram_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataF
     """(doc_id, n_shingles, component_id, set_name) of every row.
 
     Words are parted by white space, A-Z in lower case; a text with fewer than ``n`` words is one shingle. Null and
-    empty texts have an empty set and link with nothing. Rows with the same doc_id are one node each by their set; rows
-    with a null id keep a null component unless linked. Other columns are ignored.
+    empty texts have an empty set and link with nothing. Rows with the same doc_id are nodes of their own by their set;
+    rows with a null id keep a null component unless linked. Other columns are ignored.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("thash", F.xxhash64("text"))
     facts = written(_facts(texts, n, percent, int(spark.conf.get("spark.sql.shuffle.partitions"))), "facts")
-    rows = facts.filter("kind = 0").select("doc_id", "size", "name", "sketch")
+    rows = facts.filter("kind = 0").select("doc_id", "size", "name", F.col("sig").alias("thash"), "sketch")
     named = rows.filter("size > 0")
     words = [F.conv(F.hex(F.substring("sketch", 8 * k + 1, 8)), 16, -10).cast("long") for k in range(SKETCH // 64)]
-    sets = written(named.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("sketch").alias("sketch")).select("name", "doc_id", "size", F.array(*words).alias("sketch")), "sets")
+    sets = written(named.groupBy("name").agg(F.min(F.struct("doc_id", "thash")).alias("one"), F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("sketch").alias("sketch")).select("name", "doc_id", "one", "size", F.array(*words).alias("sketch")), "sets")
     shared = facts.filter("kind = 1").select("sig", "name").distinct()
     apart = shared.groupBy("sig").agg(F.min("name").alias("low"), F.max("name").alias("high"), F.count("*").alias("n")).filter("low <> high")
     members = written(shared.join(apart.select("sig", "n"), "sig"), "members")
-    wanted = members.select("name").distinct().join(sets.select("name", "doc_id"), "name")
-    held = written(texts.join(wanted, "doc_id").select("name", "text").dropDuplicates(["name"]), "texts")
+    wanted = members.select("name").distinct().join(sets.select("name", F.col("one.doc_id").alias("id"), F.col("one.thash").alias("th")), "name")
+    held = written(texts.join(wanted, (F.col("thash") == F.col("th")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("name", "text").dropDuplicates(["name"]), "texts")
 
     links: DataFrame | None = None
     state: DataFrame | None = None
