@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.llm.util import carried, carried_kinds, table, utf8, with_columns
+from chatloom.llm.util import carried, carried_kinds, table, tidy, utf8, with_columns
 from chatloom.llm.words import SIGNS, cuts, grams, word_hashes
 
 SEED = 4
@@ -134,7 +134,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, cover
                     found = _verdicts(shared.value, hashes, at, cover)
                     yield with_columns(_rows(batch.column(0).slice(a, b - a), found), batch.slice(a, b - a), carry)
 
-        return texts.mapInArrow(run, RESULT + carried_kinds(docs, carry))
+        return texts.mapInArrow(tidy(run), RESULT + carried_kinds(docs, carry))
     return _joined(texts, items, seed, cover, carry)
 
 
@@ -182,7 +182,7 @@ def _joined(texts: DataFrame, items: DataFrame, seed: int, cover: float, carry:
                     out.append((row, name, share, tiles))
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64()))], ["row", "item_id", "coverage", "n_tiles"])
 
-    scored = both.select("row", "item_id", "text", "item").mapInArrow(run, "row long, item_id long, coverage double, n_tiles long")
+    scored = both.select("row", "item_id", "text", "item").mapInArrow(tidy(run), "row long, item_id long, coverage double, n_tiles long")
     best = scored.groupBy("row").agg(
         F.max(F.struct("coverage", (-F.col("item_id")).alias("back"), "n_tiles")).alias("b"),
         F.array_sort(F.collect_list(F.when(F.col("coverage") >= cover, F.col("item_id")))).alias("item_ids"),

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.llm.util import components, grouped, table, written
+from chatloom.llm.util import components, grouped, table, tidy, written
 
 COSINE = 0.93
 PIVOTS = 4.0
@@ -88,9 +88,9 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, pivots: float = PIV
                     ["label", "d", "pivot", "entry", "times", "near", "unit"],
                 )
 
-    listed = entries.select("label", "entry", "times", "embedding").mapInArrow(describe, "label string, d int, pivot int, entry long, times long, near array<int>, unit binary")
+    listed = entries.select("label", "entry", "times", "embedding").mapInArrow(tidy(describe), "label string, d int, pivot int, entry long, times long, near array<int>, unit binary")
     # list sizes: one row for each label, dimension and pivot
-    sizes = entries.select("label", "entry", "times", "embedding").mapInArrow(describe, "label string, d int, pivot int, entry long, times long, near array<int>, unit binary").groupBy("label", "d", "pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    sizes = entries.select("label", "entry", "times", "embedding").mapInArrow(tidy(describe), "label string, d int, pivot int, entry long, times long, near array<int>, unit binary").groupBy("label", "d", "pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     long_lists = sizes.filter("blocks > 1")
     placed = listed.join(long_lists, ["label", "d", "pivot"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     placed = placed.withColumn("own", F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chatloom.llm.util import carried, carried_kinds, crc32_of_id, table, utf8, with_columns
+from chatloom.llm.util import carried, carried_kinds, crc32_of_id, table, tidy, utf8, with_columns
 
 ORDER = 4
 ROWS = 150
@@ -258,15 +258,15 @@ def predict(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Da
                 yield with_columns(answer, batch, carry)
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), has_letter(F.col("text").cast("string")).alias("letters"), *carried(docs, carry))
-    return plain.mapInArrow(run, "doc_id long, lang_pred string, score double, bits double" + carried_kinds(docs, carry))
+    return plain.mapInArrow(tidy(run), "doc_id long, lang_pred string, score double, bits double" + carried_kinds(docs, carry))
 
 
 def _cuts(offsets: np.ndarray) -> list[tuple[int, int]]:
-    """Runs of rows of about a megabyte."""
+    """Runs of rows of about a quarter of a megabyte."""
     out, a, rows = [], 0, len(offsets) - 1
     while a < rows:
         b = a + 1
-        while b < rows and offsets[b + 1] - offsets[a] <= 1_000_000:
+        while b < rows and offsets[b + 1] - offsets[a] <= 250_000:
             b += 1
         out.append((a, b))
         a = b

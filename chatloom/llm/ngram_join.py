@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.llm.util import components, grouped, table, utf8, written
+from chatloom.llm.util import components, grouped, table, tidy, utf8, written
 from chatloom.llm.words import SPACE, cuts, mix, word_hashes
 
 WORDS = 4
@@ -156,7 +156,7 @@ def _facts(texts: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
             data, offsets = utf8(batch, "text")
             code = np.frombuffer(data, np.uint8)
             sigs, names = [], []
-            for low, high in cuts(offsets, 2_000_000):
+            for low, high in cuts(offsets, 1_000_000):
                 for a in range(low, high, 1000):
                     b = min(a + 1000, high)
                     keys = shingle_sets(code[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
@@ -212,8 +212,8 @@ def _facts(texts: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
                 yield from _shared(sig[many], name[many], 1)
 
     schema = "kind int, doc_id long, size long, name long, sig long, sketch binary, bucket int"
-    dealt = texts.mapInArrow(run, schema).repartition(buckets, "bucket")
-    return dealt.mapInArrow(meet, schema)
+    dealt = texts.mapInArrow(tidy(run), schema).repartition(buckets, "bucket")
+    return dealt.mapInArrow(tidy(meet), schema)
 
 
 def _batch(kind: int, doc_id=None, size=None, name=None, sig=None, sketch=None, bucket=None) -> pa.RecordBatch:
@@ -267,7 +267,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
 
     first = pairs.join(texts.select(F.col("name").alias("a"), F.col("text").alias("text_a")), "a")
     both = first.join(texts.select(F.col("name").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(tidy(run), "a long, b long")
 
 
 def ngram_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from chatloom.llm.pretokens import encoder, fold_crc
 from chatloom.llm.token_counts import vocabulary
-from chatloom.llm.util import table, utf8, written
+from chatloom.llm.util import table, tidy, utf8, written
 
 CAPACITY = 1024
 ROUNDS = 160
@@ -57,7 +57,7 @@ def pieces(docs: DataFrame, path: str, words: bool, end_id: int, capacity: int =
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run, True), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def priced(lengths: np.ndarray, weights: np.ndarray, limits: np.ndarray, capacity: int) -> dict[int, int]:
@@ -192,7 +192,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.select(*names).schema)
-    return ranked.mapInArrow(run, f"{kinds}, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(run, True), f"{kinds}, sequence_id long, offset long")
 
 
 def _buckets(parts: DataFrame) -> int:

@@ -29,13 +29,13 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.llm.util import carried, carried_kinds, grouped, table, utf8, with_columns, written
+from chatloom.llm.util import carried, carried_kinds, grouped, table, tidy, utf8, with_columns, written
 from chatloom.llm.words import VALUE, cuts, mix, prefix, span
 
 LENGTH = 400
 GRAM = 32
 #: Bytes of stretches in one suffix array.
-SHARD = 1_500_000
+SHARD = 1_000_000
 #: Stretches of one anchor that go to one shard.
 SPLIT = 1024
 #: Shards of a split anchor whose runs fall into one digest range.
@@ -79,7 +79,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
 
 def pieces(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, int, int]]:
     """(first row, last row, first byte, last byte) of buffers; a very long text comes in overlapping pieces."""
-    for a, b in cuts(offsets, 2_000_000):
+    for a, b in cuts(offsets, 1_000_000):
         low, high = int(offsets[a]), int(offsets[b])
         if high - low <= PIECE:
             yield a, b, low, high
@@ -189,7 +189,7 @@ def _stretches(texts: DataFrame, length: int, gram: int) -> DataFrame:
                     ["row", "first", "last", "anchor", "content"],
                 )
 
-    return texts.mapInArrow(run, "row long, first int, last int, anchor long, content long")
+    return texts.mapInArrow(tidy(run), "row long, first int, last int, anchor long, content long")
 
 
 def _bodies(asked: DataFrame, length: int) -> DataFrame:
@@ -209,7 +209,7 @@ def _bodies(asked: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), *(flat.field(k) for k in range(6)), body], names)
 
     names = ["row", "anchor", "first", "last", "times", "kinds", "content", "body"]
-    return asked.select("row", "text", "asked").mapInArrow(run, "row long, anchor long, first int, last int, times long, kinds long, content long, body binary")
+    return asked.select("row", "text", "asked").mapInArrow(tidy(run), "row long, anchor long, first int, last int, times long, kinds long, content long, body binary")
 
 
 def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -279,7 +279,7 @@ def _search(stretches: DataFrame, length: int) -> DataFrame:
         if held:
             yield _found(list(classes(held)))
 
-    return stretches.select("anchor", "salt", "parts", "row", "first", "last", "times", "body").mapInArrow(run, "kind int, row long, first int, last int, anchor long, part int, run binary")
+    return stretches.select("anchor", "salt", "parts", "row", "first", "last", "times", "body").mapInArrow(tidy(run), "kind int, row long, first int, last int, anchor long, part int, run binary")
 
 
 def _found(rows: list) -> pa.RecordBatch:
@@ -381,7 +381,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carr
                 yield with_columns(answer, batch, carry)
 
     joined = texts.join(ranges, "row", "left").select("doc_id", "text", "ranges", *[f"carry_{n}" for n in carry or []])
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,end:long>>" + carried_kinds(docs, carry))
+    return joined.mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,end:long>>" + carried_kinds(docs, carry))
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatloom.llm.pretokens import encoder
-from chatloom.llm.util import table, utf8
+from chatloom.llm.util import table, tidy, utf8
 
 LIMIT = 2048
 
@@ -43,7 +43,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run, True), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

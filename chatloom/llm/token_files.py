@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from chatloom.llm.pretokens import _ranges, encoder, fold_crc
 from chatloom.llm.token_counts import vocabulary
-from chatloom.llm.util import table, utf8, written
+from chatloom.llm.util import table, tidy, utf8, written
 
 MAGIC = b"DAC1"
 WIDTH = 8
@@ -139,7 +139,7 @@ def write_token_files(docs: DataFrame, path: str, words: bool, end_id: int, id_c
     names = ["part", "segment", "ahead", "doc_ids", "sizes", "n_tokens", "payload"]
     types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInArrow(run, "part int, segment int, ahead long, doc_ids array<long>, sizes array<long>, n_tokens long, payload binary"), "tokens")
+    return written(ordered.mapInArrow(tidy(run, True), "part int, segment int, ahead long, doc_ids array<long>, sizes array<long>, n_tokens long, payload binary"), "tokens")
 
 
 def read_token_files(segments: DataFrame) -> DataFrame:
@@ -164,7 +164,7 @@ def read_token_files(segments: DataFrame) -> DataFrame:
                 )
 
     based = segments.join(F.broadcast(before), "part").select((F.col("part_start") + F.col("ahead")).alias("base"), "doc_ids", "sizes", "payload")
-    return based.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return based.mapInArrow(tidy(run, True), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
