@@ -154,3 +154,30 @@ def _offset(text: str, key: str) -> int:
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
+
+
+def oracle() -> str:
+    """DuckDB SQL: every place of a key phrase proposes an alignment, all words are compared there."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    listed = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    base = " || ".join(
+        "[{p: i - 1, label: '" + label + "'} FOR i IN range(1, len(w) + 1) IF " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split())) + "]" for phrase, label in BASE.items()
+    )
+    found = []
+    for t, (name, text, key) in enumerate(TEMPLATES):
+        own, k = text.split(), key.split()
+        places = "[i - 1 - " + str(_offset(text, key)) + " FOR i IN range(1, len(w) + 1) IF " + " AND ".join(f"w[i + {j}] = '{x}'" for j, x in enumerate(k)) + "]"
+        agree = f"len([o FOR o IN range(0, {len(own)}) IF s + o >= 0 AND w[s + o + 1] = {listed(own)}[o + 1]])"
+        found.append(f"SELECT doc_id, {t} AS t, '{name}' AS name, {agree} / {float(len(own))} AS c FROM (SELECT doc_id, w, unnest({places}) AS s FROM words)")
+    return rf"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), base AS (SELECT doc_id, len(w)::BIGINT AS n_words, {base} AS b FROM words),
+aligned AS ({" UNION ALL ".join(found)}),
+best AS (SELECT doc_id, max(c) AS c, list(DISTINCT name) AS names, first(name ORDER BY c DESC, t) AS template FROM aligned WHERE c >= {COVER} GROUP BY doc_id)
+SELECT base.doc_id, n_words, len(b)::BIGINT AS n_base, list_min([x.p FOR x IN b])::BIGINT AS first_word, list_max([x.p FOR x IN b])::BIGINT AS last_word,
+  array_to_string(list_sort(list_distinct([x.label FOR x IN b])), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct([x.label FOR x IN b] || coalesce(names, []))), ',') AS labels,
+  greatest(coalesce(c, 0.0), CASE WHEN len(b) > 0 THEN {COVER} ELSE 0.0 END)::DOUBLE AS score, template
+FROM base LEFT JOIN best USING (doc_id)
+"""

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_token_counts": token_counts.op10_token_counts,
 }
-ORACLE_SQL = {"op2_chat_format": chat_format.ORACLE}
+ORACLE_SQL = {"op2_chat_format": chat_format.ORACLE, "op3_license_scan": license_scan.oracle()}
