@@ -336,7 +336,7 @@ def _(spark, d):
     return search.term_stats(search.postings(docs(spark, d)))
 
 
-@query("fts_search", "SELECT query, provider, session_id, seq::BIGINT AS seq, round(score, 6) AS score FROM r", True)
+@query("fts_search", "SELECT query, provider, session_id, seq::BIGINT AS seq, round(round(score, 9), 6) AS score FROM r", True)
 def _(spark, d):
     """Every hit, so that the whole ranking is compared; ``fts_topk`` has the limit."""
     return hits(spark, d, 1 << 30).select("query", "provider", "session_id", "seq", F.round("score", 6).alias("score"))
