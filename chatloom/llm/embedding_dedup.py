@@ -1,7 +1,7 @@
 """Near-duplicate vectors with a pivot-permutation index.
 
-Pivots are a sample of the distinct vectors (``PIVOTS`` x the square root of their number, so what is sent to every task
-stays small against the data). A vector is described by its ``NEAREST`` nearest pivots in order. Inverted lists hold, for
+Pivots are a sample of the distinct vectors: ``PIVOTS`` x the square root of their number, and at most ``PIVOT_BYTES``,
+which bounds what is sent to every task (fewer pivots make longer lists, which lose nothing). A vector is described by its ``NEAREST`` nearest pivots in order. Inverted lists hold, for
 each label and pivot, the vectors that have the pivot among them; two vectors are candidates when they share at least
 ``SHARED`` pivots, and each candidate pair is verified by its cosine in the list of the smallest pivot they share.
 
@@ -26,9 +26,13 @@ from chatloom.llm.util import components, grouped, table, tidy, written
 
 COSINE = 0.93
 PIVOTS = 4.0
+#: The most that the pivots may take, as doubles.
+PIVOT_BYTES = 64_000_000
 NEAREST = 16
 SHARED = 1
 BLOCK = 2048
+#: Pairs whose pivots are compared at a time.
+PAIRS = 65_536
 
 
 def can_link() -> Column:
@@ -53,8 +57,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, pivots: float = PIV
         rows.filter(can_link()).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("times")).withColumn("entry", F.xxhash64("label", "embedding")),
         "vectors",
     )
-    count = entries.count()
-    most = max(16, int(pivots * math.sqrt(count)))
+    count, widest = entries.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    most = max(16, min(int(pivots * math.sqrt(count)), PIVOT_BYTES // (8 * (widest or 1))))
     chosen = entries.select("entry", "embedding").orderBy("entry").limit(most).collect()
     wide: dict[int, list] = {}
     for r in chosen:
@@ -114,25 +118,27 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, pivots: float = PIV
                 k = root[k]
             return k
 
+        def owned(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Those of the pairs that share enough pivots and have this one as the smallest."""
+            hit = (near[p][:, :, None] == near[q][:, None, :]).any(axis=2)
+            smallest = np.where(hit, near[p], np.iinfo(np.int32).max).min(axis=1)
+            ok = (hit.sum(axis=1) >= shared) & (smallest == pivot)
+            return p[ok], q[ok]
+
         for a in range(0, len(left), 512):
             own = left[a : a + 512]
             p, q = np.nonzero(x[own] @ x[right].T >= cosine)
             p, q = own[p], right[q]
             if same:
                 p, q = p[p < q], q[p < q]
-            if not len(p):
-                continue
-            both = near[p][:, :, None] == near[q][:, None, :]
-            hit = both.any(axis=2)
-            smallest = np.where(hit, near[p], np.iinfo(np.int32).max).min(axis=1)
-            ok = (hit.sum(axis=1) >= shared) & (smallest == pivot)
-            p, q = p[ok], q[ok]
-            np.add.at(degree, p, times[q])
-            np.add.at(degree, q, times[p])
-            for k, m in zip(p.tolist(), q.tolist()):
-                f, g = find(k), find(m)
-                if f != g:
-                    root[max(f, g)] = min(f, g)
+            for b in range(0, len(p), PAIRS):
+                f, g = owned(p[b : b + PAIRS], q[b : b + PAIRS])
+                np.add.at(degree, f, times[g])
+                np.add.at(degree, g, times[f])
+                for k, m in zip(f.tolist(), g.tolist()):
+                    k, m = find(k), find(m)
+                    if k != m:
+                        root[max(k, m)] = min(k, m)
         keep = np.flatnonzero(degree)
         top = np.array([find(k) for k in keep.tolist()], np.int64)
         return pa.table({"entry": entry[keep], "other": entry[top] if len(keep) else entry[keep], "n": degree[keep]})
