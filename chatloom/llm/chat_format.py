@@ -43,11 +43,10 @@ def escape_role(role: Column) -> Column:
 
 
 def unescape_role(role: Column) -> Column:
-    # backslash pairs are set aside first, so that what follows one is never taken for an escape
-    out = F.replace(role, F.lit("\\\\"), F.lit("\u0001\u0002"))
-    out = F.replace(F.replace(out, F.lit("\\:"), F.lit(":")), F.lit("\\n"), F.lit("\n"))
-    out = F.replace(F.replace(out, F.lit("\\0"), F.lit("")), F.lit("\u0001\u0002"), F.lit("\\"))
-    return out
+    # cut into escapes and runs between them, so that what follows a backslash pair is never taken for an escape
+    parts = F.regexp_extract_all(role, F.lit(r"(?s)(\\.|[^\\]+)"), F.lit(1))
+    plain = lambda x: F.when(x == "\\n", "\n").when(x == "\\0", "").when(x.startswith("\\"), F.substring(x, 2, 1)).otherwise(x)
+    return F.array_join(F.transform(parts, plain), "")
 
 
 def render_turn(role: Column, text: Column) -> Column:
