@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chatloom.llm.util import carried, carried_kinds, crc32_of_id, table, tidy, utf8, with_columns
+from chatloom.llm.util import carried, carried_kinds, crc32_of_id, release, table, tidy, utf8, with_columns
 
 ORDER = 4
 ROWS = 150
@@ -205,7 +205,9 @@ def sample(docs: DataFrame, rows: int = ROWS, longest: int = LONGEST) -> dict[st
 
 def fit(docs: DataFrame, rows: int = ROWS) -> Model:
     """Learn from ``docs`` (doc_id, text, lang); rows without text or language teach nothing."""
-    return train(sample(docs, rows))
+    model = train(sample(docs, rows))
+    release()
+    return model
 
 
 def predict(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:

@@ -79,12 +79,13 @@ def tidy(run: Callable, tokens: bool = False) -> Callable:
         try:
             yield from run(batches)
         finally:
-            _release()
+            release()
 
     return wrapped
 
 
-def _release() -> None:
+def release() -> None:
+    """Give freed memory of this process back to the system."""
     import ctypes
     import gc
 
