@@ -90,7 +90,7 @@ def test_long_text_is_cut_with_overlap(spark, monkeypatch):
 
 def test_chat_round_trip(spark):
     hard = ["\\### Assistant: </turn> ok", "</turn>\n### user: no", "\\\\</turn>", "### ", "plain", None, "", "ends\\", "\n</turn>\n", "a\n</turn>\nb\\### c", "# ## ###x"]
-    roles = ["user", "assistant", "tool: x", "a\\b", "line\nfeed", None, "\\n", "system"]
+    roles = ["user", "assistant", "tool: x", "a\\b", "line\nfeed", None, "\\n", "system", "\u0001\u0002\\"]
     rows = [(c, t, roles[(c + t) % len(roles)], hard[(c * 3 + t) % len(hard)]) for c in range(6) for t in range(9)] + [(1, 2, "user", "tie"), (None, 0, "user", "x"), (1, 2, "user", "tie")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1))
     got = chat_format.format_conversations(df).collect()
@@ -144,6 +144,20 @@ def test_near_vectors(spark):
     assert embedding_dedup.near_vectors(df.filter("false")).count() == 0
 
 
+def test_near_vectors_in_blocks_with_few_pivots(spark, monkeypatch):
+    """Long lists in blocks, pairs in small lots, pivots bounded by bytes: with all pivots shared, no link is lost."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 8)
+    monkeypatch.setattr(embedding_dedup, "PAIRS", 5)
+    monkeypatch.setattr(embedding_dedup, "PIVOT_BYTES", 1)
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(6, 12))
+    x = np.concatenate([base + rng.normal(size=base.shape) * 0.1 for _ in range(12)])
+    got = {r.vec_id: r for r in embedding_dedup.near_vectors(spark.createDataFrame([(k, [float(v) for v in x[k]], 1) for k in range(len(x))], "vec_id long, embedding array<double>, label int")).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = unit @ unit.T >= 0.93
+    assert [got[k].n_links for k in range(len(x))] == (link.sum(axis=1) - 1).tolist()
+
+
 def test_language_codes_are_exact_and_predict():
     rng = random.Random(2)
     parts = {"a": ["ka", "lo", "mi"], "b": ["str", "unt", "ge"], "c": ["ét", "oi", "ce"]}
