@@ -16,6 +16,9 @@ all pairs of shards being compared:
    the cuts of a range meet in one task and are merged by binary search.
 
 Hashes are 64-bit; passages across shards are compared by 128-bit digests.
+
+Passages may also be counted in words (``repeated_words``): windows of so many words meet by the run of ``WORD_GRAM``
+words of smallest hash inside them, and only windows whose run occurs twice are compared, by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -30,10 +33,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatloom.llm.util import carried, carried_kinds, grouped, table, tidy, utf8, with_columns, written
-from chatloom.llm.words import VALUE, cuts, mix, prefix, span
+from chatloom.llm.words import SPACE, VALUE, cuts, grams, mix, prefix, span, words
 
 LENGTH = 400
 GRAM = 32
+#: Words of the run by which windows of words meet.
+WORD_GRAM = 8
 #: Bytes of stretches in one suffix array.
 SHARD = 1_000_000
 #: Stretches of one anchor that go to one shard.
@@ -329,17 +334,85 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     return single.unionByName(across).groupBy("row").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry: list[str] | None = None) -> DataFrame:
+def windows(data: np.ndarray, offsets: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Windows of ``size`` words, in order: row, first byte, byte after the last (in the text), content hash, and the
+    place (word of the buffer) and hash of the leftmost run of ``gram`` words of smallest hash inside."""
+    s, e, at = words(data, offsets, SPACE)
+    hashes = span(prefix(VALUE[data]), s, e)
+    content, begin = grams(hashes, at, size)
+    if not len(begin):
+        none = np.empty(0, np.int64)
+        return none, none, none, content, none, content
+    short, place = grams(hashes, at, gram)
+    key = np.full(len(hashes), np.iinfo(np.uint64).max, np.uint64)
+    key[place] = short
+    least = key[begin]
+    where = begin.copy()
+    for k in range(1, size - gram + 1):
+        other = key[begin + k]
+        less = other < least
+        least[less], where[less] = other[less], begin[less] + k
+    row = np.searchsorted(at, begin, "right") - 1
+    return row, s[begin] - offsets[row], e[begin + size - 1] - offsets[row], content, where, least
+
+
+def repeated_words(texts: DataFrame, size: int, gram: int = WORD_GRAM) -> DataFrame:
+    """(row, passages): first and last bytes of windows of ``size`` words that also stand elsewhere; ``texts`` has (row, text).
+
+    Words are parted by white space and compared byte by byte; the white space between them may differ.
+    """
+    gram = min(gram, size)
+
+    def buffers(batch: pa.RecordBatch) -> Iterator[tuple]:
+        data, offsets = utf8(batch, "text")
+        code = np.frombuffer(data, np.uint8)
+        for a, b in cuts(offsets, 1_000_000):
+            yield a, windows(code[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size, gram)
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, (row, _, _, _, where, least) in buffers(batch):
+                head = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1]))[: len(where)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(a + row[head])), pa.array(least[head].view(np.int64))], ["row", "anchor"])
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted = batch.column(2)
+            for a, (row, first, end, content, _, least) in buffers(batch):
+                edge = np.searchsorted(row, np.arange(row[-1] + 2)) if len(row) else np.zeros(1, np.int64)
+                keep = np.zeros(len(row), bool)
+                for k, (x, y) in enumerate(zip(edge.tolist(), edge[1:].tolist())):
+                    keep[x:y] = np.isin(least[x:y].view(np.int64), np.asarray(wanted[a + k].values))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(a + row[keep])), pa.array(first[keep].astype(np.int32)), pa.array((end[keep] - 1).astype(np.int32)), pa.array(content[keep].view(np.int64))],
+                    ["row", "first", "last", "content"],
+                )
+
+    anchor = written(texts.mapInArrow(tidy(runs), "row long, anchor long"), "word-anchors")
+    shared = anchor.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    wanted = anchor.join(shared, "anchor").groupBy("row").agg(F.collect_set("anchor").alias("wanted"))
+    found = written(texts.join(wanted, "row").select("row", "text", "wanted").mapInArrow(tidy(asked), "row long, first int, last int, content long"), "windows")
+    twice = found.groupBy("content").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("content")
+    return found.join(twice, "content").groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("passages"))
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry: list[str] | None = None, size: int | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, spans) of every row.
 
     Texts are UTF-8 bytes (null: empty); passages never cross documents; a text shorter than ``length`` keeps all.
     ``kept`` are the remaining bytes, ``spans`` the removed (start, end). Rows are told apart by a 64-bit hash of id and
     text, so repeated rows (which remove each other), ties and null ids are ordinary cases. Columns named in ``carry`` are
-    passed through, others are ignored.
+    passed through, others are ignored. ``size``: repeated passages of so many words are removed too, if shorter as well.
     """
     whole_text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text.alias("text"), *carried(docs, carry)).withColumn("row", F.xxhash64("doc_id", "text"))
     ranges = repeated_ranges(texts.filter(F.octet_length("text") >= length).select("row", "text"), length, gram)
+    passages = F.array().cast("array<struct<first:int,last:int>>")
+    if size:
+        # a passage has a byte for each word, and one between two words
+        ranges = ranges.join(repeated_words(texts.filter(F.octet_length("text") >= 2 * size - 1).select("row", "text"), size), "row", "full")
+    else:
+        ranges = ranges.withColumn("passages", passages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -351,13 +424,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carr
                 last_all = np.asarray(lists.flatten().field(1))
                 sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0))
                 at = np.concatenate(([0], np.cumsum(sizes)))
+                said = batch.column(3)
                 removed, spans, digest, kept, found = [], [], [], [], []
                 for k in range(batch.num_rows):
                     text = bytes(data[offsets[k] : offsets[k + 1]])
                     own = []
-                    if sizes[k]:
-                        f, t = _ranges(first_all[at[k] : at[k + 1]], last_all[at[k] : at[k + 1]])
-                        f, t = _ranges(f, t + length - 1)
+                    more = said[k].values
+                    if sizes[k] or more:
+                        f, t = first_all[at[k] : at[k + 1]], last_all[at[k] : at[k + 1]] + length - 1
+                        if more:
+                            f, t = np.append(f, np.asarray(more.field(0))), np.append(t, np.asarray(more.field(1)))
+                        f, t = _ranges(f, t)
                         own = list(zip(f.tolist(), (t + 1).tolist()))
                         edges = [0, *(x for s in own for x in s), len(text)]
                         text = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
@@ -380,7 +457,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carr
                 )
                 yield with_columns(answer, batch, carry)
 
-    joined = texts.join(ranges, "row", "left").select("doc_id", "text", "ranges", *[f"carry_{n}" for n in carry or []])
+    joined = texts.join(ranges, "row", "left").select("doc_id", "text", "ranges", F.coalesce("passages", passages).alias("passages"), *[f"carry_{n}" for n in carry or []])
     return joined.mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,end:long>>" + carried_kinds(docs, carry))
 
 
