@@ -6,8 +6,10 @@ the code length after the next shorter context (method C; the shortest is unifor
 frozen after training, so a text's exact code length is a sum of table entries: one for each of its (context, byte)
 strings. Tables hold all languages side by side and are looked up with array operations.
 
-Training: a bounded sample of labelled rows for each language (``ROWS``), drawn by the hash of the id; rows longer than
-``LONGEST`` bytes are not drawn. The tables are therefore bounded whatever the corpus.
+Training: a bounded sample of labelled rows for each language (``ROWS``), drawn by the hash of the id; of rows longer than
+``LONGEST`` bytes, drawn only where shorter ones are too few, the first ``LONGEST`` bytes are read. Every label is learned:
+the tables grow with the square of the number of languages, so beyond 16 of them each gets fewer rows (``CELLS``), and when
+it has one row only, fewer bytes. The tables are therefore bounded whatever the corpus.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ from chatloom.llm.util import carried, carried_kinds, crc32_of_id, release, tabl
 ORDER = 4
 ROWS = 150
 LONGEST = 20_000
-LANGUAGES = 64
+#: Rows a language times the square of the number of languages, at most.
+CELLS = ROWS * 16 * 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -188,18 +191,28 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).rlike(r"\p{L}")
 
 
+def bounds(languages: int, rows: int, longest: int) -> tuple[int, int]:
+    """Rows and bytes of each that a language may have among so many."""
+    cells = max(languages, 1) ** 2
+    fewer = max(1, min(rows, CELLS // cells))
+    return fewer, max(64, min(longest, longest * CELLS // (fewer * cells)))
+
+
 def sample(docs: DataFrame, rows: int = ROWS, longest: int = LONGEST) -> dict[str, list[bytes]]:
-    """At most ``rows`` labelled texts of at most ``longest`` bytes for each language (and ``LANGUAGES`` languages)."""
-    small = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= longest))
-    most = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    ids = small.select("doc_id", "lang").withColumn("n", F.row_number().over(most)).filter(F.col("n") <= rows)
-    kept = ids.groupBy("lang").agg(F.collect_list("doc_id").alias("ids")).orderBy("lang").limit(LANGUAGES).collect()
-    wanted = [i for r in kept for i in r["ids"]]
-    out: dict[str, list[bytes]] = {r["lang"]: [] for r in kept}
-    if wanted:
-        for lang, text in small.filter(F.col("doc_id").isin(wanted)).select("lang", "text").orderBy("doc_id", "text").limit(2 * len(wanted)).collect():
-            if lang in out:
-                out[lang].append(text.encode())
+    """At most ``rows`` labelled texts for each language, of each at most ``longest`` bytes; fewer if there are many languages."""
+    labelled = docs.select(F.col("doc_id"), F.col("lang"), F.col("text").cast("string").alias("text")).filter("lang is not null and text is not null")
+    labelled = labelled.withColumn("hash", F.xxhash64("text"))
+    rows, window = bounds(labelled.select("lang").distinct().count(), rows, longest)
+    most = Window.partitionBy("lang").orderBy("long", F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "hash")
+    drawn = labelled.withColumn("long", F.octet_length("text") > longest).select("lang", "doc_id", "hash", F.row_number().over(most).alias("n")).filter(F.col("n") <= rows)
+    # equal rows are drawn as often as they were numbered
+    keys = drawn.groupBy("lang", "doc_id", "hash").agg(F.count(F.lit(1)).alias("times")).select(F.col("lang").alias("l"), F.col("doc_id").alias("i"), F.col("hash").alias("h"), "times")
+    same = (F.col("lang") == F.col("l")) & F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("hash") == F.col("h"))
+    # a character has a byte at least, so the first bytes are among as many characters
+    found = labelled.join(F.broadcast(keys), same).groupBy("lang", "doc_id", "hash").agg(F.first(F.substring("text", 1, window)).alias("text"), F.first("times").alias("times"))
+    out: dict[str, list[bytes]] = {}
+    for lang, text, times in found.select("lang", "text", "times").collect():
+        out.setdefault(lang, []).extend([text.encode()[:window]] * times)
     return out
 
 
@@ -233,8 +246,14 @@ def predict(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Da
                 total = np.zeros((rows, max(1, len(languages))))
                 if languages:
                     code = FOLD[np.frombuffer(data, np.uint8)]
-                    cuts = _cuts(offsets)
-                    for a, b in cuts:
+                    most = max(4096, 250_000 * 16 // max(16, len(languages)))
+                    for a, b in _cuts(offsets, most):
+                        if offsets[b] - offsets[a] > most:  # one long text: pieces that see the bytes before them
+                            for low_at in range(offsets[a], offsets[b], most):
+                                lead = min(ORDER, low_at - offsets[a])
+                                piece = code[low_at - lead : min(low_at + most, offsets[b])]
+                                total[a] += scorer.costs(piece, np.zeros(1, np.int64))[lead:].sum(axis=0, dtype=np.float64)
+                            continue
                         part = scorer.costs(code[offsets[a] : offsets[b]], offsets[a:b] - offsets[a])
                         filled = np.flatnonzero(offsets[a + 1 : b + 1] > offsets[a:b])
                         if len(filled):
@@ -263,12 +282,12 @@ def predict(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Da
     return plain.mapInArrow(tidy(run), "doc_id long, lang_pred string, score double, bits double" + carried_kinds(docs, carry))
 
 
-def _cuts(offsets: np.ndarray) -> list[tuple[int, int]]:
-    """Runs of rows of about a quarter of a megabyte."""
+def _cuts(offsets: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Runs of rows of at most ``most`` bytes; a longer row is a run of its own."""
     out, a, rows = [], 0, len(offsets) - 1
     while a < rows:
         b = a + 1
-        while b < rows and offsets[b + 1] - offsets[a] <= 250_000:
+        while b < rows and offsets[b + 1] - offsets[a] <= most:
             b += 1
         out.append((a, b))
         a = b

@@ -208,6 +208,24 @@ def test_language_of_rows(spark):
     assert {r.lang_pred for r in language_id.predict(df, nothing).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(12)
+    marks = [chr(0x4E00 + 3 * k) + chr(0x4E01 + 3 * k) + chr(0x4E02 + 3 * k) for k in range(70)]
+    text = lambda k, n: " ".join("".join(rng.choices(marks[k], k=4)) for _ in range(n))
+    rows = [(100 * k + i, text(k, 20), f"l{k:02}") for k in range(70) for i in range(10)]
+    rows += [(9000 + i, "qrst uvwx " * 2100, "long") for i in range(2)]  # only texts above the bound
+    rows += [(1, "zzyy yyzz " * 3, "many")] * 400 + [(None, "jjkk kkjj " * 3, "none")]  # one id repeated, and no id
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    drawn = language_id.sample(df)
+    most, window = language_id.bounds(73, language_id.ROWS, language_id.LONGEST)
+    assert len(drawn) == 73 and all(1 <= len(t) <= most and max(map(len, t)) <= window for t in drawn.values())
+    assert len(language_id.sample(df.filter("lang = 'many'"))["many"]) == language_id.ROWS
+    asked = spark.createDataFrame([(k, text(k, 30)) for k in range(70)] + [(70, "qrst uvwx qrst"), (71, "zzyy yyzz"), (72, "jjkk kkjj"), (73, text(69, 3000))], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(asked, language_id.fit(df)).collect()}
+    assert got == {k: f"l{k:02}" for k in range(70)} | {70: "long", 71: "many", 72: "none", 73: "l69"}
+    assert language_id.bounds(4, 150, 20_000) == (150, 20_000) and language_id.bounds(1000, 150, 20_000) == (1, 768)
+
+
 def shingles(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return frozenset(tuple(w[k : k + 4]) for k in range(len(w) - 3)) if len(w) >= 4 else frozenset([tuple(w)] if w else [])
