@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatloom.functions import parsing
@@ -407,18 +407,29 @@ def _(spark, d):
 
 @query("inc_stream", "SELECT provider, sid AS session_id, seq::BIGINT AS seq, body || CASE WHEN role = 'assistant' THEN chr(10) || 'select ' || turn ELSE '' END AS content FROM m WHERE provider = 'codex_cli'")
 def _(spark, d):
-    """Log files as a stream; what is upserted by then is read back."""
+    """Log files as a stream in two runs, the lines of every session dealt over both; what is upserted by then is read back."""
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    lines = rendered(spark, d).rollouts.withColumn("session", parsing.stem(F.col("source_path")))
-    lines.repartition("session").sortWithinPartitions("session", "ord").select("session", "value").write.partitionBy("session").text(f"{folder}/logs")
-
-    def build(batch):
-        named = batch.select(F.regexp_replace("source_path", r"^.*/session=([^/]+)/.*$", "/x/$1.jsonl").alias("source_path"), F.monotonically_increasing_id().alias("ord"), "value")
-        new = codex.messages(named, as_of()).select("provider", "session_id", "seq", search.block_text(F.col("content")).alias("content"))
-        held = materialized(new, "batch")
-        return held, held.select("provider", "session_id").distinct()
-
-    incremental.stream_lines(spark, f"{folder}/logs", build, f"{folder}/docs", f"{folder}/state").awaitTermination()
+    rank = F.percent_rank().over(Window.partitionBy("session").orderBy("ord"))
+    lines = rendered(spark, d).rollouts.withColumn("session", parsing.stem(F.col("source_path"))).withColumn("part", F.when(rank < 0.5, 0).otherwise(1))
+    lines = materialized(lines, "lines")
+
+    def named(lines):
+        return lines.withColumn("file", F.col("source_path")).withColumn("source_path", F.regexp_replace("file", r"^.*/session=([^/]+)/.*$", "/x/$1.jsonl"))
+
+    def sessions_of(lines):
+        one = named(lines.select("source_path"))
+        return one.select(F.col("file").alias("source_path"), F.lit("codex_cli").alias("provider"), parsing.stem(F.col("source_path")).alias("session_id")).distinct()
+
+    def build(lines):
+        order = Window.partitionBy("source_path").orderBy("file", "ord")
+        whole = named(lines).withColumn("ord", F.row_number().over(order).cast("long")).drop("file")
+        new = codex.messages(whole, as_of()).select("provider", "session_id", "seq", search.block_text(F.col("content")).alias("content"))
+        return materialized(new, "batch")
+
+    for part in (0, 1):
+        now = lines.filter(F.col("part") == part).repartition("session").sortWithinPartitions("session", "ord")
+        now.select("session", "value").write.partitionBy("session").text(f"{folder}/logs/part={part}")
+        incremental.stream_lines(spark, f"{folder}/logs", build, f"{folder}/docs", f"{folder}/state", sessions_of).awaitTermination()
     return spark.read.parquet(f"{folder}/docs").select("provider", "session_id", "seq", "content")
 
 

@@ -81,7 +81,10 @@ def render(spark: SparkSession, sf_dir: str) -> Raw:
     one = F.when(F.col("newer"), F.to_json(message(F.array(st(F.col("said").alias("text")))))).otherwise(F.to_json(message(F.col("said"))))
     whole = gemini.groupBy("sid", "project").agg(F.min("iso").alias("a"), F.max("iso").alias("b"), F.array_join(F.transform(F.sort_array(F.collect_list(st("turn", one.alias("j")))), lambda x: x["j"]), ",").alias("m"))
     chats = _files(whole, cat("/g/tmp/", F.col("project"), "/chats/session-", F.col("sid"), ".json"), cat('{"sessionId":"', F.col("sid"), '","startTime":"', F.col("a"), '","lastUpdated":"', F.col("b"), '","messages":[', F.col("m"), "]}"))
-    projects = spark.range(1).select(F.lit("/g/projects.json").alias("source_path"), F.lit(0).cast("long").alias("ord"), F.lit('{"projects":{' + ",".join(f'"/work/project-{k}":"project-{k}"' for k in range(6)) + "}}").alias("value"))
+    # the last of the seven projects is in no map, so that sessions without a known path occur
+    entry = cat('"/work/', F.col("project"), '":"', F.col("project"), '"')
+    known = c.filter(F.col("conv_id") % 7 < 6).agg(F.array_join(F.sort_array(F.collect_set(entry)), ",").alias("m"))
+    projects = _files(known, F.lit("/g/projects.json"), cat('{"projects":{', F.col("m"), "}}"))
 
     # Codex CLI
     codex = of(3)

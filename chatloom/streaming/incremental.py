@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatloom.operators.tables import materialized
@@ -67,16 +67,53 @@ def refresh_stored(spark: SparkSession, fresh: DataFrame, touched: DataFrame, pa
     store(materialized(upsert(old, fresh, touched), "upsert"), path, buckets)
 
 
-def stream_lines(spark: SparkSession, folder: str, build, target: str, checkpoint: str):
-    """New log lines as a stream: each batch's sessions are rebuilt by ``build(lines)`` and upserted at ``target``.
+def _stored_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(source_path, ord, value, round) of every file as it was last read."""
+    kept = spark.read.schema("source_path string, ord bigint, value string, round int, batch bigint").parquet(path)
+    last = kept.groupBy("source_path").agg(F.max("round").alias("round"))
+    return kept.join(last, ["source_path", "round"]).drop("batch")
 
-    ``build`` gets the batch's (source_path, value) and gives (documents, touched sessions). Stateless; ends when what is
-    there has been read.
+
+def _rebuild(spark: SparkSession, paths: DataFrame, sessions, build, target: str, lines: str) -> None:
+    """Rebuild the sessions that the files ``paths`` belong to from all their stored lines."""
+    stored = _stored_lines(spark, lines).select("source_path", "ord", "value")
+    owner = sessions(stored).select("source_path", *KEY).distinct()
+    touched = materialized(owner.join(paths.select("source_path").distinct(), "source_path", "left_semi").select(*KEY).distinct(), "touched")
+    own = owner.join(touched, KEY, "left_semi").select("source_path").distinct()
+    refresh_stored(spark, build(stored.join(own, "source_path", "left_semi")), touched, target)
+
+
+def stream_lines(spark: SparkSession, folder: str, build, target: str, checkpoint: str, sessions):
+    """New log files as a stream: their lines are appended to the lines stored at ``target``-lines, and the sessions they
+    belong to are rebuilt from all their stored lines and upserted at ``target``.
+
+    ``sessions`` gives (source_path, provider, session_id) of lines (source_path, ord, value), ``build`` the documents of
+    such lines. A batch that is run again replaces its own lines. Ends when what is there has been read. A file is read
+    once; for lines appended later see ``refresh_lines``.
     """
-    lines = spark.readStream.format("text").option("recursiveFileLookup", True).load(folder).select(F.col("_metadata.file_path").alias("source_path"), "value")
+    from_file = [F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("start"), "value"]
+    new = spark.readStream.format("text").option("recursiveFileLookup", True).load(folder).select(*from_file)
 
-    def one(batch: DataFrame, _: int) -> None:
-        fresh, touched = build(batch)
-        refresh_stored(batch.sparkSession, fresh, touched, target)
+    def one(batch: DataFrame, number: int) -> None:
+        order = Window.partitionBy("source_path").orderBy("start", "at")
+        placed = batch.withColumn("at", F.monotonically_increasing_id()).select("source_path", F.row_number().over(order).cast("long").alias("ord"), "value")
+        path = f"{target}-lines/round=0/batch={number}"
+        placed.write.mode("overwrite").parquet(path)
+        _rebuild(batch.sparkSession, batch.sparkSession.read.schema(placed.schema).parquet(path), sessions, build, target, f"{target}-lines")
 
-    return lines.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return new.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def refresh_lines(spark: SparkSession, raw: DataFrame, build, target: str, sessions) -> None:
+    """Files of ``raw`` (source_path, ord, value) whose lines differ from the stored ones replace them, and their sessions
+    are rebuilt: the batch refresh for lines that were appended to files a stream has read already.
+
+    ``raw`` names files and numbers lines in the order of the stream, from 1 on.
+    """
+    lines = f"{target}-lines"
+    mark = lambda df: df.groupBy("source_path").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("ord", "value")).alias("h"))
+    stored = _stored_lines(spark, lines)
+    differ = materialized(mark(raw).exceptAll(mark(stored)).select("source_path"), "differ")
+    number = (stored.agg(F.max("round")).first()[0] or 0) + 1
+    raw.join(differ, "source_path", "left_semi").select("source_path", "ord", "value").write.mode("overwrite").parquet(f"{lines}/round={number}/batch=0")
+    _rebuild(spark, differ, sessions, build, target, lines)

@@ -66,3 +66,41 @@ def test_stored_refresh_touches_only_changed_sessions(spark, tmp_path):
     incremental.refresh_stored(spark, fresh, fresh.select("provider", "session_id").distinct(), path, 4)
     got = {(r.session_id, r.seq, r.content) for r in spark.read.parquet(path).collect()}
     assert got == {(f"s{k}", 0, "old") for k in (0, 2, 3, 4, 5)} | {("s1", 0, "new"), ("s1", 1, "more"), ("s9", 0, "born")}
+
+
+def test_sessions_of_several_files_arrive_in_several_batches(spark, tmp_path):
+    logs, target = tmp_path / "logs", str(tmp_path / "docs")
+    sessions = lambda lines: lines.select("source_path", F.lit("p").alias("provider"), F.regexp_extract("source_path", r"/([^/]+)/[^/]+$", 1).alias("session_id")).distinct()
+    build = lambda lines: lines.join(sessions(lines), "source_path").select("provider", "session_id", F.concat_ws(":", F.regexp_extract("source_path", r"([^/]+)$", 1), "ord", "value").alias("content"))
+
+    def put(name, *lines):
+        (logs / name).parent.mkdir(parents=True, exist_ok=True)
+        (logs / name).write_text("".join(x + "\n" for x in lines))
+
+    def stored():
+        return sorted((r.session_id, r.content) for r in spark.read.parquet(target).collect())
+
+    def stream():
+        incremental.stream_lines(spark, str(logs), build, target, str(tmp_path / "state"), sessions).awaitTermination()
+
+    put("s1/a", "one", "two")
+    put("s2/a", "three")
+    stream()
+    put("s1/b", "four")
+    stream()
+    first = [("s1", "a:1:one"), ("s1", "a:2:two"), ("s1", "b:1:four"), ("s2", "a:1:three")]
+    assert stored() == first
+    uri = next(r.source_path for r in spark.read.parquet(f"{target}-lines").select("source_path").distinct().collect() if r.source_path.endswith("s2/a"))
+    put("s2/a", "three", "five")
+    incremental.refresh_lines(spark, spark.createDataFrame([(uri, 1, "three"), (uri, 2, "five")], "source_path string, ord bigint, value string"), build, target, sessions)
+    assert stored() == sorted([*first, ("s2", "a:2:five")])
+    put("s2/b", "six")
+    stream()
+    assert stored() == sorted([*first, ("s2", "a:2:five"), ("s2", "b:1:six")])
+
+
+def test_gemini_projects_come_from_the_table(spark, tmp_path):
+    spark.createDataFrame([(3, 0, "user", "x"), (6, 0, "user", "x"), (10, 0, "user", "x")], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    from chatloom.plans import registry
+
+    assert [tuple(r) for r in registry.QUERIES["src_gemini_projects"](spark, str(tmp_path)).collect()] == [("project-3", "/work/project-3")]
