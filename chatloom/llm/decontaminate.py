@@ -69,24 +69,33 @@ class Index:
         self.words = np.diff(at)
         # an item with fewer words than a seed is one seed of its own length
         self.seed = seed
-        key, begin = grams(hashes, at, seed)
-        item = np.searchsorted(at, begin, "right") - 1
-        order = np.argsort(key, kind="stable")
-        self.key, self.item, self.place = key[order], item[order], (begin - at[item])[order]
-        self.mark = np.zeros(1 << 22, bool)
-        self.mark[(key >> np.uint64(42)).astype(np.int64)] = True
+        self.tables = []
+        for n in range(1, seed + 1):
+            key, begin = grams(hashes, at, n)
+            item = np.searchsorted(at, begin, "right") - 1
+            own = (self.words[item] == n) | (n == seed)
+            if not own.any():
+                continue
+            key, begin, item = key[own], begin[own], item[own]
+            order = np.argsort(key, kind="stable")
+            mark = np.zeros(1 << 22, bool)
+            mark[(key >> np.uint64(42)).astype(np.int64)] = True
+            self.tables.append((n, key[order], item[order], (begin - at[item])[order], mark))
 
     def hits(self, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Rows, places in the row, items and places in the item of all shared seeds."""
-        key, begin = grams(hashes, at, self.seed)
-        maybe = np.flatnonzero(self.mark[(key >> np.uint64(42)).astype(np.int64)])
-        low = np.searchsorted(self.key, key[maybe])
-        high = np.searchsorted(self.key, key[maybe], "right")
-        n = high - low
-        which = np.repeat(maybe, n)
-        p = np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        row = np.searchsorted(at, begin[which], "right") - 1
-        return row, begin[which] - at[row], self.item[p], self.place[p]
+        found = [(np.empty(0, np.int64),) * 4]
+        for length, keys, items, places, mark in self.tables:
+            key, begin = grams(hashes, at, length)
+            maybe = np.flatnonzero(mark[(key >> np.uint64(42)).astype(np.int64)])
+            low = np.searchsorted(keys, key[maybe])
+            high = np.searchsorted(keys, key[maybe], "right")
+            n = high - low
+            which = np.repeat(maybe, n)
+            p = np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            row = np.searchsorted(at, begin[which], "right") - 1
+            found.append((row, begin[which] - at[row], items[p], places[p]))
+        return tuple(np.concatenate(c) for c in zip(*found))
 
 
 def _verdicts(index: Index, hashes: np.ndarray, at: np.ndarray, cover: float) -> dict[int, tuple[int, float, int, list[int]]]:
@@ -100,7 +109,7 @@ def _verdicts(index: Index, hashes: np.ndarray, at: np.ndarray, cover: float) ->
     cut = [*np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (item[1:] != item[:-1])))).tolist(), len(row)]
     for a, b in zip(cut, cut[1:]):
         words = int(index.words[item[a]])
-        covered, tiles = tile(place[a:b], start[a:b], index.seed, words)
+        covered, tiles = tile(place[a:b], start[a:b], min(index.seed, words), words)
         share = covered / words
         r, name = int(row[a]), int(index.ids[item[a]])
         old = out.get(r)
@@ -115,9 +124,9 @@ def _verdicts(index: Index, hashes: np.ndarray, at: np.ndarray, cover: float) ->
 def decontaminate(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, cover: float = COVER, broadcast_bytes: int = BROADCAST_BYTES, carry: list[str] | None = None) -> DataFrame:
     """One row for each document: contaminated, best item and its coverage, number of tiles, all items over ``cover``.
 
-    Words are runs of letters and digits (bytes outside ASCII count as letters) in lower case. Null and empty texts, and
-    texts shorter than a seed, share nothing (item_id null, coverage 0). Items with fewer than ``seed`` words can't be
-    found and are left out; repeated items each count. Equal coverage: the smallest item_id. Columns named in ``carry`` are passed through, others
+    Words are runs of letters and digits (bytes outside ASCII count as letters) in lower case. Null and empty texts share
+    nothing (item_id null, coverage 0). An item with fewer than ``seed`` words is found where it stands as a whole;
+    repeated items each count. Equal coverage: the smallest item_id. Columns named in ``carry`` are passed through, others
     are ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried(docs, carry))
@@ -156,20 +165,31 @@ def _rows(ids: pa.Array, found: dict) -> pa.RecordBatch:
 def _joined(texts: DataFrame, items: DataFrame, seed: int, cover: float, carry: list[str] | None) -> DataFrame:
     """For benchmarks that are too large to send: seeds meet by a shuffle join, then the texts of each pair."""
     keyed = texts.withColumn("row", F.xxhash64("doc_id", "text"))
+    short: set[int] = set()
 
-    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = utf8(batch, "text")
-            for a, b in cuts(offsets, 1_000_000):
-                hashes, at = word_hashes(np.frombuffer(data, np.uint8)[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], SIGNS)
-                key, begin = grams(hashes, at, seed)
-                row = np.searchsorted(at, begin, "right") - 1
-                pair = np.unique(np.stack((key.view(np.int64), row), 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), batch.column(0).slice(a, b - a).take(pa.array(pair[:, 1]))], ["seed", "id"])
-
-    ours = keyed.select("row", "text").distinct().mapInArrow(seeds, "seed long, id long")
-    theirs = items.select("item_id", "text").mapInArrow(seeds, "seed long, id long").withColumnRenamed("id", "item_id")
-    pairs = ours.join(theirs, "seed").select(F.col("id").alias("row"), "item_id").distinct()
+    def seeds(own: bool):
+        """Seeds of texts; of items (``own``) with fewer words than a seed, the whole item."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                data, offsets = utf8(batch, "text")
+                for a, b in cuts(offsets, 1_000_000):
+                    hashes, at = word_hashes(np.frombuffer(data, np.uint8)[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], SIGNS)
+                    for n in range(1, seed + 1):
+                        if n < seed and not own and n not in short:
+                            continue
+                        key, begin = grams(hashes, at, n)
+                        row = np.searchsorted(at, begin, "right") - 1
+                        fit = np.diff(at)[row] == n if own and n < seed else np.ones(len(row), bool)
+                        pair = np.unique(np.stack((key[fit].view(np.int64), row[fit]), 1), axis=0)
+                        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), batch.column(0).slice(a, b - a).take(pa.array(pair[:, 1])), pa.array(np.full(len(pair), n, np.int32))], ["seed", "id", "n"])
+
+        return run
+
+    theirs = items.select("item_id", "text").mapInArrow(seeds(True), "seed long, id long, n int").withColumnRenamed("id", "item_id")
+    short = {r["n"] for r in theirs.filter(F.col("n") < seed).select("n").distinct().collect()}
+    ours = keyed.select("row", "text").distinct().mapInArrow(seeds(False), "seed long, id long, n int")
+    pairs = ours.join(theirs, ["seed", "n"]).select(F.col("id").alias("row"), "item_id").distinct()
     both = pairs.join(keyed.select("row", "text").distinct(), "row").join(items.select("item_id", F.col("text").alias("item")), "item_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -353,6 +353,14 @@ def test_decontamination(spark):
         assert decontaminate.decontaminate(table(spark, texts).filter("false"), spark.createDataFrame(items, "item_id long, text string"), broadcast_bytes=most).count() == 0
 
 
+def test_items_shorter_than_a_seed_are_found(spark):
+    items = [(1, "Alpha"), (2, "beta gamma"), (3, "delta epsilon zeta"), (4, "one two three four five")]
+    texts = [(1, "alpha"), (2, "x beta, GAMMA y"), (3, "delta epsilon zeta"), (4, "gamma beta delta epsilon"), (5, "one two three four"), (6, "q alpha one two three four five")]
+    for most in (1 << 30, 0):
+        got = decontaminate.decontaminate(table(spark, texts), spark.createDataFrame(items, "item_id long, text string"), broadcast_bytes=most).collect()
+        assert {r.doc_id: r.item_ids for r in got} == {1: [1], 2: [2], 3: [3], 4: [], 5: [4], 6: [1, 4]}
+
+
 def test_tiling_matches_the_plain_algorithm():
     rng = random.Random(11)
 
