@@ -1,4 +1,6 @@
-"""Exact Jaccard self-join of word-shingle sets by PartEnum signatures (Arasu, Ganti, Kaushik 2006).
+"""Exact Jaccard self-join of word-shingle sets by signatures after PartEnum (Arasu, Ganti, Kaushik 2006).
+
+Of PartEnum only the first level is here: ranges are signatures by themselves, without subsets of second-level partitions.
 
 Sets are put into size bands. Within the instance of a band, sets that are similar enough differ in at most k features,
 and the feature domain (64-bit shingle hashes) is cut into a little more than k + 1 ranges. Call a range full if the set
@@ -9,7 +11,7 @@ link is lost. A set with too few full ranges is hashed anew until it has enough;
 The map side combines: signatures that meet within a batch are known to be shared, and only one of them goes on. Shared
 signatures then propose links. First every signature's sets are compared with one leader, twice with different leaders;
 what is not in one component by then is compared in all pairs of components, so nothing is left out and a large group of
-near copies costs as many comparisons as it has members. A 256-bit parity sketch and the sizes exclude pairs exactly
+near copies costs as many comparisons as it has members. A 1024-bit parity sketch and the sizes exclude pairs exactly
 before texts are fetched; links are decided on the shingles of both texts.
 
 Shingles are compared by 54-bit hashes in a text and sets by 64-bit hashes of their shingles.
