@@ -6,10 +6,16 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chatloom.llm.words import mix
+
+#: Edges that one task contracts alone; more are dealt over several.
+WHOLE = 200_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; one of our own only where that is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="chatloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -34,8 +42,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def utf8(batch: pa.RecordBatch, name: str) -> tuple[bytes, "object"]:
     """The bytes of a string column, nulls as empty, and its row offsets (int64, length rows + 1)."""
-    import numpy as np
-
     column = batch.column(batch.schema.get_field_index(name))
     if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
         column = column.cast(pa.large_binary())
@@ -132,8 +138,6 @@ def grouped(df: DataFrame, keys: list[str], function: Callable[[pa.Table], pa.Ta
                 c = batch.column(batch.schema.get_field_index(k))
                 d = pc.not_equal(c.slice(1), c.slice(0, len(c) - 1))
                 change = d if change is None else pc.or_(change, d)
-            import numpy as np
-
             cuts = [0, *(np.flatnonzero(np.asarray(change.fill_null(True))) + 1).tolist(), batch.num_rows]
             for a, b in zip(cuts, cuts[1:]):
                 part = batch.slice(a, b - a)
@@ -162,36 +166,70 @@ def _schema(spark: SparkSession, ddl: str):
     return StructType.fromDDL(ddl)
 
 
+def local_roots(a: np.ndarray, b: np.ndarray, salt: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the edges (a, b) and the root of each: the smallest node it reaches, or the one of smallest salted hash."""
+    ids, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    if salt is not None:
+        order = np.argsort(mix(ids.view(np.uint64) + mix(np.uint64([salt]))), kind="stable")
+        place = np.empty(len(ids), np.int64)
+        place[order] = np.arange(len(ids))
+        ids, at = ids[order], place[at]
+    u, v = at[: len(a)], at[len(a) :]
+    root = np.arange(len(ids))
+    while True:
+        p, q = root[u], root[v]
+        if (p == q).all():
+            return ids, ids[root]
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components by alternating large-star and small-star steps.
+    """Connected components: (id, component_id) for every node that has an edge to another one.
 
-    Every step is a partial minimum per node and an equi-join back, so hubs never gather in one task (AQE splits
-    the join of a hub's rows). Returns (id, component_id) for every node that has an edge to another one;
-    component_id is the smallest id of the component. Each round is a written table.
+    component_id is the smallest id of the component. Each level contracts the graph: every task finds the roots of its own
+    edges, a node then knows its roots in all tasks (at most one each, so hubs gather nothing else) and points to the
+    least; the other roots and that one are the edges of the next level. Nodes that are a root nowhere are thereby gone,
+    and with them all that a task could settle alone. Levels whose edges don't fit in one task take turns between the
+    order of ids and a salted order, in which any graph shrinks. Each level is a written table.
     """
-    now = written(
-        edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b").distinct(), "edges"
-    )
-    seen = None
+    spark = edges.sparkSession
+    now = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a <> b")
+    levels: list[DataFrame] = []
+    salted = whole = False
     while True:
-        both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
-        after = (
-            large.join(small, "a")
-            .select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-            .select("e.a", "e.b")
-            .filter("a <> b")
-            .distinct()
-        )
-        now = written(after, "edges")
-        mark = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("sum(cast(xxhash64(b, a) as decimal(38)))")).first()
-        if mark == seen:
-            return now.select(F.col("a").alias("id"), F.col("b").alias("component_id")).unionByName(
-                now.select(F.col("b").alias("id"), F.col("b").alias("component_id")).distinct()
-            )
-        seen = mark
+        salt = len(levels) if len(levels) % 2 and not whole else None
+        salted |= salt is not None
+
+        def run(batches: Iterator[pa.RecordBatch], salt: int | None = salt) -> Iterator[pa.RecordBatch]:
+            held = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches]
+            if held:
+                node, root = local_roots(*(np.concatenate(c) for c in zip(*held)), salt)
+                for k in range(0, len(node), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(node[k : k + 100_000]), pa.array(root[k : k + 100_000])], ["id", "root"])
+
+        local = now.mapInArrow(tidy(run), "id long, root long")
+        if whole:
+            levels.append(written(local, "components"))
+            break
+        pointed = local.groupBy("id").agg(F.min("root").alias("root"), F.collect_set("root").alias("roots"))
+        level = written(pointed.select("id", "root", F.array_except("roots", F.array("root")).alias("others")), "components")
+        left = level.agg(F.sum(F.size("others"))).first()[0]
+        levels.append(level.select("id", "root"))
+        if not left:
+            break
+        now = level.select(F.explode("others").alias("a"), F.col("root").alias("b")).distinct()
+        whole = left <= WHOLE
+        now = now.coalesce(1) if whole else now.hint("rebalance", "b")
+    found = levels.pop()
+    while levels:
+        upper = found.select(F.col("id").alias("root"), F.col("root").alias("top"))
+        found = levels.pop().join(upper, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
+    if salted:
+        least = found.groupBy("root").agg(F.min("id").alias("least"))
+        found = found.join(least, "root").select("id", F.col("least").alias("root"))
+    return found.select("id", F.col("root").alias("component_id"))
 
 
 def crc32_of_id(column: Column) -> Column:
