@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatloom.llm.util import carried, carried_kinds, grouped, table, tidy, utf8, with_columns, written
@@ -329,7 +329,7 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     cut = _bodies(asked.join(texts, "row"), length).withColumn("parts", parts).withColumn("salt", F.pmod("content", "parts").cast("int"))
     found = written(_search(cut.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt"), length), "found")
     inside = found.filter("kind = 0").select("row", "first", "last")
-    across = _merge(found.filter("kind = 1"))
+    across = written(_merge(found.filter("kind = 1")), "across")  # apart from the joins below, whose hot keys are split
     single = whole.unionByName(inside).select("row", F.array(F.struct("first", "last")).alias("ranges"))
     return single.unionByName(across).groupBy("row").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
@@ -396,6 +396,12 @@ def repeated_words(texts: DataFrame, size: int, gram: int = WORD_GRAM) -> DataFr
     return found.join(twice, "content").groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("passages"))
 
 
+def kept_text(kept: Column) -> Column:
+    """Remaining bytes as text; the rest of a character whose other bytes were removed is dropped."""
+    text = kept.cast("string")
+    return F.coalesce(F.try_validate_utf8(text), F.replace(F.make_valid_utf8(text), F.lit("\uFFFD"), F.lit("")))
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry: list[str] | None = None, size: int | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, spans) of every row.
 
@@ -462,4 +468,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carr
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", kept_text(F.col("kept")).alias("text"))
