@@ -2,10 +2,12 @@
 
 A first pass counts in how many documents each word of the templates stands, which gives its IDF (one row for each
 template word, so the counts are small enough for the driver). Each template is then indexed at its rarest places: as
-many as an accepted match can lack, and one more, so that no accepted match is missed. A document's words look up these
-postings; each one proposes an alignment (template, start = position - offset), all template words are compared by
-relative position, and an alignment stands when it covers ``COVER`` of the template and the template's key phrase stands
-at its place. Alignments stay inside the row, so no shuffle follows the corpus counts.
+many as an accepted match can lack, and ``AGREE`` more. A file looks up its licence words of highest IDF, those that stand
+at such a place; every posting gives a template and a start (position - offset). The postings are intersected by relative
+position: only starts on which ``AGREE`` of them agree go on, and by the number of places indexed no accepted match is
+missed. There all template words are compared by relative position, and an alignment stands when it covers ``COVER`` of the
+template and the template's key phrase stands at its place. Alignments stay inside the row, so no shuffle follows the
+corpus counts.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from chatloom.llm.util import table
 
 #: Base phrases and labels of the contract.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Public licence notices: label, text, and the key phrase that must stand at its place.
+#: Public licence notices, paragraph by paragraph: label, words, and the key phrase that must stand at its place.
 TEMPLATES = (
     ("mit-notice", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "free of charge"),
     ("mit-line", "released under the mit license", "mit license"),
@@ -31,9 +33,33 @@ TEMPLATES = (
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "source and binary forms"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee"),
-)
+    ("mit-grant", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", "without limitation the rights to use"),
+    ("mit-conditions", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "copies or substantial portions of the software"),
+    ("mit-warranty", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software", "other dealings in the software"),
+    ("apache-2.0-notice", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license", "required by applicable law or agreed to in writing"),
+    ("gpl-notice", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", "published by the free software foundation"),
+    ("lgpl-notice", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license"),
+    ("agpl-notice", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", "gnu affero general public license"),
+    ("bsd-source", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "must retain the above copyright notice"),
+    ("bsd-binary", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "other materials provided with the distribution"),
+    ("bsd-names", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "endorse or promote products derived from this software"),
+    ("bsd-warranty", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage", "even if advised of the possibility of such damage"),
+    ("isc-notice", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "appear in all copies"),
+    ("mpl-2.0-notice", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", "if a copy of the mpl was not distributed with this file"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", "released into the public domain"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "will the authors be held liable"),
+    ("zlib-conditions", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions", "alter it and redistribute it freely"),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "accompanying documentation covered by this license"),
+    ("wtfpl", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed", "as long as the name is changed"),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", "eclipse public license"),
+    ("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0"),
+    ("cc-by-sa-4.0", "this work is licensed under a creative commons attribution sharealike 4 0 international license", "attribution sharealike 4 0"),
+    ("cc0-1.0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "waived all copyright and related or neighboring rights"),
+)
 #: Share of a template's words that an alignment must cover.
 COVER = 0.8
+#: Postings that must agree on a start.
+AGREE = 2
 _SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -61,9 +87,14 @@ def with_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return _kept(out, "w", F.slice("_s", lead + 1, F.size("_s") - lead - tail)).select("doc_id", "w")
 
 
+def _words(text: str) -> Column:
+    """A constant array of words."""
+    return F.split(F.lit(text), " ")
+
+
 def rarity(words: DataFrame) -> dict[str, float]:
     """IDF of every word of the templates over all documents."""
-    known = F.array(*map(F.lit, vocabulary()))
+    known = _words(" ".join(vocabulary()))
     counts = words.select(F.explode(F.concat(F.array_intersect("w", known), F.array(F.lit("")))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     found = {r["w"]: r["df"] for r in counts.collect()}
     total = found.get("", 0)
@@ -71,12 +102,12 @@ def rarity(words: DataFrame) -> dict[str, float]:
 
 
 def postings(idf: dict[str, float]) -> dict[str, list[tuple[int, int]]]:
-    """Word -> (template, offset) at the rarest places of each template."""
+    """Word -> (template, offset) at the rarest places of each template (all have more than ``AGREE`` words)."""
     out: dict[str, list[tuple[int, int]]] = {}
     for t, (_, text, _) in enumerate(TEMPLATES):
         own = text.split()
         lacking = len(own) - math.ceil(COVER * len(own) - 1e-9)
-        for o in sorted(range(len(own)), key=lambda o: (-idf[own[o]], o))[: lacking + 1]:
+        for o in sorted(range(len(own)), key=lambda o: (-idf[own[o]], o))[: lacking + AGREE]:
             out.setdefault(own[o], []).append((t, o))
     return out
 
@@ -88,18 +119,23 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     words = with_words(docs, id_col, text_col)
     index = postings(rarity(words))
-    anchors = F.array(*map(F.lit, sorted({*index, "license"})))
-    places = F.filter(F.transform("w", lambda x, i: F.struct(x.alias("w"), i.alias("p"))), lambda s: F.array_contains(anchors, s["w"]))
-    none = F.array().cast("array<struct<w:string,p:int>>")
-    rows = _kept(words, "h", F.when(F.arrays_overlap("w", anchors), places).otherwise(none))
+    anchors = _words(" ".join(sorted({*index, "license"})))
+    # the file's own index words are few: its places are compared with those alone
+    rows = _kept(words, "own", F.array_intersect("w", anchors))
+    places = F.filter(F.transform("w", lambda x, i: F.struct(x.alias("w"), i.alias("p"))), lambda s: F.array_contains("own", s["w"]))
+    rows = _kept(rows, "h", F.when(F.size("own") > 0, places).otherwise(F.array().cast("array<struct<w:string,p:int>>")))
 
     # base phrases end in the same word: every place of it is tried
     tried = [_places(phrase.split(), label) for phrase, label in BASE.items()]
     rows = _kept(rows, "base", F.when(F.size("h") > 0, F.concat(*tried)).otherwise(F.array().cast("array<struct<p:int,label:string>>")))
 
-    listed = F.create_map(*[x for w, own in sorted(index.items()) for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(o).alias("o")) for t, o in own]))])
+    listed = F.expr("map(" + ", ".join(f"'{w}', array({', '.join(f'named_struct({chr(39)}t{chr(39)}, {t}, {chr(39)}o{chr(39)}, {o})' for t, o in own)})" for w, own in sorted(index.items())) + ")")
     proposed = F.flatten(F.transform(F.filter("h", lambda s: F.map_contains_key(listed, s["w"])), lambda s: F.transform(listed[s["w"]], lambda q: F.struct(q["t"].alias("t"), (s["p"] - q["o"]).alias("s")))))
-    rows = _kept(rows, "aligned", F.when(F.size("h") > 0, F.array_distinct(proposed)).otherwise(F.array().cast("array<struct<t:int,s:int>>")))
+    starts = "array<struct<t:int,s:int>>"
+    rows = _kept(rows, "proposed", F.when(F.size("h") >= AGREE, F.array_sort(proposed)).otherwise(F.array().cast(starts)))
+    # equal starts stand together: the last of ``AGREE`` equal ones that is the first such speaks for all
+    agreed = F.filter("proposed", lambda a, i: F.coalesce(F.get("proposed", i - (AGREE - 1)) == a, F.lit(False)) & ~F.coalesce(F.get("proposed", i - AGREE) == a, F.lit(False)))
+    rows = _kept(rows, "aligned", F.when(F.size("proposed") >= AGREE, agreed).otherwise(F.array().cast(starts)))
     covered = F.transform("aligned", lambda a: F.struct(_cover(a).alias("c"), (F.lit(len(TEMPLATES)) - a["t"]).alias("back"), _keyed(a).alias("k")))
     scored = F.filter(covered, lambda x: x["k"] & (x["c"] >= COVER))
     rows = _kept(rows, "scored", F.when(F.size("aligned") > 0, scored).otherwise(F.array().cast("array<struct<c:double,back:int,k:boolean>>")))
@@ -135,13 +171,13 @@ def _places(own: list[str], label: str) -> Column:
 
 
 def _cover(a: Column) -> Column:
-    words = F.array(*[F.array(*[F.lit(w) for w in text.split()]) for _, text, _ in TEMPLATES])
+    words = F.array(*[_words(text) for _, text, _ in TEMPLATES])
     own = F.get(words, a["t"])
     return F.size(F.filter(own, lambda w, o: F.coalesce(F.get("w", a["s"] + o) == w, F.lit(False)))).cast("double") / F.size(own)
 
 
 def _keyed(a: Column) -> Column:
-    keys = F.array(*[F.array(*[F.lit(w) for w in key.split()]) for _, _, key in TEMPLATES])
+    keys = F.array(*[_words(key) for _, _, key in TEMPLATES])
     offsets = F.array(*[F.lit(_offset(text, key)) for _, text, key in TEMPLATES])
     own = F.get(keys, a["t"])
     return F.size(F.filter(own, lambda w, o: F.coalesce(F.get("w", a["s"] + F.get(offsets, a["t"]) + o) == w, F.lit(False)))) == F.size(own)
