@@ -2,8 +2,11 @@
 
 A *configuration* is a multiset of piece lengths that fits into one sequence. The linear program (as few configurations
 as possible that cover the histogram of lengths) is solved approximately by multiplicative weights: every round prices
-the lengths by how far they lag behind, and a knapsack dynamic program finds the dearest configuration. Rounding uses
-each configuration as often as whole uses fit; what is left is filled by exact subset sums, longest piece first.
+the lengths by how far they lag behind, and a knapsack dynamic program finds the dearest configuration. Its solution is
+rounded down, then the largest fractions are rounded up where whole uses still fit. What is left is filled by exact subset
+sums, longest piece first, or by best fit decreasing, whichever needs fewer sequences; then the worst filled sequences are
+taken apart and packed again as long as that saves one. Best fit decreasing over the whole histogram is kept where it is
+better still, so the result never needs more.
 
 The solver sees the histogram alone: at most ``capacity`` rows whatever the corpus. Pieces are dealt to slots by their
 rank among the pieces of their length, which Spark computes from counts of (length, bucket).
@@ -112,38 +115,115 @@ def filled(lengths: list[int], counts: dict[int, int], capacity: int) -> dict[in
     return found
 
 
+def fractions(left: dict[int, int], capacity: int, rounds: int) -> list[tuple[float, dict[int, int]]]:
+    """(uses, configuration): a fractional solution of the linear program by multiplicative weights."""
+    lengths = np.array(sorted(left, reverse=True))
+    demand = np.array([left[l] for l in lengths.tolist()], float)
+    place = {l: k for k, l in enumerate(lengths.tolist())}
+    share = math.ceil((lengths * demand).sum() / capacity) / rounds
+    done = np.zeros(len(lengths))
+    uses: dict[tuple, float] = {}
+    for t in range(rounds):
+        lag = (t + 1) / rounds - done / demand
+        weights = lengths / capacity * np.exp(np.clip(4 * rounds * lag / math.log(rounds + 1) / 10, -30, 30))
+        found = priced(lengths, weights, np.maximum(1, np.minimum(capacity, demand / share / 2)).astype(int), capacity)
+        for l, k in found.items():
+            done[place[l]] += share * k
+        name = tuple(sorted(found.items(), reverse=True))
+        uses[name] = uses.get(name, 0.0) + share
+    return [(x, dict(c)) for c, x in uses.items()]
+
+
+def taken(used: list, left: dict[int, int], times: int, found: dict[int, int]) -> None:
+    """Use a configuration, at most as often as what is left allows."""
+    times = min(times, *(left.get(l, 0) // k for l, k in found.items()))
+    if times > 0:
+        used.append((times, found))
+        for l, k in found.items():
+            left[l] -= times * k
+
+
+def subset_sums(left: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
+    left = {l: n for l, n in left.items() if n > 0}
+    used: list[tuple[int, dict[int, int]]] = []
+    now = sorted(left, reverse=True)
+    while now:
+        found = filled(now, left, capacity)
+        taken(used, left, left[now[0]], found)
+        now = [l for l in now if left[l] > 0]
+    return used
+
+
+def best_fit_decreasing(left: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """Best fit decreasing over lengths with counts: sequences of one room and content are one entry."""
+    rooms: dict[int, list[tuple[int, dict[int, int]]]] = {}
+    for l in sorted((l for l, n in left.items() if n > 0), reverse=True):
+        n = left[l]
+        for room in sorted(r for r in rooms if r >= l):
+            each = room // l
+            while n > 0 and rooms.get(room):
+                times, found = rooms[room].pop()
+                k = min(each, n)
+                use = min(times, n // k)
+                if times > use:
+                    rooms[room].append((times - use, found))
+                rooms.setdefault(room - l * k, []).append((use, found | {l: k}))
+                n -= use * k
+        each = capacity // l
+        if n >= each:
+            rooms.setdefault(capacity - l * each, []).append((n // each, {l: each}))
+        if n % each:
+            rooms.setdefault(capacity - l * (n % each), []).append((1, {l: n % each}))
+    return [x for own in rooms.values() for x in own if x[0]]
+
+
+def fewest(left: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
+    return min((subset_sums(left, capacity), best_fit_decreasing(left, capacity)), key=lambda used: sum(t for t, _ in used))
+
+
+def repaired(used: list[tuple[int, dict[int, int]]], capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """Take the worst filled sequences apart and pack them anew with some full ones, while that saves a sequence."""
+    count = lambda u: sum(t for t, _ in u)
+    size = lambda f: sum(l * k for l, k in f.items())
+    for most in (8, 32, 128, 512):
+        while True:
+            order = sorted(used, key=lambda u: (size(u[1]), sorted(u[1].items())))
+            room = sum(t * (capacity - size(f)) for t, f in order)
+            if room < capacity:
+                return used  # no sequence can be saved
+            out, rest, left = [], most, {}
+            for times, found in order:
+                k = min(times, rest)
+                rest -= k
+                for l, n in found.items():
+                    if k:
+                        left[l] = left.get(l, 0) + n * k
+                if times > k:
+                    out.append((times - k, found))
+            again = fewest(left, capacity)
+            if count(out) + count(again) >= count(used):
+                break
+            used = out + again
+    return used
+
+
 def configurations(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[int, dict[int, int]]]:
     """(times used, configuration) covering the histogram exactly; the number of entries doesn't grow with the counts."""
     left = {l: n for l, n in histogram.items() if n > 0}
-    used: list[tuple[int, dict[int, int]]] = []
+    full: list[tuple[int, dict[int, int]]] = []
     if capacity in left:
-        used.append((left.pop(capacity), {capacity: 1}))
-    if left:
-        lengths = np.array(sorted(left, reverse=True))
-        demand = np.array([left[l] for l in lengths.tolist()], float)
-        place = {l: k for k, l in enumerate(lengths.tolist())}
-        share = math.ceil((lengths * demand).sum() / capacity) / rounds
-        if share >= 1:
-            done = np.zeros(len(lengths))
-            for t in range(rounds):
-                lag = (t + 1) / rounds - done / demand
-                weights = lengths / capacity * np.exp(np.clip(4 * rounds * lag / math.log(rounds + 1) / 10, -30, 30))
-                found = priced(lengths, weights, np.maximum(1, np.minimum(capacity, demand / share / 2)).astype(int), capacity)
-                times = min(int(share), *(left[l] // k for l, k in found.items()))
-                for l, k in found.items():
-                    done[place[l]] += share * k
-                    left[l] -= times * k
-                if times:
-                    used.append((times, found))
-        now = sorted((l for l, n in left.items() if n > 0), reverse=True)
-        while now:
-            found = filled(now, left, capacity)
-            times = min(left[l] // k for l, k in found.items())
-            used.append((times, found))
-            for l, k in found.items():
-                left[l] -= times * k
-            now = [l for l in now if left[l] > 0]
-    return used
+        full.append((left.pop(capacity), {capacity: 1}))
+    if not left:
+        return full
+    plain = best_fit_decreasing(left, capacity)
+    used: list[tuple[int, dict[int, int]]] = []
+    solved = fractions(left, capacity, rounds)
+    for x, found in solved:
+        taken(used, left, int(x), found)
+    for x, found in sorted(solved, key=lambda s: int(s[0]) - s[0]):
+        taken(used, left, 1, found)
+    used = repaired(used + fewest(left, capacity), capacity)
+    return full + min((used, plain), key=lambda u: sum(t for t, _ in u))
 
 
 def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
