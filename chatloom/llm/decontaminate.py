@@ -5,26 +5,34 @@ on one diagonal join to longer matches. Tiling repeatedly marks the longest matc
 side (what is left of a partly covered match is tried again), so passages that were cut up and reordered are still
 covered. A document is contaminated by an item when its tiles cover ``COVER`` of the item's words.
 
-A benchmark up to ``BROADCAST_BYTES`` goes to every task; beyond that seeds are joined by shuffle instead.
+The benchmark is cut by hash into blocks of about ``BLOCK_BYTES``. All documents are compared with one block after another,
+so a task holds one block; what earlier blocks found (rows with a shared seed only) is joined to the documents for the last.
+
+Seeds meet by 64-bit fingerprints, whose words are not compared again. Instead of shorter and shorter windows being hashed
+anew, the longest matches come from runs of seeds on a diagonal; the tiles are the same.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.llm.util import carried, carried_kinds, table, tidy, utf8, with_columns
+from chatloom.llm.util import carried, carried_kinds, table, tidy, utf8, with_columns, written
 from chatloom.llm.words import SIGNS, cuts, grams, word_hashes
 
 SEED = 4
 COVER = 0.5
-BROADCAST_BYTES = 32_000_000
-RESULT = "doc_id long, contaminated boolean, item_id long, coverage double, n_tiles long, item_ids array<long>"
+#: Bytes of benchmark text that are sent to every task at a time.
+BLOCK_BYTES = 32_000_000
+#: A verdict: best item, its coverage and tiles, all items over the threshold.
+Found = tuple[int, float, int, list[int]]
+FOUND = "item_id long, coverage double, n_tiles long, item_ids array<long>"
 
 
 def tile(doc_at: np.ndarray, item_at: np.ndarray, seed: int, words: int) -> tuple[int, int]:
@@ -98,10 +106,10 @@ class Index:
         return tuple(np.concatenate(c) for c in zip(*found))
 
 
-def _verdicts(index: Index, hashes: np.ndarray, at: np.ndarray, cover: float) -> dict[int, tuple[int, float, int, list[int]]]:
+def _verdicts(index: Index, hashes: np.ndarray, at: np.ndarray, cover: float) -> dict[int, Found]:
     """Of rows with a shared seed: best item, its coverage and tiles, and all items over the threshold."""
     row, place, item, start = index.hits(hashes, at)
-    out: dict[int, tuple[int, float, int, list[int]]] = {}
+    out: dict[int, Found] = {}
     if not len(row):
         return out
     order = np.lexsort((item, row))
@@ -121,101 +129,80 @@ def _verdicts(index: Index, hashes: np.ndarray, at: np.ndarray, cover: float) ->
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, cover: float = COVER, broadcast_bytes: int = BROADCAST_BYTES, carry: list[str] | None = None) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, cover: float = COVER, block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None) -> DataFrame:
     """One row for each document: contaminated, best item and its coverage, number of tiles, all items over ``cover``.
 
     Words are runs of letters and digits (bytes outside ASCII count as letters) in lower case. Null and empty texts share
     nothing (item_id null, coverage 0). An item with fewer than ``seed`` words is found where it stands as a whole;
-    repeated items each count. Equal coverage: the smallest item_id. Columns named in ``carry`` are passed through, others
-    are ignored.
+    repeated items each count. Equal coverage: the smallest item_id. Rows are told apart by a 64-bit hash of id and text.
+    Columns named in ``carry`` are passed through, others are ignored.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried(docs, carry))
+    spark = docs.sparkSession
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried(docs, carry)).withColumn("row", F.xxhash64("doc_id", "text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
-    if (items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0) <= broadcast_bytes:
-        shared = docs.sparkSession.sparkContext.broadcast(Index([(r["item_id"], r["text"].encode()) for r in items.collect()], seed))
+    blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0) // block_bytes))
+    block_of = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                data, offsets = utf8(batch, "text")
-                code = np.frombuffer(data, np.uint8)
-                for a, b in cuts(offsets, 1_000_000):
-                    hashes, at = word_hashes(code[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], SIGNS)
-                    found = _verdicts(shared.value, hashes, at, cover)
-                    yield with_columns(_rows(batch.column(0).slice(a, b - a), found), batch.slice(a, b - a), carry)
-
-        return texts.mapInArrow(tidy(run), RESULT + carried_kinds(docs, carry))
-    return _joined(texts, items, seed, cover, carry)
-
-
-def _rows(ids: pa.Array, found: dict) -> pa.RecordBatch:
-    rows = [found.get(k) for k in range(len(ids))]
-    return pa.RecordBatch.from_arrays(
-        [
-            ids,
-            pa.array([bool(f and f[3]) for f in rows], pa.bool_()),
-            pa.array([f[0] if f else None for f in rows], pa.int64()),
-            pa.array([f[1] if f else 0.0 for f in rows], pa.float64()),
-            pa.array([f[2] if f else 0 for f in rows], pa.int64()),
-            pa.array([sorted(f[3]) if f else [] for f in rows], pa.list_(pa.int64())),
-        ],
-        ["doc_id", "contaminated", "item_id", "coverage", "n_tiles", "item_ids"],
-    )
-
-
-def _joined(texts: DataFrame, items: DataFrame, seed: int, cover: float, carry: list[str] | None) -> DataFrame:
-    """For benchmarks that are too large to send: seeds meet by a shuffle join, then the texts of each pair."""
-    keyed = texts.withColumn("row", F.xxhash64("doc_id", "text"))
-    short: set[int] = set()
-
-    def seeds(own: bool):
-        """Seeds of texts; of items (``own``) with fewer words than a seed, the whole item."""
+    def verdicts(block: int):
+        """A function that gives runs of a batch's rows and what they share with the items of a block."""
+        index = spark.sparkContext.broadcast(Index([(r["item_id"], r["text"].encode()) for r in items.filter(block_of == block).toLocalIterator()], seed))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                data, offsets = utf8(batch, "text")
-                for a, b in cuts(offsets, 1_000_000):
-                    hashes, at = word_hashes(np.frombuffer(data, np.uint8)[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], SIGNS)
-                    for n in range(1, seed + 1):
-                        if n < seed and not own and n not in short:
-                            continue
-                        key, begin = grams(hashes, at, n)
-                        row = np.searchsorted(at, begin, "right") - 1
-                        fit = np.diff(at)[row] == n if own and n < seed else np.ones(len(row), bool)
-                        pair = np.unique(np.stack((key[fit].view(np.int64), row[fit]), 1), axis=0)
-                        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), batch.column(0).slice(a, b - a).take(pa.array(pair[:, 1])), pa.array(np.full(len(pair), n, np.int32))], ["seed", "id", "n"])
+        def run(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, dict[int, Found]]]:
+            data, offsets = utf8(batch, "text")
+            code = np.frombuffer(data, np.uint8)
+            for a, b in cuts(offsets, 1_000_000):
+                hashes, at = word_hashes(code[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], SIGNS)
+                yield batch.slice(a, b - a), _verdicts(index.value, hashes, at, cover)
 
         return run
 
-    theirs = items.select("item_id", "text").mapInArrow(seeds(True), "seed long, id long, n int").withColumnRenamed("id", "item_id")
-    short = {r["n"] for r in theirs.filter(F.col("n") < seed).select("n").distinct().collect()}
-    ours = keyed.select("row", "text").distinct().mapInArrow(seeds(False), "seed long, id long, n int")
-    pairs = ours.join(theirs, ["seed", "n"]).select(F.col("id").alias("row"), "item_id").distinct()
-    both = pairs.join(keyed.select("row", "text").distinct(), "row").join(items.select("item_id", F.col("text").alias("item")), "item_id")
+    def hits(block: int) -> DataFrame:
+        found = verdicts(block)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, own in (x for batch in batches for x in found(batch)):
+                rows = sorted(own)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), *_columns([own[k] for k in rows])], ["row", *FIELDS])
+
+        return written(texts.select("row", "text").mapInArrow(tidy(run), f"row long, {FOUND}").dropDuplicates(["row"]), "hits")
+
+    if blocks > 1:
+        earlier = reduce(DataFrame.unionByName, [hits(k) for k in range(blocks - 1)]).groupBy("row").agg(
+            F.max(F.struct("coverage", (-F.col("item_id")).alias("back"), "n_tiles")).alias("best"), F.flatten(F.collect_list("item_ids")).alias("over")
+        )
+        known = F.when(F.col("best").isNotNull(), F.struct((-F.col("best.back")).alias("item_id"), "best.coverage", "best.n_tiles", F.col("over").alias("item_ids")))
+        texts = texts.join(earlier, "row", "left").withColumn("known", known).drop("best", "over")
+    else:
+        texts = texts.withColumn("known", F.lit(None).cast(f"struct<{FOUND.replace(' ', ':').replace(',:', ',')}>"))
+    last = verdicts(blocks - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for row, item_id, text, item in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                data = text.encode()
-                hashes, at = word_hashes(np.frombuffer(data, np.uint8), np.array([0, len(data)]), SIGNS)
-                for name, share, tiles, _ in _verdicts(Index([(item_id, item.encode())], seed), hashes, at, cover).values():
-                    out.append((row, name, share, tiles))
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64()))], ["row", "item_id", "coverage", "n_tiles"])
-
-    scored = both.select("row", "item_id", "text", "item").mapInArrow(tidy(run), "row long, item_id long, coverage double, n_tiles long")
-    best = scored.groupBy("row").agg(
-        F.max(F.struct("coverage", (-F.col("item_id")).alias("back"), "n_tiles")).alias("b"),
-        F.array_sort(F.collect_list(F.when(F.col("coverage") >= cover, F.col("item_id")))).alias("item_ids"),
-    )
-    return keyed.join(best, "row", "left").select(
-        "doc_id",
-        F.coalesce(F.size("item_ids") > 0, F.lit(False)).alias("contaminated"),
-        (-F.col("b.back")).alias("item_id"),
-        F.coalesce("b.coverage", F.lit(0.0)).alias("coverage"),
-        F.coalesce("b.n_tiles", F.lit(0)).cast("long").alias("n_tiles"),
-        F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"),
-        *[F.col(f"carry_{n}").alias(n) for n in carry or []],
-    )
+        for part, own in (x for batch in batches for x in last(batch)):
+            known = [r and tuple(r.values()) for r in part.column(part.schema.get_field_index("known")).to_pylist()]
+            both = [_best(r, own.get(k)) for k, r in enumerate(known)]
+            over = pa.array([bool(r and r[3]) for r in both], pa.bool_())
+            answer = pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), over, *_columns(both)], ["doc_id", "contaminated", *FIELDS])
+            yield with_columns(answer, part, carry)
+
+    return texts.drop("row").mapInArrow(tidy(run), f"doc_id long, contaminated boolean, {FOUND}" + carried_kinds(docs, carry))
+
+
+FIELDS = ["item_id", "coverage", "n_tiles", "item_ids"]
+
+
+def _best(a: Found | None, b: Found | None) -> Found | None:
+    if a is None or b is None:
+        return b if a is None else a
+    return (*max(a, b, key=lambda f: (f[1], -f[0]))[:3], [*a[3], *b[3]])
+
+
+def _columns(rows: list[Found | None]) -> list[pa.Array]:
+    return [
+        pa.array([f[0] if f else None for f in rows], pa.int64()),
+        pa.array([f[1] if f else 0.0 for f in rows], pa.float64()),
+        pa.array([f[2] if f else 0 for f in rows], pa.int64()),
+        pa.array([sorted(f[3]) if f else [] for f in rows], pa.list_(pa.int64())),
+    ]
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
