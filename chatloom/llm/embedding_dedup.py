@@ -1,9 +1,12 @@
 """Near-duplicate vectors with a pivot-permutation index.
 
-Pivots are a sample of the distinct vectors: ``PIVOTS`` x the square root of their number, and at most ``PIVOT_BYTES``,
-which bounds what is sent to every task (fewer pivots make longer lists, which lose nothing). A vector is described by its ``NEAREST`` nearest pivots in order. Inverted lists hold, for
-each label and pivot, the vectors that have the pivot among them; two vectors are candidates when they share at least
-``SHARED`` pivots, and each candidate pair is verified by its cosine in the list of the smallest pivot they share.
+Pivots come from a sample of the distinct vectors: ``PIVOTS`` x the square root of their number, and at most
+``PIVOT_BYTES``, which bounds what is sent to every task (fewer pivots make longer lists, which lose nothing). They lie
+apart from one another, as many pivots inside one dense cluster would be ranked by noise. A vector is described by its
+``NEAREST`` nearest pivots. Two vectors are candidates when they share at least ``SHARED`` pivots, and each candidate pair
+is verified by its cosine in double precision. In the order of how often pivots occur, the rarest first, the first shared
+pivot of such a pair is among the first ``NEAREST`` - ``SHARED`` + 1 of both, so a vector is in so many inverted lists (of
+its label) only, and a pair belongs to the list of the first pivot it shares.
 
 Equal vectors are one entry with a count, so a common vector costs as much as any. Lists longer than ``BLOCK`` are
 compared block by block in separate tasks. A block gives, for each of its vectors, the number of links and one edge to a
@@ -22,14 +25,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.llm.util import components, grouped, table, tidy, written
+from chatloom.llm.util import components, grouped, local_roots, table, tidy, written
 
 COSINE = 0.93
 PIVOTS = 4.0
 #: The most that the pivots may take, as doubles.
 PIVOT_BYTES = 64_000_000
-NEAREST = 16
-SHARED = 1
+NEAREST = 6
+SHARED = 2
+#: Cosines that pivots may have with one another at most; the next where that leaves fewer than half of those wanted.
+APART = (0.8, 0.9, 0.95, 2.0)
 BLOCK = 2048
 #: Pairs whose pivots are compared at a time.
 PAIRS = 65_536
@@ -50,21 +55,21 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, pivots: float = PIV
     count as copies of one another; other columns are ignored.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"), F.col("label").cast("string").alias("label"))
     # -0.0 and 0.0 are one value
-    rows = rows.withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0)))
+    rows = rows.withColumn("embedding", F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x)).cast(kind))
     entries = written(
         rows.filter(can_link()).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("times")).withColumn("entry", F.xxhash64("label", "embedding")),
         "vectors",
     )
     count, widest = entries.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
     most = max(16, min(int(pivots * math.sqrt(count)), PIVOT_BYTES // (8 * (widest or 1))))
-    chosen = entries.select("entry", "embedding").orderBy("entry").limit(most).collect()
     wide: dict[int, list] = {}
-    for r in chosen:
-        wide.setdefault(len(r["embedding"]), []).append(r["embedding"])
-    matrix = {d: _unit(np.array(v, float)) for d, v in wide.items()}
-    sent = spark.sparkContext.broadcast(matrix)
+    for r in entries.select("entry", "embedding").orderBy("entry").limit(most).toLocalIterator():
+        wide.setdefault(len(r["embedding"]), []).append(np.array(r["embedding"], float))
+    sent = spark.sparkContext.broadcast({d: apart(_unit(np.array(v))) for d, v in wide.items()})
+    number = "f4" if kind == "array<float>" else "f8"
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,55 +79,74 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, pivots: float = PIV
             ends = np.cumsum(sizes)
             for d in np.unique(sizes).tolist():
                 own = np.flatnonzero(sizes == d)
-                x = _unit(values[(ends[own] - d)[:, None] + np.arange(d)])
-                if d in sent.value:
-                    near = np.empty((len(own), min(nearest, len(sent.value[d]))), np.int32)
-                    for a in range(0, len(own), 2048):
-                        sims = x[a : a + 2048] @ sent.value[d].T
-                        part = np.argpartition(-sims, near.shape[1] - 1, axis=1)[:, : near.shape[1]]
-                        order = np.argsort(-np.take_along_axis(sims, part, 1), axis=1, kind="stable")
-                        near[a : a + 2048] = np.take_along_axis(part, order, 1)
-                else:
+                raw = values[(ends[own] - d)[:, None] + np.arange(d)]
+                matrix = sent.value.get(d)
+                if matrix is None:
                     near = np.zeros((len(own), 1), np.int32)  # no pivot of this dimension was drawn: one list
-                k = near.shape[1]
-                pick = pa.array(np.repeat(own, k))
-                listed = pa.ListArray.from_arrays(pa.array(np.arange(0, len(pick) * k + 1, k, dtype=np.int32)), pa.array(np.repeat(near, k, axis=0).ravel()))
+                else:
+                    near = np.empty((len(own), min(nearest, len(matrix))), np.int32)
+                    x = _unit(raw.astype(float))
+                    for a in range(0, len(own), 2048):
+                        sims = x[a : a + 2048] @ matrix.T
+                        near[a : a + 2048] = np.argpartition(-sims, near.shape[1] - 1, axis=1)[:, : near.shape[1]]
+                pick = pa.array(own)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pick), pa.array(np.full(len(pick), d, np.int32)), pa.array(near.ravel()), batch.column(1).take(pick), batch.column(2).take(pick), listed, pa.array([v.tobytes() for v in np.repeat(x, k, axis=0)], pa.binary())],
-                    ["label", "d", "pivot", "entry", "times", "near", "unit"],
+                    [batch.column(0).take(pick), pa.array(np.full(len(own), d, np.int32)), batch.column(1).take(pick), batch.column(2).take(pick), pa.array([v.tobytes() for v in near], pa.binary()), pa.array([v.astype(number).tobytes() for v in raw], pa.binary())],
+                    ["label", "d", "entry", "times", "near", "vector"],
                 )
 
-    listed = entries.select("label", "entry", "times", "embedding").mapInArrow(tidy(describe), "label string, d int, pivot int, entry long, times long, near array<int>, unit binary")
-    # list sizes: one row for each label, dimension and pivot
-    sizes = entries.select("label", "entry", "times", "embedding").mapInArrow(tidy(describe), "label string, d int, pivot int, entry long, times long, near array<int>, unit binary").groupBy("label", "d", "pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    long_lists = sizes.filter("blocks > 1")
-    placed = listed.join(long_lists, ["label", "d", "pivot"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    described = written(entries.select("label", "entry", "times", "embedding").mapInArrow(tidy(describe), "label string, d int, entry long, times long, near binary, vector binary"), "described")
+
+    def ordered(near: list[bytes], rank: dict[int, np.ndarray] | None, d: np.ndarray) -> list[np.ndarray]:
+        """Pivots of each row, rarest first."""
+        own = [np.frombuffer(x, np.int32) for x in near]
+        return own if rank is None else [x[np.argsort(rank[k][x], kind="stable")] for x, k in zip(own, d.tolist())]
+
+    def listed(rank: dict[int, np.ndarray] | None, whole: bool):
+        """Rows (label, d, pivot) of the lists that every vector is in (all without ``rank``), with the vector if ``whole``."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                d = batch.column(1).to_numpy()
+                own = ordered(batch.column(2).to_pylist(), rank, d)
+                lists = own if rank is None else [x[: max(1, len(x) - shared + 1)] for x in own]
+                pick = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
+                out = [batch.column(0).take(pick), pa.array(d).take(pick), pa.array(np.concatenate(lists) if lists else np.empty(0, np.int32))]
+                if whole:
+                    out += [pa.array([x.tobytes() for x in own], pa.binary()).take(pick), *(batch.column(k).take(pick) for k in (3, 4, 5))]
+                yield pa.RecordBatch.from_arrays(out, ["label", "d", "pivot", "near", "entry", "times", "vector"][: len(out)])
+
+        return tidy(run)
+
+    keys, key_kinds = ["label", "d", "pivot"], "label string, d int, pivot int"
+    # one row for each pivot at most
+    often = described.select("label", "d", "near").mapInArrow(listed(None, False), key_kinds).groupBy("d", "pivot").agg(F.count(F.lit(1)).alias("n"))
+    rank: dict[int, np.ndarray] = {d: np.zeros(len(m), np.int64) for d, m in sent.value.items()}
+    for r in often.toLocalIterator():
+        rank.setdefault(r["d"], np.zeros(1, np.int64))[r["pivot"]] = r["n"]
+    sizes = described.select("label", "d", "near").mapInArrow(listed(rank, False), key_kinds).groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    long_lists = written(sizes.filter("blocks > 1"), "lists")
+    posted = described.select("label", "d", "near", "entry", "times", "vector").mapInArrow(listed(rank, True), f"{key_kinds}, near binary, entry long, times long, vector binary")
+    placed = posted.join(long_lists, keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     placed = placed.withColumn("own", F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = placed.select("label", "d", "pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "entry", "times", "near", "unit")
+    dealt = placed.select(*keys, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "entry", "times", "near", "vector")
 
     def links(t: pa.Table) -> pa.Table:
         pivot, d = t.column("pivot")[0].as_py(), t.column("d")[0].as_py()
         same = t.column("i")[0].as_py() == t.column("j")[0].as_py()
         side = np.asarray(t.column("side"))
         entry, times = np.asarray(t.column("entry")), np.asarray(t.column("times"))
-        x = np.frombuffer(b"".join(t.column("unit").to_pylist()), float).reshape(-1, d)
-        lists = t.column("near").combine_chunks()
-        near = np.asarray(lists.flatten()).reshape(len(entry), -1)
+        x = _unit(np.frombuffer(b"".join(t.column("vector").to_pylist()), number).reshape(-1, d).astype(float))
+        near = np.frombuffer(b"".join(t.column("near").to_pylist()), np.int32).reshape(len(entry), -1)
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if same else 1))
         degree = np.zeros(len(entry), np.int64)
-        root = np.arange(len(entry))
-
-        def find(k: int) -> int:
-            while root[k] != k:
-                root[k] = root[root[k]]
-                k = root[k]
-            return k
+        least = min(shared, near.shape[1])
+        first, second = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
 
         def owned(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Those of the pairs that share enough pivots and have this one as the smallest."""
+            """Those of the pairs that share enough pivots, this one first."""
             hit = (near[p][:, :, None] == near[q][:, None, :]).any(axis=2)
-            smallest = np.where(hit, near[p], np.iinfo(np.int32).max).min(axis=1)
-            ok = (hit.sum(axis=1) >= shared) & (smallest == pivot)
+            ok = (hit.sum(axis=1) >= least) & (near[p, hit.argmax(axis=1)] == pivot)
             return p[ok], q[ok]
 
         for a in range(0, len(left), 512):
@@ -135,13 +159,12 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, pivots: float = PIV
                 f, g = owned(p[b : b + PAIRS], q[b : b + PAIRS])
                 np.add.at(degree, f, times[g])
                 np.add.at(degree, g, times[f])
-                for k, m in zip(f.tolist(), g.tolist()):
-                    k, m = find(k), find(m)
-                    if k != m:
-                        root[max(k, m)] = min(k, m)
-        keep = np.flatnonzero(degree)
-        top = np.array([find(k) for k in keep.tolist()], np.int64)
-        return pa.table({"entry": entry[keep], "other": entry[top] if len(keep) else entry[keep], "n": degree[keep]})
+                first.append(f)
+                second.append(g)
+                if len(first) > 16:  # a forest is enough for what follows
+                    first, second = ([c] for c in local_roots(np.concatenate(first), np.concatenate(second)))
+        keep, top = local_roots(np.concatenate(first), np.concatenate(second))
+        return pa.table({"entry": entry[keep], "other": entry[top], "n": degree[keep]})
 
     found = written(grouped(dealt, ["label", "d", "pivot", "i", "j"], links, "entry long, other long, n long"), "near")
     degree = found.groupBy("entry").agg(F.sum("n").alias("n"))
@@ -155,6 +178,24 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, pivots: float = PIV
     return good.unionByName(alone).select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def apart(pool: np.ndarray, chunk: int = 1024) -> np.ndarray:
+    """Those of the unit vectors, in order, that lie apart from the ones before them."""
+    chosen = np.empty(0, np.int64)
+    for most in APART:
+        for low in range(0, len(pool), chunk):
+            some = np.setdiff1d(np.arange(low, min(low + chunk, len(pool))), chosen)
+            far = some[(pool[some] @ pool[chosen].T).max(axis=1, initial=-2.0) < most]
+            sims = pool[far] @ pool[far].T
+            free = np.ones(len(far), bool)
+            for k in range(len(far)):
+                if free[k]:
+                    free[k + 1 :] &= sims[k, k + 1 :] < most
+            chosen = np.append(chosen, far[free])
+        if 2 * len(chosen) >= len(pool):
+            break
+    return pool[chosen]
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
