@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatloom.functions.parsing import utc_text
@@ -15,11 +18,11 @@ def _cat(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def pretty(text: Column) -> Column:
-    """JSON text with indentation; other text as it is. The one place without a built-in (Arrow-batched)."""
+def _indented(texts: Column) -> Column:
+    """JSON texts with indentation, other texts as they are. The one place without a built-in (Arrow-batched)."""
 
-    @F.pandas_udf("string")
-    def indent(values):
+    @F.pandas_udf("array<string>")
+    def run(rows: pd.Series) -> pd.Series:
         import json
 
         def one(v):
@@ -28,11 +31,20 @@ def pretty(text: Column) -> Column:
             except (TypeError, ValueError):
                 return v
 
-        return values.map(one)
+        return rows.map(lambda own: None if own is None else [one(v) for v in own])
+
+    return run(texts)
+
 
-    return indent(text)
+def with_indented(messages: DataFrame) -> DataFrame:
+    """Messages whose tool arguments are indented; rows without a tool call send Python nothing."""
+    asked = F.when(F.exists("content", lambda b: b["type"] == "tool_use"), F.transform("content", lambda b: F.when(b["type"] == "tool_use", b["text"])))
+    rows = messages.withColumn("_args", _indented(asked))
+    body = F.transform("content", lambda b, i: b.withField("text", F.coalesce(F.get("_args", i), b["text"])))
+    return rows.withColumn("content", F.when(F.col("_args").isNull(), F.col("content")).otherwise(body)).drop("_args")
 
 
+#: The Markdown below is the format of the exported documents.
 def markdown_block(b: Column) -> Column:
     kind, text = b["type"], b["text"]
     status = F.when(b["success"], "Success").otherwise("Error")
@@ -55,10 +67,11 @@ def escaped(text: Column) -> Column:
 def html_block(b: Column) -> Column:
     kind, text = b["type"], escaped(b["text"])
     status = F.when(b["success"], "Success").otherwise("Error")
+    language = F.coalesce(_cat(' class="language-', escaped(b["language"]), '"'), F.lit(""))
     details = lambda head, body: _cat("<details><summary>", head, "</summary><pre>", body, "</pre></details>\n")
     return (
         F.when(kind == "text", _cat('<p class="text">', text, "</p>\n"))
-        .when(kind == "code_block", _cat('<pre><code class="language-', escaped(F.coalesce(b["language"], F.lit(""))), '">', text, "</code></pre>\n"))
+        .when(kind == "code_block", _cat("<pre><code", language, ">", text, "</code></pre>\n"))
         .when(kind == "tool_use", details(_cat("Tool: ", escaped(b["tool_name"])), text))
         .when(kind == "tool_result", details(_cat("Tool Result (", status, ")"), text))
         .when(kind == "thinking", details(F.lit("Thinking"), text))
@@ -66,31 +79,46 @@ def html_block(b: Column) -> Column:
     )
 
 
-def _documents(sessions: DataFrame, messages: DataFrame, part: Column, most: int) -> DataFrame:
-    """Messages of a session in order; a session is one document, so its length is bounded by ``most`` messages."""
-    rows = messages.filter(F.col("seq") < most).select("provider", "session_id", F.struct("seq", part.alias("part")).alias("m"))
+def _documents(sessions: DataFrame, messages: DataFrame, part: Column, most: int | None, note: Callable[[Column, Column], Column]) -> DataFrame:
+    """All messages of a session in order. ``most``: only so many, and ``note`` says how many there are."""
+    rows = with_indented(messages if most is None else messages.filter(F.col("seq") < most)).select("provider", "session_id", F.struct("seq", part.alias("part")).alias("m"))
     joined = rows.groupBy("provider", "session_id").agg(F.transform(F.sort_array(F.collect_list("m")), lambda m: m["part"]).alias("parts"))
-    return sessions.join(joined, ["provider", "session_id"], "left").withColumn("parts", F.coalesce("parts", F.array().cast("array<string>")))
+    out = sessions.join(joined, ["provider", "session_id"], "left").withColumn("parts", F.coalesce("parts", F.array().cast("array<string>")))
+    if most is None:
+        return out.withColumn("note", F.lit(""))
+    there = messages.groupBy("provider", "session_id").agg(F.count(F.lit(1)).alias("there"))
+    return out.join(there, ["provider", "session_id"], "left").withColumn("note", F.when(F.col("there") > most, note(F.size("parts").cast("string"), F.col("there").cast("string"))).otherwise(""))
 
 
-def to_markdown(sessions: DataFrame, messages: DataFrame, most: int = 5000) -> DataFrame:
-    """(provider, session_id, document)."""
+def to_markdown(sessions: DataFrame, messages: DataFrame, most: int | None = None) -> DataFrame:
+    """(provider, session_id, document) of whole conversations, or of their first ``most`` messages."""
     part = _cat("## ", role_label(F.col("role")), "\n\n", F.array_join(F.transform("content", markdown_block), ""))
     head = _cat(
         "# ", F.coalesce("project_name", F.lit("Conversation")), "\n\n- **Provider**: ", label(F.col("provider")), "\n- **Date**: ", utc_text(F.col("started_at"), "yyyy-MM-dd HH:mm"), " UTC\n",
         F.coalesce(_cat("- **Branch**: ", F.col("git_branch"), "\n"), F.lit("")), F.coalesce(_cat("- **Model**: ", F.col("model"), "\n"), F.lit("")), "\n---\n\n",
     )
-    return _documents(sessions, messages, part, most).select("provider", "session_id", _cat(head, F.array_join("parts", "")).alias("document"))
+    made = _documents(sessions, messages, part, most, lambda shown, there: _cat("*Showing ", shown, " of ", there, " messages*\n"))
+    return made.select("provider", "session_id", _cat(head, F.array_join("parts", ""), F.col("note")).alias("document"))
+
+
+#: Of the exported pages.
+STYLE = (
+    "body{font-family:sans-serif;max-width:60rem;margin:auto}pre{background:#eee;padding:1em;overflow:auto}.user{border-left:4px solid #36c}"
+    ".assistant{border-left:4px solid #393}.error{color:#b00}section{padding:0 1em}"
+)
 
 
-def to_html(sessions: DataFrame, messages: DataFrame, most: int = 5000) -> DataFrame:
+def to_html(sessions: DataFrame, messages: DataFrame, most: int | None = None) -> DataFrame:
+    """As ``to_markdown``; all texts are escaped."""
     part = _cat('<section class="message ', F.col("role"), '"><h2>', role_label(F.col("role")), "</h2>\n", F.array_join(F.transform("content", html_block), ""), "</section>\n")
     title = escaped(F.coalesce("project_name", F.lit("Conversation")))
+    fact = lambda name, value: F.coalesce(_cat(f"<dt>{name}</dt><dd>", escaped(value), "</dd>"), F.lit(""))
     head = _cat(
-        '<!DOCTYPE html>\n<html lang="en"><head><meta charset="utf-8"><title>', title, "</title>\n<style>body{font-family:sans-serif;max-width:60rem;margin:auto}pre{background:#eee;padding:1em;overflow:auto}.user{border-left:4px solid #36c}"
-        ".assistant{border-left:4px solid #393}.error{color:#b00}section{padding:0 1em}</style></head><body>\n<h1>", title, "</h1>\n<p>", escaped(label(F.col("provider"))), " | ", utc_text(F.col("started_at"), "yyyy-MM-dd HH:mm"), " UTC</p>\n",
+        '<!DOCTYPE html>\n<html lang="en"><head><meta charset="utf-8"><title>', title, f"</title>\n<style>{STYLE}</style></head><body>\n<h1>", title, "</h1>\n<dl>", fact("Provider", label(F.col("provider"))),
+        fact("Date", _cat(utc_text(F.col("started_at"), "yyyy-MM-dd HH:mm"), " UTC")), fact("Branch", F.col("git_branch")), fact("Model", F.col("model")), "</dl>\n",
     )
-    return _documents(sessions, messages, part, most).select("provider", "session_id", _cat(head, F.array_join("parts", ""), "</body></html>\n").alias("document"))
+    made = _documents(sessions, messages, part, most, lambda shown, there: _cat("<p>Showing ", shown, " of ", there, " messages</p>\n"))
+    return made.select("provider", "session_id", _cat(head, F.array_join("parts", ""), F.col("note"), "</body></html>\n").alias("document"))
 
 
 def _data(b: Column) -> Column:
@@ -106,8 +134,8 @@ def _data(b: Column) -> Column:
     )
 
 
-def to_json_document(sessions: DataFrame, messages: DataFrame, most: int = 5000) -> DataFrame:
-    """``{"session": ..., "messages": [...]}``; nulls are kept, blocks are ``{"type", "data"}``."""
+def to_json_document(sessions: DataFrame, messages: DataFrame, most: int | None = None) -> DataFrame:
+    """``{"session": ..., "messages": [...]}``; nulls are kept, blocks are ``{"type", "data"}``; see ``to_markdown``."""
     time = lambda c: utc_text(F.col(c), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     body = F.transform("content", lambda b: _cat('{"type":"', b["type"], '","data":', _data(b), "}"))
     options = {"ignoreNullFields": "false"}
@@ -116,7 +144,8 @@ def to_json_document(sessions: DataFrame, messages: DataFrame, most: int = 5000)
     own = F.to_json(
         F.struct(F.col("session_id").alias("id"), "provider", "project_path", "project_name", "git_branch", time("started_at").alias("started_at"), time("ended_at").alias("ended_at"), "summary", "model", "token_usage", "message_count", "source_path"), options
     )
-    return _documents(sessions, messages, part, most).select("provider", "session_id", _cat('{"session":', own, ',"messages":[', F.array_join("parts", ","), "]}").alias("document"))
+    made = _documents(sessions, messages, part, most, lambda shown, there: _cat(',"shown":', shown, ',"of":', there))
+    return made.select("provider", "session_id", _cat('{"session":', own, ',"messages":[', F.array_join("parts", ","), "]", F.col("note"), "}").alias("document"))
 
 
 def export(sessions: DataFrame, messages: DataFrame, form: str) -> DataFrame:
@@ -124,7 +153,16 @@ def export(sessions: DataFrame, messages: DataFrame, form: str) -> DataFrame:
     if form not in EXTENSIONS:
         raise ValueError(f"unknown export format: {form}")
     made = {"markdown": to_markdown, "json": to_json_document, "html": to_html}[form](sessions, messages)
-    return made.withColumn("file_name", file_name(F.col("session_id"), form))
+    return made.join(file_names(sessions, form), ["provider", "session_id"])
+
+
+def file_names(sessions: DataFrame, form: str) -> DataFrame:
+    """(provider, session_id, file_name): the short name, with a hash of the id where sessions of a provider share it."""
+    named = sessions.select("provider", "session_id", file_name(F.col("session_id"), form).alias("file_name")).distinct()
+    shared = named.groupBy("provider", "file_name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    dot = f".{EXTENSIONS[form]}"
+    longer = F.concat(F.regexp_replace("file_name", r"\.[a-z]+$", "-"), F.left(F.md5(F.col("session_id").cast("binary")), F.lit(8)), F.lit(dot))
+    return named.join(shared, ["provider", "file_name"], "left").select("provider", "session_id", F.when(F.col("n").isNull(), F.col("file_name")).otherwise(longer).alias("file_name"))
 
 
 def file_name(session_id: Column, form: str) -> Column:
@@ -132,8 +170,14 @@ def file_name(session_id: Column, form: str) -> Column:
 
 
 def write_files(exported: DataFrame, path: str) -> None:
-    """One text file a session, by the cluster's own writers: a folder for each provider and session."""
-    exported.select("provider", "session_id", F.col("document").alias("value")).repartition("provider", "session_id").write.partitionBy("provider", "session_id").mode("overwrite").text(path)
+    """One text file for each session in a folder of the file's name, by the cluster's own writers."""
+    exported.select("provider", "file_name", F.col("document").alias("value")).repartition("provider", "file_name").write.partitionBy("provider", "file_name").mode("overwrite").text(path)
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """(provider, file_name, document) of written files."""
+    found = spark.read.text(path, wholetext=True)
+    return found.select("provider", "file_name", F.regexp_replace("value", r"\n\z", "").alias("document"))
 
 
 def write_tables(sessions: DataFrame, messages: DataFrame, path: str) -> None:

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatloom.operators.catalog import content_blocks, newest_first
+from chatloom.sources import claude, codex, copilot, gemini, opencode
+from chatloom.sources.files import Raw
 
 
 def parse_counters(annotated: DataFrame) -> DataFrame:
-    """(source_path, lines, parse_errors, skipped_types, empty_content, messages) of a source's annotated rows."""
+    """(source_path, lines, parse_errors, skipped_types, empty_content, messages) of a source's annotated rows.
+
+    A row is a line, or where a file holds a list of messages, one of these (or the file, if it doesn't parse).
+    """
     good = ~F.col("bad")
     spoken = good & F.col("role").isNotNull()
     full = F.coalesce(F.size("content"), F.lit(0)) > 0
@@ -22,6 +29,15 @@ def parse_counters(annotated: DataFrame) -> DataFrame:
     )
 
 
+def all_counters(raw: Raw) -> DataFrame:
+    """The counters of every provider's log files."""
+    own = {
+        claude.PROVIDER: claude.annotated(raw.claude), copilot.PROVIDER: copilot.annotated(raw.events), gemini.PROVIDER: gemini.annotated(raw.chats),
+        codex.PROVIDER: codex.annotated(raw.rollouts), opencode.PROVIDER: opencode.annotated(raw.oc_messages, raw.oc_parts),
+    }
+    return reduce(DataFrame.unionByName, [parse_counters(rows).select(F.lit(name).alias("provider"), "*") for name, rows in own.items()])
+
+
 def format_mismatch(sessions: DataFrame, messages: DataFrame) -> DataFrame:
     """Sessions that claim messages and load none."""
     return sessions.filter("message_count > 0").join(messages.select("provider", "session_id").distinct(), ["provider", "session_id"], "left_anti").select("provider", "session_id", "message_count")

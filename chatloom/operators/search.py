@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatloom.functions.parsing import let
 from chatloom.operators.catalog import label, role_label
 from chatloom.operators.tables import materialized
 
@@ -36,12 +37,22 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{IsAlphabetic}\p{N}]+"), lambda t: (t != "") & (F.octet_length(t) < LONGEST))
 
 
+def _runs(found: Column) -> Column:
+    """(term, positions) of each distinct term: tokens are sorted in the row, and a run of equal ones is cut out."""
+
+    def cut(s: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.get(s, i - 1)["term"] != F.coalesce(F.get(s, i - 2)["term"], F.lit(""))))
+        return let(first, lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i - 1)["term"].alias("term"), F.transform(F.slice(s, i, F.coalesce(F.get(at, k + 1), F.size(s) + 1) - i), lambda x: x["p"]).alias("positions"))))
+
+    placed = F.array_sort(F.transform(found, lambda t, i: F.struct(t.alias("term"), i.alias("p"))))
+    return F.when(F.size(found) > 0, let(placed, cut))
+
+
 def postings(docs: DataFrame, fields: tuple = ("content", "project")) -> DataFrame:
-    """(field, term, keys, tf, positions, dl). Terms are counted inside the row, so nothing is shuffled."""
+    """(field, term, keys, tf, positions, dl). Terms are counted inside the row: distinct ones leave it, nothing is shuffled."""
     one = docs.select(*KEYS, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("t")) for f in fields])).alias("x"))
-    placed = one.select(*KEYS, "x.field", F.size("x.t").alias("dl"), F.transform("x.t", lambda t, i: F.struct(t.alias("term"), i.alias("p"))).alias("tp"))
-    rows = placed.select(*KEYS, "field", "dl", F.explode("tp").alias("q")).groupBy(*KEYS, "field", "dl", "q.term").agg(F.sort_array(F.collect_list("q.p")).alias("positions"))
-    return rows.select("field", "term", *KEYS, F.size("positions").alias("tf"), "positions", "dl")
+    rows = one.select(*KEYS, "x.field", F.size("x.t").alias("dl"), F.explode(_runs(F.col("x.t"))).alias("q"))
+    return rows.select("field", "q.term", *KEYS, F.size("q.positions").alias("tf"), "q.positions", "dl")
 
 
 def term_stats(posted: DataFrame) -> DataFrame:
@@ -54,10 +65,6 @@ def field_stats(docs: DataFrame, fields: tuple = ("content", "project")) -> Data
     return one.groupBy("x.field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("x.dl").alias("avgdl"))
 
 
-def doc_stats(docs: DataFrame) -> DataFrame:
-    return docs.select(*KEYS, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.size(tokens(F.col(f))).alias("dl")) for f in ("content", "project")])).alias("x")).select(*KEYS, "x.field", "x.dl")
-
-
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query, term) of (query, text); blank texts have none."""
     return queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))

@@ -14,10 +14,18 @@ c0 AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq,
     CASE kind WHEN 0 THEN 'm-' || turn WHEN 1 THEN 'e-' || turn WHEN 2 THEN 'g-' || turn WHEN 3 THEN '' ELSE sid || '-' || lpad(turn::VARCHAR, 4, '0') END AS message_id,
     regexp_replace(regexp_replace(text, '^\\n+', ''), '\\s+$', '') AS body
-  FROM c0 WHERE role IN ('user', 'assistant')
+  FROM c0 WHERE role IN ('user', 'assistant') OR kind = 3 AND NOT newer AND role = 'system'
 ), b AS (
-  SELECT *, 0 AS pos, 'text' AS type, body AS btext, NULL AS language FROM m
+  SELECT *, 0 AS pos, 'text' AS type, body AS btext, NULL AS language FROM m WHERE role <> 'system'
   UNION ALL SELECT *, 1, 'code_block', 'select ' || turn, 'sql' FROM m WHERE role = 'assistant'
+  UNION ALL SELECT *, 2, 'thinking', 'weighing ' || turn, NULL FROM m WHERE kind = 0 AND newer AND role = 'assistant'
+  UNION ALL SELECT *, 3, 'tool_use', '{"n":' || turn || '}', NULL FROM m WHERE kind = 0 AND newer AND role = 'assistant'
+  UNION ALL SELECT *, 1, 'tool_result', 'found ' || turn, NULL FROM m WHERE kind = 0 AND newer AND role = 'user'
+  UNION ALL SELECT *, 0, 'error', text, NULL FROM m WHERE role = 'system'
+), mb AS (
+  SELECT m.*, content, types, joined, n_blocks, CASE role WHEN 'user' THEN 'You' WHEN 'assistant' THEN 'Assistant' ELSE 'System' END AS role_label
+  FROM m JOIN (SELECT conv_id, turn, string_agg(btext, chr(10) ORDER BY pos) AS content, string_agg(type, ',' ORDER BY pos) AS types, string_agg(btext, '|' ORDER BY pos) AS joined, count(*) AS n_blocks FROM b GROUP BY conv_id, turn)
+    USING (conv_id, turn)
 ), s AS (
   SELECT conv_id, any_value(provider) AS provider, any_value(sid) AS session_id,
     CASE any_value(kind) WHEN 3 THEN NULL WHEN 2 THEN CASE WHEN conv_id % 7 < 6 THEN '/work/' || any_value(project) END ELSE '/work/' || any_value(project) END AS project_path,
@@ -45,9 +53,8 @@ c0 AS (
 #: Search documents: a row for each message; and term counts of their two fields.
 FTS = r"""
 , d AS (
-  SELECT m.provider, m.sid AS session_id, m.seq, l.label AS provider_label, coalesce(l.project_name, '') AS project, CASE m.role WHEN 'user' THEN 'You' ELSE 'Assistant' END AS role_label,
-    m.body || CASE WHEN m.role = 'assistant' THEN chr(10) || 'select ' || m.turn ELSE '' END AS content, m.epoch::BIGINT AS ts, m.message_id
-  FROM m JOIN l ON l.provider = m.provider AND l.session_id = m.sid
+  SELECT m.provider, m.sid AS session_id, m.seq, l.label AS provider_label, coalesce(l.project_name, '') AS project, m.role_label, m.content, m.epoch::BIGINT AS ts, m.message_id
+  FROM mb AS m JOIN l ON l.provider = m.provider AND l.session_id = m.sid
 ), f AS (
   SELECT provider, session_id, seq, 'content' AS field, [x FOR x IN regexp_split_to_array(lower(content), '[^\p{L}\p{N}]+') IF x <> '' AND strlen(x) < 40] AS t FROM d WHERE content <> ''
   UNION ALL SELECT provider, session_id, seq, 'project', [x FOR x IN regexp_split_to_array(lower(project), '[^\p{L}\p{N}]+') IF x <> '' AND strlen(x) < 40] FROM d WHERE content <> ''
@@ -71,7 +78,4 @@ def sql(select: str, fts: bool = False) -> str:
 
 
 SESSION = "provider, session_id, project_path, project_name, git_branch, started, ended, summary, model, input_tokens::VARCHAR AS input_tokens, output_tokens::VARCHAR AS output_tokens, message_count"
-MESSAGE = (
-    "provider, sid AS session_id, seq::BIGINT AS seq, message_id, role, epoch::BIGINT AS ts, CASE WHEN role = 'assistant' THEN 'text,code_block' ELSE 'text' END AS types, "
-    "md5(body || CASE WHEN role = 'assistant' THEN '|select ' || turn ELSE '' END) AS body"
-)
+MESSAGE = "provider, sid AS session_id, seq::BIGINT AS seq, message_id, role, epoch::BIGINT AS ts, types, md5(joined) AS body"

@@ -35,16 +35,31 @@ def as_of():
     return F.lit(AS_OF).cast("timestamp")
 
 
-def rendered(spark: SparkSession, d: str):
-    return synth.render(spark, d)
+_TABLES: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def held(spark: SparkSession, d: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that is written once for each application and folder, as logs are taken in once and then queried."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _TABLES:
+        _TABLES[key] = materialized(make(), name)
+    return _TABLES[key]
+
+
+def rendered(spark: SparkSession, d: str, older: bool = False) -> files.Raw:
+    """Raw logs. ``older``: as they were before the last turns of every third conversation."""
+    rows = synth.table(spark, d)
+    if older:
+        rows = rows.filter("conv_id % 3 <> 0 or turn < 2")
+    return files.split(held(spark, d, "raw-older" if older else "raw", lambda: files.union(synth.render(rows))))
 
 
 def sessions(spark: SparkSession, d: str) -> DataFrame:
-    return files.all_sessions(rendered(spark, d))
+    return held(spark, d, "sessions", lambda: files.all_sessions(rendered(spark, d)))
 
 
 def messages(spark: SparkSession, d: str) -> DataFrame:
-    return files.all_messages(rendered(spark, d), as_of())
+    return held(spark, d, "messages", lambda: files.all_messages(rendered(spark, d), as_of()))
 
 
 def session_rows(df: DataFrame) -> DataFrame:
@@ -74,17 +89,36 @@ _OWN = {
 def _own(key: str, name: str, which: int, where: str = "true") -> None:
     provider, *made = _OWN[name]
     rows = session_rows if which == 0 else message_rows
-    oracle = f"SELECT {SESSION} FROM s WHERE provider = '{provider}'" if which == 0 else f"SELECT {MESSAGE} FROM m WHERE provider = '{provider}'"
+    oracle = f"SELECT {SESSION} FROM s WHERE provider = '{provider}'" if which == 0 else f"SELECT {MESSAGE} FROM mb WHERE provider = '{provider}'"
     query(key, f"{oracle} AND {where}")(lambda spark, d: rows(made[which](rendered(spark, d))))
 
 
 for _key, _name, _which in (
-    ("src_claude_sessions", "claude", 0), ("src_copilot_events", "copilot", 1), ("src_gemini_chats", "gemini", 0), ("src_codex_rollouts", "codex", 0), ("src_opencode_sessions", "opencode", 0), ("src_opencode_messages", "opencode", 1),
+    ("src_claude_sessions", "claude", 0), ("src_codex_rollouts", "codex", 0), ("src_opencode_sessions", "opencode", 0),
     ("norm_claude", "claude", 1), ("norm_copilot", "copilot", 1), ("norm_gemini", "gemini", 1), ("norm_codex", "codex", 1), ("norm_opencode", "opencode", 1), ("sess_meta_times", "copilot", 0), ("sess_project_path_join", "gemini", 0),
 ):
     _own(_key, _name, _which)
 
 
+@query("src_copilot_events", "SELECT '/p/' || sid AS folder, turn * 10 AS ord, false AS bad, CASE WHEN role IN ('user', 'assistant') THEN role END AS role, 'e-' || turn AS message_id FROM c0 WHERE kind = 1 UNION ALL SELECT '/p/' || sid, turn * 10 + 3, true, NULL, NULL FROM c0 WHERE kind = 1 AND (conv_id + turn) % 17 = 0")
+def _(spark, d):
+    """Every event line with what it is."""
+    return copilot.annotated(rendered(spark, d).events).select("folder", F.col("ord").cast("int").alias("ord"), "bad", "role", F.when(~F.col("bad"), F.col("message_id")).alias("message_id"))
+
+
+@query("src_gemini_chats", "SELECT '/g/tmp/' || any_value(project) || '/chats/session-' || sid || '.json' AS source_path, sid AS session_id, count(*)::BIGINT AS entries FROM c0 WHERE kind = 2 GROUP BY sid")
+def _(spark, d):
+    """Whole chat files."""
+    return gemini.chats(rendered(spark, d).chats).select("source_path", F.col("r.sessionId").alias("session_id"), F.size("r.messages").cast("long").alias("entries"))
+
+
+@query("src_opencode_messages", "SELECT sid AS session_id, sid || '-' || lpad(turn::VARCHAR, 4, '0') AS message_id, CASE WHEN role IN ('user', 'assistant') THEN role END AS role, epoch::BIGINT AS ts FROM c0 WHERE kind = 4")
+def _(spark, d):
+    """Every message file, also those of other roles."""
+    r = rendered(spark, d)
+    return opencode.annotated(r.oc_messages, r.oc_parts).select("session_id", "message_id", "role", F.unix_timestamp("timestamp").alias("ts"))
+
+
 @query("src_claude_history", "SELECT 'session-' || conv_id AS session_id, 'talk ' || conv_id AS display, min(epoch)::BIGINT * 1000 AS millis FROM c0 WHERE kind = 0 GROUP BY conv_id")
 def _(spark, d):
     return claude.history(rendered(spark, d).history).select("session_id", "display", "millis")
@@ -98,7 +132,7 @@ def _(spark, d):
 @query("src_copilot_checkpoint", "SELECT sid AS session_id, body FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM c0 WHERE kind = 1) x JOIN (SELECT conv_id AS k, '# notes' || chr(10) || first(text ORDER BY turn) AS raw, regexp_replace('# notes' || chr(10) || first(text ORDER BY turn), '\\s+$', '') AS body FROM c0 WHERE kind = 1 GROUP BY conv_id) y ON k = conv_id WHERE n = 1 AND NOT newer AND conv_id % 3 <> 0")
 def _(spark, d):
     """Older conversations lose their events; every third one has headings alone and gives nothing."""
-    c = synth.conversations(spark, d).filter("kind = 1")
+    c = synth.conversations(synth.table(spark, d)).filter("kind = 1")
     first = c.groupBy("conv_id", "sid").agg(F.min_by("said", "turn").alias("t"))
     raw = spark.read.parquet(f"{d}/conversations.parquet").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
     notes = first.join(raw, "conv_id").select(F.concat(F.lit("/p/"), "sid", F.lit("/checkpoints/index.md")).alias("source_path"), F.lit(0).cast("long").alias("ord"), F.when(F.col("conv_id") % 3 == 0, "# only\n\n| head |").otherwise(F.concat(F.lit("# notes\n"), "text")).alias("value"))
@@ -108,7 +142,7 @@ def _(spark, d):
     return got.select("session_id", F.element_at("content", 1)["text"].alias("body"))
 
 
-@query("src_gemini_projects", "SELECT 'project-' || k AS slug, '/work/project-' || k AS project_path FROM range(6) t(k)")
+@query("src_gemini_projects", "SELECT DISTINCT project AS slug, '/work/' || project AS project_path FROM c0 WHERE conv_id % 7 < 6")
 def _(spark, d):
     return gemini.projects(rendered(spark, d).projects).select("slug", "project_path")
 
@@ -165,9 +199,9 @@ def _(spark, d):
     return rows.select("event_id", parsing.canonical_json(F.try_parse_json("props")).alias("arguments"))
 
 
-@query("norm_fences", "SELECT conv_id, turn, pos::INT AS pos, type, btext AS text, language FROM (SELECT * FROM b UNION ALL SELECT *, regexp_replace(regexp_replace(text, '^\\n+', ''), '\\s+$', ''), 0, 'text', regexp_replace(regexp_replace(text, '^\\n+', ''), '\\s+$', ''), NULL FROM (SELECT *, 0 AS seq, '' AS message_id FROM c0 WHERE role = 'system'))")
+@query("norm_fences", "SELECT conv_id, turn, pos::INT AS pos, type, btext AS text, language FROM (SELECT conv_id, turn, pos, type, btext, language FROM b WHERE type IN ('text', 'code_block') UNION ALL SELECT conv_id, turn, 0, 'text', regexp_replace(regexp_replace(text, '^\\n+', ''), '\\s+$', ''), NULL FROM c0 WHERE role = 'system')")
 def _(spark, d):
-    c = synth.conversations(spark, d)
+    c = synth.conversations(synth.table(spark, d))
     return c.select("conv_id", "turn", F.posexplode(parsing.fences(F.col("said"))).alias("pos", "b")).select("conv_id", "turn", "pos", "b.type", "b.text", "b.language")
 
 
@@ -185,11 +219,11 @@ def _(spark, d):
     return messages(spark, d).filter("token_usage is not null").select("provider", "session_id", "seq", "token_usage.input_tokens", "token_usage.output_tokens")
 
 
-@query("norm_drop_empty", "SELECT sid AS session_id, turn::BIGINT AS n, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS seq FROM c0 WHERE kind = 3 AND role IN ('user', 'assistant') AND turn % 3 <> 0")
+@query("norm_drop_empty", "SELECT sid AS session_id, turn::BIGINT AS n, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS seq FROM m WHERE kind = 3 AND (role = 'system' OR turn % 3 <> 0)")
 def _(spark, d):
-    """Every third turn says nothing, so its message goes and the others are numbered without it."""
+    """Every third turn says nothing (errors stay), so its message goes and the others are numbered without it."""
     r = rendered(spark, d).rollouts
-    empty = r.withColumn("value", F.when(F.floor(F.col("ord") / 10) % 3 == 0, F.regexp_replace("value", r'"(content|message)":"(?:[^"\\]|\\.)*"', '"$1":""')).otherwise(F.col("value")))
+    empty = r.withColumn("value", F.when(F.floor(F.col("ord") / 10) % 3 == 0, F.regexp_replace("value", r'"(content|message)":"[^"\\]*+(?:\\.[^"\\]*+)*+"', '"$1":""')).otherwise(F.col("value")))
     got = codex.messages(empty, as_of())
     return got.select("session_id", ((F.unix_timestamp("timestamp") - 1735689600) % 3600 / 5).cast("long").alias("n"), "seq")
 
@@ -281,7 +315,7 @@ def _(spark, d):
     return catalog.capped(messages(spark, d), 3).select("provider", "session_id", "seq", "total")
 
 
-@query("cat_transcript", "SELECT provider, sid AS session_id, seq::BIGINT AS seq, pos::INT AS pos, CASE role WHEN 'user' THEN 'You' ELSE 'Assistant' END AS speaker, type AS kind, btext AS body FROM b")
+@query("cat_transcript", "SELECT provider, sid AS session_id, seq::BIGINT AS seq, pos::INT AS pos, CASE role WHEN 'user' THEN 'You' WHEN 'assistant' THEN 'Assistant' ELSE 'System' END AS speaker, type AS kind, CASE WHEN type IN ('tool_use', 'tool_result') THEN '' ELSE btext END AS body FROM b")
 def _(spark, d):
     return catalog.transcript(messages(spark, d)).select("provider", "session_id", "seq", "pos", "speaker", "kind", "body")
 
@@ -301,9 +335,12 @@ QUERY_ROWS = [("a", "select that"), ("b", "project thon"), ("c", "   "), ("d", "
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    """The search documents as a written table, as an index is: they are read several times."""
-    r = rendered(spark, d)
-    return materialized(search.documents(files.all_messages(r, as_of()), files.all_sessions(r)), "docs")
+    return held(spark, d, "docs", lambda: search.documents(messages(spark, d), sessions(spark, d)))
+
+
+def posted(spark: SparkSession, d: str) -> DataFrame:
+    """The index: written once, as queries read few of its terms."""
+    return held(spark, d, "postings", lambda: search.postings(docs(spark, d)))
 
 
 def asked(spark: SparkSession) -> DataFrame:
@@ -311,12 +348,11 @@ def asked(spark: SparkSession) -> DataFrame:
 
 
 def hits(spark: SparkSession, d: str, k: int = 200) -> DataFrame:
-    held = docs(spark, d)
-    scored = search.scored(held, asked(spark), posted=materialized(search.postings(held), "postings")).withColumn("score", F.round("score", 9))
+    scored = search.scored(docs(spark, d), asked(spark), posted=posted(spark, d)).withColumn("score", F.round("score", 9))
     return search.topk(scored.drop("terms"), k)
 
 
-@query("fts_extract_text", "SELECT provider, sid AS session_id, seq::BIGINT AS seq, body || CASE WHEN role = 'assistant' THEN chr(10) || 'select ' || turn ELSE '' END AS text FROM m")
+@query("fts_extract_text", "SELECT provider, sid AS session_id, seq::BIGINT AS seq, content AS text FROM mb")
 def _(spark, d):
     return messages(spark, d).select("provider", "session_id", "seq", search.block_text(F.col("content")).alias("text")).filter("text <> ''")
 
@@ -333,7 +369,7 @@ def _(spark, d):
 
 @query("fts_term_stats", "SELECT field, term, df FROM df", True)
 def _(spark, d):
-    return search.term_stats(search.postings(docs(spark, d)))
+    return search.term_stats(posted(spark, d))
 
 
 @query("fts_search", "SELECT query, provider, session_id, seq::BIGINT AS seq, round(round(score, 9), 6) AS score FROM r", True)
@@ -369,43 +405,52 @@ def _(spark, d):
 
 
 # ---- incremental refresh: the older state lacks the last turns of every third conversation
-def _split(spark: SparkSession, d: str):
-    c = docs(spark, d).drop("timestamp")
-    third = F.regexp_extract("session_id", r"(\d+)$", 1).cast("long") % 3 == 0
-    now = c.groupBy("provider", "session_id").agg(F.concat_ws("-", F.count(F.lit(1)), F.sum(F.length("content"))).alias("fingerprint"))
-    old_docs = c.filter(~(third & (F.col("seq") >= 2)))
-    old = old_docs.groupBy("provider", "session_id").agg(F.concat_ws("-", F.count(F.lit(1)), F.sum(F.length("content"))).alias("fingerprint"))
-    return c, now, old_docs, old
+_TOUCHED = "SELECT DISTINCT provider, sid AS session_id FROM c0 WHERE conv_id % 3 = 0 AND turn >= 2"
+
+
+def _manifest(spark: SparkSession, d: str, older: bool = False) -> DataFrame:
+    """Fingerprints of all sessions over their raw lines and files."""
+    raw = rendered(spark, d, older)
+    return held(spark, d, "manifest-older" if older else "manifest", lambda: incremental.fingerprints(files.union(raw).drop("kind"), files.session_files(raw)))
+
+
+def _older_docs(spark: SparkSession, d: str) -> DataFrame:
+    raw = rendered(spark, d, True)
+    return search.documents(files.all_messages(raw, as_of()), files.all_sessions(raw))
 
 
-@query("inc_changed", "SELECT provider, session_id FROM d WHERE regexp_extract(session_id, '(\\d+)$', 1)::BIGINT % 3 = 0 GROUP BY ALL HAVING max(seq) >= 2", True)
+@query("inc_changed", _TOUCHED)
 def _(spark, d):
-    _, now, _, old = _split(spark, d)
-    return incremental.changed(now, old).select("provider", "session_id")
+    return incremental.changed(_manifest(spark, d), _manifest(spark, d, True)).select("provider", "session_id")
 
 
 @query("inc_upsert", "SELECT provider, session_id, seq::BIGINT AS seq, content FROM d", True)
 def _(spark, d):
-    """Refreshing the older state gives what a full build gives."""
-    new, now, old_docs, old = _split(spark, d)
-    return incremental.upsert(old_docs, new, incremental.changed(now, old)).select("provider", "session_id", "seq", "content")
+    """The older state is stored and refreshed where lines have changed; what is stored then is what a full build gives."""
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    before, now = _manifest(spark, d, True), _manifest(spark, d)
+    incremental.refresh_stored(spark, _older_docs(spark, d), before, path)
+    incremental.refresh_stored(spark, docs(spark, d), incremental.changed(now, before), path)
+    return incremental.stored(spark, path).select("provider", "session_id", "seq", "content")
 
 
-@query("inc_clear", "SELECT count(DISTINCT provider || '/' || session_id)::BIGINT AS sessions_indexed, count(*)::BIGINT AS messages_indexed FROM d", True)
+@query("inc_clear", "SELECT count(DISTINCT provider || '/' || sid)::BIGINT AS sessions_indexed, (SELECT count(*) FROM d)::BIGINT AS messages_indexed FROM c0", True)
 def _(spark, d):
     """After clearing, the next build takes every session."""
-    new, now, old_docs, old = _split(spark, d)
-    _, none = incremental.cleared(old_docs, old)
-    return incremental.stats(new, incremental.changed(now, none))
+    _, none = incremental.cleared(docs(spark, d), _manifest(spark, d, True))
+    return incremental.stats(docs(spark, d), incremental.changed(_manifest(spark, d), none))
 
 
-@query("inc_stats", "SELECT count(DISTINCT provider || '/' || session_id)::BIGINT AS sessions_indexed, count(*)::BIGINT AS messages_indexed FROM d JOIN (SELECT provider, session_id FROM d WHERE regexp_extract(session_id, '(\\d+)$', 1)::BIGINT % 3 = 0 GROUP BY ALL HAVING max(seq) >= 2) USING (provider, session_id)", True)
+@query("inc_stats", f"SELECT count(DISTINCT t.provider || '/' || t.session_id)::BIGINT AS sessions_indexed, count(d.seq)::BIGINT AS messages_indexed, 0::BIGINT AS left_over FROM ({_TOUCHED}) t LEFT JOIN d USING (provider, session_id)", True)
 def _(spark, d):
-    new, now, _, old = _split(spark, d)
-    return incremental.stats(new, incremental.changed(now, old))
+    """What a refresh takes, and what is left to take with the manifest it leaves."""
+    before, now = _manifest(spark, d, True), _manifest(spark, d)
+    touched = incremental.changed(now, before)
+    after = incremental.changed(now, incremental.updated_manifest(before, touched))
+    return incremental.stats(docs(spark, d), touched).crossJoin(after.agg(F.count(F.lit(1)).alias("left_over")))
 
 
-@query("inc_stream", "SELECT provider, sid AS session_id, seq::BIGINT AS seq, body || CASE WHEN role = 'assistant' THEN chr(10) || 'select ' || turn ELSE '' END AS content FROM m WHERE provider = 'codex_cli'")
+@query("inc_stream", "SELECT provider, sid AS session_id, seq::BIGINT AS seq, content FROM mb WHERE provider = 'codex_cli'")
 def _(spark, d):
     """Log files as a stream in two runs, the lines of every session dealt over both; what is upserted by then is read back."""
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
@@ -430,63 +475,113 @@ def _(spark, d):
         now = lines.filter(F.col("part") == part).repartition("session").sortWithinPartitions("session", "ord")
         now.select("session", "value").write.partitionBy("session").text(f"{folder}/logs/part={part}")
         incremental.stream_lines(spark, f"{folder}/logs", build, f"{folder}/docs", f"{folder}/state", sessions_of).awaitTermination()
-    return spark.read.parquet(f"{folder}/docs").select("provider", "session_id", "seq", "content")
+    return incremental.stored(spark, f"{folder}/docs").select("provider", "session_id", "seq", "content")
 
 
 # ---- sinks
-_MD = "'# ' || coalesce(project_name, 'Conversation') || chr(10) || chr(10) || '- **Provider**: ' || label || chr(10) || '- **Date**: ' || strftime(to_timestamp(started) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M') || ' UTC' || chr(10) || CASE WHEN git_branch IS NULL THEN '' ELSE '- **Branch**: ' || git_branch || chr(10) END || CASE WHEN model IS NULL THEN '' ELSE '- **Model**: ' || model || chr(10) END || chr(10) || '---' || chr(10) || chr(10)"
-_MD_PARTS = "(SELECT sid, provider, string_agg('## ' || CASE role WHEN 'user' THEN 'You' ELSE 'Assistant' END || chr(10) || chr(10) || body || chr(10) || chr(10) || CASE role WHEN 'assistant' THEN '```sql' || chr(10) || 'select ' || turn || chr(10) || '```' || chr(10) || chr(10) ELSE '' END, '' ORDER BY seq) AS parts FROM m GROUP BY ALL HAVING true)"
+_NL = "chr(10)"
+_DATE = "strftime(to_timestamp(started) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M')"
+_STATUS = "CASE WHEN turn % 2 = 0 THEN 'Success' ELSE 'Error' END"
+#: Tool arguments, indented.
+_ARGS = "'{' || chr(10) || '  \"n\": ' || turn || chr(10) || '}'"
 
 
-@query("out_markdown", f"SELECT l.provider, session_id, md5({_MD} || coalesce(parts, '')) AS document FROM l LEFT JOIN {_MD_PARTS} x ON x.sid = l.session_id AND x.provider = l.provider")
+def _joined(*parts: str) -> str:
+    """SQL of texts one after another; line feeds as chr(10)."""
+    return " || ".join(" || chr(10) || ".join(f"'{x}'" for x in p[1:].split("\n")) if p.startswith("=") else p for p in parts)
+
+
+def _html(text: str) -> str:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = f"replace({text}, '{a}', '{b}')"
+    return text
+
+
+_MD_HEAD = _joined("=# ", "coalesce(project_name, 'Conversation')", "=\n\n- **Provider**: ", "label", "=\n- **Date**: ", _DATE, "= UTC\n", "CASE WHEN git_branch IS NULL THEN '' ELSE '- **Branch**: ' || git_branch || chr(10) END", "CASE WHEN model IS NULL THEN '' ELSE '- **Model**: ' || model || chr(10) END", "=\n---\n\n")
+_MD_BLOCK = (
+    f"CASE type WHEN 'text' THEN {_joined('btext', '=' + chr(10) * 2)} WHEN 'code_block' THEN {_joined('=```sql' + chr(10), 'btext', '=' + chr(10) + '```' + chr(10) * 2)} "
+    f"WHEN 'thinking' THEN {_joined('=<details>' + chr(10) + '<summary>Thinking</summary>' + chr(10) * 2, 'btext', '=' + chr(10) * 2 + '</details>' + chr(10) * 2)} "
+    f"WHEN 'tool_use' THEN {_joined('=<details>' + chr(10) + '<summary>Tool: Lookup</summary>' + chr(10) * 2 + '```json' + chr(10), _ARGS, '=' + chr(10) + '```' + chr(10) * 2 + '</details>' + chr(10) * 2)} "
+    f"WHEN 'tool_result' THEN {_joined('=<details>' + chr(10) + '<summary>Tool Result (', _STATUS, '=)</summary>' + chr(10) * 2 + '```' + chr(10), 'btext', '=' + chr(10) + '```' + chr(10) * 2 + '</details>' + chr(10) * 2)} "
+    f"ELSE {_joined('=> **Error**: ', 'btext', '=' + chr(10) * 2)} END"
+)
+_HTML_HEAD = _joined(
+    '=<!DOCTYPE html>\n<html lang="en"><head><meta charset="utf-8"><title>', _html("coalesce(project_name, 'Conversation')"), f"=</title>\n<style>{export.STYLE}</style></head><body>\n<h1>", _html("coalesce(project_name, 'Conversation')"), "=</h1>\n<dl><dt>Provider</dt><dd>", "label",
+    "=</dd><dt>Date</dt><dd>", _DATE, "= UTC</dd>", "coalesce('<dt>Branch</dt><dd>' || git_branch || '</dd>', '')", "coalesce('<dt>Model</dt><dd>' || model || '</dd>', '')", "=</dl>\n",
+)
+_HTML_BLOCK = (
+    f"CASE type WHEN 'text' THEN {_joined('=<p class=\"text\">', _html('btext'), '=</p>' + chr(10))} WHEN 'code_block' THEN {_joined('=<pre><code class=\"language-sql\">', _html('btext'), '=</code></pre>' + chr(10))} "
+    f"WHEN 'thinking' THEN {_joined('=<details><summary>Thinking</summary><pre>', _html('btext'), '=</pre></details>' + chr(10))} WHEN 'tool_use' THEN {_joined('=<details><summary>Tool: Lookup</summary><pre>', _html(_ARGS), '=</pre></details>' + chr(10))} "
+    f"WHEN 'tool_result' THEN {_joined('=<details><summary>Tool Result (', _STATUS, '=)</summary><pre>', _html('btext'), '=</pre></details>' + chr(10))} ELSE {_joined('=<p class=\"error\">', _html('btext'), '=</p>' + chr(10))} END"
+)
+
+
+def _document(head: str, start: str, block: str, end: str, tail: str) -> str:
+    """SQL of (provider, session_id, document): messages of a session in order, blocks of a message in order."""
+    one = f"(SELECT conv_id, turn, string_agg({block}, '' ORDER BY pos) AS inner_text FROM b GROUP BY conv_id, turn)"
+    parts = f"(SELECT provider, sid, string_agg({start} || inner_text || {end}, '' ORDER BY seq) AS parts FROM mb JOIN {one} USING (conv_id, turn) GROUP BY provider, sid)"
+    return f"SELECT l.provider, session_id, {head} || coalesce(parts, '') || {tail} AS document FROM l LEFT JOIN {parts} x ON x.sid = l.session_id AND x.provider = l.provider"
+
+
+_MARKDOWN = _document(_MD_HEAD, "'## ' || role_label || chr(10) || chr(10)", _MD_BLOCK, "''", "''")
+_PAGE = _document(_HTML_HEAD, _joined('=<section class="message ', "role", '="><h2>', "role_label", "=</h2>\n"), _HTML_BLOCK, _joined("=</section>\n"), _joined("=</body></html>\n"))
+
+
+def _hashed(df: DataFrame) -> DataFrame:
+    return df.select("provider", "session_id", F.md5(F.col("document").cast("binary")).alias("document"))
+
+
+@query("out_markdown", f"SELECT provider, session_id, md5(document) AS document FROM ({_MARKDOWN})")
 def _(spark, d):
-    r = rendered(spark, d)
-    return export.to_markdown(files.all_sessions(r), files.all_messages(r, as_of())).select("provider", "session_id", F.md5(F.col("document").cast("binary")).alias("document"))
+    return _hashed(export.to_markdown(sessions(spark, d), messages(spark, d)))
 
 
-@query("out_json", "SELECT s.provider, s.session_id, count(m.seq)::BIGINT AS messages, coalesce(sum(CASE WHEN role = 'assistant' THEN 2 WHEN role IS NULL THEN 0 ELSE 1 END), 0)::BIGINT AS blocks, max(CASE WHEN m.seq = 0 THEN m.body END) AS first_text, s.summary FROM s LEFT JOIN m ON m.sid = s.session_id AND m.provider = s.provider GROUP BY s.provider, s.session_id, s.summary")
+@query("out_json", f"SELECT s.provider, s.session_id, count(m.seq)::BIGINT AS messages, coalesce(sum(n_blocks), 0)::BIGINT AS blocks, md5(coalesce(string_agg(m.role || ':' || t, '|' ORDER BY m.seq), '')) AS content, s.summary FROM s LEFT JOIN mb m ON m.sid = s.session_id AND m.provider = s.provider LEFT JOIN (SELECT conv_id, turn, string_agg(type || '=' || CASE type WHEN 'tool_use' THEN {_ARGS} ELSE btext END, ',' ORDER BY pos) AS t FROM b GROUP BY conv_id, turn) x ON x.conv_id = m.conv_id AND x.turn = m.turn GROUP BY s.provider, s.session_id, s.summary")
 def _(spark, d):
-    """The exported JSON is parsed again; counts, first text and summary are read back from it."""
-    r = rendered(spark, d)
+    """The exported JSON is parsed again: every role, block type and text is read back from it."""
     shape = "session struct<id:string,provider:string,summary:string>, messages array<struct<id:string,role:string,content:array<struct<type:string,data:variant>>>>"
-    j = export.to_json_document(files.all_sessions(r), files.all_messages(r, as_of())).select("provider", "session_id", F.from_json("document", shape).alias("j"))
-    first = F.get(F.get("j.messages", F.lit(0))["content"], F.lit(0))["data"]
+    j = export.to_json_document(sessions(spark, d), messages(spark, d)).select("provider", "session_id", F.from_json("document", shape).alias("j"))
+    text = lambda x, path: F.try_variant_get(x["data"], path, "string")
+    data = lambda x: F.when(x["type"] == "code_block", text(x, "$.code")).when(x["type"] == "tool_use", text(x, "$.arguments")).when(x["type"] == "tool_result", text(x, "$.output")).otherwise(text(x, "$"))
+    said = F.transform("j.messages", lambda m: F.concat(m["role"], F.lit(":"), F.array_join(F.transform(m["content"], lambda x: F.concat(x["type"], F.lit("="), data(x))), ",")))
     blocks = F.aggregate("j.messages", F.lit(0).cast("long"), lambda a, m: a + F.size(m["content"]))
-    return j.select("provider", "session_id", F.size("j.messages").cast("long").alias("messages"), blocks.alias("blocks"), F.try_variant_get(first, "$", "string").alias("first_text"), F.col("j.session.summary").alias("summary"))
+    return j.select("provider", "session_id", F.size("j.messages").cast("long").alias("messages"), blocks.alias("blocks"), F.md5(F.array_join(said, "|").cast("binary")).alias("content"), F.col("j.session.summary").alias("summary"))
 
 
-@query("out_html", "SELECT s.provider, s.session_id, count(m.seq)::BIGINT AS sections, coalesce(sum(CASE WHEN m.role = 'assistant' THEN 1 ELSE 0 END), 0)::BIGINT AS code FROM s LEFT JOIN m ON m.sid = s.session_id AND m.provider = s.provider GROUP BY s.provider, s.session_id")
+@query("out_html", f"SELECT provider, session_id, md5(document) AS document FROM ({_PAGE})")
 def _(spark, d):
-    r = rendered(spark, d)
-    made = export.to_html(files.all_sessions(r), files.all_messages(r, as_of()))
-    return made.select("provider", "session_id", F.regexp_count("document", F.lit('<section class="message ')).cast("long").alias("sections"), F.regexp_count("document", F.lit('<code class="language-sql">')).cast("long").alias("code"))
+    return _hashed(export.to_html(sessions(spark, d), messages(spark, d)))
 
 
-@query("out_files", "SELECT provider, session_id, 'conversation-' || left(session_id, 8) || '.md' AS file_name FROM s")
+@query("out_files", f"SELECT provider, 'conversation-' || left(session_id, 8) || CASE WHEN count(*) OVER (PARTITION BY provider, left(session_id, 8)) > 1 THEN '-' || left(md5(session_id), 8) ELSE '' END || '.md' AS file_name, md5(document) AS document FROM ({_MARKDOWN})")
 def _(spark, d):
-    return sessions(spark, d).select("provider", "session_id", export.file_name(F.col("session_id"), "markdown").alias("file_name"))
+    """Written under their names, and read again."""
+    path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    export.write_files(export.export(sessions(spark, d), messages(spark, d), "markdown"), path)
+    return export.read_files(spark, path).select("provider", "file_name", F.md5(F.col("document").cast("binary")).alias("document"))
 
 
 @query("out_tables", f"SELECT {SESSION} FROM s")
 def _(spark, d):
     """Written by provider and read again."""
     path = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
-    r = rendered(spark, d)
-    export.write_tables(files.all_sessions(r), files.all_messages(r, as_of()), path)
+    export.write_tables(sessions(spark, d), messages(spark, d), path)
     return session_rows(spark.read.parquet(f"{path}/sessions"))
 
 
 # ---- quality
-@query("dq_parse_counters", "SELECT '/c/projects/' || any_value(project) || '/session-' || conv_id || '.jsonl' AS source_path, count(*)::BIGINT + count(*) FILTER (WHERE (conv_id + turn) % 17 = 0) AS lines, count(*) FILTER (WHERE (conv_id + turn) % 17 = 0)::BIGINT AS parse_errors, count(*) FILTER (WHERE role NOT IN ('user', 'assistant'))::BIGINT AS skipped_types, 0::BIGINT AS empty_content, count(*) FILTER (WHERE role IN ('user', 'assistant'))::BIGINT AS messages FROM c0 WHERE kind = 0 GROUP BY conv_id")
+_PATH = "CASE kind WHEN 0 THEN '/c/projects/' || project || '/session-' || conv_id || '.jsonl' WHEN 1 THEN '/p/' || sid || '/events.jsonl' WHEN 2 THEN '/g/tmp/' || project || '/chats/session-' || sid || '.json' WHEN 3 THEN '/x/2025/01/01/' || sid || '.jsonl' ELSE '/o' END"
+
+
+@query("dq_parse_counters", f"SELECT provider, source_path, count(*)::BIGINT + sum(broken)::BIGINT AS lines, sum(broken)::BIGINT AS parse_errors, count(*) FILTER (WHERE NOT spoken)::BIGINT AS skipped_types, 0::BIGINT AS empty_content, count(*) FILTER (WHERE spoken)::BIGINT AS messages FROM (SELECT provider, {_PATH} AS source_path, CASE WHEN kind IN (0, 1, 3) AND (conv_id + turn) % 17 = 0 THEN 1 ELSE 0 END AS broken, role IN ('user', 'assistant') OR kind = 3 AND NOT newer AS spoken FROM c0) GROUP BY provider, source_path")
 def _(spark, d):
-    return quality.parse_counters(claude.annotated(rendered(spark, d).claude))
+    return quality.all_counters(rendered(spark, d))
 
 
 @query("dq_format_mismatch", "SELECT provider, session_id, message_count FROM s WHERE message_count > 0 AND (provider = 'codex_cli' OR NOT EXISTS (SELECT 1 FROM m WHERE m.provider = s.provider AND m.sid = s.session_id))")
 def _(spark, d):
     """One provider's messages are withheld, as if its format had changed."""
-    r = rendered(spark, d)
-    return quality.format_mismatch(files.all_sessions(r), files.all_messages(r, as_of()).filter("provider <> 'codex_cli'"))
+    return quality.format_mismatch(sessions(spark, d), messages(spark, d).filter("provider <> 'codex_cli'"))
 
 
 @query("dq_block_checks", "SELECT rule, CASE rule WHEN 'empty_text' THEN (SELECT count(*) FROM b WHERE type = 'text' AND trim(btext) = '') ELSE 0 END::BIGINT AS broken FROM (VALUES ('empty_text'), ('empty_thinking'), ('empty_code_block'), ('empty_error'), ('tool_without_name'), ('result_without_call')) AS v(rule)")
@@ -496,5 +591,4 @@ def _(spark, d):
 
 @query("dq_provider_sample", "SELECT provider, session_id, message_count, (SELECT count(*) FROM m WHERE m.provider = x.provider AND m.sid = x.session_id)::BIGINT AS loaded, coalesce((SELECT string_agg(DISTINCT role, ',' ORDER BY role) FROM m WHERE m.provider = x.provider AND m.sid = x.session_id), '') AS roles FROM (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY started DESC, session_id) AS n FROM s) x WHERE n <= 5")
 def _(spark, d):
-    r = rendered(spark, d)
-    return quality.provider_sample(files.all_sessions(r), files.all_messages(r, as_of()))
+    return quality.provider_sample(sessions(spark, d), messages(spark, d))

@@ -1,7 +1,9 @@
 """Raw provider logs rendered from the table ``conversations``, so that parsers can be checked on it as a round trip.
 
 provider: by conv_id mod 5; project: by conv_id mod 7; times: 2025-01-01 plus conv_id hours plus 5 seconds a turn.
-Assistant texts get a fenced code block. Every other conversation uses the newer record layout of its provider.
+Assistant texts get a fenced code block. Every other conversation uses the newer record layout of its provider. In the
+newer Claude Code layout assistants also think and call a tool, whose result stands in the user's message (it failed on odd
+turns); in the older Codex layout what the system says is an error.
 """
 
 from __future__ import annotations
@@ -15,8 +17,11 @@ PROVIDER_AT = ("claude_code", "copilot_cli", "gemini_cli", "codex_cli", "opencod
 FENCE = "```"
 
 
-def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+def table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+
+
+def conversations(rows: DataFrame) -> DataFrame:
     said = F.when(F.col("role") == "assistant", F.concat("text", F.lit(f"\n{FENCE}sql\nselect "), F.col("turn").cast("string"), F.lit(f"\n{FENCE}"))).otherwise(F.col("text"))
     epoch = F.lit(1735689600) + F.col("conv_id") * 3600 + F.col("turn") * 5
     iso = F.concat(F.date_format(F.to_utc_timestamp(F.timestamp_seconds(epoch), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
@@ -39,8 +44,8 @@ def _files(df: DataFrame, path, value) -> DataFrame:
     return df.select(path.alias("source_path"), F.lit(0).cast("long").alias("ord"), value.alias("value"))
 
 
-def render(spark: SparkSession, sf_dir: str) -> Raw:
-    c = conversations(spark, sf_dir)
+def render(rows: DataFrame) -> Raw:
+    c = conversations(rows)
     of = lambda k: c.filter(F.col("kind") == k)
     cat = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in p])
     st = F.struct
@@ -49,7 +54,16 @@ def render(spark: SparkSession, sf_dir: str) -> Raw:
 
     # Claude Code: newer layout holds an array of items
     claude = of(0)
-    items = F.array(st(F.lit("text").alias("type"), F.col("said").alias("text")))
+    number = F.col("turn").cast("string")
+    call, null = cat("c-", number), F.lit(None)
+    item = lambda kind, text=null, thinking=null, id=null, name=null, input=null, use=null, failed=null, content=null: st(
+        F.lit(kind).alias("type"), text.cast("string").alias("text"), thinking.cast("string").alias("thinking"), id.cast("string").alias("id"), name.cast("string").alias("name"), input.cast("struct<n:bigint>").alias("input"),
+        use.cast("string").alias("tool_use_id"), failed.cast("boolean").alias("is_error"), content.cast("string").alias("content"),
+    )
+    said = item("text", F.col("said"))
+    asked = item("tool_use", id=call, name=F.lit("Lookup"), input=st(F.col("turn").cast("long").alias("n")))
+    given = item("tool_result", use=call, failed=F.col("turn") % 2 == 1, content=cat("found ", number))
+    items = F.when(answer, F.array(said, item("thinking", thinking=cat("weighing ", number)), asked)).when(F.col("role") == "user", F.array(said, given)).otherwise(F.array(said))
     body = lambda content: F.to_json(
         st(
             F.col("role").alias("type"), cat("m-", F.col("turn").cast("string")).alias("uuid"), F.col("iso").alias("timestamp"), F.lit("main").alias("gitBranch"), cat("/work/", F.col("project")).alias("cwd"),
@@ -88,7 +102,8 @@ def render(spark: SparkSession, sf_dir: str) -> Raw:
 
     # Codex CLI
     codex = of(3)
-    old = F.to_json(st(F.when(F.col("role") == "system", "session_meta").otherwise(F.col("role")).alias("type"), F.col("said").alias("content"), F.col("iso").alias("timestamp")))
+    failed = F.col("role") == "system"
+    old = F.to_json(st(F.when(failed, "error").otherwise(F.col("role")).alias("type"), F.when(~failed, F.col("said")).alias("content"), F.when(failed, F.col("said")).alias("error"), F.col("iso").alias("timestamp")))
     inner = F.when(F.col("role") == "user", "user_message").when(answer, "agent_message").otherwise("note")
     new = F.to_json(st(F.col("iso").alias("timestamp"), F.lit("event_msg").alias("type"), st(inner.alias("type"), F.col("said").alias("message")).alias("payload")))
     rollouts = _lines(codex, cat("/x/2025/01/01/rollout-", F.col("sid"), ".jsonl"), F.when(F.col("newer"), new).otherwise(old))
@@ -107,5 +122,5 @@ def render(spark: SparkSession, sf_dir: str) -> Raw:
     oc_messages = _files(opencode, cat("/o/message/", F.col("sid"), "/", mid, ".json"), F.when(F.col("newer"), new).otherwise(old))
     oc_parts = _files(opencode.filter("newer"), cat("/o/part/", mid, "/prt-001.json"), F.to_json(st(F.lit("text").alias("type"), F.col("said").alias("text"))))
 
-    none = spark.createDataFrame([], "source_path string, ord bigint, value string")
+    none = claude_lines.filter("false")
     return Raw(claude_lines, history, workspaces, events, none, chats, projects, rollouts, oc_sessions, oc_messages, oc_parts)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chatloom.functions.parsing import base_name, stem
 from chatloom.sources import claude, codex, copilot, gemini, opencode
 
 RAW = "source_path string, ord bigint, value string"
@@ -18,7 +20,7 @@ def _read(spark: SparkSession, bases: list[str], pattern: str, whole: bool, keep
     out = spark.createDataFrame([], RAW)
     if found:
         # folders are listed in parallel and recursively; names are filtered on the path, so case is free
-        raw = spark.read.option("wholetext", whole).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(found)
+        raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(found, wholetext=whole)
         path = F.regexp_replace("_metadata.file_path", "^file:/+", "/")
         raw = raw.select(path.alias("source_path"), F.monotonically_increasing_id().alias("ord"), "value")
         out = out.unionByName(raw.filter(F.col("source_path").rlike(keep)))
@@ -79,3 +81,34 @@ def all_messages(raw: Raw, as_of: Column) -> DataFrame:
     for more in (gemini.messages(raw.chats, as_of), copilot.messages(raw.workspaces, raw.events, raw.checkpoints, as_of), codex.messages(raw.rollouts, as_of), opencode.messages(raw.oc_messages, raw.oc_parts, as_of)):
         out = out.unionByName(more)
     return out
+
+
+def union(raw: Raw) -> DataFrame:
+    """All raw rows of one table, with the kind of file they come from."""
+    return reduce(DataFrame.unionByName, [getattr(raw, f.name).select(F.lit(f.name).alias("kind"), "source_path", F.col("ord").cast("long").alias("ord"), "value") for f in fields(raw)])
+
+
+def split(rows: DataFrame) -> Raw:
+    """Raw rows by kind again (``union``, stored by kind)."""
+    return Raw(*[rows.filter(F.col("kind") == f.name).select("source_path", "ord", "value") for f in fields(Raw)])
+
+
+def session_files(raw: Raw) -> DataFrame:
+    """(source_path, provider, session_id) of every file that belongs to one session."""
+    path = F.col("source_path")
+    named = lambda df, provider, session: df.select(path, F.lit(provider).alias("provider"), session.alias("session_id"))
+    folders = copilot.workspaces(raw.workspaces).select("folder", F.coalesce("id", base_name(F.col("folder"))).alias("session_id"))
+    own = raw.workspaces.select("source_path").unionByName(raw.events.select("source_path")).unionByName(raw.checkpoints.select("source_path")).distinct()
+    own = own.withColumn("folder", F.regexp_replace("source_path", r"/(workspace\.yaml|events\.jsonl|checkpoints/index\.md)$", "")).join(folders, "folder")
+    messages = raw.oc_messages.select("source_path", F.regexp_extract("source_path", r"/message/([^/]+)/", 1).alias("session_id"), stem(path).alias("message"))
+    parts = raw.oc_parts.select("source_path", F.regexp_extract("source_path", r"/part/([^/]+)/", 1).alias("message")).join(messages.select("session_id", "message").distinct(), "message")
+    all_ = [
+        named(raw.claude, claude.PROVIDER, stem(path)),
+        named(own, copilot.PROVIDER, F.col("session_id")),
+        named(gemini.chats(raw.chats), gemini.PROVIDER, F.col("r.sessionId")),
+        named(raw.rollouts, codex.PROVIDER, stem(path)),
+        named(raw.oc_sessions, opencode.PROVIDER, stem(path)),
+        named(messages, opencode.PROVIDER, F.col("session_id")),
+        named(parts, opencode.PROVIDER, F.col("session_id")),
+    ]
+    return reduce(DataFrame.unionByName, all_).distinct()

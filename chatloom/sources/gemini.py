@@ -16,11 +16,12 @@ SCHEMA = (
 )
 
 
-def chats(files: DataFrame) -> DataFrame:
-    """Whole files that parse; a file that lacks a required field is left out as a whole."""
-    ok = json_lines(files.withColumn("ord", F.lit(0)), SCHEMA)
+def chats(files: DataFrame, keep_bad: bool = False) -> DataFrame:
+    """Whole files that parse; a file that lacks a required field is left out as a whole (or kept as ``bad``)."""
+    rows = json_lines(files.withColumn("ord", F.lit(0)), SCHEMA, True)
     need = "r.sessionId is not null and r.startTime is not null and r.lastUpdated is not null and r.messages is not null and forall(r.messages, m -> m.type is not null)"
-    return ok.filter(need).select("source_path", "r")
+    rows = rows.select("source_path", "r", (F.col("bad") | ~F.coalesce(F.expr(need), F.lit(False))).alias("bad"))
+    return rows if keep_bad else rows.filter("not bad").drop("bad")
 
 
 def projects(files: DataFrame) -> DataFrame:
@@ -75,6 +76,14 @@ def blocks(m: Column, role: Column) -> Column:
     return F.concat(let(text, fences), F.coalesce(thoughts, no_blocks()), F.coalesce(tools, no_blocks()))
 
 
+def annotated(files: DataFrame) -> DataFrame:
+    """A row for each message with its role (null: not a message) and blocks, and one for each file that is ``bad``."""
+    rows = chats(files, True).select("source_path", "bad", F.explode_outer(F.when(~F.col("bad"), F.col("r.messages"))).alias("m"))
+    m = F.col("m")
+    role = F.when(m["type"] == "user", "user").when(m["type"] == "gemini", "assistant")
+    return rows.filter("bad or m is not null").withColumn("role", role).select("source_path", "bad", "role", F.when(F.col("role").isNotNull(), blocks(m, F.col("role"))).otherwise(no_blocks()).alias("content"))
+
+
 def messages(files: DataFrame, as_of: Column) -> DataFrame:
     rows = chats(files).select("source_path", F.col("r.sessionId").alias("session_id"), F.posexplode("r.messages").alias("ord", "m"))
     m = F.col("m")

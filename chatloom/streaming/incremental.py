@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatloom.operators.tables import materialized
@@ -47,24 +47,33 @@ def stats(fresh: DataFrame, touched: DataFrame) -> DataFrame:
     return sessions.crossJoin(messages)
 
 
-def store(documents: DataFrame, path: str, buckets: int = 64) -> None:
-    """Write touched buckets only: dynamic overwrite of the partitions that the given documents fall into."""
-    placed = documents.withColumn("bucket", F.pmod(F.xxhash64(*KEY), F.lit(buckets)).cast("int"))
-    placed.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+def bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*KEY), F.lit(buckets)).cast("int")
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """The documents of a stored table (without the marks of its buckets)."""
+    return spark.read.parquet(path).filter("marked is null").drop("bucket", "marked")
 
 
 def refresh_stored(spark: SparkSession, fresh: DataFrame, touched: DataFrame, path: str, buckets: int = 64) -> None:
-    """Upsert into a stored table; only buckets of touched sessions are read and rewritten."""
-    own = F.pmod(F.xxhash64(*KEY), F.lit(buckets)).cast("int")
-    hit = touched.select(own.alias("bucket")).distinct()
+    """Upsert into a stored table: documents of the ``touched`` sessions are replaced by the ``fresh`` ones, or go where
+    there are none. Only buckets of touched sessions are read and rewritten (dynamic overwrite of partitions). Each of them
+    also gets a mark, a row that is no document, so that a bucket that loses its last session is overwritten too.
+    """
+    keys = touched.select(*KEY).distinct()
+    hit = keys.select(bucket(buckets).alias("bucket")).distinct()
+    new = fresh.join(keys, KEY, "left_semi").withColumn("bucket", bucket(buckets)).withColumn("marked", F.lit(None).cast("boolean"))
     try:
-        old = spark.read.parquet(path).join(hit, "bucket", "left_semi").drop("bucket")
+        old = spark.read.parquet(path).filter("marked is null").join(hit, "bucket", "left_semi").join(keys, KEY, "left_anti").select(*new.columns)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
-        old = fresh.filter("false")
+        old = new.filter("false")
+    marks = hit.withColumn("marked", F.lit(True))
     # the old rows are read from the folder that is written, so the result is cut off from it first
-    store(materialized(upsert(old, fresh, touched), "upsert"), path, buckets)
+    whole = materialized(old.unionByName(new).unionByName(marks, allowMissingColumns=True), "upsert")
+    whole.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def _stored_lines(spark: SparkSession, path: str) -> DataFrame:

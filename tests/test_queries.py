@@ -20,7 +20,7 @@ def rows(frame):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", ["cat_recent", "cat_union", "norm_explode_blocks", "src_bad_lines", "fts_search", "inc_changed", "out_markdown", "dq_parse_counters", "inc_stream"])
+@pytest.mark.parametrize("name", ["cat_recent", "cat_union", "norm_explode_blocks", "src_bad_lines", "fts_search", "inc_changed", "inc_upsert", "inc_stats", "out_markdown", "out_html", "out_json", "out_files", "cat_transcript", "dq_parse_counters", "inc_stream", "fts_postings", "src_copilot_events"])
 def test_query_matches_sql(spark, name):
     import duckdb
 
@@ -64,10 +64,40 @@ def test_stored_refresh_touches_only_changed_sessions(spark, tmp_path):
     incremental.refresh_stored(spark, first, keys, path, 4)
     fresh = spark.createDataFrame([("p", "s1", 0, "new"), ("p", "s1", 1, "more"), ("p", "s9", 0, "born")], shape)
     incremental.refresh_stored(spark, fresh, fresh.select("provider", "session_id").distinct(), path, 4)
-    got = {(r.session_id, r.seq, r.content) for r in spark.read.parquet(path).collect()}
+    got = {(r.session_id, r.seq, r.content) for r in incremental.stored(spark, path).collect()}
     assert got == {(f"s{k}", 0, "old") for k in (0, 2, 3, 4, 5)} | {("s1", 0, "new"), ("s1", 1, "more"), ("s9", 0, "born")}
 
 
+def test_stored_refresh_of_sessions_that_shrink(spark, tmp_path):
+    """Documents that nothing replaces go, also where their bucket becomes empty."""
+    shape = "provider string, session_id string, seq bigint, content string"
+    first = spark.createDataFrame([("p", f"s{k}", n, "old") for k in range(4) for n in range(3)], shape)
+    for buckets in (1, 64):
+        path = str(tmp_path / f"docs{buckets}")
+        incremental.refresh_stored(spark, first, first.select("provider", "session_id"), path, buckets)
+        fresh = spark.createDataFrame([("p", "s2", 0, "new")], shape)
+        incremental.refresh_stored(spark, fresh, spark.createDataFrame([("p", "s1"), ("p", "s2"), ("p", "none")], "provider string, session_id string"), path, buckets)
+        got = {(r.session_id, r.seq, r.content) for r in incremental.stored(spark, path).collect()}
+        assert got == {(f"s{k}", n, "old") for k in (0, 3) for n in range(3)} | {("s2", 0, "new")}
+
+
+def test_export_keeps_every_message(spark, tmp_path):
+    block = "struct<type:string,text:string,language:string,tool_call_id:string,tool_name:string,success:boolean>"
+    sessions = spark.createDataFrame([("codex_cli", f"a1b2c3d4-{k}", f"<p{k}>", "topic & x" if k else None) for k in range(2)], "provider string, session_id string, project_name string, git_branch string")
+    sessions = sessions.select("*", F.lit("2026-01-01T00:00:00Z").cast("timestamp").alias("started_at"), F.lit("m").alias("model"), *[F.lit(None).cast(t).alias(n) for n, t in (("project_path", "string"), ("ended_at", "timestamp"), ("summary", "string"), ("token_usage", "struct<input_tokens:bigint>"), ("message_count", "bigint"), ("source_path", "string"))])
+    many = spark.range(6000).selectExpr("'codex_cli' as provider", "'a1b2c3d4-0' as session_id", "id as seq", "'user' as role", f"cast(array(named_struct('type', if(id = 3, 'tool_use', 'text'), 'text', if(id = 3, '{{\"b\":[1],\"a\":\"<x>\"}}', concat('m', id)), 'language', null, 'tool_call_id', 'c', 'tool_name', 'T', 'success', null)) as array<{block}>) as content")
+    many = many.withColumn("message_id", F.lit("")).withColumn("timestamp", F.lit(None).cast("timestamp")).withColumn("model", F.lit("m")).withColumn("token_usage", F.lit(None).cast("struct<input_tokens:bigint>"))
+    made = {r.session_id: r.document for r in export.to_markdown(sessions, many).collect()}
+    assert made["a1b2c3d4-0"].count("## You") == 6000 and "m5999" in made["a1b2c3d4-0"] and '```json\n{\n  "b": [\n    1\n  ],\n  "a": "<x>"\n}\n```' in made["a1b2c3d4-0"]
+    few = {r.session_id: r.document for r in export.to_markdown(sessions, many, most=10).collect()}
+    assert few["a1b2c3d4-0"].count("## You") == 10 and few["a1b2c3d4-0"].endswith("*Showing 10 of 6000 messages*\n") and "Showing" not in few["a1b2c3d4-1"]
+    page = {r.session_id: r.document for r in export.to_html(sessions, many).collect()}
+    assert "<dt>Branch</dt><dd>topic &amp; x</dd><dt>Model</dt><dd>m</dd>" in page["a1b2c3d4-1"] and "<title>&lt;p0&gt;</title>" in page["a1b2c3d4-0"] and "Branch" not in page["a1b2c3d4-0"]
+    export.write_files(export.export(sessions, many, "markdown"), str(tmp_path / "out"))
+    got = {r.file_name: r.document for r in export.read_files(spark, str(tmp_path / "out")).collect()}
+    assert len(got) == 2 and set(got.values()) == set(made.values()) and all(n.startswith("conversation-a1b2c3d4-") and n.endswith(".md") for n in got)
+
+
 def test_sessions_of_several_files_arrive_in_several_batches(spark, tmp_path):
     logs, target = tmp_path / "logs", str(tmp_path / "docs")
     sessions = lambda lines: lines.select("source_path", F.lit("p").alias("provider"), F.regexp_extract("source_path", r"/([^/]+)/[^/]+$", 1).alias("session_id")).distinct()
@@ -78,7 +108,7 @@ def test_sessions_of_several_files_arrive_in_several_batches(spark, tmp_path):
         (logs / name).write_text("".join(x + "\n" for x in lines))
 
     def stored():
-        return sorted((r.session_id, r.content) for r in spark.read.parquet(target).collect())
+        return sorted((r.session_id, r.content) for r in incremental.stored(spark, target).collect())
 
     def stream():
         incremental.stream_lines(spark, str(logs), build, target, str(tmp_path / "state"), sessions).awaitTermination()

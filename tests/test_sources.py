@@ -23,26 +23,25 @@ def kinds(df):
     return [(r["role"], [(b["type"], b["text"]) for b in r["content"]]) for r in df.orderBy("session_id", "seq").collect()]
 
 
-def test_fences_follow_a_line_model(spark):
-    def model(text):
-        out, now, code, lang = [], "", False, None
-        for line in text.replace("\r\n", "\n").split("\n"):
-            if line.startswith("```"):
-                if code:
-                    out.append(("code_block", now.rstrip(), lang))
-                elif now:
-                    out.append(("text", now.rstrip(), None))
-                lang, now, code = (None if code else (line.lstrip("`").strip() or None)), "", not code
-            else:
-                now = f"{now}\n{line}" if now else line
-        if now:
-            out.append(("code_block" if code else "text", now.rstrip(), lang if code else None))
-        return out
-
-    texts = ["", "plain", "a\n```py\nx = 1\n```\nb", "```\n\n```", "```sql\nopen", "   ", "\n\na  \n", "a\r\n```rs\r\nlet x;\r\n```", " ```no\nfence", "````js\n1\n````\n```\n2\n```", "a\n```\n"]
-    rows = spark.createDataFrame(list(enumerate(texts)), "n int, t string").select("n", parsing.fences(F.col("t")).alias("b")).orderBy("n").collect()
-    for r in rows:
-        assert [(b["type"], b["text"], b["language"]) for b in r["b"]] == model(texts[r["n"]]), texts[r["n"]]
+def test_fences(spark):
+    text, code = (lambda t: ("text", t, None)), (lambda t, language=None: ("code_block", t, language))
+    cases = {
+        "": [],
+        "plain": [text("plain")],
+        "a\n```py\nx = 1\n```\nb": [text("a"), code("x = 1", "py"), text("b")],
+        "```\n\n```": [code("")],
+        "```sql\nopen": [code("open", "sql")],
+        "   ": [text("")],
+        "\n\na  \n": [text("a")],
+        "a\r\n```rs\r\nlet x;\r\n```": [text("a"), code("let x;", "rs")],
+        " ```no\nfence": [text(" ```no\nfence")],
+        "````js\n1\n````\n```\n2\n```": [code("1", "js"), code("2")],
+        "a\n```\n": [text("a")],
+        "one\n\n```c\n  int x;\n\n```\n\n\ntwo\n```\n": [text("one"), code("  int x;", "c"), text("two")],
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "n int, t string").select("n", parsing.fences(F.col("t")).alias("b")).orderBy("n").collect()
+    for r, (said, want) in zip(rows, cases.items()):
+        assert [(b["type"], b["text"], b["language"]) for b in r["b"]] == want, said
 
 
 def test_claude(spark):
@@ -77,16 +76,16 @@ def test_copilot_wrong_typed_event_is_dropped(spark):
     at = "/p/one/events.jsonl"
     events = raw(spark, [
         (at, {"id": "e1", "type": "user.message", "data": {"content": "hello"}}),
-        (at, {"id": "e2", "type": "assistant.message", "data": {"content": "", "toolRequests": [{"toolCallId": "c", "name": "RunCommand", "arguments": {"x": 1}}]}}),
-        (at, {"id": "e3", "type": "tool.execution_start", "data": {"toolName": "RunCommand", "toolCallId": "c"}}),
+        (at, {"id": "e2", "type": "assistant.message", "data": {"content": "", "toolRequests": [{"toolCallId": "c", "name": "Lister", "arguments": {"x": 1}}]}}),
+        (at, {"id": "e3", "type": "tool.execution_start", "data": {"toolName": "Lister", "toolCallId": "c"}}),
         (at, {"id": "e4", "type": "tool.execution_complete", "data": {"toolCallId": "c", "result": "a string"}}),
         (at, {"id": "e5", "type": "tool.execution_complete", "data": {"toolCallId": "c", "result": {"content": "short", "detailedContent": "long"}}}),
         (at, {"id": "e6", "type": "session.info"}),
     ])
-    spaces = raw(spark, [("/p/one/workspace.yaml", 'id: s-1\ncwd: "C:\\\\work\\\\myapp"\ncreated_at: 2026-01-05T00:00:00Z\n'), ("/p/two/workspace.yaml", "cwd: /a/b/\ncreated_at: '2026-01-06T00:00:00Z'\n")])
+    spaces = raw(spark, [("/p/one/workspace.yaml", 'id: s-1\ncwd: "C:\\\\work\\\\shelf"\ncreated_at: 2026-01-05T00:00:00Z\n'), ("/p/two/workspace.yaml", "cwd: /a/b/\ncreated_at: '2026-01-06T00:00:00Z'\n")])
     notes = raw(spark, [("/p/two/checkpoints/index.md", "# head\ntext"), ("/p/one/checkpoints/index.md", "ignored")])
     s = {r.session_id: r for r in copilot.sessions(spaces, events).collect()}
-    assert (s["s-1"].project_name, s["s-1"].message_count, s["two"].project_name, s["two"].message_count) == ("myapp", 5, "b", 0)
+    assert (s["s-1"].project_name, s["s-1"].message_count, s["two"].project_name, s["two"].message_count) == ("shelf", 5, "b", 0)
     got = kinds(copilot.messages(spaces, events, notes, as_of()))
     assert got == [("user", [("text", "hello")]), ("assistant", [("tool_use", '{"x":1}')]), ("tool", [("tool_use", "")]), ("tool", [("tool_result", "long")]), ("system", [("text", "# head\ntext")])]
 
@@ -138,6 +137,41 @@ def test_reading_folders(spark, tmp_path):
     assert files.all_sessions(made).count() == 1
 
 
+def test_reading_folders_of_all_layouts(spark, tmp_path):
+    """Files as the tools leave them: several lines in one document, several bases, one that is missing."""
+
+    def put(path, content):
+        at = tmp_path / path
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_text(content if isinstance(content, str) else json.dumps(content, indent=2))
+
+    put("claude/projects/D--lib/s1.jsonl", "\n".join(json.dumps({"type": t, "uuid": f"u{k}", "timestamp": f"2026-03-01T00:0{k}:00Z", "message": {"content": f"says {k}"}}) for k, t in enumerate(("user", "assistant"))))
+    put("claude/history.jsonl", json.dumps({"display": "a talk", "timestamp": 5, "sessionId": "s1"}))
+    put("claude/projects/D--lib/notes.txt", "not a log")
+    put("copilot/one/workspace.yaml", "id: w1\ncwd: /work/shop\ncreated_at: 2026-03-02T00:00:00Z\nupdated_at: 2026-03-02T01:00:00Z\n")
+    put("copilot/one/events.jsonl", "\n".join(json.dumps({"id": f"e{k}", "type": t, "data": {"content": f"event {k}"}}) for k, t in enumerate(("user.message", "assistant.message"))))
+    put("copilot/two/workspace.yaml", "cwd: /work/barn\ncreated_at: 2026-03-03T00:00:00Z\n")
+    put("copilot/two/checkpoints/index.md", "# head\n\nwhat was done\n")
+    put("gemini/tmp/slug/chats/session-a.json", {"sessionId": "g1", "startTime": "2026-03-04T00:00:00Z", "lastUpdated": "2026-03-04T01:00:00Z", "messages": [{"id": "1", "type": "user", "content": "line one\nline two"}, {"id": "2", "type": "gemini", "content": "ok"}]})
+    put("gemini/projects.json", {"projects": {"/work/mill": "slug"}})
+    put("codex/2026/03/05/rollout-r.jsonl", "\n".join(json.dumps({"type": t, "content": f"turn {k}", "timestamp": "2026-03-05T00:00:00Z"}) for k, t in enumerate(("user", "assistant"))))
+    put("more/2026/03/06/rollout-q.jsonl", json.dumps({"type": "user", "content": "alone", "timestamp": "2026-03-06T00:00:00Z"}))
+    put("open/session/p/o1.json", {"id": "o1", "directory": "/work/pond", "time": {"created": 1772668800000}, "title": "pond"})
+    put("open/message/o1/m1.json", {"id": "m1", "role": "user", "time": {"created": 1772668801000}})
+    put("open/part/m1/prt-1.json", {"type": "text", "text": "part one"})
+    at = lambda *names: [str(tmp_path / n) for n in names]
+    raw = files.from_paths(spark, claude=at("claude", "missing"), copilot=at("copilot"), gemini=at("gemini"), codex=at("codex", "more", "missing"), opencode=at("open"))
+    s = {(r.provider, r.session_id): (r.project_path, r.project_name, r.summary, r.message_count) for r in files.all_sessions(raw).collect()}
+    assert s == {
+        ("claude_code", "s1"): (None, "D:/lib", "a talk", 2), ("copilot_cli", "w1"): ("/work/shop", "shop", None, 2), ("copilot_cli", "two"): ("/work/barn", "barn", None, 0),
+        ("gemini_cli", "g1"): ("/work/mill", "slug", "line one\nline two", 2), ("codex_cli", "rollout-r"): (None, None, "turn 0", 2), ("codex_cli", "rollout-q"): (None, None, "alone", 1), ("opencode", "o1"): ("/work/pond", "pond", "pond", 1),
+    }
+    m = sorted((r.session_id, r.seq, "|".join(b.text for b in r.content)) for r in files.all_messages(raw, as_of()).collect())
+    assert m == [("g1", 0, "line one\nline two"), ("g1", 1, "ok"), ("o1", 0, "part one"), ("rollout-q", 0, "alone"), ("rollout-r", 0, "turn 0"), ("rollout-r", 1, "turn 1"), ("s1", 0, "says 0"), ("s1", 1, "says 1"), ("two", 0, "# head\n\nwhat was done"), ("w1", 0, "event 0"), ("w1", 1, "event 1")]
+    owned = {(r.provider, r.session_id): r.n for r in files.session_files(raw).groupBy("provider", "session_id").agg(F.count("*").alias("n")).collect()}
+    assert owned == {("claude_code", "s1"): 1, ("copilot_cli", "w1"): 2, ("copilot_cli", "two"): 2, ("gemini_cli", "g1"): 1, ("codex_cli", "rollout-r"): 1, ("codex_cli", "rollout-q"): 1, ("opencode", "o1"): 3}
+
+
 def test_labels_and_lookup(spark):
     ids = spark.createDataFrame([("codex_cli", "rollout-2026-01-01T00-00-00-12345678-1234-1234-1234-123456789012"), ("codex_cli", "rollout-x"), ("opencode", "a'b"), ("copilot_cli", "k_1.2")], "p string, i string")
     got = [r[0] for r in ids.select(catalog.resume_command(F.col("p"), F.col("i"))).collect()]
