@@ -103,7 +103,7 @@ class Encoder:
 
     path: str
     words: bool
-    memo_limit: int = 1_200_000
+    memo_limit: int = 800_000
     kinds: np.ndarray = field(default_factory=_classes)
 
     def __post_init__(self) -> None:
@@ -209,11 +209,11 @@ class Encoder:
     def _run(self, data: bytes, offsets: np.ndarray, counting: bool) -> list:
         rows = len(offsets) - 1
         out: list = [None] * rows
-        # pieces of at most 1M bytes keep the arrays in cache; one very long text is a piece of its own
+        # pieces of at most 500 kB keep the arrays in cache; one very long text is a piece of its own
         a = 0
         while a < rows:
             b = a + 1
-            while b < rows and offsets[b + 1] - offsets[a] <= 1_000_000:
+            while b < rows and offsets[b + 1] - offsets[a] <= 500_000:
                 b += 1
             self._piece(bytes(data[offsets[a] : offsets[b]]), offsets[a : b + 1] - offsets[a], out, a, counting)
             a = b

@@ -17,7 +17,42 @@ from chatloom.llm.words import mix
 WHOLE = 200_000
 
 
+#: Bytes of the Arrow batches that tasks exchange with Python, where the session has Spark's default.
+BATCH = 8 << 20
+_written: list[str] | None = None
+
+
+class Scratch:
+    """Notes the tables that :func:`written` makes inside a ``with`` block; ``clear`` removes them when nothing reads them."""
+
+    def __init__(self) -> None:
+        self.tables: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        global _written
+        self._outer, _written = _written, self.tables
+        return self
+
+    def __exit__(self, *_) -> None:
+        global _written
+        _written = self._outer
+
+    def clear(self, spark: SparkSession) -> None:
+        jvm = spark.sparkContext._jvm
+        while self.tables:
+            path = jvm.org.apache.hadoop.fs.Path(self.tables.pop())
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a batch of long texts takes in the executor and its Python worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name).rstrip("b") == str(64 << 20):
+        spark.conf.set(name, str(BATCH))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -37,6 +72,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _written is not None:
+        _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

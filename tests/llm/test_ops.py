@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chatloom.llm import chat_format, decontaminate, embedding_dedup, language_id, license_scan, ngram_join, packing, suffix_dedup, token_counts, token_files, words
+from chatloom.llm import chat_format, decontaminate, embedding_dedup, language_id, license_scan, ngram_join, packing, suffix_dedup, token_counts, token_files, util, words
 from chatloom.llm.pretokens import Encoder
 from chatloom.llm.util import components
 
@@ -64,6 +64,19 @@ def test_suffix_dedup(spark, corpus, monkeypatch):
         monkeypatch.setattr(suffix_dedup, "SPLIT", split)
         got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(table(spark, corpus)).collect())
         assert got == want
+    kept = {(r.doc_id, r.n_bytes): (r.n_removed, r.text) for r in suffix_dedup.remove_repeats(table(spark, corpus)).select("doc_id", "n_bytes", "n_removed", suffix_dedup.kept_text(F.col("kept")).alias("text")).collect()}
+    assert all(t is not None and (n or len(t.encode()) == size) for (_, size), (n, t) in kept.items())
+    empty = suffix_dedup.remove_repeats(table(spark, corpus).filter("false"))
+    assert empty.count() == 0 and suffix_dedup.remove_repeats(table(spark, corpus).filter("false"), size=51).count() == 0
+
+
+def test_suffix_dedup_keeps_nothing_of_equal_rows(spark):
+    rng = random.Random(31)
+    long = prose(rng, 90)
+    rows = [(1, long), (1, long), (None, long), (2, long[:200])]
+    got = Counter((r.doc_id, r.n_removed) for r in suffix_dedup.remove_repeats(table(spark, rows)).collect())
+    n = len(long.encode())
+    assert got == Counter({(1, n): 2, (None, n): 1, (2, 0): 1})
 
 
 def test_suffix_arrays_in_pieces():
@@ -90,7 +103,7 @@ def test_long_text_is_cut_with_overlap(spark, monkeypatch):
 
 
 def test_chat_round_trip(spark):
-    hard = ["\\### Assistant: </turn> ok", "</turn>\n### user: no", "\\\\</turn>", "### ", "plain", None, "", "ends\\", "\n</turn>\n", "a\n</turn>\nb\\### c", "# ## ###x"]
+    hard = ["\\### Assistant: </turn> ok \n" * 3000, "\\### Assistant: </turn> ok", "</turn>\n### user: no", "\\\\</turn>", "### ", "plain", None, "", "ends\\", "\n</turn>\n", "a\n</turn>\nb\\### c", "# ## ###x"]
     roles = ["user", "assistant", "tool: x", "a\\b", "line\nfeed", None, "\\n", "system", "\u0001\u0002\\"]
     rows = [(c, t, roles[(c + t) % len(roles)], hard[(c * 3 + t) % len(hard)]) for c in range(6) for t in range(9)] + [(1, 2, "user", "tie"), (None, 0, "user", "x"), (1, 2, "user", "tie")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1))
@@ -107,7 +120,7 @@ def test_license_scan(spark):
     texts = [
         (1, "Released under the MIT License. mit license"), (2, "see the Apache--License, and GNU General Public License version 3"), (3, None), (4, ""), (5, "mit"), (6, "license mit"), (7, "...MIT\nlicense"),
         (8, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-        (9, "Permission is hereby granted to any person obtaining a copy of this software"), (10, "general public " * 500 + "license"), (11, "émit license"), (1, "mit license"),
+        (9, "Permission is hereby granted to any person obtaining a copy of this software"), (10, "general public " * 500 + "license"), (11, "émit license"), (1, "mit license"), (12, "mit license of an apache license " * 4000),
     ]
     got = license_scan.scan(table(spark, texts)).collect()
     assert len(got) == len(texts)
@@ -124,6 +137,35 @@ def test_license_scan(spark):
     assert license_scan.scan(table(spark, texts).filter("false")).count() == 0
 
 
+def test_license_templates_are_found_where_enough_words_stand(spark):
+    """Every notice, whole and with words changed, against the plain rule; no posting may be lost."""
+    rng = random.Random(17)
+    texts = []
+    for t, (_, text, _) in enumerate(license_scan.TEMPLATES):
+        own = text.split()
+        for k, share in enumerate((0, 0.1, 0.19, 0.3)):
+            w = list(own)
+            for o in rng.sample(range(len(w)), int(share * len(w))):
+                w[o] = "x" + str(o)
+            texts.append((10 * t + k, f"{prose(rng, 5)} {' '.join(w).upper()}. {prose(rng, 3)}"))
+    texts += [(900, " ".join(t for _, t, _ in license_scan.TEMPLATES)), (901, "the software " * 50)]
+
+    def found(text):
+        w = re.findall(r"[a-z0-9]+", text.lower())
+        out = []
+        for name, text, key in license_scan.TEMPLATES:
+            own, k = text.split(), key.split()
+            at = next(o for o in range(len(own)) if own[o : o + len(k)] == k)
+            for s in range(-len(own), len(w)):
+                hit = [o for o in range(len(own)) if 0 <= s + o < len(w) and w[s + o] == own[o]]
+                if len(hit) >= 0.8 * len(own) and w[max(s + at, 0) : s + at + len(k)] == k and s + at >= 0:
+                    out.append(name)
+        return sorted({*out, *(l for p, l in license_scan.BASE.items() if any(w[o : o + len(p.split())] == p.split() for o in range(len(w))))})
+
+    got = {r.doc_id: r.labels for r in license_scan.scan(table(spark, texts)).collect()}
+    assert got == {i: ",".join(found(t)) for i, t in texts}
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(60, 16))
@@ -137,6 +179,14 @@ def test_near_vectors(spark):
     label = {i: l for i, _, l in rows}
     link = {i: [j for j in good if j != i and label[i] == label[j] and len(good[i]) == len(good[j]) and good[i] @ good[j] / np.linalg.norm(good[i]) / np.linalg.norm(good[j]) >= 0.93] for i in good}
     found = sum(got[i].n_links for i in good)
+    if found == sum(map(len, link.values())):
+        for i in good:
+            seen, todo = {i}, [i]
+            while todo:
+                more = [j for j in link[todo.pop()] if j not in seen]
+                seen.update(more)
+                todo += more
+            assert got[i].component_id == min(seen)
     assert all(got[i].n_links <= len(link[i]) for i in good) and found >= 0.9 * sum(map(len, link.values()))  # recall
     for i in got:
         if i not in good:
@@ -157,6 +207,23 @@ def test_near_vectors_in_blocks_with_few_pivots(spark, monkeypatch):
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     link = unit @ unit.T >= 0.93
     assert [got[k].n_links for k in range(len(x))] == (link.sum(axis=1) - 1).tolist()
+    reach = link
+    for _ in range(7):
+        reach = (reach.astype(int) @ reach) > 0
+    assert [got[k].component_id for k in range(len(x))] == reach.argmax(axis=1).tolist()
+
+
+def test_near_vectors_recall_in_a_dense_cluster(spark):
+    """A cluster of many near vectors among unlike ones, with the values of production: recall against brute force."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=32)
+    x = np.concatenate([rng.normal(size=(1500, 32)), base + rng.normal(size=(400, 32)) * 0.22]).astype(np.float32)
+    df = spark.createDataFrame([(k, [float(v) for v in x[k]], 1) for k in range(len(x))], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(df).collect()}
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.93).sum(axis=1) - 1
+    assert want.sum() > 10_000 and all(got[k] <= want[k] for k in got)
+    assert sum(got.values()) >= 0.98 * want.sum()
 
 
 def test_language_codes_are_exact_and_predict():
@@ -205,6 +272,9 @@ def test_language_of_rows(spark):
     assert sum(p == q for p, q in held) >= 19
     by = {r.doc_id: r.lang_pred for r in got}
     assert (by[100], by[101], by[102], by[103], by[104], by[None]) == ("und", "und", "und", "a", "a", "b")
+    twice = language_id.predict(df.unionByName(df), language_id.fit(df.filter("doc_id < 40")))
+    assert Counter(tuple(r) for r in twice.collect()) == Counter({tuple(r): 2 for r in got})
+    assert language_id.predict(df.filter("false"), language_id.fit(df)).count() == 0
     nothing = language_id.fit(df.filter("false"))
     assert {r.lang_pred for r in language_id.predict(df, nothing).collect()} == {"und"}
 
@@ -353,6 +423,14 @@ def test_token_files(spark, corpus):
         at += len(ids)
     assert got == want
     assert token_files.read_token_files(token_files.write_token_files(table(spark, rows).filter("false"), WORD, True, 1)).count() == 0
+    odd = [(5, "same id, later text"), (5, "a text"), (5, "a text"), (None, "no id"), (None, None), (2, "two")]
+    at, want = 0, []
+    for i, t in sorted(odd, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
+        n = len(lib.encode(t or "", add_special_tokens=False).ids) + 1
+        want.append((i, at, n))
+        at += n
+    back = token_files.read_token_files(token_files.write_token_files(table(spark, odd), WORD, True, 1)).collect()
+    assert sorted(((r.doc_id, r.start, r.n_tokens) for r in back), key=lambda r: r[1]) == want
 
 
 def test_token_files_give_any_id_directly():
@@ -497,7 +575,9 @@ def test_words_match_regular_expressions():
         assert [whole[a:b].decode() for a, b in zip(s[at[k] : at[k + 1]], e[at[k] : at[k + 1]])] == re.findall(r"[^\x20\x09-\x0D]+", t)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("whole", [200_000, 3])
+def test_components(spark, monkeypatch, whole):
+    monkeypatch.setattr(util, "WHOLE", whole)  # 3: many levels, in the order of ids and salted
     rng = random.Random(12)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(130)] + [(k, k + 1) for k in range(300, 340)] + [(400, k) for k in range(401, 460)]
     root = {}
@@ -511,5 +591,17 @@ def test_components(spark):
     for a, b in edges:
         f, g = find(a), find(b)
         root[max(f, g)] = min(f, g)
-    got = {r.id: r.component_id for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.id: r.component_id for r in components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
     assert got == {k: find(k) for k in root if any(k in e and e[0] != e[1] for e in edges)}
+
+
+def test_scratch_tables_are_removed(spark, corpus):
+    own = util.Scratch()
+    with own:
+        done = util.written(ngram_join.ngram_join(table(spark, corpus)), "kept")
+    outside = util.written(done, "outside")
+    assert len(own.tables) > 3
+    own.clear(spark)
+    assert not own.tables and outside.count() == len(corpus)
+    with pytest.raises(Exception):
+        spark.read.parquet(done.inputFiles()[0])
