@@ -86,11 +86,11 @@ def filter_project(sessions: DataFrame, text: str | None) -> DataFrame:
 
 
 def filter_dates(sessions: DataFrame, first: str | None, last: str | None) -> DataFrame:
-    """UTC date of the start between both dates, each inclusive and optional."""
-    day = utc_text(F.col("started_at"), "yyyy-MM-dd")
+    """UTC date of the start between both dates, each inclusive and optional: a range of times, which scans can skip by."""
+    midnight = lambda day: F.lit(f"{day}T00:00:00Z").cast("timestamp")
     if first:
-        sessions = sessions.filter(day >= first)
-    return sessions.filter(day <= last) if last else sessions
+        sessions = sessions.filter(F.col("started_at") >= midnight(first))
+    return sessions.filter(F.col("started_at") < midnight(last) + F.expr("INTERVAL '24' HOUR")) if last else sessions
 
 
 def filter_all(sessions: DataFrame, providers=None, project=None, first=None, last=None) -> DataFrame:
@@ -150,6 +150,7 @@ def shell_quoted(text: Column) -> Column:
 def resume_command(provider: Column, session_id: Column) -> Column:
     tail = F.regexp_extract(session_id, r"(.{8}-.{4}-.{4}-.{4}-.{12})$", 1)
     codex = F.when(tail != "", tail).otherwise(F.regexp_replace(session_id, "^rollout-", ""))
+    # fixed values: commands of the tools
     said = {"claude_code": "claude --resume ", "copilot_cli": "copilot --resume=", "gemini_cli": "gemini --resume ", "codex_cli": "codex resume ", "opencode": "opencode --session "}
     out = F.lit(None).cast("string")
     for name, start in said.items():

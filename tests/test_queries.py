@@ -20,7 +20,7 @@ def rows(frame):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", ["cat_recent", "cat_union", "norm_explode_blocks", "src_bad_lines", "fts_search", "inc_changed", "inc_upsert", "inc_stats", "out_markdown", "out_html", "out_json", "out_files", "cat_transcript", "dq_parse_counters", "inc_stream", "fts_postings", "src_copilot_events"])
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, name):
     import duckdb
 
@@ -29,7 +29,7 @@ def test_query_matches_sql(spark, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     df = QUERIES[name](spark, DATA)
     columns = sorted(df.columns)
-    got = con.execute(f"SELECT {', '.join(columns)} FROM ({ORACLE_SQL[name]})").fetchall()
+    got = con.execute(f"SELECT {', '.join(f'"{c}"' for c in columns)} FROM ({ORACLE_SQL[name]})").fetchall()
     assert rows(map(tuple, df.select(*columns).collect())) == rows(got)
 
 
