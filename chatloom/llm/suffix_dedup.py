@@ -40,14 +40,14 @@ GRAM = 32
 #: Words of the run by which windows of words meet.
 WORD_GRAM = 8
 #: Bytes of stretches in one suffix array.
-SHARD = 1_000_000
+SHARD = 600_000
 #: Stretches of one anchor that go to one shard.
-SPLIT = 1024
+SPLIT = 512
 #: Shards of a split anchor whose runs fall into one digest range.
 RUNS = 8
 _RUN = np.dtype([("digest", "S16"), ("row", "<i8"), ("first", "<i4"), ("known", "?")])
 #: Texts longer than this are cut into overlapping pieces before their anchors are sought.
-PIECE = 8_000_000
+PIECE = 1_000_000
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -84,7 +84,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
 
 def pieces(offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, int, int]]:
     """(first row, last row, first byte, last byte) of buffers; a very long text comes in overlapping pieces."""
-    for a, b in cuts(offsets, 1_000_000):
+    for a, b in cuts(offsets, 500_000):
         low, high = int(offsets[a]), int(offsets[b])
         if high - low <= PIECE:
             yield a, b, low, high
@@ -366,7 +366,7 @@ def repeated_words(texts: DataFrame, size: int, gram: int = WORD_GRAM) -> DataFr
     def buffers(batch: pa.RecordBatch) -> Iterator[tuple]:
         data, offsets = utf8(batch, "text")
         code = np.frombuffer(data, np.uint8)
-        for a, b in cuts(offsets, 1_000_000):
+        for a, b in cuts(offsets, 500_000):
             yield a, windows(code[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size, gram)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,10 +389,11 @@ def repeated_words(texts: DataFrame, size: int, gram: int = WORD_GRAM) -> DataFr
                 )
 
     anchor = written(texts.mapInArrow(tidy(runs), "row long, anchor long"), "word-anchors")
-    shared = anchor.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    # what occurs twice is written, so that the joins with hot keys have a shuffle of their own, which Spark splits
+    shared = written(anchor.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "shared")
     wanted = anchor.join(shared, "anchor").groupBy("row").agg(F.collect_set("anchor").alias("wanted"))
     found = written(texts.join(wanted, "row").select("row", "text", "wanted").mapInArrow(tidy(asked), "row long, first int, last int, content long"), "windows")
-    twice = found.groupBy("content").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("content")
+    twice = written(found.groupBy("content").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("content"), "twice")
     return found.join(twice, "content").groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("passages"))
 
 
