@@ -1,19 +1,22 @@
 """Token counts by the whole-token shortcut.
 
-``Encoder.whole`` proves which vocabulary strings are one token each; pre-tokens that equal one of them are counted
-directly, and only the rest is merged (once for each distinct pre-token and worker).
+``Encoder.whole`` proves which vocabulary strings are one token each, once, before the job: the driver sends the proven ones
+(8 bytes each, so the vocabulary bounds them). Pre-tokens that equal one of them are counted directly, and only the rest is
+merged (once for each distinct pre-token and worker).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.llm.pretokens import encoder
-from chatloom.llm.util import table, tidy, utf8
+from chatloom.llm.pretokens import Encoder, encoder
+from chatloom.llm.util import release, table, tidy, utf8
 
 LIMIT = 2048
 
@@ -24,6 +27,14 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@lru_cache(maxsize=4)
+def proof(path: str) -> np.ndarray:
+    """Keys of the vocabulary strings that the whole library gives as one token."""
+    keys = Encoder(path, True).whole()
+    release()
+    return keys
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row.
 
@@ -33,8 +44,11 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
     if docs.schema[id_col].dataType.typeName() != "long":
         docs = docs.withColumn(id_col, F.col(id_col).cast("long"))
 
+    proven = docs.sparkSession.sparkContext.broadcast(proof(path))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, True)
+        e.proven = proven.value
         for batch in batches:
             data, offsets = utf8(batch, "text")
             number = e.count(data, offsets)
