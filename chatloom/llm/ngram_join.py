@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.llm.util import components, grouped, local_roots, table, tidy, utf8, written
+from chatloom.llm.util import components, documents, grouped, local_roots, tidy, utf8, written
 from chatloom.llm.words import SPACE, cuts, mix, word_hashes
 
 WORDS = 4
@@ -189,7 +189,7 @@ def _facts(texts: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
             data, offsets = utf8(batch, "text")
             code = np.frombuffer(data, np.uint8)
             sigs, names = [], []
-            for low, high in cuts(offsets, 1_000_000):
+            for low, high in cuts(offsets, 500_000):
                 for a in range(low, high, 1000):
                     b = min(a + 1000, high)
                     keys = shingle_sets(code[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
@@ -344,7 +344,8 @@ def ngram_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataF
     held = written(texts.join(wanted, (F.col("thash") == F.col("th")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("name", "size", "sketch", "text").dropDuplicates(["name"]), "texts")
 
     every = sets.select("name", F.size("sigs").alias("degree"), F.explode("sigs").alias("sig"))
-    leaders = every.groupBy("sig").agg(F.max(F.struct("degree", "name"))["name"].alias("leader"), F.count(F.lit(1)).alias("n"))
+    # written, so that the join on hot signatures has a shuffle of its own, which Spark splits; so below
+    leaders = written(every.groupBy("sig").agg(F.max(F.struct("degree", "name"))["name"].alias("leader"), F.count(F.lit(1)).alias("n")), "leaders")
     members = written(every.join(leaders, "sig").select("sig", "name", "n", "leader"), "members")
     pairs = members.filter("name <> leader").select(F.col("name").alias("a"), F.col("leader").alias("b")).distinct()
     links = written(_verified(pairs, held, n, percent), "links")
@@ -367,9 +368,10 @@ def ngram_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataF
             break
 
     least = named.groupBy("name").agg(F.min("doc_id").alias("doc_id"))
-    placed = least.join(state.select(F.col("id").alias("name"), F.col("component_id").alias("root")), "name", "left").withColumn("root", F.coalesce("root", "name"))
-    first = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    answer = placed.join(first, "root").select("name", "component_id")
+    linked = least.join(state.select(F.col("id").alias("name"), F.col("component_id").alias("root")), "name", "left")
+    linked = linked.withColumn("alone", F.col("root").isNull()).withColumn("root", F.coalesce("root", "name"))
+    first = written(linked.filter("not alone").groupBy("root").agg(F.min("doc_id").alias("component_id")), "first")
+    answer = linked.join(first, "root", "left").select("name", F.coalesce("component_id", "doc_id").alias("component_id"))
     return rows.select("doc_id", "size", F.when(F.col("size") > 0, F.col("name")).alias("name")).join(answer, "name", "left").select(
         "doc_id",
         F.col("size").alias("n_shingles"),
@@ -381,7 +383,7 @@ def ngram_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataF
 def _open(members: DataFrame, state: DataFrame, sets: DataFrame) -> DataFrame:
     """Members of signatures whose sets are in more than one component, with the component, size and sketch."""
     placed = members.join(state.select(F.col("id").alias("name"), "component_id"), "name", "left").select("sig", "name", "n", F.coalesce("component_id", "name").alias("component"))
-    several = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("sig")
+    several = written(placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("sig"), "several")
     return placed.join(several, "sig").join(sets.select("name", "size", "sketch"), "name")
 
 
@@ -400,7 +402,8 @@ def _blocked(now: DataFrame, percent: int, likeliest: bool) -> DataFrame:
     def pairs(t: pa.Table) -> pa.Table:
         side = np.asarray(t.column("side"))
         name, comp, size = (np.asarray(t.column(c)) for c in ("name", "component", "size"))
-        sketch = np.asarray(t.column("sketch").combine_chunks().flatten()).reshape(len(name), -1)
+        # numpy counts the bits of a negative number's absolute value, so the words are taken as unsigned
+        sketch = np.asarray(t.column("sketch").combine_chunks().flatten()).view(np.uint64).reshape(len(name), -1)
         same = t.column("i")[0].as_py() == t.column("j")[0].as_py()
         kinds, number = np.unique(comp, return_inverse=True)
         most = np.bincount(number).argmax()
@@ -451,4 +454,4 @@ def _forest(u: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join(table(spark, sf_dir, "documents"))
+    return ngram_join(documents(spark, sf_dir))

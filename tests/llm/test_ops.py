@@ -324,6 +324,44 @@ def test_ngram_join(spark, corpus, monkeypatch, small):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(k, len(sets[k]), find(k)) for k in sets}
 
 
+def test_ngram_join_of_copies_right_at_the_threshold(spark, monkeypatch):
+    """A cluster of copies of which many lie right at 80 percent of one another, in blocks: no link is lost."""
+    monkeypatch.setattr(ngram_join, "SMALL", 2)
+    rng = random.Random(33)
+    base = [f"w{k}" for k in range(150)]
+    texts = []
+    for k in range(120):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4])):
+            w[rng.randrange(len(w))] = f"x{k}{rng.randrange(99)}"
+        texts.append(" ".join(w))
+    sets = [frozenset(tuple(t.split()[k : k + 5]) for k in range(146)) for t in texts]
+    root = list(range(len(sets)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                f, g = find(a), find(b)
+                root[max(f, g)] = min(f, g)
+    leaderless = ngram_join._verified
+    # without what the leader round finds, every link comes from the blocks
+    calls = []
+
+    def verified(pairs, *rest):
+        calls.append(1)
+        return leaderless(pairs.filter("false") if len(calls) == 1 else pairs, *rest)
+
+    for first in (leaderless, verified):
+        monkeypatch.setattr(ngram_join, "_verified", first)
+        got = ngram_join.ngram_join(table(spark, list(enumerate(texts))), n=5, percent=80).collect()
+        assert {r.doc_id: r.component_id for r in got} == {k: find(k) for k in range(len(sets))}
+
+
 def test_ngram_join_signatures_lose_no_pair():
     rng = np.random.default_rng(4)
     for _ in range(300):
