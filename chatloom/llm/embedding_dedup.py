@@ -169,9 +169,12 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, pivots: float = PIV
     found = written(grouped(dealt, ["label", "d", "pivot", "i", "j"], links, "entry long, other long, n long"), "near")
     degree = found.groupBy("entry").agg(F.sum("n").alias("n"))
     joined = components(found.filter("entry <> other"), "entry", "other")
-    named = entries.select("entry", "rep", "times").join(joined.select(F.col("id").alias("entry"), F.col("component_id").alias("root")), "entry", "left").withColumn("root", F.coalesce("root", "entry"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    facts = named.join(least, "root").join(degree, "entry", "left").select("entry", "component_id", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"))
+    named = entries.select("entry", "rep", "times").join(joined.select(F.col("id").alias("entry"), F.col("component_id").alias("root")), "entry", "left")
+    named = named.withColumn("alone", F.col("root").isNull()).withColumn("root", F.coalesce("root", "entry"))
+    # written, so that the join on a hot component has a shuffle of its own, which Spark splits
+    least = written(named.filter("not alone").groupBy("root").agg(F.min("rep").alias("component_id")), "least")
+    whole = named.join(least, "root", "left").withColumn("component_id", F.coalesce("component_id", "rep"))
+    facts = whole.join(degree, "entry", "left").select("entry", "component_id", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"))
     keyed = rows.withColumn("key", F.xxhash64("label", "embedding"))
     good = keyed.filter(can_link()).select("vec_id", "key").join(facts.withColumnRenamed("entry", "key"), "key").select("vec_id", "n_links", "component_id")
     alone = keyed.filter(~can_link()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
