@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.llm.util import carried, carried_kinds, table, tidy, utf8, with_columns, written
+from chatloom.llm.util import carried, carried_kinds, documents, table, tidy, utf8, with_columns, written
 from chatloom.llm.words import SIGNS, cuts, grams, word_hashes
 
 SEED = 4
@@ -150,7 +150,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, cover
         def run(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, dict[int, Found]]]:
             data, offsets = utf8(batch, "text")
             code = np.frombuffer(data, np.uint8)
-            for a, b in cuts(offsets, 1_000_000):
+            for a, b in cuts(offsets, 500_000):
                 hashes, at = word_hashes(code[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], SIGNS)
                 yield batch.slice(a, b - a), _verdicts(index.value, hashes, at, cover)
 
@@ -206,4 +206,4 @@ def _columns(rows: list[Found | None]) -> list[pa.Array]:
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))

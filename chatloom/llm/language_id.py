@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chatloom.llm.util import carried, carried_kinds, crc32_of_id, release, table, tidy, utf8, with_columns
+from chatloom.llm.util import carried, carried_kinds, crc32_of_id, documents, release, table, tidy, utf8, with_columns
 
 ORDER = 4
 ROWS = 150
@@ -298,4 +298,4 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = crc32_of_id(F.col("doc_id")) % 4 == 2
     model = fit(docs.filter(~F.coalesce(out, F.lit(False))))
-    return predict(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(crc32_of_id(F.col("doc_id")) % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "bits")
+    return predict(documents(spark, sf_dir).select("doc_id", "text"), model).select("doc_id", F.coalesce(crc32_of_id(F.col("doc_id")) % 4 == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "bits")

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.llm.util import table
+from chatloom.llm.util import documents
 
 #: Base phrases and labels of the contract.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -189,7 +189,7 @@ def _offset(text: str, key: str) -> int:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"))
+    return scan(documents(spark, sf_dir))
 
 
 def oracle() -> str:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from chatloom.llm.pretokens import encoder, fold_crc
 from chatloom.llm.token_counts import vocabulary
-from chatloom.llm.util import table, tidy, utf8, written
+from chatloom.llm.util import documents, tidy, utf8, written
 
 CAPACITY = 1024
 ROUNDS = 160
@@ -284,4 +284,4 @@ def pack_documents(docs: DataFrame, path: str, words: bool, end_id: int, capacit
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), False, 2)
+    return pack_documents(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), False, 2)

@@ -32,7 +32,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.llm.util import carried, carried_kinds, grouped, table, tidy, utf8, with_columns, written
+from chatloom.llm.util import carried, carried_kinds, documents, grouped, tidy, utf8, with_columns, written
 from chatloom.llm.words import SPACE, VALUE, cuts, grams, mix, prefix, span, words
 
 LENGTH = 400
@@ -469,5 +469,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carr
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = remove_repeats(table(spark, sf_dir, "documents"))
+    found = remove_repeats(documents(spark, sf_dir))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", kept_text(F.col("kept")).alias("text"))

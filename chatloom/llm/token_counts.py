@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatloom.llm.pretokens import Encoder, encoder
-from chatloom.llm.util import release, table, tidy, utf8
+from chatloom.llm.util import documents, release, tidy, utf8
 
 LIMIT = 2048
 
@@ -61,4 +61,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return count_tokens(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
