@@ -415,8 +415,10 @@ def _manifest(spark: SparkSession, d: str, older: bool = False) -> DataFrame:
 
 
 def _older_docs(spark: SparkSession, d: str) -> DataFrame:
-    raw = rendered(spark, d, True)
-    return search.documents(files.all_messages(raw, as_of()), files.all_sessions(raw))
+    """The documents of the older state: what was said later in every third conversation isn't there."""
+    later = (F.col("timestamp") - 1735689600) % 3600 >= 10
+    third = F.regexp_extract("session_id", r"(\d+)$", 1).cast("long") % 3 == 0
+    return docs(spark, d).filter(~(third & later))
 
 
 @query("inc_changed", _TOUCHED)
