@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chatloom.llm import chat_format, decontaminate, embedding_dedup, language_id, license_scan, ngram_join, packing, suffix_dedup, token_counts, token_files
+from chatloom.llm import chat_format, decontaminate, embedding_dedup, language_id, license_scan, mixing, ngram_join, packing, periodic_runs, suffix_dedup, token_counts, token_files, turn_repair
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_token_files": token_files.op8_token_files,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_mixing": mixing.op12_mixing,
+    "op13_turn_repair": turn_repair.op13_turn_repair,
 }
 ORACLE_SQL = {"op2_chat_format": chat_format.ORACLE, "op3_license_scan": license_scan.oracle()}
