@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatloom.operators.tables import materialized
 from chatloom.schema import BLOCK, MESSAGES, SESSIONS, USAGE
 
 _FENCE = r"(?dm)^```[^\n]*(?:\n|\z)"
@@ -133,12 +134,39 @@ def as_sessions(df: DataFrame, provider: str) -> DataFrame:
     return _shaped(df.withColumn("provider", F.lit(provider)), SESSIONS)
 
 
-def as_messages(df: DataFrame, provider: str, as_of: Column, order: tuple = ("ord",), sort_time: bool = False) -> DataFrame:
-    """Drop messages without blocks, fill missing times with ``as_of``, number the rest inside each session."""
+#: How a message is placed in its session: parts that follow one another, and the order inside a part.
+PLACE = "part bigint, number bigint, name string"
+#: Lines, and seconds, of a part.
+PART_LINES, PART_SECONDS = 1 << 16, 3600
+
+
+def placed(df: DataFrame, provider: str, as_of: Column, by_time: bool = False) -> DataFrame:
+    """Messages that have blocks, missing times filled with ``as_of``, with their place (``PLACE``) instead of a number.
+
+    The place comes from ``ord``, the line number in a file or the name of a file; ``by_time``: from the time first.
+    """
     full = df.filter(F.size("content") > 0).withColumn("timestamp", F.coalesce("timestamp", as_of)).withColumn("provider", F.lit(provider))
-    keys = (["timestamp"] if sort_time else []) + list(order)
-    seq = (F.row_number().over(Window.partitionBy("session_id", "source_path").orderBy(*keys)) - 1).cast("long")
-    return _shaped(full.withColumn("seq", seq).withColumn("message_id", F.coalesce("message_id", F.lit(""))), MESSAGES)
+    if by_time:
+        part, number = F.floor(F.unix_timestamp("timestamp") / PART_SECONDS), F.unix_micros("timestamp")
+    else:
+        part, number = F.floor(F.col("ord") / PART_LINES), F.col("ord")
+    full = full.withColumn("part", part).withColumn("number", number).withColumn("name", F.col("ord").cast("string"))
+    return _shaped(full.withColumn("message_id", F.coalesce("message_id", F.lit(""))), f"{MESSAGES}, {PLACE}")
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``seq`` of placed messages: 0, 1, ... inside each session and source.
+
+    No session is sorted as a whole: its parts are dealt over the tasks and written in order; the rows of a part are counted,
+    the counts of a session (a row a part) summed up, and a number is what came before its part plus the place in it.
+    """
+    own = ["provider", "session_id", "source_path"]
+    dealt = rows.repartition(*own, "part").sortWithinPartitions(*own, "part", "number", "name").withColumn("at", F.monotonically_increasing_id())
+    held = materialized(dealt.drop("number", "name"), "placed")
+    parts = held.groupBy(*own, "part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy(*own).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    return _shaped(held.join(parts, [*own, "part"]).withColumn("seq", F.col("before") + F.col("at") - F.col("first")), MESSAGES)
 
 
 def _shaped(df: DataFrame, ddl: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.functions.parsing import as_messages, as_sessions, block, canonical_json, fences, first_by, from_variant, iso_time, json_lines, last_by, millis, no_blocks, stem, summed_usage, usage
+from chatloom.functions.parsing import as_sessions, block, canonical_json, fences, first_by, from_variant, iso_time, json_lines, last_by, millis, no_blocks, numbered, placed, stem, summed_usage, usage
 
 PROVIDER = "claude_code"
 SCHEMA = (
@@ -102,5 +102,9 @@ def annotated(lines: DataFrame) -> DataFrame:
     )
 
 
+def placed_messages(lines: DataFrame, as_of: Column) -> DataFrame:
+    return placed(annotated(lines).filter("not bad and role is not null"), PROVIDER, as_of)
+
+
 def messages(lines: DataFrame, as_of: Column) -> DataFrame:
-    return as_messages(annotated(lines).filter("not bad and role is not null"), PROVIDER, as_of)
+    return numbered(placed_messages(lines, as_of))

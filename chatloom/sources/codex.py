@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.functions.parsing import as_messages, as_sessions, block, canonical_json, fences, first_by, iso_time, json_lines, last_by, no_blocks, stem
+from chatloom.functions.parsing import as_sessions, block, canonical_json, fences, first_by, iso_time, json_lines, last_by, no_blocks, numbered, placed, stem
 
 PROVIDER = "codex_cli"
 SCHEMA = "type string, content string, timestamp string, error string, tool_calls variant, payload struct<type:string,message:string,name:string,call_id:string,arguments:string,output:string>"
@@ -59,5 +59,9 @@ def annotated(lines: DataFrame) -> DataFrame:
     return _rows(lines, True).select("source_path", "session_id", "ord", "bad", F.lit("").alias("message_id"), F.when(~F.col("bad"), role).alias("role"), iso_time(F.col("r.timestamp")).alias("timestamp"), content.alias("content"))
 
 
+def placed_messages(lines: DataFrame, as_of: Column) -> DataFrame:
+    return placed(annotated(lines).filter("not bad and role is not null"), PROVIDER, as_of)
+
+
 def messages(lines: DataFrame, as_of: Column) -> DataFrame:
-    return as_messages(annotated(lines).filter("not bad and role is not null"), PROVIDER, as_of)
+    return numbered(placed_messages(lines, as_of))

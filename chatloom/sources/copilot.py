@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.functions.parsing import as_messages, as_sessions, base_name, block, canonical_json, fences, iso_time, json_lines, no_blocks, usage
+from chatloom.functions.parsing import as_sessions, base_name, block, canonical_json, fences, iso_time, json_lines, no_blocks, numbered, placed, usage
 
 PROVIDER = "copilot_cli"
 SCHEMA = (
@@ -95,8 +95,12 @@ def checkpoint_rows(checkpoints: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
-def messages(files: DataFrame, events: DataFrame, checkpoints: DataFrame, as_of: Column) -> DataFrame:
+def placed_messages(files: DataFrame, events: DataFrame, checkpoints: DataFrame, as_of: Column) -> DataFrame:
     rows = annotated(events).filter("not bad and role is not null")
     rows = rows.unionByName(checkpoint_rows(checkpoints, events).select(*[F.col(c).cast(t) for c, t in rows.dtypes]))
     named = workspaces(files).select("folder", F.coalesce("id", base_name(F.col("folder"))).alias("session_id"))
-    return as_messages(rows.join(named, "folder").drop("source_path").withColumnRenamed("folder", "source_path"), PROVIDER, as_of)
+    return placed(rows.join(named, "folder").drop("source_path").withColumnRenamed("folder", "source_path"), PROVIDER, as_of)
+
+
+def messages(files: DataFrame, events: DataFrame, checkpoints: DataFrame, as_of: Column) -> DataFrame:
+    return numbered(placed_messages(files, events, checkpoints, as_of))

@@ -2,29 +2,92 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, fields
 from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chatloom.functions.parsing import base_name, stem
+from chatloom.functions.parsing import base_name, numbered, stem
+from chatloom.operators.tables import materialized
 from chatloom.sources import claude, codex, copilot, gemini, opencode
 
 RAW = "source_path string, ord bigint, value string"
 
 
-def _read(spark: SparkSession, bases: list[str], pattern: str, whole: bool, keep: str) -> DataFrame:
-    """``ord`` follows the lines of a file: a split is read in order, and later splits of a file are later partitions."""
-    found = [b.rstrip("/") for b in bases if _exists(spark, b)]
-    out = spark.createDataFrame([], RAW)
-    if found:
+class Kind(NamedTuple):
+    """Files of a provider: what their names match, whether a file is one record, and which paths count."""
+
+    provider: str
+    pattern: str
+    whole: bool
+    keep: str
+
+
+#: The files that the tools write.
+KINDS = {
+    "claude": Kind("claude", "*.jsonl", False, r"/projects/[^/]+/[^/]+\.jsonl$"),
+    "history": Kind("claude", "history.jsonl", False, r"/history\.jsonl$"),
+    "workspaces": Kind("copilot", "workspace.yaml", True, r"/workspace\.yaml$"),
+    "events": Kind("copilot", "events.jsonl", False, r"/events\.jsonl$"),
+    "checkpoints": Kind("copilot", "index.md", True, r"/checkpoints/index\.md$"),
+    "chats": Kind("gemini", "session-*", True, r"/tmp/[^/]+/chats/session-[^/]*\.(?i:json)$"),
+    "projects": Kind("gemini", "projects.json", True, r"/projects\.json$"),
+    "rollouts": Kind("codex", "rollout-*", False, r"/\d{4}/\d{2}/\d{2}/rollout-[^/]*\.(?i:jsonl)$"),
+    "oc_sessions": Kind("opencode", "*.json", True, r"/session/[^/]+/[^/]+\.json$"),
+    "oc_messages": Kind("opencode", "*.json", True, r"/message/[^/]+/[^/]+\.json$"),
+    "oc_parts": Kind("opencode", "*.json", True, r"/part/[^/]+/[^/]+\.json$"),
+}
+
+
+def plain_path(path: Column) -> Column:
+    """Local paths without their scheme; others as they are."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def scanned_path() -> Column:
+    """The path of a scanned row's file; scans give it with its signs escaped."""
+    path = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
+    return plain_path(F.url_decode(path))
+
+
+def numbered_lines(lines: DataFrame) -> DataFrame:
+    """(source_path, ord, value) of lines (source_path, start, value) as a scan of text gives them; ``start``: of the split.
+
+    ``ord`` is the number of the line in its file, from 0 on, whatever the size of the splits and whatever else is read. The
+    lines of a split follow one another in its task; they are counted for each (file, split), the counts of a file summed
+    up (a row a split), and a number is what came before its split plus the place in it. No file is read by one task.
+    """
+    held = materialized(lines.withColumn("at", F.monotonically_increasing_id()), "lines")
+    splits = held.groupBy("source_path", "start").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("source_path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    return held.join(splits, ["source_path", "start"]).select("source_path", (F.col("before") + F.col("at") - F.col("first")).alias("ord"), "value")
+
+
+def read_paths(spark: SparkSession, paths: list[str], kind: str, recursive: bool = True) -> DataFrame:
+    """Raw rows of one kind of files in folders (``recursive``), or in the files that are named."""
+    own = KINDS[kind]
+    if not paths:
+        return spark.createDataFrame([], RAW)
+    scan = spark.read
+    if recursive:
         # folders are listed in parallel and recursively; names are filtered on the path, so case is free
-        raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(found, wholetext=whole)
-        path = F.regexp_replace("_metadata.file_path", "^file:/+", "/")
-        raw = raw.select(path.alias("source_path"), F.monotonically_increasing_id().alias("ord"), "value")
-        out = out.unionByName(raw.filter(F.col("source_path").rlike(keep)))
-    return out
+        scan = scan.option("recursiveFileLookup", True).option("pathGlobFilter", own.pattern)
+    rows = scan.text(paths if recursive else [_literal(p) for p in paths], wholetext=own.whole)
+    rows = rows.select(scanned_path().alias("source_path"), F.col("_metadata.file_block_start").alias("start"), "value").filter(F.col("source_path").rlike(own.keep))
+    return rows.select("source_path", F.lit(0).cast("long").alias("ord"), "value") if own.whole else numbered_lines(rows)
+
+
+def _literal(path: str) -> str:
+    """A path whose signs aren't taken for a pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def existing(spark: SparkSession, bases: list[str]) -> list[str]:
+    return [b.rstrip("/") for b in bases if _exists(spark, b)]
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -52,20 +115,8 @@ class Raw:
 
 def from_paths(spark: SparkSession, claude: list[str] = (), copilot: list[str] = (), gemini: list[str] = (), codex: list[str] = (), opencode: list[str] = ()) -> Raw:
     """Read base folders; several bases of a provider are one union."""
-    read = lambda bases, pattern, whole, keep: _read(spark, list(bases), pattern, whole, keep)
-    return Raw(
-        claude=read(claude, "*.jsonl", False, r"/projects/[^/]+/[^/]+\.jsonl$"),
-        history=read(claude, "history.jsonl", False, r"/history\.jsonl$"),
-        workspaces=read(copilot, "workspace.yaml", True, r"/workspace\.yaml$"),
-        events=read(copilot, "events.jsonl", False, r"/events\.jsonl$"),
-        checkpoints=read(copilot, "index.md", True, r"/checkpoints/index\.md$"),
-        chats=read(gemini, "session-*", True, r"/tmp/[^/]+/chats/session-[^/]*\.(?i:json)$"),
-        projects=read(gemini, "projects.json", True, r"/projects\.json$"),
-        rollouts=read(codex, "rollout-*", False, r"/\d{4}/\d{2}/\d{2}/rollout-[^/]*\.(?i:jsonl)$"),
-        oc_sessions=read(opencode, "*.json", True, r"/session/[^/]+/[^/]+\.json$"),
-        oc_messages=read(opencode, "*.json", True, r"/message/[^/]+/[^/]+\.json$"),
-        oc_parts=read(opencode, "*.json", True, r"/part/[^/]+/[^/]+\.json$"),
-    )
+    there = {p: existing(spark, list(own)) for p, own in {"claude": claude, "copilot": copilot, "gemini": gemini, "codex": codex, "opencode": opencode}.items()}
+    return Raw(**{kind: read_paths(spark, there[own.provider], kind) for kind, own in KINDS.items()})
 
 
 def all_sessions(raw: Raw) -> DataFrame:
@@ -77,10 +128,13 @@ def all_sessions(raw: Raw) -> DataFrame:
 
 
 def all_messages(raw: Raw, as_of: Column) -> DataFrame:
-    out = claude.messages(raw.claude, as_of)
-    for more in (gemini.messages(raw.chats, as_of), copilot.messages(raw.workspaces, raw.events, raw.checkpoints, as_of), codex.messages(raw.rollouts, as_of), opencode.messages(raw.oc_messages, raw.oc_parts, as_of)):
+    """Union of all providers' messages, numbered together."""
+    out = claude.placed_messages(raw.claude, as_of)
+    for more in (
+        gemini.placed_messages(raw.chats, as_of), copilot.placed_messages(raw.workspaces, raw.events, raw.checkpoints, as_of), codex.placed_messages(raw.rollouts, as_of), opencode.placed_messages(raw.oc_messages, raw.oc_parts, as_of),
+    ):
         out = out.unionByName(more)
-    return out
+    return numbered(out)
 
 
 def union(raw: Raw) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.functions.parsing import as_messages, as_sessions, block, canonical_json, fences, iso_time, json_lines, let, no_blocks, summed_usage, usage
+from chatloom.functions.parsing import as_sessions, block, canonical_json, fences, iso_time, json_lines, let, no_blocks, numbered, placed, summed_usage, usage
 
 PROVIDER = "gemini_cli"
 _PARTS = "array<struct<text:string>>"
@@ -84,7 +84,7 @@ def annotated(files: DataFrame) -> DataFrame:
     return rows.filter("bad or m is not null").withColumn("role", role).select("source_path", "bad", "role", F.when(F.col("role").isNotNull(), blocks(m, F.col("role"))).otherwise(no_blocks()).alias("content"))
 
 
-def messages(files: DataFrame, as_of: Column) -> DataFrame:
+def placed_messages(files: DataFrame, as_of: Column) -> DataFrame:
     rows = chats(files).select("source_path", F.col("r.sessionId").alias("session_id"), F.posexplode("r.messages").alias("ord", "m"))
     m = F.col("m")
     role = F.when(m["type"] == "user", "user").when(m["type"] == "gemini", "assistant")
@@ -93,4 +93,8 @@ def messages(files: DataFrame, as_of: Column) -> DataFrame:
         "source_path", "session_id", "ord", "role", m["id"].alias("message_id"), iso_time(m["timestamp"]).alias("timestamp"), blocks(m, F.col("role")).alias("content"), m["model"].alias("model"),
         usage(t.isNotNull(), t["input"], t["output"], t["cached"]).alias("token_usage"),
     )
-    return as_messages(out, PROVIDER, as_of)
+    return placed(out, PROVIDER, as_of)
+
+
+def messages(files: DataFrame, as_of: Column) -> DataFrame:
+    return numbered(placed_messages(files, as_of))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.functions.parsing import as_messages, as_sessions, base_name, block, canonical_json, fences, iso_time, json_lines, millis, no_blocks, usage
+from chatloom.functions.parsing import as_sessions, base_name, block, canonical_json, fences, iso_time, json_lines, millis, no_blocks, numbered, placed, usage
 
 PROVIDER = "opencode"
 SESSION = "id string, title string, directory string, cwd string, createdAt string, updatedAt string, time struct<created:bigint,updated:bigint>, model struct<modelID:string>"
@@ -78,6 +78,10 @@ def annotated(message_files: DataFrame, part_files: DataFrame) -> DataFrame:
     )
 
 
-def messages(message_files: DataFrame, part_files: DataFrame, as_of: Column) -> DataFrame:
+def placed_messages(message_files: DataFrame, part_files: DataFrame, as_of: Column) -> DataFrame:
     """Ordered by time (then file name)."""
-    return as_messages(annotated(message_files, part_files).filter("not bad and role is not null"), PROVIDER, as_of, sort_time=True)
+    return placed(annotated(message_files, part_files).filter("not bad and role is not null"), PROVIDER, as_of, by_time=True)
+
+
+def messages(message_files: DataFrame, part_files: DataFrame, as_of: Column) -> DataFrame:
+    return numbered(placed_messages(message_files, part_files, as_of))
