@@ -35,7 +35,7 @@ SHARE, MOST = 1.5, 2
 WEIGHTS = (3, 1, 2)
 SPREAD = 0.5
 #: Documents that are rounded one after another.
-BUCKET = 50_000
+BUCKET = 2_000
 #: Of a source's target, what its rates may miss it by before they are rounded; and the most steps to get there.
 EXACT, STEPS = 1e-9, 200
 
