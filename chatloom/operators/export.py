@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatloom.functions.parsing import utc_text
 from chatloom.operators.catalog import label, role_label
+from chatloom.operators.tables import materialized
+from chatloom.schema import MESSAGES, SESSIONS
 
 EXTENSIONS = {"markdown": "md", "json": "json", "html": "html"}
 
@@ -157,30 +161,87 @@ def export(sessions: DataFrame, messages: DataFrame, form: str) -> DataFrame:
 
 
 def file_names(sessions: DataFrame, form: str) -> DataFrame:
-    """(provider, session_id, file_name): the short name, with a hash of the id where sessions of a provider share it."""
+    """(provider, session_id, file_name): the short name, or one with the whole id where sessions of a provider share it.
+
+    No two sessions of a provider get one name: signs are escaped one to one, and who has a short id that is the start of
+    another one shares its short name.
+    """
     named = sessions.select("provider", "session_id", file_name(F.col("session_id"), form).alias("file_name")).distinct()
     shared = named.groupBy("provider", "file_name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    dot = f".{EXTENSIONS[form]}"
-    longer = F.concat(F.regexp_replace("file_name", r"\.[a-z]+$", "-"), F.left(F.md5(F.col("session_id").cast("binary")), F.lit(8)), F.lit(dot))
+    longer = _named(F.col("session_id"), form)
     return named.join(shared, ["provider", "file_name"], "left").select("provider", "session_id", F.when(F.col("n").isNull(), F.col("file_name")).otherwise(longer).alias("file_name"))
 
 
+#: Bytes of an escaped id in a file name; longer ones end in a digest of the whole id.
+LONGEST_NAME = 180
+
+
 def file_name(session_id: Column, form: str) -> Column:
-    return _cat("conversation-", F.regexp_replace(F.left(session_id, F.lit(8)), r"[^A-Za-z0-9_-]", "_"), f".{EXTENSIONS[form]}")
+    return _named(F.left(session_id, F.lit(8)), form)
+
+
+def _named(text: Column, form: str) -> Column:
+    safe = F.replace(F.replace(F.replace(F.url_encode(text), F.lit("+"), F.lit("%20")), F.lit("."), F.lit("%2E")), F.lit("*"), F.lit("%2A"))
+    short = F.when(F.length(safe) > LONGEST_NAME, _cat(F.left(safe, F.lit(LONGEST_NAME - 65)), "~", F.sha2(text.cast("binary"), 256))).otherwise(safe)
+    return _cat("conversation-", short, f".{EXTENSIONS[form]}")
+
+
+def write_documents(documents: DataFrame, path: str) -> DataFrame:
+    """Write each document (path, document) to a file of that name under a folder; (path, bytes) of what was written.
 
+    Tasks write to a name of their own and move the file when it is whole, so a task that is run again, or twice at a time,
+    leaves the same files, and no reader sees half of one. ``path`` is any place that Arrow's file systems reach. Files that
+    are there are replaced, others stay; null documents are empty files.
+    """
 
-def write_files(exported: DataFrame, path: str) -> None:
-    """One text file for each session in a folder of the file's name, by the cluster's own writers."""
-    exported.select("provider", "file_name", F.col("document").alias("value")).repartition("provider", "file_name").write.partitionBy("provider", "file_name").mode("overwrite").text(path)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        made: set[str] = set()
+        for batch in batches:
+            sizes = []
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                at = f"{root.rstrip('/')}/{name}"
+                folder, _, own = at.rpartition("/")
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
+                body = (text or "").encode()
+                early = f"{folder}/.{uuid.uuid4().hex}.part"
+                with store.open_output_stream(early) as out:
+                    out.write(body)
+                store.move(early, at)
+                sizes.append(len(body))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["path", "bytes"])
+
+    return materialized(documents.select(F.col("path"), F.col("document").cast("string")).mapInArrow(run, "path string, bytes long"), "files")
+
+
+def write_files(exported: DataFrame, path: str) -> DataFrame:
+    """One file for each session, under its name in a folder of its provider; (path, bytes) of them."""
+    return write_documents(exported.select(F.concat_ws("/", "provider", "file_name").alias("path"), "document"), path)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """(provider, file_name, document) of written files."""
-    found = spark.read.text(path, wholetext=True)
-    return found.select("provider", "file_name", F.regexp_replace("value", r"\n\z", "").alias("document"))
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    name = lambda k: F.regexp_extract("path", r"([^/]+)/([^/]+)$", k)
+    return found.select(name(1).alias("provider"), name(2).alias("file_name"), F.col("content").cast("string").alias("document"))
+
+
+def write_tables(sessions: DataFrame, messages: DataFrame, path: str) -> str:
+    """Normalised tables as Parquet, partitioned by provider, as a version of its own below ``path``; where that is.
+
+    Sessions are written last, and a version without them isn't one: readers see both tables of a version or none of it.
+    """
+    version = f"{path}/{uuid.uuid4().hex}"
+    messages.write.partitionBy("provider").parquet(f"{version}/messages")
+    sessions.write.partitionBy("provider").parquet(f"{version}/sessions")
+    return version
 
 
-def write_tables(sessions: DataFrame, messages: DataFrame, path: str) -> None:
-    """Normalised tables as Parquet, partitioned by provider."""
-    sessions.write.partitionBy("provider").mode("overwrite").parquet(f"{path}/sessions")
-    messages.write.partitionBy("provider").mode("overwrite").parquet(f"{path}/messages")
+def read_tables(spark: SparkSession, version: str) -> tuple[DataFrame, DataFrame]:
+    """Sessions and messages of a version."""
+    read = lambda name, shape: spark.read.schema(shape).parquet(f"{version}/{name}")
+    return read("sessions", SESSIONS), read("messages", MESSAGES)

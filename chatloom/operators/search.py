@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from chatloom.functions.parsing import let
 from chatloom.operators.catalog import label, role_label
-from chatloom.operators.tables import materialized
 
 K1, B = 1.2, 0.75
-#: Words of this many bytes or more are not indexed.
+#: Words of this many bytes or more are not indexed, unless an index is told otherwise.
 LONGEST = 40
 KEYS = ("provider", "session_id", "seq")
+FIELDS = ("content", "project")
 
 
 def block_text(content: Column) -> Column:
@@ -33,11 +33,11 @@ def documents(messages: DataFrame, sessions: DataFrame) -> DataFrame:
     )
 
 
-def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{IsAlphabetic}\p{N}]+"), lambda t: (t != "") & (F.octet_length(t) < LONGEST))
+def tokens(text: Column, longest: int = LONGEST) -> Column:
+    return F.filter(F.split(F.lower(text), r"[^\p{IsAlphabetic}\p{N}]+"), lambda t: (t != "") & (F.octet_length(t) < longest))
 
 
-def _runs(found: Column) -> Column:
+def runs(found: Column) -> Column:
     """(term, positions) of each distinct term: tokens are sorted in the row, and a run of equal ones is cut out."""
 
     def cut(s: Column) -> Column:
@@ -48,10 +48,10 @@ def _runs(found: Column) -> Column:
     return F.when(F.size(found) > 0, let(placed, cut))
 
 
-def postings(docs: DataFrame, fields: tuple = ("content", "project")) -> DataFrame:
+def postings(docs: DataFrame, fields: tuple = FIELDS) -> DataFrame:
     """(field, term, keys, tf, positions, dl). Terms are counted inside the row: distinct ones leave it, nothing is shuffled."""
     one = docs.select(*KEYS, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("t")) for f in fields])).alias("x"))
-    rows = one.select(*KEYS, "x.field", F.size("x.t").alias("dl"), F.explode(_runs(F.col("x.t"))).alias("q"))
+    rows = one.select(*KEYS, "x.field", F.size("x.t").alias("dl"), F.explode(runs(F.col("x.t"))).alias("q"))
     return rows.select("field", "q.term", *KEYS, F.size("q.positions").alias("tf"), "q.positions", "dl")
 
 
@@ -59,18 +59,18 @@ def term_stats(posted: DataFrame) -> DataFrame:
     return posted.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def field_stats(docs: DataFrame, fields: tuple = ("content", "project")) -> DataFrame:
+def field_stats(docs: DataFrame, fields: tuple = FIELDS) -> DataFrame:
     """(field, n_docs, avgdl): one row for each field."""
     one = docs.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.size(tokens(F.col(f))).alias("dl")) for f in fields])).alias("x"))
     return one.groupBy("x.field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("x.dl").alias("avgdl"))
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
+def query_terms(queries: DataFrame, longest: int = LONGEST) -> DataFrame:
     """(query, term) of (query, text); blank texts have none."""
-    return queries.select("query", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    return queries.select("query", F.explode(F.array_distinct(tokens(F.col("text"), longest))).alias("term"))
 
 
-def scored(docs: DataFrame, queries: DataFrame, fields: tuple = ("content", "project"), posted: DataFrame | None = None) -> DataFrame:
+def scored(docs: DataFrame, queries: DataFrame, fields: tuple = FIELDS, posted: DataFrame | None = None) -> DataFrame:
     """(query, keys, score, terms) of every document that holds a word of the query.
 
     Only postings of the queries' words are weighed; the words go to the postings (Spark sends them when they are few),
@@ -96,30 +96,6 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 200) -> DataFrame:
     return topk(scored(docs, queries).drop("terms"), k)
 
 
-def search_clauses(docs: DataFrame, text: str, must: list[str] = (), must_not: list[str] = (), phrases: list[str] = (), field: str | None = None, k: int = 200) -> DataFrame:
-    """One query with required and excluded words, phrases (words in a row in one field), and a field restriction."""
-    fields = (field,) if field else ("content", "project")
-    spark = docs.sparkSession
-    words = " ".join([text, *must, *phrases])
-    posted = materialized(postings(docs, fields), "postings")
-    hits = scored(docs, spark.createDataFrame([("q", words)], "query string, text string"), fields, posted)
-    required = sorted({w for m in must for w in m.lower().split()})
-    if required:
-        full = posted.filter(F.col("term").isin(*required)).groupBy(*KEYS).agg(F.count_distinct("term").alias("n")).filter(F.col("n") == len(required))
-        hits = hits.join(full, list(KEYS), "left_semi")
-    excluded = sorted({w for m in must_not for w in m.lower().split()})
-    if excluded:
-        hits = hits.join(posted.filter(F.col("term").isin(*excluded)), list(KEYS), "left_anti")
-    for phrase in phrases:
-        own = phrase.lower().split()
-        at = posted.filter(F.col("term") == own[0]).select(*KEYS, "field", F.explode("positions").alias("p"))
-        for n, word in enumerate(own[1:], 1):
-            more = posted.filter(F.col("term") == word).select(*KEYS, "field", F.explode("positions").alias("q")).withColumn("p", F.col("q") - n).drop("q")
-            at = at.join(more, [*KEYS, "field", "p"], "left_semi")
-        hits = hits.join(at, list(KEYS), "left_semi")
-    return topk(hits.drop("terms"), k)
-
-
 def snippet(text: Column, query: Column, width: int = 120, before: int = 60) -> Column:
     """A window around the first place of the whole query (else from the start), blanks joined, dots at cut ends."""
     at = F.instr(F.lower(text), F.lower(query)) - 1

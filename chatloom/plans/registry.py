@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatloom.functions import parsing
-from chatloom.operators import catalog, export, quality, search
+from chatloom.operators import catalog, export, index, quality, search
 from chatloom.operators.tables import materialized, shared_folder
 from chatloom.plans import synth
 from chatloom.plans.oracle import MESSAGE, SESSION, sql
-from chatloom.sources import claude, codex, copilot, files, gemini, opencode
+from chatloom.sources import claude, codex, copilot, files, gemini, manifest, opencode
 from chatloom.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,12 +36,20 @@ def as_of():
     return F.lit(AS_OF).cast("timestamp")
 
 
-_TABLES: dict[tuple[str, str, str], DataFrame] = {}
+_TABLES: dict[tuple[str, ...], DataFrame] = {}
+
+
+def _stamp(spark: SparkSession, d: str) -> str:
+    """Names, sizes and times of the files of ``conversations``, so that a changed folder is taken in again."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{d}/conversations.parquet")
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    return "|".join(sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in found))
 
 
 def held(spark: SparkSession, d: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A table that is written once for each application and folder, as logs are taken in once and then queried."""
-    key = (spark.sparkContext.applicationId, d, name)
+    """A table that is written once for each application and state of a folder, as logs are taken in once and then queried."""
+    key = (spark.sparkContext.applicationId, d, _stamp(spark, d), name)
     if key not in _TABLES:
         _TABLES[key] = materialized(make(), name)
     return _TABLES[key]
@@ -338,18 +347,23 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
     return held(spark, d, "docs", lambda: search.documents(messages(spark, d), sessions(spark, d)))
 
 
-def posted(spark: SparkSession, d: str) -> DataFrame:
+_INDEXES: dict[tuple[str, ...], index.Index] = {}
+
+
+def built(spark: SparkSession, d: str) -> index.Index:
     """The index: written once, as queries read few of its terms."""
-    return held(spark, d, "postings", lambda: search.postings(docs(spark, d)))
+    key = (spark.sparkContext.applicationId, d, _stamp(spark, d))
+    if key not in _INDEXES:
+        _INDEXES[key] = index.refresh(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", docs(spark, d))
+    return _INDEXES[key]
 
 
 def asked(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(QUERY_ROWS, "query string, text string")
 
 
-def hits(spark: SparkSession, d: str, k: int = 200) -> DataFrame:
-    scored = search.scored(docs(spark, d), asked(spark), posted=posted(spark, d)).withColumn("score", F.round("score", 9))
-    return search.topk(scored.drop("terms"), k)
+def hits(spark: SparkSession, d: str) -> DataFrame:
+    return index.topk(built(spark, d), asked(spark), 200, digits=9)
 
 
 @query("fts_extract_text", "SELECT provider, sid AS session_id, seq::BIGINT AS seq, content AS text FROM mb")
@@ -364,18 +378,19 @@ def _(spark, d):
 
 @query("fts_postings", "SELECT field, term, provider, session_id, seq::BIGINT AS seq, tf, dl::BIGINT AS dl FROM p", True)
 def _(spark, d):
-    return search.postings(docs(spark, d)).select("field", "term", "provider", "session_id", "seq", F.col("tf").cast("long").alias("tf"), F.col("dl").cast("long").alias("dl"))
+    """The stored index, taken apart again."""
+    return built(spark, d).postings().select("field", "term", "provider", "session_id", "seq", F.col("tf").cast("long").alias("tf"), F.col("dl").cast("long").alias("dl"))
 
 
 @query("fts_term_stats", "SELECT field, term, df FROM df", True)
 def _(spark, d):
-    return search.term_stats(posted(spark, d))
+    return built(spark, d).term_stats()
 
 
 @query("fts_search", "SELECT query, provider, session_id, seq::BIGINT AS seq, round(round(score, 9), 6) AS score FROM r", True)
 def _(spark, d):
     """Every hit, so that the whole ranking is compared; ``fts_topk`` has the limit."""
-    return hits(spark, d, 1 << 30).select("query", "provider", "session_id", "seq", F.round("score", 6).alias("score"))
+    return index.scored(built(spark, d), asked(spark), digits=9).select("query", "provider", "session_id", "seq", F.round("score", 6).alias("score"))
 
 
 @query("fts_topk", "SELECT query, provider, session_id, seq::BIGINT AS seq, rank::INT AS rank FROM r WHERE rank <= 200", True)
@@ -383,10 +398,43 @@ def _(spark, d):
     return hits(spark, d).select("query", "provider", "session_id", "seq", "rank")
 
 
-@query("fts_search_clauses", r"SELECT provider, session_id, seq::BIGINT AS seq FROM d WHERE list_contains(regexp_split_to_array(lower(content), '[^\p{L}\p{N}]+'), 'the') AND NOT list_contains(regexp_split_to_array(lower(content), '[^\p{L}\p{N}]+'), 'was') AND regexp_matches(lower(content), '(^|[^\p{L}\p{N}])of[^\p{L}\p{N}]+the([^\p{L}\p{N}]|$)')", True)
+#: Query texts, and what they mean in SQL (conditions on documents; words and phrases below).
+CLAUSE_ROWS = [
+    ("required", "+content:the -content:was +content:\"of the\" in"),
+    ("signs", "\"Of, the.\" -WAS."),
+    ("fields", "+role:Assistant +project:3 thon"),
+    ("operators", "to AND the NOT was OR in"),
+    ("whole", "provider:\"Gemini CLI\" +project:project-2"),
+    ("excluded", "-the"),
+    ("blank", "  "),
+    ("cut", "the-of nosuchword"),
+]
+
+
+def _word(text: str, field: str = "content") -> str:
+    """SQL: the words of ``text`` stand in a row in a field."""
+    return rf"regexp_matches(lower({field}), '(^|[^\p{{L}}\p{{N}}]){text.replace(' ', '[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}]+')}([^\p{{L}}\p{{N}}]|$)')"
+
+
+def _any(text: str) -> str:
+    return f"({_word(text)} OR {_word(text, 'project')})"
+
+
+_CLAUSES = {
+    "required": f"{_word('the')} AND NOT {_word('was')} AND {_word('of the')}",
+    "signs": f"{_any('of the')} AND NOT {_any('was')}",
+    "fields": f"role_label = 'Assistant' AND {_word('3', 'project')}",
+    "operators": f"{_any('to')} AND {_any('the')} AND NOT {_any('was')}",
+    "whole": _word("project 2", "project"),
+    "cut": _any("the of"),
+}
+
+
+@query("fts_search_clauses", " UNION ALL ".join(f"SELECT '{q}' AS query, provider, session_id, seq::BIGINT AS seq FROM d WHERE {where}" for q, where in _CLAUSES.items()), True)
 def _(spark, d):
-    """Required and excluded words and a phrase, in one field."""
-    return search.search_clauses(docs(spark, d), "in", must=["the"], must_not=["was"], phrases=["of the"], field="content", k=1 << 30).select("provider", "session_id", "seq")
+    """Query texts with required and excluded words, phrases, fields and operators, several at once."""
+    asked = spark.createDataFrame(CLAUSE_ROWS, "query string, text string")
+    return index.search_texts(built(spark, d), asked).select("query", "provider", "session_id", "seq")
 
 
 @query("fts_snippet", r"SELECT provider, session_id, seq::BIGINT AS seq, CASE WHEN st > 0 THEN '...' ELSE '' END || trim(regexp_replace(substr(content, st + 1, least(120, length(content) - st)), '\s+', ' ', 'g')) || CASE WHEN st + 120 < length(content) THEN '...' ELSE '' END AS snippet FROM (SELECT *, greatest(instr(lower(content), 'select') - 1 - 60, 0) AS st FROM d)", True)
@@ -408,48 +456,104 @@ def _(spark, d):
 _TOUCHED = "SELECT DISTINCT provider, sid AS session_id FROM c0 WHERE conv_id % 3 = 0 AND turn >= 2"
 
 
-def _manifest(spark: SparkSession, d: str, older: bool = False) -> DataFrame:
-    """Fingerprints of all sessions over their raw lines and files."""
-    raw = rendered(spark, d, older)
-    return held(spark, d, "manifest-older" if older else "manifest", lambda: incremental.fingerprints(files.union(raw).drop("kind"), files.session_files(raw)))
+def _log_files(raw: files.Raw) -> DataFrame:
+    """(path, document) of raw rows: each file whole, as it stands on a disk."""
+    rows = files.union(raw).withColumn("path", F.substring("source_path", 2, 1 << 20))
+    return rows.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "value"))), lambda x: x["value"]), "\n").alias("document"))
+
+
+def _bases(root: str) -> dict[str, list[str]]:
+    """Where the rendered logs of each provider stand below a folder."""
+    return {p: [f"{root}/{d}"] for p, d in (("claude", "c"), ("copilot", "p"), ("gemini", "g"), ("codex", "x"), ("opencode", "o"))}
+
 
+class Refreshed(NamedTuple):
+    """Folders of logs in their older state, and what a refresh found once they had grown."""
 
-def _older_docs(spark: SparkSession, d: str) -> DataFrame:
-    """The documents of the older state: what was said later in every third conversation isn't there."""
-    later = (F.col("timestamp") - 1735689600) % 3600 >= 10
-    third = F.regexp_extract("session_id", r"(\d+)$", 1).cast("long") % 3 == 0
-    return docs(spark, d).filter(~(third & later))
+    older: manifest.Change
+    change: manifest.Change
+
+
+_REFRESHED: dict[tuple[str, str, str], Refreshed] = {}
+
+
+def refreshed(spark: SparkSession, d: str) -> Refreshed:
+    """The older logs are written as files and read; then the files that differ are replaced, and the folders compared."""
+    key = (spark.sparkContext.applicationId, d, _stamp(spark, d))
+    if key not in _REFRESHED:
+        root = f"{shared_folder(spark)}/logs-{uuid.uuid4().hex}"
+        before, now = materialized(_log_files(rendered(spark, d, True)), "older-files"), _log_files(rendered(spark, d))
+        export.write_documents(before, root)
+        older = manifest.change(spark, _bases(root))
+        same = before.withColumnRenamed("document", "old")
+        export.write_documents(now.join(same, "path", "left").filter("old is null or old <> document").select("path", "document"), root)
+        _REFRESHED[key] = Refreshed(older, manifest.change(spark, _bases(root), older.manifest))
+    return _REFRESHED[key]
 
 
 @query("inc_changed", _TOUCHED)
 def _(spark, d):
-    return incremental.changed(_manifest(spark, d), _manifest(spark, d, True)).select("provider", "session_id")
+    """Sessions of files that are new or differ in size or time; no other file is opened."""
+    return refreshed(spark, d).change.touched
+
+
+def _fresh(change: manifest.Change) -> DataFrame:
+    """Search documents of the sessions that a refresh has read."""
+    return search.documents(files.all_messages(change.raw, as_of()), files.all_sessions(change.raw))
+
+
+class Stored(NamedTuple):
+    #: The index of the older logs, the documents of the refresh, and the index after it.
+    before: index.Index
+    fresh: DataFrame
+    after: index.Index
+
+
+_STORED: dict[tuple[str, ...], Stored] = {}
+
+
+def stored(spark: SparkSession, d: str) -> Stored:
+    """An index of the older logs that is refreshed with what changed in their folders."""
+    key = (spark.sparkContext.applicationId, d, _stamp(spark, d))
+    if key not in _STORED:
+        path, r = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", refreshed(spark, d)
+        before = index.refresh(spark, path, _fresh(r.older), r.older.touched, {"units": r.older.manifest.units})
+        fresh = materialized(_fresh(r.change), "fresh")
+        _STORED[key] = Stored(before, fresh, index.refresh(spark, path, fresh, r.change.touched, {"units": r.change.manifest.units}))
+    return _STORED[key]
 
 
 @query("inc_upsert", "SELECT provider, session_id, seq::BIGINT AS seq, content FROM d", True)
 def _(spark, d):
-    """The older state is stored and refreshed where lines have changed; what is stored then is what a full build gives."""
-    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
-    before, now = _manifest(spark, d, True), _manifest(spark, d)
-    incremental.refresh_stored(spark, _older_docs(spark, d), before, path)
-    incremental.refresh_stored(spark, docs(spark, d), incremental.changed(now, before), path)
-    return incremental.stored(spark, path).select("provider", "session_id", "seq", "content")
+    """The index of the older logs is refreshed where files have changed; what is stored then is what a full build gives."""
+    return stored(spark, d).after.docs().select("provider", "session_id", "seq", "content")
+
+
+@query("inc_search", "SELECT query, provider, session_id, seq::BIGINT AS seq, round(round(score, 9), 6) AS score FROM r", True)
+def _(spark, d):
+    """Searching the segments of a refreshed index gives the scores of a full build."""
+    return index.scored(stored(spark, d).after, asked(spark), digits=9).select("query", "provider", "session_id", "seq", F.round("score", 6).alias("score"))
 
 
 @query("inc_clear", "SELECT count(DISTINCT provider || '/' || sid)::BIGINT AS sessions_indexed, (SELECT count(*) FROM d)::BIGINT AS messages_indexed FROM c0", True)
 def _(spark, d):
     """After clearing, the next build takes every session."""
-    _, none = incremental.cleared(docs(spark, d), _manifest(spark, d, True))
-    return incremental.stats(docs(spark, d), incremental.changed(_manifest(spark, d), none))
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    index.refresh(spark, path, docs(spark, d))
+    none = index.clear(spark, path).stored("manifest", "provider string, session_id string, fingerprint string")
+    raw = rendered(spark, d)
+    now = incremental.fingerprints(files.union(raw).drop("kind"), files.session_files(raw))
+    touched = incremental.changed(now, none)
+    again = index.refresh(spark, path, docs(spark, d), touched, {"manifest": now})
+    return incremental.stats(again.docs(), again.stored("manifest", "provider string, session_id string, fingerprint string"))
 
 
 @query("inc_stats", f"SELECT count(DISTINCT t.provider || '/' || t.session_id)::BIGINT AS sessions_indexed, count(d.seq)::BIGINT AS messages_indexed, 0::BIGINT AS left_over FROM ({_TOUCHED}) t LEFT JOIN d USING (provider, session_id)", True)
 def _(spark, d):
     """What a refresh takes, and what is left to take with the manifest it leaves."""
-    before, now = _manifest(spark, d, True), _manifest(spark, d)
-    touched = incremental.changed(now, before)
-    after = incremental.changed(now, incremental.updated_manifest(before, touched))
-    return incremental.stats(docs(spark, d), touched).crossJoin(after.agg(F.count(F.lit(1)).alias("left_over")))
+    change = refreshed(spark, d).change
+    after = manifest.compared(change.manifest.files, change.manifest.files).agg(F.count(F.lit(1)).alias("left_over"))
+    return incremental.stats(stored(spark, d).fresh, change.touched).crossJoin(after)
 
 
 @query("inc_stream", "SELECT provider, sid AS session_id, seq::BIGINT AS seq, content FROM mb WHERE provider = 'codex_cli'")
@@ -555,7 +659,7 @@ def _(spark, d):
     return _hashed(export.to_html(sessions(spark, d), messages(spark, d)))
 
 
-@query("out_files", f"SELECT provider, 'conversation-' || left(session_id, 8) || CASE WHEN count(*) OVER (PARTITION BY provider, left(session_id, 8)) > 1 THEN '-' || left(md5(session_id), 8) ELSE '' END || '.md' AS file_name, md5(document) AS document FROM ({_MARKDOWN})")
+@query("out_files", f"SELECT provider, 'conversation-' || CASE WHEN count(*) OVER (PARTITION BY provider, left(session_id, 8)) > 1 THEN session_id ELSE left(session_id, 8) END || '.md' AS file_name, md5(document) AS document FROM ({_MARKDOWN})")
 def _(spark, d):
     """Written under their names, and read again."""
     path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
@@ -563,12 +667,15 @@ def _(spark, d):
     return export.read_files(spark, path).select("provider", "file_name", F.md5(F.col("document").cast("binary")).alias("document"))
 
 
-@query("out_tables", f"SELECT {SESSION} FROM s")
+@query("out_tables", "SELECT s.provider, s.session_id, project_name, started, message_count, count(m.seq)::BIGINT AS messages, md5(coalesce(string_agg(m.joined, '|' ORDER BY m.seq), '')) AS body FROM s LEFT JOIN mb m ON m.provider = s.provider AND m.sid = s.session_id GROUP BY ALL HAVING true")
 def _(spark, d):
-    """Written by provider and read again."""
+    """Sessions and messages published as one version, and both read again."""
     path = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
-    export.write_tables(sessions(spark, d), messages(spark, d), path)
-    return session_rows(spark.read.parquet(f"{path}/sessions"))
+    sessions_, messages_ = export.read_tables(spark, export.write_tables(sessions(spark, d), messages(spark, d), path))
+    said = messages_.select("provider", "session_id", "seq", F.array_join(F.transform("content", lambda b: b["text"]), "|").alias("body"))
+    own = said.groupBy("provider", "session_id").agg(F.count(F.lit(1)).alias("messages"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "body"))), lambda x: x["body"]), "|").alias("body"))
+    out = sessions_.join(own, ["provider", "session_id"], "left")
+    return out.select("provider", "session_id", "project_name", F.unix_timestamp("started_at").alias("started"), "message_count", F.coalesce("messages", F.lit(0)).cast("long").alias("messages"), F.md5(F.coalesce("body", F.lit("")).cast("binary")).alias("body"))
 
 
 # ---- quality
