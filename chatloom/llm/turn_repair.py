@@ -7,7 +7,7 @@ turn of user or assistant); a truncated turn that stays costs 3 more. Of the che
 
 The search goes over nodes (turns done, state); the state says which role is due. Each node has an explicit place on a stack;
 children are taken in the order of their letters. A node is dropped if its cost and the lower bound of what is left exceed the
-incumbent (cost, audit) of every state it can still end in, or if the table of its node holds a better (cost, audit): costs
+incumbent (cost, audit), or if the table of its node holds a better (cost, audit): costs
 add up, and of two different audits of one cost at one node neither is the start of the other, so the worse stays worse
 whatever follows. The bound of a suffix is the least cost of its turns from each state, found backward.
 
@@ -50,60 +50,63 @@ def after_keep(state: int, initial: str) -> int | None:
     return USER if initial == "u" and state != USER else None
 
 
-def moves(state: int, turn: tuple[str, int] | None) -> Iterator[tuple[str, int, int, int]]:
-    """(letter, cost, turns taken, state after) of the edits at a turn (initial, fault), in the order of the letters."""
-    if turn is not None:
-        yield "D", DELETE, 1, state
+def moves(state: int, initial: str, fault: int) -> Iterator[tuple[str, int, int, int]]:
+    """(letter, cost, turns taken, state after) of the edits at a turn, in the order of the letters."""
+    yield "D", DELETE, 1, state
     yield "I", INSERT, 0, NEXT[state][0]
-    if turn is not None and turn[1] not in (BLANK, DUPLICATE):
-        more = TRUNCATED if turn[1] == CUT else 0
-        kept = after_keep(state, turn[0])
+    if fault not in (BLANK, DUPLICATE):
+        more = TRUNCATED if fault == CUT else 0
+        kept = after_keep(state, initial)
         if kept is not None:
             yield "K", KEEP + more, 1, kept
         yield "R", REROLE + more, 1, NEXT[state][0]
 
 
-def suffix_bounds(turns: list[tuple[str, int]]) -> list[list[list[float]]]:
-    """bounds[i][state][end]: least cost of turns i and later from a state to an end."""
-    inf = float("inf")
+#: The edits of each kind of turn and state, last letter first; after the last turn there are only inserts.
+_INITIALS = {"s": 0, "u": 1, "a": 2}
+_MOVES = [[[tuple(reversed(list(moves(q, i, f)))) for q in range(4)] for f in range(4)] for i in ("s", "u", "a", "")]
+_LAST = [(("I", INSERT, 0, NEXT[q][0]),) for q in range(4)]
+_INF = float("inf")
 
-    def closed(row: list[list[float]]) -> list[list[float]]:
-        # inserts lead from state to state before the next turn; two of them return, so three rounds reach everything
-        for _ in range(3):
-            for q in range(4):
-                row[q] = [min(own, INSERT + via) for own, via in zip(row[q], row[NEXT[q][0]])]
-        return row
 
-    out = [closed([[0.0 if q == e else inf for e in range(4)] for q in range(4)])]
+def _edits(turn: tuple[str, int]) -> list[tuple]:
+    return _MOVES[_INITIALS.get(turn[0], 3)][turn[1]]
+
+
+def suffix_bounds(turns: list[tuple[str, int]], ends: tuple) -> list[list[float]]:
+    """bounds[i][state]: least cost of turns i and later from a state to one of ``ends``."""
+
+    def closed(row: list[float]) -> list[float]:
+        # what an insert leads to; two of them return to a state, so each is looked at once
+        none, system, user, answer = row
+        user = min(user, INSERT + answer)
+        return [min(none, INSERT + user), min(system, INSERT + user), user, min(answer, INSERT + user)]
+
+    out = [closed([0.0 if q in ends else _INF for q in range(4)])]
     for turn in reversed(turns):
-        row = []
-        for q in range(4):
-            ways = [(cost, out[-1][after]) for _, cost, taken, after in moves(q, turn) if taken]
-            row.append([min(cost + way[e] for cost, way in ways) for e in range(4)])
-        out.append(closed(row))
+        last = out[-1]
+        out.append(closed([min(cost + last[after] for _, cost, taken, after in edits if taken) for edits in _edits(turn)]))
     return out[::-1]
 
 
-def search(turns: list[tuple[str, int]], start: int, ends: tuple = (NONE, SYSTEM, USER, ANSWER), bounds: list | None = None) -> dict[int, tuple[int, str]]:
-    """The best (cost, audit) from the state ``start`` to each of ``ends`` that can be reached."""
-    bounds = suffix_bounds(turns) if bounds is None else bounds
-    incumbent: dict[int, tuple[int, str]] = {}
-    table: dict[tuple[int, int], tuple[int, str]] = {}
+def search(turns: list[tuple[str, int]], start: int, ends: tuple, bounds: list[list[float]] | None = None) -> tuple[int, str, int] | None:
+    """The best (cost, audit, end) from the state ``start`` to one of ``ends``, none if none can be reached."""
+    bounds = suffix_bounds(turns, ends) if bounds is None else bounds
+    steps = [_edits(t) for t in turns] + [_LAST]
+    incumbent: tuple[float, str, int] = (_INF, "", 0)
+    table: dict[tuple[int, int], tuple[float, str]] = {}
     stack: list[tuple[int, int, int, str]] = [(0, start, 0, "")]
-    worst = (float("inf"), "")
     while stack:
         i, state, cost, audit = stack.pop()
-        low = bounds[i][state]
-        if not any((cost + low[e], audit) <= incumbent.get(e, worst) and low[e] < worst[0] for e in ends):
-            continue
-        if table.get((i, state), worst) <= (cost, audit):
+        low = cost + bounds[i][state]
+        if low == _INF or (low, audit) > incumbent[:2] or table.get((i, state), (_INF, "")) <= (cost, audit):
             continue
         table[i, state] = (cost, audit)
         if i == len(turns) and state in ends:
-            incumbent[state] = min(incumbent.get(state, worst), (cost, audit))
-        turn = turns[i] if i < len(turns) else None
-        stack.extend((i + taken, after, cost + more, audit + letter) for letter, more, taken, after in reversed(list(moves(state, turn))))
-    return incumbent
+            incumbent = min(incumbent, (cost, audit, state))
+        for letter, more, taken, after in steps[i][state]:
+            stack.append((i + taken, after, cost + more, audit + letter))
+    return None if incumbent[0] == _INF else incumbent
 
 
 def applied(turns: Iterator[tuple[str, str]], audit: str, state: int) -> Iterator[tuple[str, str, str]]:
@@ -125,14 +128,18 @@ _PIECE = "piece long, conv long, first int, last int, initial string, final stri
 _LEGAL = ("su", "ua", "au")
 
 
-def _summary(piece: int, conv: int | None, rows: list[tuple], whole_before: bool) -> dict:
-    """What a piece of a conversation adds up to. ``rows``: (turn, initial of the role, fault)."""
+def _summary(piece: int, conv: int | None, rows: list[tuple], first: bool, last: bool) -> dict:
+    """What a piece of a conversation adds up to. ``rows``: (turn, initial of the role, fault); ``first``, ``last``: known to be so."""
     faults = [f for *_, f in rows]
     turns = [(initial, f) for _, initial, f in rows]
-    bounds = suffix_bounds(turns)
     numbers = [t for t, *_ in rows if t is not None]
-    starts = (NONE,) if whole_before else (NONE, SYSTEM, USER, ANSWER)
-    ways = [{"start": s, "end": e, "cost": int(cost), "audit": audit} for s in starts for e, (cost, audit) in sorted(search(turns, s, bounds=bounds).items())]
+    ways = []
+    for ends in (ENDS,) if last else ((NONE,), (SYSTEM,), (USER,), (ANSWER,)):
+        bounds = suffix_bounds(turns, ends)
+        for start in (NONE,) if first else (NONE, SYSTEM, USER, ANSWER):
+            found = search(turns, start, ends, bounds)
+            if found is not None:
+                ways.append({"start": start, "end": found[2], "cost": int(found[0]), "audit": found[1]})
     pairs = (a[0] + b[0] for a, b in zip(turns, turns[1:]))
     return {
         "piece": piece, "conv": conv, "initial": turns[0][0], "final": turns[-1][0], "least": numbers[0] if numbers else None, "most": numbers[-1] if numbers else None, "turns": len(set(numbers)),
@@ -145,24 +152,20 @@ def fault(text: Column, again: Column) -> Column:
     return F.when(said == "", BLANK).when(again, DUPLICATE).when(~F.right(said, F.lit(1)).isin(".", "!", "?"), CUT).otherwise(0)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int | None, bool, list[tuple]]]:
-    """(place of the first row, conversation, whether it follows another one in its cut, rows) of sorted rows.
-
-    Rows (cut, at, kind, conv, …) of one cut and one conversation are a piece.
-    """
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], bool, bool]]:
+    """(rows, first, last): rows (cut, at, conv, …) of one cut and one conversation, in order, and whether another conversation
+    stands before and after them in the cut, so that they are known to hold its first and its last turn."""
     held: list[tuple] = []
-    cut = after = None
+    first = False
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if held and (row[0], row[3]) != (cut, held[0][3]):
-                yield held[0][1], held[0][3], after, held
-                held, after = [], row[0] == cut
-            if not held and row[0] != cut:
-                after = False
-            cut = row[0]
+            if held and (row[0], row[2]) != (held[0][0], held[0][2]):
+                same = row[0] == held[0][0]
+                yield held, first, same
+                held, first = [], same
             held.append(row)
     if held:
-        yield held[0][1], held[0][3], after, held
+        yield held, first, False
 
 
 def _answers(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
@@ -253,7 +256,7 @@ def repair(rows: DataFrame, conversations: DataFrame | None = None) -> Repaired:
     """Faults, cheapest edits and repaired turns of all conversations of ``rows`` (conv_id, turn, role, text).
 
     Turns are taken in the order of turn (none first), then role and text. Null roles and texts are one space. A row's first
-    fault counts: blank, duplicate (role and text stood earlier), truncated. Null conv_ids are a conversation of their own, repeated
+    fault counts: blank, duplicate (role and text stood earlier; told by 64-bit hashes inside a conversation), truncated. Null conv_ids are a conversation of their own, repeated
     rows are duplicates, very long texts are passed on whole, and further columns are ignored. ``conversations`` (conv_id) may
     name more of them, without rows: they cost nothing and have an empty audit. An empty table gives none.
     """
@@ -262,7 +265,7 @@ def repair(rows: DataFrame, conversations: DataFrame | None = None) -> Repaired:
     own = rows.select(F.col("conv_id").cast("long").alias("conv"), F.col("turn").cast("long").alias("turn"), plain("role").alias("role"), plain("text").alias("text"))
     order = ["conv", "turn", "role", "text"]
     ranged = own.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = written(ranged.withColumn("at", F.monotonically_increasing_id()).withColumn("told", F.sha2(F.concat_ws(":", F.octet_length("role"), "role", "text").cast("binary"), 256)), "turns")
+    placed = written(ranged.withColumn("at", F.monotonically_increasing_id()).withColumn("told", F.xxhash64("role", "text")), "turns")
     first = placed.groupBy("conv", "told").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("conv").alias("conv2"), F.col("told").alias("told2"), "first")
     same = F.col("conv").eqNullSafe(F.col("conv2")) & (F.col("told") == F.col("told2"))
     marked = placed.join(written(first, "repeated"), same, "left").withColumn("fault", fault(F.col("text"), F.coalesce("first", "at") < F.col("at")))
@@ -270,10 +273,10 @@ def repair(rows: DataFrame, conversations: DataFrame | None = None) -> Repaired:
     marked = written(marked.select(cut, "at", F.lit(1).alias("kind"), "conv", "turn", F.left("role", F.lit(1)).alias("initial"), "fault", "role", "text"), "marked")
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for at, conv, after, held in _pieces(batches):
-            yield _summary(at, conv, [r[4:] for r in held], bool(after))
+        for held, begins, ends in _pieces(batches):
+            yield _summary(held[0][1], held[0][2], [r[3:] for r in held], begins, ends)
 
-    summaries = _mapped(marked.drop("role", "text").repartition("cut").sortWithinPartitions("cut", "at"), summed, _PIECE)
+    summaries = _mapped(marked.drop("kind", "role", "text").repartition("cut").sortWithinPartitions("cut", "at"), summed, _PIECE)
     if conversations is not None:
         summaries = summaries.unionByName(conversations.select(F.col("conv_id").cast("long").alias("conv")).distinct(), allowMissingColumns=True)
     plan = written(_mapped(summaries.repartition("conv").sortWithinPartitions("conv", F.col("piece").asc_nulls_first()), _combined, _PLAN), "plan")
