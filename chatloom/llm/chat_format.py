@@ -7,7 +7,7 @@ Grammar (``\n`` is a line feed)::
 
 ``### `` and ``</turn>`` are control strings. Inside a text a control string is escaped by one backslash before it; where
 backslashes stand right before one already, it gets one more, so unescaping is exact. Inside a role, ``:``, ``\`` and
-line feeds are written ``\:``, ``\\`` and ``\n``; null is written ``\0``. The terminator can't occur in an escaped text,
+line feeds are written ``\c``, ``\\`` and ``\n``, so the first colon ends it; null is written ``\0``. The terminator can't occur in an escaped text,
 so a split at it is a deterministic parser.
 
 A text is first rendered as it is and parsed again; only where what comes back differs from the source is it escaped.
@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from chatloom.llm.util import table
 
 START, END = "### ", "</turn>"
-_CONTROL = r"(\\*)(### |</turn>)"
-_ESCAPED = r"\\(\\*)(### |</turn>)"
+# a run of backslashes is looked at once, from its start: texts may hold millions
+_CONTROL = r"(?<!\\)(\\*+)(### |</turn>)"
+_ESCAPED = r"(?<!\\)\\(\\*+)(### |</turn>)"
 _TAIL = "\n</turn>\n"
 
 
@@ -38,14 +39,14 @@ def unescape(text: Column) -> Column:
 
 def escape_role(role: Column) -> Column:
     out = F.replace(role, F.lit("\\"), F.lit("\\\\"))
-    out = F.replace(out, F.lit(":"), F.lit("\\:"))
+    out = F.replace(out, F.lit(":"), F.lit("\\c"))
     return F.coalesce(F.replace(out, F.lit("\n"), F.lit("\\n")), F.lit("\\0"))
 
 
 def unescape_role(role: Column) -> Column:
     # cut into escapes and runs between them, so that what follows a backslash pair is never taken for an escape
     parts = F.regexp_extract_all(role, F.lit(r"(?s)(\\.|[^\\]+)"), F.lit(1))
-    plain = lambda x: F.when(x == "\\n", "\n").when(x == "\\0", "").when(x.startswith("\\"), F.substring(x, 2, 1)).otherwise(x)
+    plain = lambda x: F.when(x == "\\n", "\n").when(x == "\\c", ":").when(x == "\\0", "").when(x.startswith("\\"), F.substring(x, 2, 1)).otherwise(x)
     return F.array_join(F.transform(parts, plain), "")
 
 
@@ -56,7 +57,7 @@ def render_turn(role: Column, text: Column) -> Column:
 def parse(formatted: Column) -> Column:
     """Array of (role, text) recovered from formatted text."""
     bodies = F.filter(F.split(formatted, r"\n</turn>\n"), lambda x: x != "")
-    head = r"(?s)^### ((?:\\.|[^:\\])*): (.*)$"
+    head = r"(?s)^### ([^:]*+): (.*)$"
     return F.transform(
         bodies,
         lambda x: F.struct(unescape_role(F.regexp_extract(x, head, 1)).alias("role"), unescape(F.regexp_extract(x, head, 2)).alias("text")),
@@ -67,8 +68,8 @@ def format_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "tu
     """One row for each conversation: conv_id, formatted, turns (recovered), loss_text, round_trip.
 
     Null text is empty, null role comes back as empty, null conv_id is a conversation of its own; turns with the same
-    number are ordered by role and text (nulls first), repeated rows are kept; other columns are ignored. Rows of a
-    conversation meet once, in one partial-less collect: a conversation is one output value by its nature.
+    number are ordered by role and text (nulls first), repeated rows are kept; other columns are ignored. Roles and texts
+    of any length are kept whole, and an empty table gives none. Rows of a conversation meet once, in one partial-less collect: a conversation is one output value by its nature.
     """
     source = F.coalesce(F.col(text).cast("string"), F.lit(""))
     plain = rows.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).cast("string").alias("role"), source.alias("source"))
