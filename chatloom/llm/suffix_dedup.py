@@ -326,7 +326,8 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     unlike = kept.filter("kinds > 1")
     asked = unlike.groupBy("row").agg(F.collect_list(F.struct("anchor", "first", "last", "times", "kinds", "content")).alias("asked"))
     parts = F.ceil(F.col("kinds") / SPLIT).cast("int")
-    cut = _bodies(asked.join(texts, "row"), length).withColumn("parts", parts).withColumn("salt", F.pmod("content", "parts").cast("int"))
+    # rows that are equal in id and text hold the same bytes: one of them is read
+    cut = _bodies(asked.join(texts.dropDuplicates(["row"]), "row"), length).withColumn("parts", parts).withColumn("salt", F.pmod("content", "parts").cast("int"))
     found = written(_search(cut.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt"), length), "found")
     inside = found.filter("kind = 0").select("row", "first", "last")
     across = written(_merge(found.filter("kind = 1")), "across")  # apart from the joins below, whose hot keys are split
@@ -408,7 +409,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carr
 
     Texts are UTF-8 bytes (null: empty); passages never cross documents; a text shorter than ``length`` keeps all.
     ``kept`` are the remaining bytes, ``spans`` the removed (start, end). Rows are told apart by a 64-bit hash of id and
-    text, so repeated rows (which remove each other), ties and null ids are ordinary cases. Columns named in ``carry`` are
+    text, so repeated rows (which remove each other), ties and null ids are ordinary cases; very long texts are worked on in
+    pieces, and an empty table gives none. Columns named in ``carry`` are
     passed through, others are ignored. ``size``: repeated passages of so many words are removed too, if shorter as well.
     """
     whole_text = F.coalesce(F.col("text").cast("string"), F.lit(""))
