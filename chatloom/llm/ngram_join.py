@@ -175,6 +175,15 @@ def differences_array(total: np.ndarray, percent: int) -> np.ndarray:
     return (100 - percent) * total // (100 + percent)
 
 
+#: Bytes of text whose signatures one bucket takes, which is about what they take themselves; a task holds a bucket.
+BUCKET_BYTES = 64 << 20
+
+
+def bucket_count(size: int, least: int) -> int:
+    """Buckets of signatures for texts of so many bytes: a bucket stays one size however many texts there are."""
+    return min(max(least, -(-size // BUCKET_BYTES)), 1 << 22)
+
+
 FACTS = "kind int, doc_id long, size long, name long, sig long, sketch array<long>, blob binary, bucket int"
 
 
@@ -334,7 +343,8 @@ def ngram_join(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataF
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("thash", F.xxhash64("text"))
-    facts = written(_facts(texts, n, percent, int(spark.conf.get("spark.sql.shuffle.partitions"))), "facts")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    facts = written(_facts(texts, n, percent, bucket_count(size, int(spark.conf.get("spark.sql.shuffle.partitions")))), "facts")
     rows = facts.filter("kind = 0").select("doc_id", "size", "name", F.col("sig").alias("thash"), "sketch")
     named = rows.filter("size > 0")
     shared = facts.filter("kind = 1").groupBy("name").agg(F.collect_set("sig").alias("sigs"))
