@@ -105,7 +105,8 @@ def write_token_files(docs: DataFrame, path: str, words: bool, end_id: int, id_c
 
     Columns: part (range of ids), segment (within the part), ahead (ids of the part before the segment), doc_ids,
     sizes (ids of each document, end id included), n_tokens, payload. One range shuffle of the texts brings the documents into order; null text is empty, rows with
-    the same id stay separate (ordered by text), null ids come first.
+    the same id stay separate (ordered by a hash of the text, then by it), null ids come first; very long texts are
+    encoded whole, an empty table gives no segment, and other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +139,9 @@ def write_token_files(docs: DataFrame, path: str, words: bool, end_id: int, id_c
 
     names = ["part", "segment", "ahead", "doc_ids", "sizes", "n_tokens", "payload"]
     types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    # rows of one id, or of none, may be many: they are told apart by their text
+    ordered = ordered.withColumn("own", F.xxhash64("text")).repartitionByRange("doc_id", "own").sortWithinPartitions("doc_id", "own", "text").select("doc_id", "text")
     return written(ordered.mapInArrow(tidy(run, True), "part int, segment int, ahead long, doc_ids array<long>, sizes array<long>, n_tokens long, payload binary"), "tokens")
 
 
