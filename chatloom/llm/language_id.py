@@ -7,7 +7,7 @@ frozen after training, so a text's exact code length is a sum of table entries:
 strings. Tables hold all languages side by side and are looked up with array operations.
 
 Training: a bounded sample of labelled rows for each language (``ROWS``), drawn by the hash of the id; of rows longer than
-``LONGEST`` bytes, drawn only where shorter ones are too few, the first ``LONGEST`` bytes are read. Every label is learned:
+``LONGEST`` bytes, drawn only where shorter ones are too few, pieces from the start to the end are read, as many bytes together. Every label is learned:
 the tables grow with the square of the number of languages, so beyond 16 of them each gets fewer rows (``CELLS``), and when
 it has one row only, fewer bytes. The tables are therefore bounded whatever the corpus.
 """
@@ -27,6 +27,8 @@ from chatloom.llm.util import carried, carried_kinds, crc32_of_id, documents, re
 ORDER = 4
 ROWS = 150
 LONGEST = 20_000
+#: Pieces in which a longer text is drawn.
+PIECES = 8
 #: Rows a language times the square of the number of languages, at most.
 CELLS = ROWS * 16 * 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -208,14 +210,23 @@ def sample(docs: DataFrame, rows: int = ROWS, longest: int = LONGEST) -> dict[st
     # equal rows are drawn as often as they were numbered
     keys = drawn.groupBy("lang", "doc_id", "hash").agg(F.count(F.lit(1)).alias("times")).select(F.col("lang").alias("l"), F.col("doc_id").alias("i"), F.col("hash").alias("h"), "times")
     same = (F.col("lang") == F.col("l")) & F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("hash") == F.col("h"))
-    # a character has a byte at least, so the first bytes are among as many characters
-    found = labelled.join(F.broadcast(keys), same).groupBy("lang", "doc_id", "hash").agg(F.first(F.substring("text", 1, window)).alias("text"), F.first("times").alias("times"))
+    found = labelled.join(F.broadcast(keys), same).groupBy("lang", "doc_id", "hash").agg(F.first(drawn_pieces(F.col("text"), window)).alias("pieces"), F.first("times").alias("times"))
     out: dict[str, list[bytes]] = {}
-    for lang, text, times in found.select("lang", "text", "times").collect():
-        out.setdefault(lang, []).extend([text.encode()[:window]] * times)
+    for lang, pieces, times in found.select("lang", "pieces", "times").collect():
+        most = window if len(pieces) == 1 else window // PIECES - 1
+        out.setdefault(lang, []).extend([b" ".join(p.encode()[:most] for p in pieces)] * times)
     return out
 
 
+def drawn_pieces(text: Column, window: int) -> Column:
+    """A text of at most ``window`` bytes whole; of a longer one, pieces at even distances from its start to its end."""
+    size = F.least(F.lit(window), F.length(text)) / PIECES
+    piece = F.greatest(size.cast("int"), F.lit(1))
+    at = lambda k: (1 + k * (F.length(text) - piece) / (PIECES - 1)).cast("int")
+    several = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda k: F.substring(text, at(k), piece))
+    return F.when(F.octet_length(text) > window, several).otherwise(F.array(text))
+
+
 def fit(docs: DataFrame, rows: int = ROWS) -> Model:
     """Learn from ``docs`` (doc_id, text, lang); rows without text or language teach nothing."""
     model = train(sample(docs, rows))
@@ -230,7 +241,8 @@ def predict(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Da
 
     bits: code length for each byte in the best language. score: how much shorter the best code is than the second
     best, as the logistic posterior of the two at one byte in eight, between 0 and 1; 0 for ``und``, 1 if one language
-    was learned. Ties go to the first language in order. Null text counts as empty.
+    was learned. Ties go to the first language in order. Null text counts as empty; very long texts are scored whole, repeated
+    rows each by itself; an empty table gives none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     languages = model.languages

@@ -79,6 +79,20 @@ def test_suffix_dedup_keeps_nothing_of_equal_rows(spark):
     assert got == Counter({(1, n): 2, (None, n): 1, (2, 0): 1})
 
 
+def test_suffix_dedup_reads_one_of_equal_rows(spark, monkeypatch):
+    """However often a row is repeated, its stretches are read once."""
+    rng = random.Random(32)
+    long = prose(rng, 200)
+    sent = []
+    bodies = suffix_dedup._bodies
+    monkeypatch.setattr(suffix_dedup, "_bodies", lambda asked, length: sent.append(util.written(bodies(asked, length), "bodies")) or sent[-1])
+    for copies in (2, 200):
+        rows = [(1, long)] * copies + [(2, long[:700] + " other " + long[700:])]
+        got = Counter((r.doc_id, r.n_removed) for r in suffix_dedup.remove_repeats(table(spark, rows)).collect())
+        assert got[(1, len(long))] == copies and len(got) == 2
+    assert sent[0].count() == sent[1].count()
+
+
 def test_suffix_arrays_in_pieces():
     rng = random.Random(1)
     for _ in range(30):
@@ -116,6 +130,17 @@ def test_chat_round_trip(spark):
     assert chat_format.format_conversations(df.filter("false")).count() == 0
 
 
+def test_chat_of_very_long_roles_and_texts(spark):
+    """Nothing recurses or starts anew at each character: megabytes of one sign, of escapes, of control strings."""
+    n = 1_000_000
+    rows = [(1, 0, "r" * n, "a"), (2, 0, ":" * n, "b"), (3, 0, "\\" * n, "c"), (4, 0, "\n:" * (n // 2), "d"), (5, 0, "assistant", "\\" * n + "### "), (6, 0, "assistant", "\\" * n), (7, 0, "assistant", "</turn>" * (n // 7)), (8, 0, "assistant", "x" * n)]
+    got = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    want = {c: (role, text) for c, _, role, text in rows}
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.round_trip and [(t["role"], t["text"]) for t in r.turns] == [want[r.conv_id]]
+
+
 def test_license_scan(spark):
     texts = [
         (1, "Released under the MIT License. mit license"), (2, "see the Apache--License, and GNU General Public License version 3"), (3, None), (4, ""), (5, "mit"), (6, "license mit"), (7, "...MIT\nlicense"),
@@ -297,6 +322,13 @@ def test_every_language_is_learned(spark):
     assert language_id.bounds(4, 150, 20_000) == (150, 20_000) and language_id.bounds(1000, 150, 20_000) == (1, 768)
 
 
+def test_long_texts_teach_from_all_of_them(spark):
+    text = "aaaa " * 20_000 + "bbbb " * 20_000 + "éééé " * 20_000
+    df = spark.createDataFrame([(1, text, "x"), (2, "short", "x")], "doc_id long, text string, lang string")
+    drawn = sorted(language_id.sample(df, longest=8000)["x"], key=len)
+    assert drawn[0] == b"short" and 7000 <= len(drawn[1]) <= 8000 and all(s in drawn[1] for s in (b"aaaa", b"bbbb", "éééé".encode()))
+
+
 def shingles(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return frozenset(tuple(w[k : k + 4]) for k in range(len(w) - 3)) if len(w) >= 4 else frozenset([tuple(w)] if w else [])
@@ -324,6 +356,19 @@ def test_ngram_join(spark, corpus, monkeypatch, small):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(k, len(sets[k]), find(k)) for k in sets}
 
 
+def test_buckets_follow_the_size_of_the_texts():
+    assert ngram_join.bucket_count(0, 2) == 2 and ngram_join.bucket_count(1 << 20, 200) == 200
+    assert ngram_join.bucket_count(100 << 40, 2) * ngram_join.BUCKET_BYTES >= 100 << 40
+
+
+def test_ngram_join_in_many_buckets(spark, corpus, monkeypatch):
+    """Small buckets and two shuffle partitions find the same groups."""
+    rows = table(spark, [(k, t) for k, (_, t) in enumerate(corpus)])
+    first = Counter(map(tuple, ngram_join.ngram_join(rows).select("doc_id", "component_id").collect()))
+    monkeypatch.setattr(ngram_join, "BUCKET_BYTES", 4000)
+    assert Counter(map(tuple, ngram_join.ngram_join(rows).select("doc_id", "component_id").collect())) == first
+
+
 def test_ngram_join_of_copies_right_at_the_threshold(spark, monkeypatch):
     """A cluster of copies of which many lie right at 80 percent of one another, in blocks: no link is lost."""
     monkeypatch.setattr(ngram_join, "SMALL", 2)
