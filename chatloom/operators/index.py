@@ -40,7 +40,7 @@ _DOCS = "doc bigint, chunk bigint, provider string, session_id string, seq bigin
 _POSTINGS = "field string, term string, chunk bigint, n int, most int, least int, entries array<struct<doc:bigint,tf:int,dl:int,positions:array<int>>>, bucket int"
 _TERMS = "field string, term string, df bigint, bucket int"
 _FIELDS = "field string, n_docs bigint, words bigint"
-_DEAD = "segment string, doc bigint"
+_DEAD = "segment string, doc bigint, chunk bigint"
 _SEGMENTS = "segment string, buckets int"
 #: Fields that match as a whole, and the column they are in.
 WHOLE = {"provider": "provider_label", "role": "role_label", "session_id": "session_id", "message_id": "message_id"}
@@ -213,7 +213,7 @@ def refresh(spark: SparkSession, path: str, docs: DataFrame, touched: DataFrame
         for f in FIELDS:
             less = less.unionByName(there.select(F.lit(f).alias("field"), "n_docs", F.lit(0).cast("long").alias("words")))
         minus = counts.select("field", "term", "df"), less
-        dead = dead.unionByName(gone.select("segment", "doc"))
+        dead = dead.unionByName(gone.select("segment", "doc", "chunk"))
     own = _write_segment(spark, path, fresh, lambda held: _entries(held, longest), minus)
     made = publish(spark, path, [*now.segments, own], dead, tables)
     return made if len(made.segments) <= most else merge(spark, path)
@@ -287,16 +287,18 @@ class Reader:
         return sums.join(self.index.dead(), ["segment", "doc"], "left_anti")
 
     def bounds(self) -> DataFrame:
-        """(query, segment, chunk, bound, n): no document of the chunk scores higher, and at least n hold a word."""
+        """(query, segment, chunk, bound, n): no document of the chunk scores higher, and at least n that are alive hold a word."""
         best = self._weight(F.col("most"), F.col("least"))
-        return self.rows.select("segment", "field", "term", "chunk", "n", "most", "least").join(self.weights, ["field", "term"]).groupBy("query", "segment", "chunk").agg(F.sum(best).alias("bound"), F.max("n").alias("n"))
+        rows = self.rows.select("segment", "field", "term", "chunk", "n", "most", "least").join(self.weights, ["field", "term"]).groupBy("query", "segment", "chunk").agg(F.sum(best).alias("bound"), F.max("n").alias("n"))
+        dead = self.index.dead().groupBy("segment", "chunk").agg(F.count(F.lit(1)).alias("dead"))
+        return rows.join(dead, ["segment", "chunk"], "left").select("query", "segment", "chunk", "bound", F.greatest(F.col("n") - F.coalesce("dead", F.lit(0)), F.lit(0)).alias("n"))
 
     def best(self, k: int) -> tuple[DataFrame, DataFrame]:
         """The hits (query, segment, doc, score) that may be among the best ``k`` of each query, and the chunks they come from.
 
         Chunks are taken from the highest bound on until they hold ``k`` hits; the k-th score of these is one that the others
         have to reach. Chunks with a bound below it are not opened. Of the others all documents are scored, so nothing is lost,
-        ties included; a query whose first chunks hold many dead documents opens more of them.
+        ties included.
         """
         slack = 1e-6  # sums in another order, and rounded scores
         ahead = F.coalesce(F.sum("n").over(Window.partitionBy("query").orderBy(F.col("bound").desc(), "segment", "chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
