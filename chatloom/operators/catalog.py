@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.functions.parsing import utc_text
@@ -104,27 +104,27 @@ def enabled_providers(sessions: DataFrame, slugs: list[str]) -> DataFrame:
     return sessions.filter(F.col("provider").isin(*names) if names else F.lit(False))
 
 
-def lookup(sessions: DataFrame, keys: DataFrame, shortest: int = 4) -> DataFrame:
+def lookup(sessions: DataFrame, keys: DataFrame) -> DataFrame:
     """For each ``key``, the first session whose id is the key or starts with it.
 
-    First by provider in lookup order, then newest. Keys of ``shortest`` characters or more meet sessions by an
-    equi-join on that prefix; shorter ones are compared with every session (a small stated set of keys).
+    First by provider in lookup order, then newest. Ids give their prefixes of the lengths that occur among the keys (as many
+    as the longest id has characters, at most); of each prefix the first session is kept while partial results are still in the
+    tasks, so a prefix that all sessions share moves a row a task, and keys meet it by equality. A key that no id starts
+    with gives no row, nor does a null one; the empty key is the start of all.
     """
-    key = F.length("key") >= shortest
-    held = sessions.select("provider", "session_id", "started_at", F.left("session_id", F.lit(shortest)).alias("head"))
-    long = keys.filter(key).withColumn("head", F.left("key", F.lit(shortest))).join(held, "head").filter(F.col("session_id").startswith(F.col("key")))
-    short = keys.filter(~key).join(held, F.expr("startswith(session_id, key)"))
-    columns = ["key", "provider", "session_id", "started_at"]
-    best = Window.partitionBy("key").orderBy(provider_rank(F.col("provider"), LOOKUP_ORDER), F.col("started_at").desc(), "session_id")
-    return long.select(*columns).unionByName(short.select(*columns)).withColumn("n", F.row_number().over(best)).filter("n = 1").drop("n")
+    sizes = [r.n for r in keys.select(F.length("key").alias("n")).filter("n is not null").distinct().collect()]
+    first = F.struct(
+        provider_rank(F.col("provider"), LOOKUP_ORDER).alias("rank"), F.coalesce(-F.unix_micros("started_at"), F.lit((1 << 63) - 1)).alias("age"), "session_id", "provider", "started_at"
+    )
+    starts = F.transform(F.filter(F.array(*[F.lit(n) for n in sizes]).cast("array<int>"), lambda n: n <= F.length("session_id")), lambda n: F.left(F.col("session_id"), n))
+    best = sessions.select(F.explode(starts).alias("key"), first.alias("s")).groupBy("key").agg(F.min("s").alias("s"))
+    return keys.select("key").distinct().join(best, "key").select("key", "s.provider", "s.session_id", "s.started_at")
 
 
 def capped(messages: DataFrame, most: int = 5000) -> DataFrame:
-    """The first ``most`` messages of each session, with how many there are."""
-    own = Window.partitionBy("provider", "session_id")
-    shown = messages.withColumn("n", F.row_number().over(own.orderBy("seq"))).filter(F.col("n") <= most).drop("n")
+    """The first ``most`` messages of each session (their numbers are dense), with how many there are."""
     totals = messages.groupBy("provider", "session_id").agg(F.count(F.lit(1)).alias("total"))
-    return shown.join(totals, ["provider", "session_id"])
+    return messages.filter(F.col("seq") < most).join(totals, ["provider", "session_id"])
 
 
 def transcript(messages: DataFrame, show_tools: bool = False, args_lines: int = 20, output_lines: int = 10, thinking_lines: int = 5) -> DataFrame:

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatloom.functions import parsing
@@ -16,6 +16,8 @@ from chatloom.plans import synth
 from chatloom.plans.oracle import MESSAGE, SESSION, sql
 from chatloom.sources import claude, codex, copilot, files, gemini, manifest, opencode
 from chatloom.streaming import incremental
+from chatloom.streaming import sessions as sessions_stream
+from chatloom.streaming.sessions import keyed_state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -558,30 +560,19 @@ def _(spark, d):
 
 @query("inc_stream", "SELECT provider, sid AS session_id, seq::BIGINT AS seq, content FROM mb WHERE provider = 'codex_cli'")
 def _(spark, d):
-    """Log files as a stream in two runs, the lines of every session dealt over both; what is upserted by then is read back."""
+    """Log files as a stream in two runs, the lines of every session cut into two files; the index then holds whole sessions."""
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    rank = F.percent_rank().over(Window.partitionBy("session").orderBy("ord"))
-    lines = rendered(spark, d).rollouts.withColumn("session", parsing.stem(F.col("source_path"))).withColumn("part", F.when(rank < 0.5, 0).otherwise(1))
-    lines = materialized(lines, "lines")
-
-    def named(lines):
-        return lines.withColumn("file", F.col("source_path")).withColumn("source_path", F.regexp_replace("file", r"^.*/session=([^/]+)/.*$", "/x/$1.jsonl"))
-
-    def sessions_of(lines):
-        one = named(lines.select("source_path"))
-        return one.select(F.col("file").alias("source_path"), F.lit("codex_cli").alias("provider"), parsing.stem(F.col("source_path")).alias("session_id")).distinct()
-
-    def build(lines):
-        order = Window.partitionBy("source_path").orderBy("file", "ord")
-        whole = named(lines).withColumn("ord", F.row_number().over(order).cast("long")).drop("file")
-        new = codex.messages(whole, as_of()).select("provider", "session_id", "seq", search.block_text(F.col("content")).alias("content"))
-        return materialized(new, "batch")
-
+    lines = rendered(spark, d).rollouts
+    half = lines.groupBy("source_path").agg((F.max("ord") / 2).alias("half"))
+    lines = lines.join(half, "source_path").withColumn("part", F.when(F.col("ord") < F.col("half"), 0).otherwise(1))
+    cut = F.concat(F.lit("part-"), F.col("part").cast("string"), F.col("source_path")).alias("path")
+    cut = lines.groupBy("part", cut).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "value"))), lambda x: x["value"]), "\n").alias("document"))
+    cut = materialized(cut, "cut")
     for part in (0, 1):
-        now = lines.filter(F.col("part") == part).repartition("session").sortWithinPartitions("session", "ord")
-        now.select("session", "value").write.partitionBy("session").text(f"{folder}/logs/part={part}")
-        incremental.stream_lines(spark, f"{folder}/logs", build, f"{folder}/docs", f"{folder}/state", sessions_of).awaitTermination()
-    return incremental.stored(spark, f"{folder}/docs").select("provider", "session_id", "seq", "content")
+        export.write_documents(cut.filter(F.col("part") == part), f"{folder}/logs")
+        with keyed_state(spark):
+            sessions_stream.stream_logs(spark, "codex", f"{folder}/logs", f"{folder}/index", f"{folder}/state", as_of(), lambda path: F.regexp_replace(path, "/part-[0-9]+/", "/")).awaitTermination()
+    return index.Index(spark, f"{folder}/index").docs().select("provider", "session_id", "seq", "content")
 
 
 # ---- sinks

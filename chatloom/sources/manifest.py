@@ -45,24 +45,28 @@ def listing(spark: SparkSession, bases: dict[str, list[str]]) -> DataFrame:
     rows = reduce(DataFrame.unionByName, found).dropDuplicates(["kind", "source_path"])
     path, kind = F.col("source_path"), F.col("kind")
     # a part names its message alone, so the name of the message's file tells the session
-    message = rows.filter(kind == "oc_messages").select(_base("message").alias("base"), stem(path).alias("message"), _session("message").alias("owner"))
-    parts = rows.filter(kind == "oc_parts").withColumn("base", _base("part")).withColumn("message", F.regexp_extract(path, r"/part/([^/]+)/[^/]+$", 1))
+    message = rows.filter(kind == "oc_messages").select(_base("message", path).alias("base"), stem(path).alias("message"), _session("message", path).alias("owner"))
+    parts = rows.filter(kind == "oc_parts").withColumn("base", _base("part", path)).withColumn("message", F.regexp_extract(path, r"/part/([^/]+)/[^/]+$", 1))
     parts = parts.join(message, ["base", "message"], "left").withColumn("unit", F.concat("base", F.lit("#"), "owner")).select("kind", "source_path", "unit", "size", "modified")
-    unit = (
+    return rows.filter(kind != "oc_parts").withColumn("unit", unit_of(kind, path)).select("kind", "source_path", "unit", "size", "modified").unionByName(parts)
+
+
+def unit_of(kind: Column, path: Column) -> Column:
+    """The unit of a file by its kind and path; null for kinds that belong to none, and for parts of OpenCode."""
+    return (
         F.when(kind.isin("claude", "chats", "rollouts"), path)
         .when(kind.isin("workspaces", "events", "checkpoints"), F.regexp_replace(path, r"/(workspace\.yaml|events\.jsonl|checkpoints/index\.md)$", ""))
-        .when(kind == "oc_sessions", F.concat(_base("session"), F.lit("#"), stem(path)))
-        .when(kind == "oc_messages", F.concat(_base("message"), F.lit("#"), _session("message")))
+        .when(kind == "oc_sessions", F.concat(_base("session", path), F.lit("#"), stem(path)))
+        .when(kind == "oc_messages", F.concat(_base("message", path), F.lit("#"), _session("message", path)))
     )
-    return rows.filter(kind != "oc_parts").withColumn("unit", unit).select("kind", "source_path", "unit", "size", "modified").unionByName(parts)
 
 
-def _base(folder: str) -> Column:
-    return F.regexp_extract("source_path", rf"^(.*)/{folder}/[^/]+/[^/]+$", 1)
+def _base(folder: str, path: Column) -> Column:
+    return F.regexp_extract(path, rf"^(.*)/{folder}/[^/]+/[^/]+$", 1)
 
 
-def _session(folder: str) -> Column:
-    return F.regexp_extract("source_path", rf"/{folder}/([^/]+)/[^/]+$", 1)
+def _session(folder: str, path: Column) -> Column:
+    return F.regexp_extract(path, rf"/{folder}/([^/]+)/[^/]+$", 1)
 
 
 @dataclass

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from chatloom.operators import export, search
+from chatloom.operators import catalog, export, search
 from chatloom.plans.registry import ORACLE_SQL, QUERIES
 from chatloom.streaming import incremental
 
@@ -129,6 +129,36 @@ def test_sessions_of_several_files_arrive_in_several_batches(spark, tmp_path):
     assert stored() == sorted([*first, ("s2", "a:2:five"), ("s2", "b:1:six")])
 
 
+def test_files_under_their_names(spark, tmp_path):
+    """Ids that share a short name, a digest's start, signs, or a length that no file name has."""
+    ids = ["rollout-2026-01-01T00-00-00-000000034183", "rollout-2026-01-01T00-00-00-000000061404", "rollout-", "alone-1234", "a/b", "a b", "a%20b", "a.b", "a+b", "ä日", "x" * 400 + "1", "x" * 400 + "2", "abc", "abcdefgh", "abcdefghi"]
+    rows = spark.createDataFrame([("codex_cli", i) for i in ids], "provider string, session_id string")
+    named = export.file_names(rows, "markdown")
+    names = {r.session_id: r.file_name for r in named.collect()}
+    assert len(set(names.values())) == len(ids) and names["alone-1234"] == "conversation-alone-12.md" and names["abc"] == "conversation-abc.md"
+    assert all(len(n.encode()) <= 255 and "/" not in n for n in names.values())
+    out = named.select("provider", "file_name", F.concat(F.lit("of "), "session_id").alias("document"))
+    for _ in range(2):  # written again, nothing is left over
+        export.write_files(out, str(tmp_path / "out"))
+        assert sorted(x.name for x in (tmp_path / "out" / "codex_cli").iterdir()) == sorted(names.values())
+    assert all((tmp_path / "out" / "codex_cli" / n).read_text() == f"of {i}" for i, n in names.items())
+    assert {(r.file_name, r.document) for r in export.read_files(spark, str(tmp_path / "out")).collect()} == {(n, f"of {i}") for i, n in names.items()}
+
+
+def test_lookup_by_prefix(spark):
+    ids = [("claude_code", "abc", 1), ("codex_cli", "abcd", 9), ("codex_cli", "abce", 9), ("gemini_cli", "x", 5), ("claude_code", "日本語", 2), ("opencode", "abz", None), ("codex_cli", "abz", 1)]
+    sessions = spark.createDataFrame(ids, "provider string, session_id string, at long").select("*", F.timestamp_seconds("at").alias("started_at"))
+    keys = ["abc", "abcd", "ab", "", "x", "xy", "日", "abz", None, "abc", "b"]
+    asked = spark.createDataFrame([(k,) for k in keys], "key string")
+    got = {r.key: (r.provider, r.session_id) for r in catalog.lookup(sessions, asked).collect()}
+    order = lambda r: (catalog.LOOKUP_ORDER.index(r[0]), r[2] is None, -(r[2] or 0), r[1])
+    want = {k: min((r for r in ids if r[1].startswith(k)), key=order, default=None) for k in set(keys) - {None}}
+    assert got == {k: v[:2] for k, v in want.items() if v}
+    assert catalog.lookup(sessions, asked.filter("false")).count() == catalog.lookup(sessions.filter("false"), asked).count() == 0
+    plan = catalog.lookup(sessions, asked)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_gemini_projects_come_from_the_table(spark, tmp_path):
     spark.createDataFrame([(3, 0, "user", "x"), (6, 0, "user", "x"), (10, 0, "user", "x")], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     from chatloom.plans import registry
