@@ -134,7 +134,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, cover
 
     Words are runs of letters and digits (bytes outside ASCII count as letters) in lower case. Null and empty texts share
     nothing (item_id null, coverage 0). An item with fewer than ``seed`` words is found where it stands as a whole;
-    repeated items each count. Equal coverage: the smallest item_id. Rows are told apart by a 64-bit hash of id and text.
+    repeated items each count; without items nothing is contaminated. Very long texts are compared whole, and an empty table
+    gives none. Equal coverage: the smallest item_id. Rows are told apart by a 64-bit hash of id and text.
     Columns named in ``carry`` are passed through, others are ignored.
     """
     spark = docs.sparkSession

@@ -51,8 +51,9 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, pivots: float = PIV
     """(vec_id, n_links, component_id, kept) of every row of (vec_id, embedding, label).
 
     Labels must be equal for a link. Vectors that are null, zero, or hold null or non-finite components, and rows without
-    label, link with nothing and are kept. Vectors of different dimension never link. Rows with the same id and vector
-    count as copies of one another; other columns are ignored.
+    label, link with nothing and are kept. Vectors of different dimension never link; of any dimension, all components count.
+    Rows with the same id and vector count as copies of one another, rows without id like others; an empty table gives
+    none; other columns are ignored.
     """
     spark = vectors.sparkSession
     kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"

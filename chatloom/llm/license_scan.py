@@ -115,7 +115,8 @@ def postings(idf: dict[str, float]) -> dict[str, list[tuple[int, int]]]:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Licences of every row: the columns of the contract and ``template`` (best covered one, or null).
 
-    Null and empty text have no words and score 0; repeated rows are scanned apart; other columns are ignored.
+    Null and empty text have no words and score 0; very long texts are scanned whole; repeated rows are scanned apart, rows
+    without id like others; an empty table gives none; other columns are ignored.
     """
     words = with_words(docs, id_col, text_col)
     index = postings(rarity(words))

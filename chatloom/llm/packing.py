@@ -34,7 +34,8 @@ def pieces(docs: DataFrame, path: str, words: bool, end_id: int, capacity: int =
     """(doc_id, piece, start, length, ids_crc32): token ids of each text and ``end_id``, cut where longer than capacity.
 
     A document of n ids gives ceil(n / capacity) pieces, all full but the first. Null text is empty (one piece of the
-    end id alone).
+    end id alone); texts of any length are encoded whole. Null and repeated ids are ordinary (repeated rows have pieces of
+    their own), an empty table gives none, and other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

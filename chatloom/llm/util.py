@@ -46,7 +46,8 @@ class Scratch:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what a batch of long texts takes in the executor and its Python worker."""
+    """Bound what a batch of long texts takes in the executor and its Python worker: a setting of the session, which stays so
+    unless it had a value of its own (results are read later than this returns)."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(name).rstrip("b") == str(64 << 20):
         spark.conf.set(name, str(BATCH))
