@@ -18,8 +18,9 @@ c0 AS (
 ), b AS (
   SELECT *, 0 AS pos, 'text' AS type, body AS btext, NULL AS language FROM m WHERE role <> 'system'
   UNION ALL SELECT *, 1, 'code_block', 'select ' || turn, 'sql' FROM m WHERE role = 'assistant'
-  UNION ALL SELECT *, 2, 'thinking', 'weighing ' || turn, NULL FROM m WHERE kind = 0 AND newer AND role = 'assistant'
-  UNION ALL SELECT *, 3, 'tool_use', '{"n":' || turn || '}', NULL FROM m WHERE kind = 0 AND newer AND role = 'assistant'
+  UNION ALL SELECT *, 2, 'thinking', 'weighing ' || turn, NULL FROM m WHERE kind IN (0, 2) AND newer AND role = 'assistant'
+  UNION ALL SELECT *, CASE WHEN kind IN (0, 2) THEN 3 ELSE 2 END, 'tool_use', '{"n":' || turn || '}', NULL FROM m WHERE kind IN (0, 1, 2, 4) AND newer AND role = 'assistant'
+  UNION ALL SELECT *, 3, 'tool_result', 'found ' || turn, NULL FROM m WHERE kind = 4 AND newer AND role = 'assistant'
   UNION ALL SELECT *, 1, 'tool_result', 'found ' || turn, NULL FROM m WHERE kind = 0 AND newer AND role = 'user'
   UNION ALL SELECT *, 0, 'error', text, NULL FROM m WHERE role = 'system'
 ), mb AS (

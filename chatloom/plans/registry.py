@@ -158,7 +158,7 @@ def _(spark, d):
     return gemini.projects(rendered(spark, d).projects).select("slug", "project_path")
 
 
-@query("src_opencode_parts", "SELECT message_id, CASE WHEN role = 'assistant' THEN 'text,code_block' ELSE 'text' END AS types FROM (SELECT *, sid || '-' || lpad(turn::VARCHAR, 4, '0') AS message_id FROM c0 WHERE kind = 4 AND newer)")
+@query("src_opencode_parts", "SELECT message_id, CASE WHEN role = 'assistant' THEN 'text,code_block,tool_use,tool_result' ELSE 'text' END AS types FROM (SELECT *, sid || '-' || lpad(turn::VARCHAR, 4, '0') AS message_id FROM c0 WHERE kind = 4 AND newer)")
 def _(spark, d):
     return opencode.part_blocks(rendered(spark, d).oc_parts).select("message_id", F.array_join(F.transform("parts", lambda b: b["type"]), ",").alias("types"))
 
@@ -259,9 +259,15 @@ _session_part("sess_summary_first_user", "summary", "provider <> 'claude_code'")
 _session_part("sess_project_name", "project_name")
 
 
-@query("sess_drop_rules", "SELECT provider, count(*)::BIGINT AS sessions FROM s GROUP BY provider")
+@query("sess_drop_rules", "SELECT provider, sid AS session_id, CASE WHEN conv_id % 4 = 1 THEN 0 ELSE said END::BIGINT + CASE WHEN kind = 4 THEN told ELSE 0 END::BIGINT AS message_count FROM (SELECT provider, sid, kind, conv_id, count(*) FILTER (WHERE role IN ('user', 'assistant')) AS said, count(*) FILTER (WHERE role = 'system') AS told FROM c0 GROUP BY ALL) WHERE CASE conv_id % 4 WHEN 1 THEN kind IN (1, 4) AND told > 0 WHEN 2 THEN kind = 1 OR kind = 0 AND said > 0 ELSE kind IN (1, 4) OR said > 0 END")
 def _(spark, d):
-    return sessions(spark, d).groupBy("provider").agg(F.count(F.lit(1)).alias("sessions"))
+    """Of every fourth conversation only the system's turns are left, and the next ones have no time: what stays a session?"""
+    rows = synth.table(spark, d)
+    raw = synth.render(rows.filter("conv_id % 4 <> 1 or role = 'system'"))
+    untimed = F.coalesce(F.regexp_extract("source_path", r"session-([0-9]+)", 1).try_cast("long") % 4 == 2, F.lit(False))
+    bare = F.regexp_replace(F.regexp_replace("value", r'"(timestamp|startTime|lastUpdated|createdAt|updatedAt)":"[^"]*"', '"$1":""'), r'"time":\{[^}]*\}', '"time":{}')
+    kept = files.split(files.union(raw).withColumn("value", F.when(untimed, bare).otherwise(F.col("value"))))
+    return files.all_sessions(kept).select("provider", "session_id", "message_count")
 
 
 # ---- catalog

@@ -2,8 +2,9 @@
 
 provider: by conv_id mod 5; project: by conv_id mod 7; times: 2025-01-01 plus conv_id hours plus 5 seconds a turn.
 Assistant texts get a fenced code block. Every other conversation uses the newer record layout of its provider. In the
-newer Claude Code layout assistants also think and call a tool, whose result stands in the user's message (it failed on odd
-turns); in the older Codex layout what the system says is an error.
+newer layouts of Claude Code, Copilot, Gemini and OpenCode assistants also call a tool; Claude Code and Gemini tell what they
+think, Claude Code has the result in the user's message, OpenCode beside the call (it failed on odd turns). In the older
+Codex layout what the system says is an error.
 """
 
 from __future__ import annotations
@@ -78,7 +79,7 @@ def render(rows: DataFrame) -> Raw:
     copilot = of(1)
     kind = F.when(F.col("role") == "user", "user.message").when(answer, "assistant.message").otherwise("session.info")
     flat = F.to_json(st(cat("e-", F.col("turn").cast("string")).alias("id"), kind.alias("type"), F.col("iso").alias("timestamp"), F.col("said").alias("content"), F.when(answer, st(F.col("input").alias("inputTokens"), F.col("output").alias("outputTokens"))).alias("usage")))
-    nested = F.to_json(st(cat("e-", F.col("turn").cast("string")).alias("id"), kind.alias("type"), F.col("iso").alias("timestamp"), st(F.col("said").alias("content")).alias("data")))
+    nested = F.to_json(st(cat("e-", F.col("turn").cast("string")).alias("id"), kind.alias("type"), F.col("iso").alias("timestamp"), st(F.col("said").alias("content"), F.when(answer, F.array(st(cat("c-", F.col("turn").cast("string")).alias("toolCallId"), F.lit("Lookup").alias("name"), st(F.col("turn").cast("long").alias("n")).alias("arguments")))).alias("toolRequests")).alias("data")))
     folder = cat("/p/", F.col("sid"))
     events = _lines(copilot, cat(folder, "/events.jsonl"), F.when(F.col("newer"), nested).otherwise(flat))
     bounds = copilot.groupBy("conv_id", "sid", "project").agg(F.min("iso").alias("a"), F.max("iso").alias("b"))
@@ -88,9 +89,12 @@ def render(rows: DataFrame) -> Raw:
     # Gemini CLI
     gemini = of(2)
     kind = F.when(F.col("role") == "user", "user").when(answer, "gemini").otherwise("info")
+    more = F.col("newer") & answer
+    thoughts = F.when(more, F.array(st(cat("weighing ", number).alias("description")))).alias("thoughts")
+    calls = F.when(more, F.array(st(call.alias("id"), F.lit("Lookup").alias("name"), st(F.col("turn").cast("long").alias("n")).alias("args")))).alias("toolCalls")
     message = lambda content: st(
         cat("g-", F.col("turn").cast("string")).alias("id"), F.col("iso").alias("timestamp"), kind.alias("type"), content.alias("content"),
-        F.when(answer, st(F.col("input").alias("input"), F.col("output").alias("output"))).alias("tokens"), F.when(answer, "model-g").alias("model"),
+        F.when(answer, st(F.col("input").alias("input"), F.col("output").alias("output"))).alias("tokens"), F.when(answer, "model-g").alias("model"), thoughts, calls,
     )
     one = F.when(F.col("newer"), F.to_json(message(F.array(st(F.col("said").alias("text")))))).otherwise(F.to_json(message(F.col("said"))))
     whole = gemini.groupBy("sid", "project").agg(F.min("iso").alias("a"), F.max("iso").alias("b"), F.array_join(F.transform(F.sort_array(F.collect_list(st("turn", one.alias("j")))), lambda x: x["j"]), ",").alias("m"))
@@ -121,6 +125,9 @@ def render(rows: DataFrame) -> Raw:
     old = F.to_json(st(mid.alias("id"), F.col("role").alias("role"), F.col("iso").alias("timestamp"), F.col("said").alias("content"), F.when(answer, st(F.col("input").alias("input"), F.col("output").alias("output"))).alias("tokens")))
     oc_messages = _files(opencode, cat("/o/message/", F.col("sid"), "/", mid, ".json"), F.when(F.col("newer"), new).otherwise(old))
     oc_parts = _files(opencode.filter("newer"), cat("/o/part/", mid, "/prt-001.json"), F.to_json(st(F.lit("text").alias("type"), F.col("said").alias("text"))))
+    state = st(F.when(F.col("turn") % 2 == 0, "completed").otherwise("error").alias("status"), st(F.col("turn").cast("long").alias("n")).alias("input"), cat("found ", number).alias("output")).alias("state")
+    tools = _files(opencode.filter(F.col("newer") & answer), cat("/o/part/", mid, "/prt-002.json"), F.to_json(st(F.lit("tool").alias("type"), F.lit("Lookup").alias("tool"), call.alias("callID"), state)))
+    oc_parts = oc_parts.unionByName(tools)
 
     none = claude_lines.filter("false")
     return Raw(claude_lines, history, workspaces, events, none, chats, projects, rollouts, oc_sessions, oc_messages, oc_parts)

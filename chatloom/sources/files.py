@@ -54,7 +54,7 @@ def scanned_path() -> Column:
 
 
 def numbered_lines(lines: DataFrame) -> DataFrame:
-    """(source_path, ord, value) of lines (source_path, start, value) as a scan of text gives them; ``start``: of the split.
+    """(kind, source_path, ord, value) of lines (kind, source_path, start, value) as scans of text give them; ``start``: of the split.
 
     ``ord`` is the number of the line in its file, from 0 on, whatever the size of the splits and whatever else is read. The
     lines of a split follow one another in its task; they are counted for each (file, split), the counts of a file summed
@@ -64,21 +64,33 @@ def numbered_lines(lines: DataFrame) -> DataFrame:
     splits = held.groupBy("source_path", "start").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("source_path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    return held.join(splits, ["source_path", "start"]).select("source_path", (F.col("before") + F.col("at") - F.col("first")).alias("ord"), "value")
+    return held.join(splits, ["source_path", "start"]).select("kind", "source_path", (F.col("before") + F.col("at") - F.col("first")).alias("ord"), "value")
 
 
-def read_paths(spark: SparkSession, paths: list[str], kind: str, recursive: bool = True) -> DataFrame:
-    """Raw rows of one kind of files in folders (``recursive``), or in the files that are named."""
-    own = KINDS[kind]
-    if not paths:
-        return spark.createDataFrame([], RAW)
-    scan = spark.read
+def scan_paths(spark: SparkSession, paths: list[str], kind: str, recursive: bool = True) -> DataFrame:
+    """(kind, source_path, start, value) of one kind of files in folders (``recursive``), or in the files that are named."""
+    own, scan = KINDS[kind], spark.read
     if recursive:
         # folders are listed in parallel and recursively; names are filtered on the path, so case is free
         scan = scan.option("recursiveFileLookup", True).option("pathGlobFilter", own.pattern)
     rows = scan.text(paths if recursive else [_literal(p) for p in paths], wholetext=own.whole)
-    rows = rows.select(scanned_path().alias("source_path"), F.col("_metadata.file_block_start").alias("start"), "value").filter(F.col("source_path").rlike(own.keep))
-    return rows.select("source_path", F.lit(0).cast("long").alias("ord"), "value") if own.whole else numbered_lines(rows)
+    return rows.select(F.lit(kind).alias("kind"), scanned_path().alias("source_path"), F.col("_metadata.file_block_start").alias("start"), "value").filter(F.col("source_path").rlike(own.keep))
+
+
+def with_numbers(spark: SparkSession, scans: list[DataFrame]) -> DataFrame:
+    """(kind, source_path, ord, value) of scans: lines with their numbers in their files, whole files as number 0."""
+    whole = [k for k, own in KINDS.items() if own.whole]
+    out = spark.createDataFrame([], f"kind string, {RAW}")
+    if scans:
+        rows = reduce(DataFrame.unionByName, scans)
+        out = out.unionByName(rows.filter(F.col("kind").isin(whole)).select("kind", "source_path", F.lit(0).cast("long").alias("ord"), "value"))
+        out = out.unionByName(numbered_lines(rows.filter(~F.col("kind").isin(whole))))
+    return out
+
+
+def read_paths(spark: SparkSession, paths: list[str], kind: str) -> DataFrame:
+    """Raw rows (source_path, ord, value) of one kind of files in folders."""
+    return with_numbers(spark, [scan_paths(spark, paths, kind)] if paths else []).drop("kind")
 
 
 def _literal(path: str) -> str:
@@ -116,7 +128,7 @@ class Raw:
 def from_paths(spark: SparkSession, claude: list[str] = (), copilot: list[str] = (), gemini: list[str] = (), codex: list[str] = (), opencode: list[str] = ()) -> Raw:
     """Read base folders; several bases of a provider are one union."""
     there = {p: existing(spark, list(own)) for p, own in {"claude": claude, "copilot": copilot, "gemini": gemini, "codex": codex, "opencode": opencode}.items()}
-    return Raw(**{kind: read_paths(spark, there[own.provider], kind) for kind, own in KINDS.items()})
+    return split(with_numbers(spark, [scan_paths(spark, there[own.provider], kind) for kind, own in KINDS.items() if there[own.provider]]))
 
 
 def all_sessions(raw: Raw) -> DataFrame:

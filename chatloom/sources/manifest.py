@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
-from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,12 +33,12 @@ SHARED = ("history", "projects")
 def listing(spark: SparkSession, bases: dict[str, list[str]]) -> DataFrame:
     """``files`` of the base folders of each provider; missing folders hold none. No file is opened."""
     found = []
-    for kind, own in KINDS.items():
-        there = files.existing(spark, list(bases.get(own.provider, ())))
-        if there:
-            scan = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", own.pattern).load(there)
-            path = files.plain_path(F.col("path"))
-            found.append(scan.select(F.lit(kind).alias("kind"), path.alias("source_path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified")).filter(path.rlike(own.keep)))
+    for provider in sorted({own.provider for own in KINDS.values()}):
+        there = files.existing(spark, list(bases.get(provider, ())))
+        if there:  # a scan of its columns but the content lists files and opens none
+            scan = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(there)
+            at = files.plain_path(F.col("path"))
+            found.append(scan.select(kind_of(at, provider).alias("kind"), at.alias("source_path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified")).filter("kind is not null"))
     if not found:
         return spark.createDataFrame([], FILES)
     rows = reduce(DataFrame.unionByName, found).dropDuplicates(["kind", "source_path"])
@@ -51,6 +50,15 @@ def listing(spark: SparkSession, bases: dict[str, list[str]]) -> DataFrame:
     return rows.filter(kind != "oc_parts").withColumn("unit", unit_of(kind, path)).select("kind", "source_path", "unit", "size", "modified").unionByName(parts)
 
 
+def kind_of(path: Column, provider: str) -> Column:
+    """The kind of a file of a provider, null for others."""
+    out = F.lit(None).cast("string")
+    for kind, own in KINDS.items():
+        if own.provider == provider:
+            out = F.when(path.rlike(own.keep), kind).otherwise(out)
+    return out
+
+
 def unit_of(kind: Column, path: Column) -> Column:
     """The unit of a file by its kind and path; null for kinds that belong to none, and for parts of OpenCode."""
     return (
@@ -101,10 +109,14 @@ class Change:
     opened: DataFrame
 
 
-def _blocks(rows: DataFrame, size: int) -> Iterator[list[str]]:
-    paths = (r.source_path for r in rows.select("source_path").orderBy("source_path").toLocalIterator())
-    while block := list(islice(paths, size)):
-        yield block
+def _blocks(rows: DataFrame, size: int) -> Iterator[tuple[str, list[str]]]:
+    """(kind, paths) of at most ``size`` paths, read from (kind, source_path) one part after another."""
+    held: dict[str, list[str]] = {}
+    for r in rows.toLocalIterator():
+        held.setdefault(r.kind, []).append(r.source_path)
+        if len(held[r.kind]) == size:
+            yield r.kind, held.pop(r.kind)
+    yield from held.items()
 
 
 def change(spark: SparkSession, bases: dict[str, list[str]], before: Manifest | None = None, named: int = NAMED) -> Change:
@@ -120,15 +132,13 @@ def change(spark: SparkSession, bases: dict[str, list[str]], before: Manifest |
     now = materialized(listing(spark, bases), "listing")
     units = materialized(compared(now, before.files).filter("unit is not null").select("unit").distinct(), "units")
     own = now.join(units, "unit", "left_semi").select("kind", "source_path")
-    opened = materialized(own.unionByName(now.filter(F.col("kind").isin(*SHARED)).select("kind", "source_path")), "opened")
-    held: dict[str, DataFrame] = {}
-    for kind, k in KINDS.items():
-        if first:
-            held[kind] = files.read_paths(spark, files.existing(spark, list(bases.get(k.provider, ()))), kind)
-            continue
-        read = [files.read_paths(spark, block, kind, recursive=False) for block in _blocks(opened.filter(F.col("kind") == kind), named)]
-        held[kind] = reduce(DataFrame.unionByName, read) if read else spark.createDataFrame([], files.RAW)
-    raw = files.split(materialized(files.union(Raw(**held)), "changed"))
+    opened = materialized(own.unionByName(now.filter(F.col("kind").isin(*SHARED)).select("kind", "source_path")).hint("rebalance"), "opened")
+    if first:
+        there = {p: files.existing(spark, list(own)) for p, own in bases.items()}
+        scans = [files.scan_paths(spark, there[k.provider], kind) for kind, k in KINDS.items() if there.get(k.provider)]
+    else:
+        scans = [files.scan_paths(spark, paths, kind, recursive=False) for kind, paths in _blocks(opened, named)]
+    raw = files.split(materialized(files.with_numbers(spark, scans), "changed"))
     found = files.session_files(raw).join(now.select("source_path", "unit"), "source_path").filter("unit is not null").select("unit", *SESSION).distinct()
     found = materialized(found, "found")
     gone = before.units.join(units, "unit", "left_semi")

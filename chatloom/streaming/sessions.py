@@ -64,15 +64,6 @@ class Units(StatefulProcessor):
 COLUMNS = ["unit", "source_path", "kind", "logical", "value"]
 
 
-def kind_of(path: Column, provider: str) -> Column:
-    """The kind of a file of a provider, null for others."""
-    out = F.lit(None).cast("string")
-    for kind, own in KINDS.items():
-        if own.provider == provider:
-            out = F.when(path.rlike(own.keep), kind).otherwise(out)
-    return out
-
-
 def raw_of(whole: DataFrame, shared: dict[str, DataFrame]) -> Raw:
     """Raw rows of whole files (kind, logical, source_path, value); files of one logical path follow one another by path."""
     lines = whole.withColumn("lines", F.split("value", "\r?\n"))
@@ -100,7 +91,7 @@ def stream_logs(spark: SparkSession, provider: str, folder: str, target: str, ch
     """
     path = F.col("source_path")
     rows = spark.readStream.format("text").option("recursiveFileLookup", True).option("wholetext", True).load(folder).select(files.scanned_path().alias("source_path"), "value")
-    named = rows.withColumn("logical", logical(path) if logical else path).withColumn("kind", kind_of(F.col("logical"), provider))
+    named = rows.withColumn("logical", logical(path) if logical else path).withColumn("kind", manifest.kind_of(F.col("logical"), provider))
     owned = named.withColumn("unit", manifest.unit_of(F.col("kind"), F.col("logical"))).filter("unit is not null")
     held = owned.groupBy("unit").transformWithStateInPandas(Units(), ", ".join(f"{c} string" for c in COLUMNS), "Append", "None")
 
