@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,21 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def once(make: Callable[[], object]) -> Callable[[], object]:
+    """Columns that depend on nothing are made once: a large expression takes longer to build than to plan."""
+    held: dict[int, object] = {}
+
+    @wraps(make)
+    def get() -> object:
+        key = id(SparkContext._gateway)
+        if key not in held:
+            held.clear()
+            held[key] = make()
+        return held[key]
+
+    return get
+
+
 def no_blocks() -> Column:
     return F.array().cast(_BLOCKS)
 

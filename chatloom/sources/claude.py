@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.functions.parsing import as_sessions, block, canonical_json, fences, first_by, from_variant, iso_time, json_lines, last_by, millis, no_blocks, numbered, placed, stem, summed_usage, usage
+from chatloom.functions.parsing import as_sessions, block, canonical_json, fences, first_by, from_variant, iso_time, json_lines, last_by, millis, no_blocks, numbered, once, placed, stem, summed_usage, usage
 
 PROVIDER = "claude_code"
 SCHEMA = (
@@ -90,13 +90,18 @@ def blocks(content: Column, role: Column) -> Column:
     return F.coalesce(whole(content), no_blocks())
 
 
+@once
+def _blocks() -> Column:
+    return blocks(F.col("r.message.content"), F.col("role"))
+
+
 def annotated(lines: DataFrame) -> DataFrame:
     role = F.when(F.col("r.type").isin("user", "assistant") & F.col("r.message").isNotNull(), F.col("r.type"))
     rows = _rows(lines, True).withColumn("role", F.when(~F.col("bad"), role))
     u = lambda n: F.col(f"r.message.usage.{n}")
     return rows.select(
         "source_path", "session_id", "ord", "bad", "role", F.col("r.uuid").alias("message_id"), iso_time(F.col("r.timestamp")).alias("timestamp"),
-        F.when(F.col("role").isNotNull(), blocks(F.col("r.message.content"), F.col("role"))).otherwise(no_blocks()).alias("content"),
+        F.when(F.col("role").isNotNull(), _blocks()).otherwise(no_blocks()).alias("content"),
         F.col("r.message.model").alias("model"),
         usage(F.col("r.message.usage").isNotNull(), u("input_tokens"), u("output_tokens"), u("cache_read_input_tokens"), u("cache_creation_input_tokens")).alias("token_usage"),
     )

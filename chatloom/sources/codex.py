@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.functions.parsing import as_sessions, block, canonical_json, fences, first_by, iso_time, json_lines, last_by, no_blocks, numbered, placed, stem
+from chatloom.functions.parsing import as_sessions, block, canonical_json, fences, first_by, iso_time, json_lines, last_by, no_blocks, numbered, once, placed, stem
 
 PROVIDER = "codex_cli"
 SCHEMA = "type string, content string, timestamp string, error string, tool_calls variant, payload struct<type:string,message:string,name:string,call_id:string,arguments:string,output:string>"
@@ -30,6 +30,7 @@ def sessions(lines: DataFrame) -> DataFrame:
     return as_sessions(out.filter("message_count > 0 and started_at is not null"), PROVIDER)
 
 
+@once
 def _content() -> tuple[Column, Column]:
     r = lambda n: F.col(f"r.{n}")
     some = lambda c: c.isNotNull() & (c != "")

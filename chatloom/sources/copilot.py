@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.functions.parsing import as_sessions, base_name, block, canonical_json, fences, iso_time, json_lines, no_blocks, numbered, placed, usage
+from chatloom.functions.parsing import as_sessions, base_name, block, canonical_json, fences, iso_time, json_lines, no_blocks, numbered, once, placed, usage
 
 PROVIDER = "copilot_cli"
 SCHEMA = (
@@ -54,6 +54,7 @@ def _role() -> Column:
     return F.when(kind.contains("user"), "user").when(kind.contains("assistant.message"), "assistant").when(kind.contains("tool"), "tool")
 
 
+@once
 def _content() -> Column:
     r = lambda n: F.col(f"r.{n}")
     kind = F.coalesce(r("type"), F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.functions.parsing import as_sessions, block, canonical_json, fences, iso_time, json_lines, let, no_blocks, numbered, placed, summed_usage, usage
+from chatloom.functions.parsing import as_sessions, block, canonical_json, fences, iso_time, json_lines, let, no_blocks, numbered, once, placed, summed_usage, usage
 
 PROVIDER = "gemini_cli"
 _PARTS = "array<struct<text:string>>"
@@ -81,7 +81,13 @@ def annotated(files: DataFrame) -> DataFrame:
     rows = chats(files, True).select("source_path", "bad", F.explode_outer(F.when(~F.col("bad"), F.col("r.messages"))).alias("m"))
     m = F.col("m")
     role = F.when(m["type"] == "user", "user").when(m["type"] == "gemini", "assistant")
-    return rows.filter("bad or m is not null").withColumn("role", role).select("source_path", "bad", "role", F.when(F.col("role").isNotNull(), blocks(m, F.col("role"))).otherwise(no_blocks()).alias("content"))
+    return rows.filter("bad or m is not null").withColumn("role", role).select("source_path", "bad", "role", F.when(F.col("role").isNotNull(), _blocks()).otherwise(no_blocks()).alias("content"))
+
+
+@once
+def _blocks() -> Column:
+    """Blocks of the message ``m`` under its ``role``."""
+    return blocks(F.col("m"), F.col("role"))
 
 
 def placed_messages(files: DataFrame, as_of: Column) -> DataFrame:
@@ -90,7 +96,7 @@ def placed_messages(files: DataFrame, as_of: Column) -> DataFrame:
     role = F.when(m["type"] == "user", "user").when(m["type"] == "gemini", "assistant")
     t = m["tokens"]
     out = rows.withColumn("role", role).filter("role is not null").select(
-        "source_path", "session_id", "ord", "role", m["id"].alias("message_id"), iso_time(m["timestamp"]).alias("timestamp"), blocks(m, F.col("role")).alias("content"), m["model"].alias("model"),
+        "source_path", "session_id", "ord", "role", m["id"].alias("message_id"), iso_time(m["timestamp"]).alias("timestamp"), _blocks().alias("content"), m["model"].alias("model"),
         usage(t.isNotNull(), t["input"], t["output"], t["cached"]).alias("token_usage"),
     )
     return placed(out, PROVIDER, as_of)
