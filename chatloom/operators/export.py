@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -194,10 +195,12 @@ def write_documents(documents: DataFrame, path: str) -> DataFrame:
     are there are replaced, others stay; null documents are empty files.
     """
 
+    uri = re.sub(r"^(file:)?/+", "file:///", path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        store, root = fs.FileSystem.from_uri(uri)
         made: set[str] = set()
         for batch in batches:
             sizes = []

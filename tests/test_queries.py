@@ -138,8 +138,8 @@ def test_files_under_their_names(spark, tmp_path):
     assert len(set(names.values())) == len(ids) and names["alone-1234"] == "conversation-alone-12.md" and names["abc"] == "conversation-abc.md"
     assert all(len(n.encode()) <= 255 and "/" not in n for n in names.values())
     out = named.select("provider", "file_name", F.concat(F.lit("of "), "session_id").alias("document"))
-    for _ in range(2):  # written again, nothing is left over
-        export.write_files(out, str(tmp_path / "out"))
+    for form in ("", "file:", "file://"):  # written again, nothing is left over
+        export.write_files(out, f"{form}{tmp_path / 'out'}")
         assert sorted(x.name for x in (tmp_path / "out" / "codex_cli").iterdir()) == sorted(names.values())
     assert all((tmp_path / "out" / "codex_cli" / n).read_text() == f"of {i}" for i, n in names.items())
     assert {(r.file_name, r.document) for r in export.read_files(spark, str(tmp_path / "out")).collect()} == {(n, f"of {i}") for i, n in names.items()}
