@@ -201,9 +201,10 @@ def refresh(spark: SparkSession, path: str, docs: DataFrame, touched: DataFrame
     on words are not indexed; it must be that of the segments that are there.
     """
     now = Index(spark, path)
-    keys = materialized((docs if touched is None else touched).select(*SESSION).distinct(), "touched")
-    fresh = docs.join(keys, SESSION, "left_semi")
-    dead, minus = now.dead(), None
+    dead, minus, fresh = now.dead(), None, docs
+    if touched is not None or now.segments:
+        keys = materialized((docs if touched is None else touched).select(*SESSION).distinct(), "touched")
+        fresh = docs.join(keys, SESSION, "left_semi")
     if now.segments:
         gone = materialized(now.docs().join(keys, SESSION, "left_semi"), "replaced")
         old = _entries(gone, longest)

@@ -67,14 +67,39 @@ def numbered_lines(lines: DataFrame) -> DataFrame:
     return held.join(splits, ["source_path", "start"]).select("kind", "source_path", (F.col("before") + F.col("at") - F.col("first")).alias("ord"), "value")
 
 
-def scan_paths(spark: SparkSession, paths: list[str], kind: str, recursive: bool = True) -> DataFrame:
-    """(kind, source_path, start, value) of one kind of files in folders (``recursive``), or in the files that are named."""
-    own, scan = KINDS[kind], spark.read
+def kind_of(path: Column, kinds: list[str]) -> Column:
+    """Which of the kinds a file is, null for others."""
+    out = F.lit(None).cast("string")
+    for kind in kinds:
+        out = F.when(path.rlike(KINDS[kind].keep), kind).otherwise(out)
+    return out
+
+
+def scan_paths(spark: SparkSession, paths: list[str], kinds: list[str], recursive: bool = True) -> DataFrame:
+    """(kind, source_path, start, value) of files in folders (``recursive``), or of the files that are named.
+
+    The kinds are all read whole, or all by lines; folders are listed once for all of them.
+    """
+    scan = spark.read
     if recursive:
         # folders are listed in parallel and recursively; names are filtered on the path, so case is free
-        scan = scan.option("recursiveFileLookup", True).option("pathGlobFilter", own.pattern)
-    rows = scan.text(paths if recursive else [_literal(p) for p in paths], wholetext=own.whole)
-    return rows.select(F.lit(kind).alias("kind"), scanned_path().alias("source_path"), F.col("_metadata.file_block_start").alias("start"), "value").filter(F.col("source_path").rlike(own.keep))
+        patterns = sorted({KINDS[k].pattern for k in kinds})
+        scan = scan.option("recursiveFileLookup", True).option("pathGlobFilter", "{" + ",".join(patterns) + "}")
+    rows = scan.text(paths if recursive else [_literal(p) for p in paths], wholetext=KINDS[kinds[0]].whole)
+    rows = rows.select(scanned_path().alias("source_path"), F.col("_metadata.file_block_start").alias("start"), "value")
+    return rows.select(kind_of(F.col("source_path"), kinds).alias("kind"), "source_path", "start", "value").filter("kind is not null")
+
+
+def scan_folders(spark: SparkSession, bases: dict[str, list[str]]) -> list[DataFrame]:
+    """Scans of the base folders of each provider; missing folders hold nothing."""
+    scans = []
+    for provider, own in bases.items():
+        there = existing(spark, list(own))
+        for whole in (True, False):
+            kinds = [k for k, kind in KINDS.items() if kind.provider == provider and kind.whole == whole]
+            if there and kinds:
+                scans.append(scan_paths(spark, there, kinds))
+    return scans
 
 
 def with_numbers(spark: SparkSession, scans: list[DataFrame]) -> DataFrame:
@@ -90,7 +115,7 @@ def with_numbers(spark: SparkSession, scans: list[DataFrame]) -> DataFrame:
 
 def read_paths(spark: SparkSession, paths: list[str], kind: str) -> DataFrame:
     """Raw rows (source_path, ord, value) of one kind of files in folders."""
-    return with_numbers(spark, [scan_paths(spark, paths, kind)] if paths else []).drop("kind")
+    return with_numbers(spark, [scan_paths(spark, paths, [kind])] if paths else []).drop("kind")
 
 
 def _literal(path: str) -> str:
@@ -127,8 +152,7 @@ class Raw:
 
 def from_paths(spark: SparkSession, claude: list[str] = (), copilot: list[str] = (), gemini: list[str] = (), codex: list[str] = (), opencode: list[str] = ()) -> Raw:
     """Read base folders; several bases of a provider are one union."""
-    there = {p: existing(spark, list(own)) for p, own in {"claude": claude, "copilot": copilot, "gemini": gemini, "codex": codex, "opencode": opencode}.items()}
-    return split(with_numbers(spark, [scan_paths(spark, there[own.provider], kind) for kind, own in KINDS.items() if there[own.provider]]))
+    return split(with_numbers(spark, scan_folders(spark, {"claude": claude, "copilot": copilot, "gemini": gemini, "codex": codex, "opencode": opencode})))
 
 
 def all_sessions(raw: Raw) -> DataFrame:

@@ -38,7 +38,7 @@ def listing(spark: SparkSession, bases: dict[str, list[str]]) -> DataFrame:
         if there:  # a scan of its columns but the content lists files and opens none
             scan = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(there)
             at = files.plain_path(F.col("path"))
-            found.append(scan.select(kind_of(at, provider).alias("kind"), at.alias("source_path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified")).filter("kind is not null"))
+            found.append(scan.select(files.kind_of(at, [k for k, own in KINDS.items() if own.provider == provider]).alias("kind"), at.alias("source_path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified")).filter("kind is not null"))
     if not found:
         return spark.createDataFrame([], FILES)
     rows = reduce(DataFrame.unionByName, found).dropDuplicates(["kind", "source_path"])
@@ -50,15 +50,6 @@ def listing(spark: SparkSession, bases: dict[str, list[str]]) -> DataFrame:
     return rows.filter(kind != "oc_parts").withColumn("unit", unit_of(kind, path)).select("kind", "source_path", "unit", "size", "modified").unionByName(parts)
 
 
-def kind_of(path: Column, provider: str) -> Column:
-    """The kind of a file of a provider, null for others."""
-    out = F.lit(None).cast("string")
-    for kind, own in KINDS.items():
-        if own.provider == provider:
-            out = F.when(path.rlike(own.keep), kind).otherwise(out)
-    return out
-
-
 def unit_of(kind: Column, path: Column) -> Column:
     """The unit of a file by its kind and path; null for kinds that belong to none, and for parts of OpenCode."""
     return (
@@ -134,10 +125,9 @@ def change(spark: SparkSession, bases: dict[str, list[str]], before: Manifest |
     own = now.join(units, "unit", "left_semi").select("kind", "source_path")
     opened = materialized(own.unionByName(now.filter(F.col("kind").isin(*SHARED)).select("kind", "source_path")).hint("rebalance"), "opened")
     if first:
-        there = {p: files.existing(spark, list(own)) for p, own in bases.items()}
-        scans = [files.scan_paths(spark, there[k.provider], kind) for kind, k in KINDS.items() if there.get(k.provider)]
+        scans = files.scan_folders(spark, bases)
     else:
-        scans = [files.scan_paths(spark, paths, kind, recursive=False) for kind, paths in _blocks(opened, named)]
+        scans = [files.scan_paths(spark, paths, [kind], recursive=False) for kind, paths in _blocks(opened, named)]
     raw = files.split(materialized(files.with_numbers(spark, scans), "changed"))
     found = files.session_files(raw).join(now.select("source_path", "unit"), "source_path").filter("unit is not null").select("unit", *SESSION).distinct()
     found = materialized(found, "found")

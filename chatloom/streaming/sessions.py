@@ -91,7 +91,7 @@ def stream_logs(spark: SparkSession, provider: str, folder: str, target: str, ch
     """
     path = F.col("source_path")
     rows = spark.readStream.format("text").option("recursiveFileLookup", True).option("wholetext", True).load(folder).select(files.scanned_path().alias("source_path"), "value")
-    named = rows.withColumn("logical", logical(path) if logical else path).withColumn("kind", manifest.kind_of(F.col("logical"), provider))
+    named = rows.withColumn("logical", logical(path) if logical else path).withColumn("kind", files.kind_of(F.col("logical"), [k for k, own in KINDS.items() if own.provider == provider]))
     owned = named.withColumn("unit", manifest.unit_of(F.col("kind"), F.col("logical"))).filter("unit is not null")
     held = owned.groupBy("unit").transformWithStateInPandas(Units(), ", ".join(f"{c} string" for c in COLUMNS), "Append", "None")
 
