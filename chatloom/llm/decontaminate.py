@@ -3,7 +3,8 @@
 Seeds are runs of ``SEED`` words that a text shares with a benchmark item, found by their Karp-Rabin fingerprints. Seeds
 on one diagonal join to longer matches. Tiling repeatedly marks the longest match that overlaps no marked word of either
 side (what is left of a partly covered match is tried again), so passages that were cut up and reordered are still
-covered. A document is contaminated by an item when its tiles cover ``COVER`` of the item's words.
+covered. A document is contaminated by an item when its tiles cover ``COVER`` of the item's words. Items are tiled in the
+order of what their seeds cover at most, and left out when that is below both the threshold and the best tiling.
 
 The benchmark is cut by hash into blocks of about ``BLOCK_BYTES``. All documents are compared with one block after another,
 so a task holds one block; what earlier blocks found (rows with a shared seed only) is joined to the documents for the last.
@@ -112,15 +113,21 @@ def _verdicts(index: Index, hashes: np.ndarray, at: np.ndarray, cover: float) ->
     out: dict[int, Found] = {}
     if not len(row):
         return out
-    order = np.lexsort((item, row))
-    row, place, item, start = row[order], place[order], item[order], start[order]
-    cut = [*np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (item[1:] != item[:-1])))).tolist(), len(row)]
-    for a, b in zip(cut, cut[1:]):
-        words = int(index.words[item[a]])
-        covered, tiles = tile(place[a:b], start[a:b], min(index.seed, words), words)
-        share = covered / words
-        r, name = int(row[a]), int(index.ids[item[a]])
+    length = np.minimum(index.seed, index.words[item])
+    # no more words can be covered than those that seeds cover on either side
+    group, first, most = _reach(row, item, start, length)
+    _, _, other = _reach(row, item, place, length)
+    row, place, item, start = row[group], place[group], item[group], start[group]
+    end = np.append(first[1:], len(row))
+    words, names = index.words[item[first]], index.ids[item[first]]
+    bound = np.minimum(most, other) / words
+    for k in np.lexsort((names, -bound, row[first])).tolist():
+        r, name, a, b = int(row[first[k]]), int(names[k]), int(first[k]), int(end[k])
         old = out.get(r)
+        if old is not None and bound[k] < cover and (bound[k], -name) < (old[1], -old[0]):
+            continue
+        covered, tiles = tile(place[a:b], start[a:b], min(index.seed, int(words[k])), int(words[k]))
+        share = covered / int(words[k])
         over = [*(old[3] if old else []), *([name] if share >= cover else [])]
         if old is None or (share, -name) > (old[1], -old[0]):
             out[r] = (name, share, tiles, over)
@@ -129,6 +136,16 @@ def _verdicts(index: Index, hashes: np.ndarray, at: np.ndarray, cover: float) ->
     return out
 
 
+def _reach(row: np.ndarray, item: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by (row, item, place), where each row and item begins in it, and how many places its seeds cover."""
+    order = np.lexsort((at, item, row))
+    row, item, at, length = row[order], item[order], at[order], length[order]
+    new = np.concatenate(([True], (row[1:] != row[:-1]) | (item[1:] != item[:-1])))
+    step = np.append(np.where(new[1:], length[:-1], np.minimum(at[1:] - at[:-1], length[:-1])), length[-1:])
+    first = np.flatnonzero(new)
+    return order, first, np.add.reduceat(step, first)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, cover: float = COVER, block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None) -> DataFrame:
     """One row for each document: contaminated, best item and its coverage, number of tiles, all items over ``cover``.
 

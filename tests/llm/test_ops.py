@@ -634,6 +634,32 @@ def test_tiling_matches_the_plain_algorithm():
         assert covered == plain(doc, item, 3)
 
 
+def test_only_items_that_can_matter_are_tiled(monkeypatch):
+    """Many items that share one phrase with a text are passed over; verdicts are those of tiling all of them."""
+    rng = random.Random(23)
+    pool = [prose(rng, 1) for _ in range(30)]
+    phrase = "of the common phrase"
+    items = [f"{prose(rng, rng.randint(3, 12))} {phrase} {' '.join(rng.choices(pool, k=rng.randint(0, 9)))}" for _ in range(120)]
+    texts = [f"{prose(rng, 9)} {phrase} {' '.join(rng.choices(pool, k=80))}" for _ in range(30)] + [f"{items[5]} {prose(rng, 4)} {items[7]}", f"{phrase} " * 40, "", items[9][: len(items[9]) // 2]]
+    index = decontaminate.Index([(k % 90, t.encode()) for k, t in enumerate(items)], 4)
+    offsets = np.cumsum([0, *(len(t) for t in texts)])
+    hashes, at = words.word_hashes(np.frombuffer("".join(texts).encode(), np.uint8), offsets, words.SIGNS)
+    plain, tile, called = {}, decontaminate.tile, []
+    row, place, item, start = index.hits(hashes, at)
+    for r in np.unique(row).tolist():
+        found = []
+        for i in np.unique(item[row == r]).tolist():
+            own = (row == r) & (item == i)
+            covered, tiles = tile(place[own], start[own], 4, int(index.words[i]))
+            found.append((covered / int(index.words[i]), -int(index.ids[i]), tiles))
+        best = max(found, key=lambda f: f[:2])
+        plain[r] = (-best[1], best[0], sorted(-n for c, n, _ in found if c >= 0.5))
+    monkeypatch.setattr(decontaminate, "tile", lambda *args: called.append(1) or tile(*args))
+    got = decontaminate._verdicts(index, hashes, at, 0.5)
+    assert {r: (f[0], f[1], sorted(f[3])) for r, f in got.items()} == plain
+    assert len(called) < len(set(zip(row.tolist(), item.tolist()))) / 3
+
+
 def test_decontamination_is_greedy_tiling(spark):
     rng = random.Random(13)
     common = prose(rng, 12).split()
