@@ -8,8 +8,11 @@ is verified by its cosine in double precision. In the order of how often pivots
 pivot of such a pair is among the first ``NEAREST`` - ``SHARED`` + 1 of both, so a vector is in so many inverted lists (of
 its label) only, and a pair belongs to the list of the first pivot it shares.
 
-Equal vectors are one entry with a count, so a common vector costs as much as any. Lists longer than ``BLOCK`` are
-compared block by block in separate tasks. A block gives, for each of its vectors, the number of links and one edge to a
+Equal vectors are one entry with a count, so a common vector costs as much as any. Where pivots are at their bound and
+lists grow with the table, a list of more than ``DEEP`` blocks is dealt out by the second pivot that a pair shares: a
+vector is then in one shorter list for each pivot that follows, and the pairs are the same. This is done where the
+counted lengths say that less is compared; a cluster whose vectors all share all pivots stays one list. Lists longer
+than ``BLOCK`` are compared block by block in separate tasks. A block gives, for each of its vectors, the number of links and one edge to a
 representative of its links, never all pairs.
 
 Recall: a pair above the threshold is lost only if the two share fewer than ``SHARED`` pivots; tests measure it.
@@ -22,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +40,8 @@ SHARED = 2
 #: Cosines that pivots may have with one another at most; the next where that leaves fewer than half of those wanted.
 APART = (0.8, 0.9, 0.95, 2.0)
 BLOCK = 2048
+#: Blocks of a list beyond which it may be dealt out by second pivots.
+DEEP = 4
 #: Pairs whose pivots are compared at a time.
 PAIRS = 65_536
 
@@ -53,7 +59,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, pivots: float = PIV
     Labels must be equal for a link. Vectors that are null, zero, or hold null or non-finite components, and rows without
     label, link with nothing and are kept. Vectors of different dimension never link; of any dimension, all components count.
     Rows with the same id and vector count as copies of one another, rows without id like others; an empty table gives
-    none; other columns are ignored.
+    none; other columns are ignored. A text column, however long its texts, is never read.
     """
     spark = vectors.sparkSession
     kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
@@ -90,6 +96,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, pivots: float = PIV
                     for a in range(0, len(own), 2048):
                         sims = x[a : a + 2048] @ matrix.T
                         near[a : a + 2048] = np.argpartition(-sims, near.shape[1] - 1, axis=1)[:, : near.shape[1]]
+                    near.sort(axis=1)  # pivots that are equally rare come in one order in all vectors
                 pick = pa.array(own)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pick), pa.array(np.full(len(own), d, np.int32)), batch.column(1).take(pick), batch.column(2).take(pick), pa.array([v.tobytes() for v in near], pa.binary()), pa.array([v.astype(number).tobytes() for v in raw], pa.binary())],
@@ -103,8 +110,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, pivots: float = PIV
         own = [np.frombuffer(x, np.int32) for x in near]
         return own if rank is None else [x[np.argsort(rank[k][x], kind="stable")] for x, k in zip(own, d.tolist())]
 
-    def listed(rank: dict[int, np.ndarray] | None, whole: bool):
-        """Rows (label, d, pivot) of the lists that every vector is in (all without ``rank``), with the vector if ``whole``."""
+    def listed(rank: dict[int, np.ndarray] | None, near: bool, rest: int):
+        """Rows (label, d, pivot) of the lists that every vector is in (all without ``rank``), with its pivots if ``near`` and the ``rest`` columns after them."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -113,41 +120,59 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, pivots: float = PIV
                 lists = own if rank is None else [x[: max(1, len(x) - shared + 1)] for x in own]
                 pick = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
                 out = [batch.column(0).take(pick), pa.array(d).take(pick), pa.array(np.concatenate(lists) if lists else np.empty(0, np.int32))]
-                if whole:
-                    out += [pa.array([x.tobytes() for x in own], pa.binary()).take(pick), *(batch.column(k).take(pick) for k in (3, 4, 5))]
+                if near:
+                    out.append(pa.array(own, pa.list_(pa.int32())).take(pick))
+                out += [batch.column(3 + k).take(pick) for k in range(rest)]
                 yield pa.RecordBatch.from_arrays(out, ["label", "d", "pivot", "near", "entry", "times", "vector"][: len(out)])
 
         return tidy(run)
 
     keys, key_kinds = ["label", "d", "pivot"], "label string, d int, pivot int"
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")
     # one row for each pivot at most
-    often = described.select("label", "d", "near").mapInArrow(listed(None, False), key_kinds).groupBy("d", "pivot").agg(F.count(F.lit(1)).alias("n"))
+    often = described.select("label", "d", "near").mapInArrow(listed(None, False, 0), key_kinds).groupBy("d", "pivot").agg(F.count(F.lit(1)).alias("n"))
     rank: dict[int, np.ndarray] = {d: np.zeros(len(m), np.int64) for d, m in sent.value.items()}
     for r in often.toLocalIterator():
         rank.setdefault(r["d"], np.zeros(1, np.int64))[r["pivot"]] = r["n"]
-    sizes = described.select("label", "d", "near").mapInArrow(listed(rank, False), key_kinds).groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    long_lists = written(sizes.filter("blocks > 1"), "lists")
-    posted = described.select("label", "d", "near", "entry", "times", "vector").mapInArrow(listed(rank, True), f"{key_kinds}, near binary, entry long, times long, vector binary")
-    placed = posted.join(long_lists, keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    sizes = described.select("label", "d", "near").mapInArrow(listed(rank, False, 0), key_kinds).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    long_lists = written(sizes.filter(F.col("n") > BLOCK).select(*keys, "n", blocks), "lists")
+    posted = described.select("label", "d", "near", "entry", "times", "vector").mapInArrow(listed(rank, True, 3), f"{key_kinds}, near array<int>, entry long, times long, vector binary")
+    placed = posted.join(long_lists.drop("n"), keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("second", F.lit(-1))
+    # pivots after that of the list; with one pivot in all there are none, and a pair may share that one only
+    after = F.slice("near", F.array_position("near", F.col("pivot")).cast("int") + 1, F.size("near"))
+    deep = long_lists.filter(F.col("blocks") > DEEP)
+    if shared > 1 and not deep.isEmpty():
+        pivoted = described.select("label", "d", "near").mapInArrow(listed(rank, True, 0), f"{key_kinds}, near array<int>").filter(F.size("near") > 1)
+        parts = written(pivoted.join(deep.select(*keys), keys, "left_semi").withColumn("second", F.explode(after)).groupBy(*keys, "second").agg(F.count(F.lit(1)).alias("n")), "parts")
+        paying = parts.groupBy(*keys).agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("work"))
+        dealt_out = written(deep.join(paying, keys).filter(F.col("work") < F.col("n").cast("double") * F.col("n")).select(*keys, F.lit(True).alias("by_second")), "deep")
+        seconds = parts.join(dealt_out, keys, "left_semi").select(*keys, "second", blocks.alias("part_blocks"))
+        placed = placed.join(dealt_out, keys, "left").withColumn("second", F.explode(F.when(F.col("by_second"), after).otherwise(F.array(F.lit(-1)))))
+        placed = placed.join(seconds, [*keys, "second"], "left").withColumn("blocks", F.coalesce("part_blocks", "blocks"))
+    keys.append("second")
     placed = placed.withColumn("own", F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = placed.select(*keys, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "entry", "times", "near", "vector")
 
     def links(t: pa.Table) -> pa.Table:
-        pivot, d = t.column("pivot")[0].as_py(), t.column("d")[0].as_py()
+        pivot, second_pivot, d = (t.column(k)[0].as_py() for k in ("pivot", "second", "d"))
         same = t.column("i")[0].as_py() == t.column("j")[0].as_py()
         side = np.asarray(t.column("side"))
         entry, times = np.asarray(t.column("entry")), np.asarray(t.column("times"))
         x = _unit(np.frombuffer(b"".join(t.column("vector").to_pylist()), number).reshape(-1, d).astype(float))
-        near = np.frombuffer(b"".join(t.column("near").to_pylist()), np.int32).reshape(len(entry), -1)
+        near = np.asarray(pc.list_flatten(t.column("near"))).reshape(len(entry), -1)
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == (0 if same else 1))
         degree = np.zeros(len(entry), np.int64)
         least = min(shared, near.shape[1])
         first, second = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
 
         def owned(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Those of the pairs that share enough pivots, this one first."""
+            """Those of the pairs that share enough pivots, this one (and the second, where the list has one) first."""
             hit = (near[p][:, :, None] == near[q][:, None, :]).any(axis=2)
-            ok = (hit.sum(axis=1) >= least) & (near[p, hit.argmax(axis=1)] == pivot)
+            at = hit.argmax(axis=1)
+            ok = (hit.sum(axis=1) >= least) & (near[p, at] == pivot)
+            if second_pivot >= 0:
+                hit[np.arange(len(p)), at] = False
+                ok &= near[p, hit.argmax(axis=1)] == second_pivot
             return p[ok], q[ok]
 
         for a in range(0, len(left), 512):
@@ -167,7 +192,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, pivots: float = PIV
         keep, top = local_roots(np.concatenate(first), np.concatenate(second))
         return pa.table({"entry": entry[keep], "other": entry[top], "n": degree[keep]})
 
-    found = written(grouped(dealt, ["label", "d", "pivot", "i", "j"], links, "entry long, other long, n long"), "near")
+    found = written(grouped(dealt, [*keys, "i", "j"], links, "entry long, other long, n long"), "near")
     degree = found.groupBy("entry").agg(F.sum("n").alias("n"))
     joined = components(found.filter("entry <> other"), "entry", "other")
     named = entries.select("entry", "rep", "times").join(joined.select(F.col("id").alias("entry"), F.col("component_id").alias("root")), "entry", "left")

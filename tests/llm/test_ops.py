@@ -295,6 +295,33 @@ def test_near_vectors_in_blocks_with_few_pivots(spark, monkeypatch):
     assert [got[k].component_id for k in range(len(x))] == reach.argmax(axis=1).tolist()
 
 
+def test_near_vectors_by_second_pivots(spark, monkeypatch):
+    """Lists beyond the bound on pivots are dealt out by second pivots: the same links, each once, as with whole lists."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    monkeypatch.setattr(embedding_dedup, "PIVOT_BYTES", 24 * 8 * 16)
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(150, 16))
+    x = np.concatenate([base + rng.normal(size=base.shape) * s for s in (0, 0.05, 0.1, 0.15, 0.2)])
+    df = spark.createDataFrame([(k, [float(v) for v in x[k]], 1) for k in range(len(x))], "vec_id long, embedding array<double>, label int")
+    lists = []
+    grouped = embedding_dedup.grouped
+
+    def noted(dealt, *args):
+        lists.append(dealt.groupBy("pivot", "second").count().collect())
+        return grouped(dealt, *args)
+
+    monkeypatch.setattr(embedding_dedup, "grouped", noted)
+    ways = []
+    for deep in (1, 10**9):
+        monkeypatch.setattr(embedding_dedup, "DEEP", deep)
+        ways.append({r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(df).collect()})
+    assert ways[0] == ways[1]
+    assert any(r.second >= 0 for r in lists[0]) and all(r.second == -1 for r in lists[1])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.93).sum(axis=1) - 1
+    assert all(ways[0][k][0] <= want[k] for k in ways[0]) and sum(n for n, _ in ways[0].values()) >= 0.95 * want.sum()
+
+
 def test_near_vectors_recall_in_a_dense_cluster(spark):
     """A cluster of many near vectors among unlike ones, with the values of production: recall against brute force."""
     rng = np.random.default_rng(8)
