@@ -248,6 +248,18 @@ def test_license_notices_with_signs_and_numbers_at_lines(spark):
     assert "bsd-2-clause-text" not in got[900] and got[901] == [""]
 
 
+def test_license_at_the_end_of_a_very_long_text(spark):
+    """A notice and a base phrase behind megabytes of other words are found, at their places."""
+    rng = random.Random(11)
+    notice = {name: text for name, text, _ in license_scan.TEMPLATES}["mit-grant"]
+    filler = prose(rng, 200_000)
+    got = {r.doc_id: r for r in license_scan.scan(table(spark, [(1, f"{filler} {notice} MIT License"), (2, filler)])).collect()}
+    n = 200_000 + len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", notice.lower()))
+    assert "mit-grant" in got[1].labels.split(",") and got[1].base_labels == "mit"
+    assert (got[1].n_words, got[1].n_base, got[1].first_word, got[1].last_word) == (n + 2, 1, n, n)
+    assert (got[2].n_words, got[2].n_base, got[2].labels, got[2].first_word) == (200_000, 0, "", None)
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(60, 16))
@@ -623,6 +635,17 @@ def test_decontamination(spark):
         assert decontaminate.decontaminate(table(spark, texts).filter("false"), spark.createDataFrame(items, "item_id long, text string"), block_bytes=most).count() == 0
 
 
+def test_decontamination_of_a_very_long_text(spark):
+    """An item at the very end of a text of megabytes, and one in two halves that lie megabytes apart."""
+    rng = random.Random(10)
+    items = [(k, prose(rng, 40)) for k in range(3)]
+    w = items[1][1].split()
+    filler = prose(rng, 250_000)
+    texts = [(1, f"{' '.join(w[20:])} {filler} {' '.join(w[:20])} end {items[0][1]}"), (2, filler), (3, "short")]
+    got = decontaminate.decontaminate(table(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: sorted(r.item_ids) for r in got} == {1: [0, 1], 2: [], 3: []}
+
+
 def test_items_shorter_than_a_seed_are_found(spark):
     items = [(1, "Alpha"), (2, "beta gamma"), (3, "delta epsilon zeta"), (4, "one two three four five")]
     texts = [(1, "alpha"), (2, "x beta, GAMMA y"), (3, "delta epsilon zeta"), (4, "gamma beta delta epsilon"), (5, "one two three four"), (6, "q alpha one two three four five")]
