@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, fields
 from functools import reduce
 from typing import NamedTuple
@@ -42,6 +44,27 @@ KINDS = {
 }
 
 
+#: Bytes that opening a file counts as when small files are put together to tasks, and tasks of a listing for each core.
+OPEN_COST, LISTING_TASKS = "64k", 4
+
+
+@contextmanager
+def many_files(spark: SparkSession) -> Iterator[None]:
+    """Listings and scans inside take tasks by the cores and the bytes; else a folder is a task (up to 10,000), and so is every few files.
+
+    The session's settings are put back after.
+    """
+    own = {"spark.sql.sources.parallelPartitionDiscovery.parallelism": str(LISTING_TASKS * spark.sparkContext.defaultParallelism), "spark.sql.files.openCostInBytes": OPEN_COST}
+    before = {name: spark.conf.get(name) for name in own}
+    try:
+        for name, value in own.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def plain_path(path: Column) -> Column:
     """Local paths without their scheme; others as they are."""
     return F.regexp_replace(path, "^file:/+", "/")
@@ -60,7 +83,7 @@ def numbered_lines(lines: DataFrame) -> DataFrame:
     lines of a split follow one another in its task; they are counted for each (file, split), the counts of a file summed
     up (a row a split), and a number is what came before its split plus the place in it. No file is read by one task.
     """
-    held = materialized(lines.withColumn("at", F.monotonically_increasing_id()), "lines")
+    held = materialized(lines.withColumn("at", F.monotonically_increasing_id()).hint("rebalance"), "lines")
     splits = held.groupBy("source_path", "start").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("source_path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
@@ -152,7 +175,8 @@ class Raw:
 
 def from_paths(spark: SparkSession, claude: list[str] = (), copilot: list[str] = (), gemini: list[str] = (), codex: list[str] = (), opencode: list[str] = ()) -> Raw:
     """Read base folders; several bases of a provider are one union."""
-    return split(with_numbers(spark, scan_folders(spark, {"claude": claude, "copilot": copilot, "gemini": gemini, "codex": codex, "opencode": opencode})))
+    with many_files(spark):
+        return split(with_numbers(spark, scan_folders(spark, {"claude": claude, "copilot": copilot, "gemini": gemini, "codex": codex, "opencode": opencode})))
 
 
 def all_sessions(raw: Raw) -> DataFrame:

@@ -118,9 +118,14 @@ def change(spark: SparkSession, bases: dict[str, list[str]], before: Manifest |
     (like any scan of files, the driver lists names, and here only those of touched units). ``touched`` holds sessions that
     are gone too.
     """
+    with files.many_files(spark):
+        return _change(spark, bases, before, named)
+
+
+def _change(spark: SparkSession, bases: dict[str, list[str]], before: Manifest | None, named: int) -> Change:
     first = before is None
     before = before or empty(spark)
-    now = materialized(listing(spark, bases), "listing")
+    now = materialized(listing(spark, bases).hint("rebalance"), "listing")
     units = materialized(compared(now, before.files).filter("unit is not null").select("unit").distinct(), "units")
     own = now.join(units, "unit", "left_semi").select("kind", "source_path")
     opened = materialized(own.unionByName(now.filter(F.col("kind").isin(*SHARED)).select("kind", "source_path")).hint("rebalance"), "opened")
@@ -128,7 +133,8 @@ def change(spark: SparkSession, bases: dict[str, list[str]], before: Manifest |
         scans = files.scan_folders(spark, bases)
     else:
         scans = [files.scan_paths(spark, paths, [kind], recursive=False) for kind, paths in _blocks(opened, named)]
-    raw = files.split(materialized(files.with_numbers(spark, scans), "changed"))
+    # a scan's tasks are as many as its files are; the table has rows by bytes, and kinds that a reader passes over
+    raw = files.split(materialized(files.with_numbers(spark, scans).hint("rebalance").sortWithinPartitions("kind"), "changed"))
     found = files.session_files(raw).join(now.select("source_path", "unit"), "source_path").filter("unit is not null").select("unit", *SESSION).distinct()
     found = materialized(found, "found")
     gone = before.units.join(units, "unit", "left_semi")

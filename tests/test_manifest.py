@@ -116,3 +116,27 @@ def test_folders_that_are_empty_or_missing(spark, tmp_path):
     (tmp_path / "c").mkdir()
     nothing = manifest.change(spark, {"claude": [str(tmp_path / "c")], "codex": [str(tmp_path / "none")]})
     assert nothing.touched.count() == nothing.manifest.files.count() == files.all_messages(nothing.raw, F.current_timestamp()).count() == 0
+
+
+def test_tasks_of_a_refresh_dont_grow_with_folders_and_files(spark, tmp_path):
+    """Neither is a folder a task of a listing, nor every few files one of a scan; settings are put back."""
+    for k in range(120):
+        put(tmp_path, f"o/session/pr/o{k}.json", json.dumps({"id": f"o{k}", "directory": "/d", "time": {"created": 1}}))
+        put(tmp_path, f"o/message/o{k}/m{k}.json", json.dumps({"id": f"m{k}", "role": "user", "time": {"created": 2}, "content": "x"}))
+    held = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.sources.parallelPartitionDiscovery.parallelism")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16m")
+    spark.sparkContext.setJobGroup("many-files", "a refresh")
+    try:
+        first = manifest.change(spark, {"opencode": [str(tmp_path / "o")]})
+        for k in range(100):
+            put(tmp_path, f"o/message/o{k}/m{k}.json", json.dumps({"id": f"m{k}", "role": "user", "time": {"created": 2}, "content": "longer"}))
+        second = manifest.change(spark, {"opencode": [str(tmp_path / "o")]}, first.manifest)
+        jobs = spark.sparkContext.statusTracker()
+        tasks = [jobs.getStageInfo(s).numTasks for j in jobs.getJobIdsForGroup("many-files") for s in jobs.getJobInfo(j).stageIds if jobs.getStageInfo(s)]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert spark.conf.get("spark.sql.files.openCostInBytes") == held["spark.sql.files.openCostInBytes"]
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held["spark.sql.files.maxPartitionBytes"])
+    assert len(keys(first.touched)) == 120 and len(keys(second.touched)) == 100 and second.raw.oc_messages.count() == 100
+    assert len(tasks) > 10 and max(tasks) <= 4 * spark.sparkContext.defaultParallelism
+    assert {c: spark.conf.get(c) for c in held} == held
