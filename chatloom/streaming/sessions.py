@@ -104,4 +104,6 @@ def stream_logs(spark: SparkSession, provider: str, folder: str, target: str, ch
         docs = materialized(search.documents(files.all_messages(raw, as_of), files.all_sessions(raw)), "batch-docs")
         index.refresh(own, target, docs, files.session_files(raw).select(*manifest.SESSION).distinct())
 
-    return held.writeStream.outputMode("append").foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    # a stream keeps the settings that it was started with; a batch names its files to a scan, which lists each of them
+    with files.many_files(spark):
+        return held.writeStream.outputMode("append").foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

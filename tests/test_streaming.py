@@ -43,3 +43,18 @@ def test_a_batch_reads_the_sessions_it_touches(spark, tmp_path, monkeypatch):
     got = sorted((r.session_id, r.seq, r.content) for r in index.Index(spark, target).docs().collect())
     assert len(got) == 42 and [x for x in got if x[0] == "s7"] == [("s7", 0, "first 7"), ("s7", 1, "second 7"), ("s7", 2, "third 7"), ("s7", 3, "fourth 7")]
     assert run() == [] and index.Index(spark, target).docs().count() == 42
+
+
+def test_a_stream_lists_its_files_in_few_tasks(spark, tmp_path, monkeypatch):
+    """The settings hold as long as the stream runs; those of the session that started it are put back."""
+    name, seen = "spark.sql.sources.parallelPartitionDiscovery.parallelism", []
+    before, raw_of = spark.conf.get(name), sessions.raw_of
+    monkeypatch.setattr(sessions, "raw_of", lambda whole, shared: seen.append(int(whole.sparkSession.conf.get(name))) or raw_of(whole, shared))
+    for n in range(3):
+        put(tmp_path, f"logs/2026/03/01/rollout-{n}.jsonl", {"type": "user", "content": f"said {n}", "timestamp": "2026-03-01T00:00:00Z"})
+    with sessions.keyed_state(spark):
+        q = sessions.stream_logs(spark, "codex", str(tmp_path / "logs"), str(tmp_path / "index"), str(tmp_path / "state"), F.lit("2026-01-01T00:00:00Z").cast("timestamp"))
+    assert spark.conf.get(name) == before
+    q.awaitTermination()
+    assert seen == [4 * spark.sparkContext.defaultParallelism]
+    assert sorted(r.content for r in index.Index(spark, str(tmp_path / "index")).docs().collect()) == ["said 0", "said 1", "said 2"]
