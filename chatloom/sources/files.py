@@ -9,7 +9,7 @@ from dataclasses import dataclass, fields
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatloom.functions.parsing import base_name, numbered, stem
@@ -98,29 +98,47 @@ def kind_of(path: Column, kinds: list[str]) -> Column:
     return out
 
 
+def below(spark: SparkSession, kinds: list[str]) -> DataFrameReader:
+    """A reader of folders: listed in parallel and recursively; names are filtered on the path, so case is free."""
+    patterns = sorted({KINDS[k].pattern for k in kinds})
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "{" + ",".join(patterns) + "}")
+
+
 def scan_paths(spark: SparkSession, paths: list[str], kinds: list[str], recursive: bool = True) -> DataFrame:
     """(kind, source_path, start, value) of files in folders (``recursive``), or of the files that are named.
 
     The kinds are all read whole, or all by lines; folders are listed once for all of them.
     """
-    scan = spark.read
-    if recursive:
-        # folders are listed in parallel and recursively; names are filtered on the path, so case is free
-        patterns = sorted({KINDS[k].pattern for k in kinds})
-        scan = scan.option("recursiveFileLookup", True).option("pathGlobFilter", "{" + ",".join(patterns) + "}")
-    rows = scan.text(paths if recursive else [_literal(p) for p in paths], wholetext=KINDS[kinds[0]].whole)
-    rows = rows.select(scanned_path().alias("source_path"), F.col("_metadata.file_block_start").alias("start"), "value")
+    scan = below(spark, kinds) if recursive else spark.read
+    at = paths if recursive else [_literal(p) for p in paths]
+    if KINDS[kinds[0]].whole:
+        return whole_files(scan.format("binaryFile").load(at), kinds)
+    rows = scan.text(at).select(scanned_path().alias("source_path"), F.col("_metadata.file_block_start").alias("start"), "value")
     return rows.select(kind_of(F.col("source_path"), kinds).alias("kind"), "source_path", "start", "value").filter("kind is not null")
 
 
-def scan_folders(spark: SparkSession, bases: dict[str, list[str]]) -> list[DataFrame]:
-    """Scans of the base folders of each provider; missing folders hold nothing."""
+def whole_files(scan: DataFrame, kinds: list[str]) -> DataFrame:
+    """The rows of :func:`scan_paths` from a scan of binary files (one of whole texts makes a job's configuration and looks for codecs for each file)."""
+    at = plain_path(F.col("path"))
+    return scan.select(kind_of(at, kinds).alias("kind"), at.alias("source_path"), F.lit(0).cast("long").alias("start"), F.col("content").cast("string").alias("value")).filter("kind is not null")
+
+
+def scan_folders(spark: SparkSession, bases: dict[str, list[str]], listed: dict[str, DataFrame] | None = None) -> list[DataFrame]:
+    """Scans of the base folders of each provider; missing folders hold nothing.
+
+    ``listed``: scans of binary files by provider that have listed these folders; where all files of a provider are read whole,
+    they are read by these, and the folders aren't listed again.
+    """
     scans = []
     for provider, own in bases.items():
         there = existing(spark, list(own))
         for whole in (True, False):
             kinds = [k for k, kind in KINDS.items() if kind.provider == provider and kind.whole == whole]
-            if there and kinds:
+            if not there or not kinds:
+                continue
+            if whole and provider in (listed or {}) and all(kind.whole for kind in KINDS.values() if kind.provider == provider):
+                scans.append(whole_files(listed[provider], kinds))
+            else:
                 scans.append(scan_paths(spark, there, kinds))
     return scans
 

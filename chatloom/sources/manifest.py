@@ -30,15 +30,22 @@ NAMED = 50_000
 SHARED = ("history", "projects")
 
 
-def listing(spark: SparkSession, bases: dict[str, list[str]]) -> DataFrame:
-    """``files`` of the base folders of each provider; missing folders hold none. No file is opened."""
-    found = []
+def scans_of(spark: SparkSession, bases: dict[str, list[str]]) -> dict[str, DataFrame]:
+    """A scan of binary files for each provider that has folders; these are listed here, once."""
+    found = {}
     for provider in sorted({own.provider for own in KINDS.values()}):
         there = files.existing(spark, list(bases.get(provider, ())))
-        if there:  # a scan of its columns but the content lists files and opens none
-            scan = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(there)
-            at = files.plain_path(F.col("path"))
-            found.append(scan.select(files.kind_of(at, [k for k, own in KINDS.items() if own.provider == provider]).alias("kind"), at.alias("source_path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified")).filter("kind is not null"))
+        if there:
+            found[provider] = files.below(spark, [k for k, own in KINDS.items() if own.provider == provider]).format("binaryFile").load(there)
+    return found
+
+
+def listing(spark: SparkSession, scans: dict[str, DataFrame]) -> DataFrame:
+    """``files`` of the folders of ``scans``. No file is opened."""
+    found = []
+    for provider, scan in scans.items():  # a scan of its columns but the content opens no file
+        at = files.plain_path(F.col("path"))
+        found.append(scan.select(files.kind_of(at, [k for k, own in KINDS.items() if own.provider == provider]).alias("kind"), at.alias("source_path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified")).filter("kind is not null"))
     if not found:
         return spark.createDataFrame([], FILES)
     rows = reduce(DataFrame.unionByName, found).dropDuplicates(["kind", "source_path"])
@@ -125,12 +132,13 @@ def change(spark: SparkSession, bases: dict[str, list[str]], before: Manifest |
 def _change(spark: SparkSession, bases: dict[str, list[str]], before: Manifest | None, named: int) -> Change:
     first = before is None
     before = before or empty(spark)
-    now = materialized(listing(spark, bases).hint("rebalance"), "listing")
+    listed = scans_of(spark, bases)
+    now = materialized(listing(spark, listed).hint("rebalance"), "listing")
     units = materialized(compared(now, before.files).filter("unit is not null").select("unit").distinct(), "units")
     own = now.join(units, "unit", "left_semi").select("kind", "source_path")
     opened = materialized(own.unionByName(now.filter(F.col("kind").isin(*SHARED)).select("kind", "source_path")).hint("rebalance"), "opened")
     if first:
-        scans = files.scan_folders(spark, bases)
+        scans = files.scan_folders(spark, bases, listed)
     else:
         scans = [files.scan_paths(spark, paths, [kind], recursive=False) for kind, paths in _blocks(opened, named)]
     # a scan's tasks are as many as its files are; the table has rows by bytes, and kinds that a reader passes over

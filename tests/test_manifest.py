@@ -140,3 +140,25 @@ def test_tasks_of_a_refresh_dont_grow_with_folders_and_files(spark, tmp_path):
     assert len(keys(first.touched)) == 120 and len(keys(second.touched)) == 100 and second.raw.oc_messages.count() == 100
     assert len(tasks) > 10 and max(tasks) <= 4 * spark.sparkContext.defaultParallelism
     assert {c: spark.conf.get(c) for c in held} == held
+
+
+def test_whole_files_are_read_by_the_scan_that_listed_them(spark, tmp_path, logs, monkeypatch):
+    """Folders of files that are read whole are listed once, and none is read as whole text, which prepares a job for each file."""
+    bases = {p: [str(tmp_path / d)] for p, d in (("claude", "c"), ("copilot", "p"), ("gemini", "g"), ("codex", "x"), ("opencode", "o"))}
+    logs("o/notes.txt", "no log")
+    logs("o/message/o1/m-\u00e9 [1]%20.json", json.dumps({"id": "m-\u00e9 [1]%20", "role": "user", "time": {"created": 3}}))
+    logs("o/part/m-\u00e9 [1]%20/prt-1.json", json.dumps({"type": "text", "text": "line\r\n\u00e9"}))
+    loads, texts = [], []
+    reader = type(spark.read)
+    load, text = reader.load, reader.text
+    monkeypatch.setattr(reader, "load", lambda self, path=None, **kw: (loads.append(path), load(self, path, **kw))[1])
+    monkeypatch.setattr(reader, "text", lambda self, paths, wholetext=False, **kw: (texts.append(wholetext), text(self, paths, wholetext=wholetext, **kw))[1])
+    first = manifest.change(spark, bases)
+    assert [sum(p == [str(tmp_path / d)] for p in loads) for d in ("g", "o")] == [1, 1] and True not in texts
+    got = {r.source_path: (r.ord, r.value) for r in files.union(first.raw).collect() if "/o/" in r.source_path or "/g/" in r.source_path}
+    want = [os.path.join(at, name) for top in ("g", "o") for at, _, names in os.walk(tmp_path / top) for name in names if name.endswith(".json")]
+    assert got == {p: (0, open(p, newline="").read()) for p in want}
+    logs("o/part/m-\u00e9 [1]%20/prt-1.json", json.dumps({"type": "text", "text": "longer line"}), 2_000_000)
+    again = manifest.change(spark, bases, first.manifest)
+    assert keys(again.touched) == [("opencode", "o1")] and True not in texts
+    assert [r.content[0].text for r in files.all_messages(again.raw, F.current_timestamp()).orderBy("seq").collect()] == ["part 1", "longer line"]
