@@ -31,6 +31,8 @@ from chatloom.operators.tables import materialized
 CHUNK_BITS = 10
 #: Documents for each bucket of terms, and how many buckets there may be.
 BUCKET_DOCS, BUCKETS = 20_000, (8, 4096)
+#: Documents for each task that cuts texts to words, and how many tasks a core gets at least.
+CUT_DOCS, CUT_TASKS = 20_000, 4
 #: Segments of a version; more are merged.
 SEGMENTS = 8
 #: Words that are named to the scan; of more, only the buckets are.
@@ -163,7 +165,9 @@ def _write_segment(spark: SparkSession, path: str, docs: DataFrame, entries, min
     held = spark.read.schema(_DOCS).parquet(f"{root}/docs")
     count = held.count()
     buckets = min(max(-(-count // BUCKET_DOCS), BUCKETS[0]), BUCKETS[1])
-    rows = entries(held)
+    # cutting texts takes long for their bytes, by which the files are dealt; chunks stay together
+    tasks = max(CUT_TASKS * spark.sparkContext.defaultParallelism, -(-count // CUT_DOCS))
+    rows = entries(held.repartition(tasks, "chunk"))
     entry = F.struct("doc", "tf", "dl", "positions")
     grouped = rows.groupBy("field", "term", "chunk").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("tf").alias("most"), F.min("dl").alias("least"), F.sort_array(F.collect_list(entry)).alias("entries"))
     # a very common term has a row a chunk: partitions that are too large are split, small ones put together

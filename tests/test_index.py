@@ -236,3 +236,17 @@ def test_odd_documents(spark, tmp_path):
     none = index.refresh(spark, str(tmp_path / "none"), frame(spark, []))
     assert index.topk(none, ask(spark, "word")).count() == index.search_texts(none, ask(spark, "+word")).count() == 0
     assert search.search(frame(spark, []), ask(spark, "word")).count() == 0
+
+
+def test_texts_are_cut_by_tasks_by_the_cores(spark, tmp_path):
+    """One file of documents is cut to words by more than one task."""
+    one = spark.range(3000).selectExpr("'codex_cli' as provider", "concat('s', id % 7) as session_id", "id as seq", "'' as message_id", "'Codex' as provider_label", "'p' as project", "'You' as role_label", "concat('word w', id % 5) as content", "0L as timestamp").coalesce(1)
+    spark.sparkContext.setJobGroup("cut", "an index")
+    try:
+        made = index.refresh(spark, str(tmp_path / "i"), one)
+        jobs = spark.sparkContext.statusTracker()
+        tasks = [jobs.getStageInfo(s).numTasks for j in jobs.getJobIdsForGroup("cut") for s in jobs.getJobInfo(j).stageIds if jobs.getStageInfo(s)]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert max(tasks) >= 4 * spark.sparkContext.defaultParallelism
+    assert {(r.field, r.term): r.df for r in made.term_stats().collect()} == {("content", "word"): 3000, ("project", "p"): 3000, **{("content", f"w{k}"): 600 for k in range(5)}}
