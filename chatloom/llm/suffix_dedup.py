@@ -18,7 +18,8 @@ all pairs of shards being compared:
 Hashes are 64-bit; passages across shards are compared by 128-bit digests.
 
 Passages may also be counted in words (``repeated_words``): windows of so many words meet by the run of ``WORD_GRAM``
-words of smallest hash inside them, and only windows whose run occurs twice are compared, by 64-bit hashes.
+words of smallest hash inside them. Stretches of windows are settled by counting too, and only the windows of unlike ones
+whose run occurs twice are compared, by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -33,10 +34,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatloom.llm.util import carried, carried_kinds, documents, grouped, tidy, utf8, with_columns, written
-from chatloom.llm.words import SPACE, VALUE, cuts, grams, mix, prefix, span, words
+from chatloom.llm.words import SPACE, VALUE, cuts, mix, prefix, span, words
 
 LENGTH = 400
 GRAM = 32
+#: Words of the shortest passage that op1 cuts in ``cut_text``, whatever its bytes.
+PASSAGE = 51
 #: Words of the run by which windows of words meet.
 WORD_GRAM = 8
 #: Bytes of stretches in one suffix array.
@@ -225,6 +228,16 @@ def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return first[new], np.append(last[np.flatnonzero(new)[1:] - 1], last[-1])
 
 
+def _without(text: bytes, first: np.ndarray, last: np.ndarray) -> tuple[list[tuple[int, int]], bytes]:
+    """The union of closed ranges as (start, end), and what is left of the text."""
+    if not len(first):
+        return [], text
+    first, last = _ranges(first, last)
+    own = list(zip(first.tolist(), (last + 1).tolist()))
+    edges = [0, *(x for s in own for x in s), len(text)]
+    return own, b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+
+
 def _search(stretches: DataFrame, length: int) -> DataFrame:
     """Ranges of repeated starts within shards, and cut runs of split anchors that are still to be merged.
 
@@ -339,63 +352,86 @@ def windows(data: np.ndarray, offsets: np.ndarray, size: int, gram: int) -> tupl
     """Windows of ``size`` words, in order: row, first byte, byte after the last (in the text), content hash, and the
     place (word of the buffer) and hash of the leftmost run of ``gram`` words of smallest hash inside."""
     s, e, at = words(data, offsets, SPACE)
-    hashes = span(prefix(VALUE[data]), s, e)
-    content, begin = grams(hashes, at, size)
+    count = np.maximum(np.diff(at) - size + 1, 0)
+    row = np.repeat(np.arange(len(count)), count)
+    begin = np.arange(len(row)) - np.repeat(np.cumsum(count) - count - at[:-1], count)
     if not len(begin):
         none = np.empty(0, np.int64)
-        return none, none, none, content, none, content
-    short, place = grams(hashes, at, gram)
-    key = np.full(len(hashes), np.iinfo(np.uint64).max, np.uint64)
-    key[place] = short
-    least = key[begin]
-    where = begin.copy()
-    for k in range(1, size - gram + 1):
-        other = key[begin + k]
-        less = other < least
-        least[less], where[less] = other[less], begin[less] + k
-    row = np.searchsorted(at, begin, "right") - 1
-    return row, s[begin] - offsets[row], e[begin + size - 1] - offsets[row], content, where, least
+        return none, none, none, none.astype(np.uint64), none, none.astype(np.uint64)
+    sums = prefix(span(prefix(VALUE[data]), s, e))
+    where = np.arange(len(s) - gram + 1)
+    least = span(sums, where, where + gram)
+    # stretches of runs double in width; runs that reach into another text lie in no window that is read below
+    width, wide = size - gram + 1, 1
+    while wide < width:
+        step = min(wide, width - wide)
+        less = least[step:] < least[:-step]
+        where, least = np.where(less, where[step:], where[:-step]), np.minimum(least[:-step], least[step:])
+        wide += step
+    return row, s[begin] - offsets[row], e[begin + size - 1] - offsets[row], span(sums, begin, begin + size), where[begin], least[begin]
 
 
 def repeated_words(texts: DataFrame, size: int, gram: int = WORD_GRAM) -> DataFrame:
-    """(row, passages): first and last bytes of windows of ``size`` words that also stand elsewhere; ``texts`` has (row, text).
+    """(row, passages): first and last bytes of windows of ``size`` words (or of runs of them) that also stand elsewhere;
+    ``texts`` has (row, text).
 
-    Words are parted by white space and compared byte by byte; the white space between them may differ.
+    Words are parted by white space and compared byte by byte; the white space between them may differ. Windows in a row
+    that meet by one place form a stretch; equal stretches are settled by counting, and only those whose run of ``gram``
+    words also stands in another one are taken apart, one of each kind.
     """
     gram = min(gram, size)
 
-    def buffers(batch: pa.RecordBatch) -> Iterator[tuple]:
-        data, offsets = utf8(batch, "text")
-        code = np.frombuffer(data, np.uint8)
-        for a, b in cuts(offsets, 500_000):
-            yield a, windows(code[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size, gram)
-
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, (row, _, _, _, where, least) in buffers(batch):
+            data, offsets = utf8(batch, "text")
+            code = np.frombuffer(data, np.uint8)
+            for a, b in cuts(offsets, 500_000):
+                row, first, end, content, where, least = windows(code[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size, gram)
                 head = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1]))[: len(where)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(a + row[head])), pa.array(least[head].view(np.int64))], ["row", "anchor"])
-
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            wanted = batch.column(2)
-            for a, (row, first, end, content, _, least) in buffers(batch):
-                edge = np.searchsorted(row, np.arange(row[-1] + 2)) if len(row) else np.zeros(1, np.int64)
-                keep = np.zeros(len(row), bool)
-                for k, (x, y) in enumerate(zip(edge.tolist(), edge[1:].tolist())):
-                    keep[x:y] = np.isin(least[x:y].view(np.int64), np.asarray(wanted[a + k].values))
+                tail = np.append(head[1:], len(where))[: len(head)]
+                stretch = span(prefix(content), head, tail)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(a + row[keep])), pa.array(first[keep].astype(np.int32)), pa.array((end[keep] - 1).astype(np.int32)), pa.array(content[keep].view(np.int64))],
-                    ["row", "first", "last", "content"],
+                    [batch.column(0).take(pa.array(a + row[head])), pa.array(first[head].astype(np.int32)), pa.array((end[tail - 1] - 1).astype(np.int32)), pa.array(least[head].view(np.int64)), pa.array(stretch.view(np.int64))],
+                    ["row", "first", "last", "anchor", "content"],
                 )
 
-    anchor = written(texts.mapInArrow(tidy(runs), "row long, anchor long"), "word-anchors")
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, 256):
+                batch = whole.slice(low, 256)
+                data, offsets = utf8(batch, "text")
+                lists = batch.column(2)
+                flat = lists.flatten()
+                owner = np.asarray(pa.compute.list_parent_indices(lists))
+                begin, times = np.asarray(flat.field(0)), np.asarray(flat.field(2))
+                s = offsets[owner] + begin
+                e = offsets[owner] + np.asarray(flat.field(1)) + 1
+                at = np.concatenate(([0], np.cumsum(e - s)))
+                for a, b in cuts(at, 500_000):
+                    # a stretch holds its own windows and no others, so each is a text here
+                    code = np.frombuffer(b"".join(data[x:y] for x, y in zip(s[a:b].tolist(), e[a:b].tolist())), np.uint8)
+                    k, first, end, content, _, _ = windows(code, at[a : b + 1] - at[a], size, gram)
+                    k = a + k
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(owner[k])), pa.array((begin[k] + first).astype(np.int32)), pa.array((begin[k] + end - 1).astype(np.int32)), pa.array(content.view(np.int64)), pa.array(times[k])],
+                        ["row", "first", "last", "content", "times"],
+                    )
+
+    stretches = written(texts.mapInArrow(tidy(runs), "row long, first int, last int, anchor long, content long"), "word-stretches")
     # what occurs twice is written, so that the joins with hot keys have a shuffle of their own, which Spark splits
-    shared = written(anchor.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "shared")
-    wanted = anchor.join(shared, "anchor").groupBy("row").agg(F.collect_set("anchor").alias("wanted"))
-    found = written(texts.join(wanted, "row").select("row", "text", "wanted").mapInArrow(tidy(asked), "row long, first int, last int, content long"), "windows")
-    twice = written(found.groupBy("content").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("content"), "twice")
-    return found.join(twice, "content").groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("passages"))
+    shared = written(stretches.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "shared")
+    met = written(stretches.join(shared, "anchor"), "met")
+    distinct = met.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("row", "first", "last")).alias("one"))
+    kinds = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
+    kept = written(distinct.join(kinds, "anchor").select("anchor", "content", "times", "kinds", "one.row", "one.first", "one.last"), "word-kinds")
+    equal = met.join(kept.filter("times > 1").select("anchor", "content"), ["anchor", "content"]).select("row", "first", "last")
+
+    asked = kept.filter("kinds > 1").groupBy("row").agg(F.collect_list(F.struct("first", "last", F.least("times", F.lit(2)).alias("times"))).alias("asked"))
+    read = asked.join(texts.dropDuplicates(["row"]), "row").select("row", "text", "asked")
+    found = written(read.mapInArrow(tidy(inside), "row long, first int, last int, content long, times long"), "windows")
+    twice = written(found.groupBy("content").agg(F.sum("times").alias("n")).filter("n > 1").select("content"), "twice")
+    unlike = found.filter("times = 1").join(twice, "content").select("row", "first", "last")
+    return equal.unionByName(unlike).groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias("passages"))
 
 
 def kept_text(kept: Column) -> Column:
@@ -404,7 +440,7 @@ def kept_text(kept: Column) -> Column:
     return F.coalesce(F.try_validate_utf8(text), F.replace(F.make_valid_utf8(text), F.lit("\uFFFD"), F.lit("")))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry: list[str] | None = None, size: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry: list[str] | None = None, size: int | None = None, apart: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, spans) of every row.
 
     Texts are UTF-8 bytes (null: empty); passages never cross documents; a text shorter than ``length`` keeps all.
@@ -412,6 +448,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carr
     text, so repeated rows (which remove each other), ties and null ids are ordinary cases; very long texts are worked on in
     pieces, and an empty table gives none. Columns named in ``carry`` are
     passed through, others are ignored. ``size``: repeated passages of so many words are removed too, if shorter as well.
+    ``apart``: those passages don't count in the columns above, but in further ones: n_passages (maximal stretches of them),
+    n_cut (bytes removed by either rule) and cut (the bytes that remain).
     """
     whole_text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text.alias("text"), *carried(docs, carry)).withColumn("row", F.xxhash64("doc_id", "text"))
@@ -435,23 +473,23 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carr
                 at = np.concatenate(([0], np.cumsum(sizes)))
                 said = batch.column(3)
                 removed, spans, digest, kept, found = [], [], [], [], []
+                stretches, gone, cut = [], [], []
                 for k in range(batch.num_rows):
-                    text = bytes(data[offsets[k] : offsets[k + 1]])
-                    own = []
+                    whole_bytes = bytes(data[offsets[k] : offsets[k + 1]])
                     more = said[k].values
-                    if sizes[k] or more:
-                        f, t = first_all[at[k] : at[k + 1]], last_all[at[k] : at[k + 1]] + length - 1
-                        if more:
-                            f, t = np.append(f, np.asarray(more.field(0))), np.append(t, np.asarray(more.field(1)))
-                        f, t = _ranges(f, t)
-                        own = list(zip(f.tolist(), (t + 1).tolist()))
-                        edges = [0, *(x for s in own for x in s), len(text)]
-                        text = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+                    f, t = first_all[at[k] : at[k + 1]], last_all[at[k] : at[k + 1]] + length - 1
+                    both_f, both_t = (np.append(f, np.asarray(more.field(0))), np.append(t, np.asarray(more.field(1)))) if more else (f, t)
+                    own, text = _without(whole_bytes, *((f, t) if apart else (both_f, both_t)))
                     removed.append(sum(b - a for a, b in own))
                     spans.append(len(own))
                     digest.append(hashlib.sha256(text).hexdigest())
                     kept.append(text)
                     found.append([{"start": a, "end": b} for a, b in own])
+                    if apart:
+                        both, rest = _without(whole_bytes, both_f, both_t) if more else (own, text)
+                        stretches.append(len(_ranges(both_f[len(f) :], both_t[len(f) :])[0]) if more else 0)
+                        gone.append(sum(b - a for a, b in both))
+                        cut.append(rest)
                 answer = pa.RecordBatch.from_arrays(
                     [
                         batch.column(0),
@@ -461,15 +499,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carr
                         pa.array(digest),
                         pa.array(kept, pa.binary()),
                         pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                        *([pa.array(stretches, pa.int64()), pa.array(gone, pa.int64()), pa.array(cut, pa.binary())] if apart else []),
                     ],
-                    ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"],
+                    ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans", *(["n_passages", "n_cut", "cut"] if apart else [])],
                 )
                 yield with_columns(answer, batch, carry)
 
+    further = ", n_passages long, n_cut long, cut binary" if apart else ""
     joined = texts.join(ranges, "row", "left").select("doc_id", "text", "ranges", F.coalesce("passages", passages).alias("passages"), *[f"carry_{n}" for n in carry or []])
-    return joined.mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,end:long>>" + carried_kinds(docs, carry))
+    return joined.mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start:long,end:long>>" + further + carried_kinds(docs, carry))
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = remove_repeats(documents(spark, sf_dir))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", kept_text(F.col("kept")).alias("text"))
+    """The contract's columns and ``text`` go by 400 bytes alone. ``n_passages``, ``n_cut`` and ``cut_text`` tell and cut
+    repeated passages of more than 50 words too, many of which are shorter than 400 bytes."""
+    found = remove_repeats(documents(spark, sf_dir), size=PASSAGE, apart=True)
+    contract = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    return found.select(*contract, kept_text(F.col("kept")).alias("text"), "n_passages", "n_cut", kept_text(F.col("cut")).alias("cut_text"))

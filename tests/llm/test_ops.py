@@ -93,6 +93,62 @@ def test_suffix_dedup_reads_one_of_equal_rows(spark, monkeypatch):
     assert sent[0].count() == sent[1].count()
 
 
+def test_op1_cuts_passages_of_more_than_50_words(spark, tmp_path):
+    """Passages of 51 to 60 words that are shorter than 400 bytes are told and cut beside the contract's columns, which stay."""
+    rng = random.Random(33)
+    short, few, inner, long = prose(rng, 55), prose(rng, 50), prose(rng, 51), prose(rng, 90)
+    assert len(short) < 400 and len(inner) < 400 < len(long)
+    rows = [(k, f"{prose(rng, 30)} {p} {prose(rng, 20 + k)}") for k, p in enumerate([short, short, short.replace(" ", "\n"), few, few, long, long, short + " " + long])]
+    rows += [(20, f"{inner} x {inner}"), (21, None), (22, ""), (23, few), (24, prose(rng, 60)), (24, prose(rng, 60)), (25, short), (25, short), (None, "é" * 300), (None, "é" * 300)]
+    spark.createDataFrame([(*r, "en", "x") for r in rows], "doc_id long, text string, lang string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    windows, strings, places = Counter(), Counter(), []
+    for _, t in rows:
+        b = (t or "").encode()
+        w = [(m.start(), m.end(), m[0]) for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)]
+        places.append((b, w))
+        windows.update(tuple(x[2] for x in w[k : k + 51]) for k in range(len(w) - 50))
+        strings.update(b[k : k + 400] for k in range(len(b) - 399))
+    runs = lambda m: int((np.diff(np.concatenate(([0], m.astype(int)))) == 1).sum())
+    want = Counter()
+    for (i, _), (b, w) in zip(rows, places):
+        mark, passage = np.zeros(len(b), bool), np.zeros(len(b), bool)
+        for k in range(len(b) - 399):
+            if strings[b[k : k + 400]] > 1:
+                mark[k : k + 400] = True
+        for k in range(len(w) - 50):
+            if windows[tuple(x[2] for x in w[k : k + 51])] > 1:
+                passage[w[k][0] : w[k + 50][1]] = True
+        left, rest = (np.frombuffer(b, np.uint8)[~m].tobytes() for m in (mark, mark | passage))
+        want[(i, len(b), int(mark.sum()), runs(mark), hashlib.sha256(left).hexdigest(), left.decode(), runs(passage), int((mark | passage).sum()), rest.decode())] += 1
+    got = Counter(tuple(r) for r in suffix_dedup.op1_suffix_dedup(spark, str(tmp_path)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "n_passages", "n_cut", "cut_text").collect())
+    assert got == want
+    told = {r[0]: (r[2], r[6]) for r in got}
+    assert told[0] == told[1] == told[2] == (0, 1) and told[3] == told[24] == (0, 0) and told[7][0] >= 400 and told[20] == (0, 2)
+
+
+def test_windows_of_words_against_brute_force():
+    """The place by which a window is met is the leftmost smallest of its runs, also beside other texts and in short buffers."""
+    rng = random.Random(34)
+    for n, gram in ((51, 8), (9, 8), (8, 8), (7, 3), (1, 1)):
+        texts = [" ".join(rng.choices(["a", "bb", "c", "d"], k=rng.choice([0, 1, n - 1, n, n + 1, 3 * n]))).encode() for _ in range(25)]
+        offsets = np.cumsum([0, *map(len, texts)])
+        row, first, end, content, where, least = suffix_dedup.windows(np.frombuffer(b"".join(texts), np.uint8), offsets, n, gram)
+        found = [(int(r), texts[r][f:e]) for r, f, e in zip(row, first, end)]
+        cut = [(k, b" ".join(t.split()[j : j + n])) for k, t in enumerate(texts) for j in range(len(t.split()) - n + 1)]
+        assert found == cut
+        assert len(set(zip([w for _, w in cut], content.tolist()))) == len({w for _, w in cut}) == len(set(content.tolist()))
+        hashes = {}
+        flat = [w for t in texts for w in t.split()]
+        before = np.cumsum([0, *(len(t.split()) for t in texts)])
+        for at, h in zip(where.tolist(), least.tolist()):
+            assert hashes.setdefault(tuple(flat[at : at + gram]), h) == h
+        inside = Counter(r for r, _ in found)
+        start = [before[r] + j for r in sorted(inside) for j in range(inside[r])]
+        for s, at, h in zip(start, where.tolist(), least.tolist()):
+            known = [hashes.get(tuple(flat[k : k + gram])) for k in range(s, s + n - gram + 1)]
+            assert s <= at <= s + n - gram and all(x is None or x >= h for x in known) and known.index(h) == at - s
+
+
 def test_suffix_arrays_in_pieces():
     rng = random.Random(1)
     for _ in range(30):
