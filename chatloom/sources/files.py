@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import os
 import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, fields
 from functools import reduce
-from typing import NamedTuple
+from typing import BinaryIO, NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from chatloom.functions.parsing import base_name, numbered, stem
 from chatloom.operators.tables import materialized
@@ -123,12 +127,8 @@ def whole_files(scan: DataFrame, kinds: list[str]) -> DataFrame:
     return scan.select(kind_of(at, kinds).alias("kind"), at.alias("source_path"), F.lit(0).cast("long").alias("start"), F.col("content").cast("string").alias("value")).filter("kind is not null")
 
 
-def scan_folders(spark: SparkSession, bases: dict[str, list[str]], listed: dict[str, DataFrame] | None = None) -> list[DataFrame]:
-    """Scans of the base folders of each provider; missing folders hold nothing.
-
-    ``listed``: scans of binary files by provider that have listed these folders; where all files of a provider are read whole,
-    they are read by these, and the folders aren't listed again.
-    """
+def scan_folders(spark: SparkSession, bases: dict[str, list[str]]) -> list[DataFrame]:
+    """Scans of the base folders of each provider; missing folders hold nothing."""
     scans = []
     for provider, own in bases.items():
         there = existing(spark, list(own))
@@ -136,10 +136,7 @@ def scan_folders(spark: SparkSession, bases: dict[str, list[str]], listed: dict[
             kinds = [k for k, kind in KINDS.items() if kind.provider == provider and kind.whole == whole]
             if not there or not kinds:
                 continue
-            if whole and provider in (listed or {}) and all(kind.whole for kind in KINDS.values() if kind.provider == provider):
-                scans.append(whole_files(listed[provider], kinds))
-            else:
-                scans.append(scan_paths(spark, there, kinds))
+            scans.append(scan_paths(spark, there, kinds))
     return scans
 
 
@@ -154,6 +151,147 @@ def with_numbers(spark: SparkSession, scans: list[DataFrame]) -> DataFrame:
     return out
 
 
+# ---- mounted folders of any number of files: listed and read by tasks, so that the driver holds no names
+ENTRIES = "path string, folder boolean, length bigint, modificationTime timestamp"
+#: Bytes in which files of lines are cut for the tasks, how many a task gets, and those that a task hands on at once.
+PIECE, TASK_BYTES, HANDED = 16 << 20, 64 << 20, 4 << 20
+
+
+def entries(path: str) -> Iterator[pa.RecordBatch]:
+    """What stands in a folder (a file: itself), but names that Spark's listings pass over, and empty files, as its scans do."""
+    path = re.sub("^file:/+", "/", path)
+    own: list[tuple] = []
+    if os.path.isfile(path):
+        own.append((path, False, os.stat(path)))
+    else:
+        with os.scandir(path) as found:
+            for x in found:
+                try:
+                    x.name.encode()
+                    if not re.match(r"\.|_(?!common_metadata|metadata)[^=]*$|.*\._COPYING_$", x.name, re.DOTALL) and (x.is_dir() or x.is_file()):
+                        own.append((f"{path.rstrip('/')}/{x.name}", x.is_dir(), x.stat()))
+                except (FileNotFoundError, UnicodeEncodeError):
+                    continue  # gone meanwhile, a link to nothing, or no name that Spark has
+                if len(own) == 10_000:
+                    yield _entries(own)
+                    own = []
+    yield _entries(own)
+
+
+def _entries(own: list[tuple]) -> pa.RecordBatch:
+    own = [x for x in own if x[1] or x[2].st_size]
+    times = pa.array([s.st_mtime_ns // 1_000_000 * 1000 for *_, s in own], pa.int64()).cast(pa.timestamp("us", "UTC"))
+    columns = [pa.array([p for p, *_ in own], pa.string()), pa.array([x for _, x, _ in own], pa.bool_()), pa.array([s.st_size for *_, s in own], pa.int64()), times]
+    return pa.RecordBatch.from_arrays(columns, ["path", "folder", "length", "modificationTime"])
+
+
+class Folders(DataSource):
+    """What stands directly in the folders that are named."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "chatloom_folders"
+
+    def schema(self) -> str:
+        return ENTRIES
+
+    def reader(self, schema) -> DataSourceReader:
+        return FoldersReader(json.loads(self.options["paths"]) if "paths" in self.options else [self.options["path"]])
+
+
+class FoldersReader(DataSourceReader):
+    def __init__(self, paths: list[str]) -> None:
+        self.paths = paths
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(p) for p in self.paths]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        yield from entries(partition.value)
+
+
+def listed(spark: SparkSession, folders: dict[str, list[str]]) -> DataFrame:
+    """(provider, path, length, modificationTime) of the files below ``folders`` of providers, all of which are :func:`mounted`.
+
+    Tasks list a level of folders at a time, which are dealt over them; the next level is what they found. A folder is
+    listed by one task, which hands on a part of it at a time.
+    """
+    spark.dataSource.register(Folders)
+    named = [spark.read.format(Folders.name()).load(there).select(F.lit(provider).alias("provider"), "*") for provider, there in folders.items()]
+    level, found = reduce(DataFrame.unionByName, named), []
+
+    def below_these(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for provider, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for own in entries(path):
+                    yield pa.RecordBatch.from_arrays([pa.array([provider] * own.num_rows, pa.string()), *own.columns], ["provider", *own.schema.names])
+
+    while True:
+        found.append(materialized(level, "level"))
+        deeper = found[-1].filter("folder").select("provider", "path")
+        if deeper.isEmpty():
+            return reduce(DataFrame.unionByName, found).filter("not folder").drop("folder")
+        level = deeper.repartition(LISTING_TASKS * spark.sparkContext.defaultParallelism).mapInArrow(below_these, f"provider string, {ENTRIES}")
+
+
+def lines_of(file: BinaryIO, start: int, end: int) -> list[bytes]:
+    """The lines of a file that begin at its bytes ``start`` to ``end``, by the line ends (LF, CR LF, CR) of Spark's scans of text."""
+    low = max(start - 1, 0)  # a line begins at ``start`` if one ends before it
+    file.seek(low)
+    data = file.read(end - low)
+    if start and not re.search(rb"[\r\n]", data):
+        return []
+    while data and data[-1:] not in b"\r\n":
+        more = file.read(1 << 16)
+        if not more:
+            break
+        stop = re.search(rb"[\r\n]", more)
+        data += more[: stop.end()] if stop else more
+    if not start:
+        data = data.removeprefix(b"\xef\xbb\xbf")
+    lines = re.split(rb"\r\n|\r|\n", data)[1 if start else 0 :]
+    return lines if not lines or lines[-1] else lines[:-1]
+
+
+def contents(rows: DataFrame, whole: bool, piece: int = PIECE) -> DataFrame:
+    """(kind, source_path, start, value) of files (kind, source_path, size): each whole, or its lines.
+
+    Tasks open the files; long ones of lines are cut into pieces of ``piece`` bytes, and pieces are dealt over the tasks, which
+    are as many as cores and bytes need. The driver sees the sum of the sizes.
+    """
+    cores, total = rows.sparkSession.sparkContext.defaultParallelism, rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    cut = F.lit(0).cast("long") if whole else F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(piece).cast("long")))
+    pieces = rows.select("kind", "source_path", "size", cut.alias("start")).repartition(max(LISTING_TASKS * cores, -(-total // TASK_BYTES)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, weight = [], 0
+            for kind, path, size, start in zip(*(c.to_pylist() for c in batch.columns)):
+                with open(path, "rb") as file:
+                    values = [file.read()] if whole else lines_of(file, start, min(start + piece, size))
+                for value in values:
+                    held.append((kind, path, start, value))
+                    weight += len(value) + len(path)
+                    if weight > HANDED:
+                        yield _handed(held)
+                        held, weight = [], 0
+            yield _handed(held)
+
+    return pieces.mapInArrow(run, "kind string, source_path string, start bigint, value binary").withColumn("value", F.col("value").cast("string"))
+
+
+def _handed(held: list[tuple]) -> pa.RecordBatch:
+    kinds = (("kind", pa.string()), ("source_path", pa.string()), ("start", pa.int64()), ("value", pa.binary()))
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in held], kind) for k, (_, kind) in enumerate(kinds)], [name for name, _ in kinds])
+
+
+def read_listed(rows: DataFrame) -> DataFrame:
+    """(kind, source_path, ord, value) of listed files (kind, source_path, size): lines with their numbers, whole files as number 0."""
+    one = F.col("kind").isin([k for k, own in KINDS.items() if own.whole])
+    whole = contents(rows.filter(one), True).select("kind", "source_path", F.lit(0).cast("long").alias("ord"), "value")
+    return whole.unionByName(numbered_lines(contents(rows.filter(~one), False)))
+
+
 def read_paths(spark: SparkSession, paths: list[str], kind: str) -> DataFrame:
     """Raw rows (source_path, ord, value) of one kind of files in folders."""
     return with_numbers(spark, [scan_paths(spark, paths, [kind])] if paths else []).drop("kind")
@@ -168,10 +306,25 @@ def existing(spark: SparkSession, bases: list[str]) -> list[str]:
     return [b.rstrip("/") for b in bases if _exists(spark, b)]
 
 
+def _place(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    at, store = _place(spark, path)
+    return store.exists(at)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path as scans give it: with its store, or plain if that is the machines' own."""
+    at, store = _place(spark, path)
+    return re.sub("^file:/+", "/", store.makeQualified(at).toString())
+
+
+def mounted(spark: SparkSession, path: str) -> bool:
+    """Whether a path is one of the machines' own (a mounted folder), which tasks open by its name."""
+    return qualified(spark, path).startswith("/")
 
 
 @dataclass

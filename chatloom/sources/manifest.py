@@ -30,25 +30,28 @@ NAMED = 50_000
 SHARED = ("history", "projects")
 
 
-def scans_of(spark: SparkSession, bases: dict[str, list[str]]) -> dict[str, DataFrame]:
-    """A scan of binary files for each provider that has folders; these are listed here, once."""
-    found = {}
+def listing(spark: SparkSession, bases: dict[str, list[str]]) -> DataFrame:
+    """``files`` of the folders of each provider. No file is opened, and tasks list those that are mounted."""
+    found, by_tasks = [], {}
+    of = lambda provider: [k for k, own in KINDS.items() if own.provider == provider]
     for provider in sorted({own.provider for own in KINDS.values()}):
         there = files.existing(spark, list(bases.get(provider, ())))
-        if there:
-            found[provider] = files.below(spark, [k for k, own in KINDS.items() if own.provider == provider]).format("binaryFile").load(there)
-    return found
-
-
-def listing(spark: SparkSession, scans: dict[str, DataFrame]) -> DataFrame:
-    """``files`` of the folders of ``scans``. No file is opened."""
-    found = []
-    for provider, scan in scans.items():  # a scan of its columns but the content opens no file
-        at = files.plain_path(F.col("path"))
-        found.append(scan.select(files.kind_of(at, [k for k, own in KINDS.items() if own.provider == provider]).alias("kind"), at.alias("source_path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified")).filter("kind is not null"))
+        if there and all(files.mounted(spark, p) for p in there):
+            by_tasks[provider] = there
+        elif there:
+            found.append(files.below(spark, of(provider)).format("binaryFile").load(there).select(F.lit(provider).alias("provider"), "path", "length", "modificationTime"))
+    if by_tasks:
+        found.append(files.listed(spark, by_tasks))
     if not found:
         return spark.createDataFrame([], FILES)
-    rows = reduce(DataFrame.unionByName, found).dropDuplicates(["kind", "source_path"])
+    at, kind = files.plain_path(F.col("path")), F.lit(None).cast("string")
+    for provider in {own.provider for own in KINDS.values()}:
+        kind = F.when(F.col("provider") == provider, files.kind_of(at, of(provider))).otherwise(kind)
+    rows = reduce(DataFrame.unionByName, found).select(kind.alias("kind"), at.alias("source_path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified")).filter("kind is not null")
+    return _with_units(rows.dropDuplicates(["kind", "source_path"]))
+
+
+def _with_units(rows: DataFrame) -> DataFrame:
     path, kind = F.col("source_path"), F.col("kind")
     # a part names its message alone, so the name of the message's file tells the session
     message = rows.filter(kind == "oc_messages").select(_base("message", path).alias("base"), stem(path).alias("message"), _session("message", path).alias("owner"))
@@ -121,28 +124,28 @@ def change(spark: SparkSession, bases: dict[str, list[str]], before: Manifest |
     """Compare the folders with the manifest ``before`` (none: everything is new) and read what changed.
 
     Sessions are touched if a file of their unit is new, changed or gone; all files of these units are read, no others but the
-    shared kinds. Without a manifest the folders are read whole; else the paths are named to the scans, ``named`` at a time
-    (like any scan of files, the driver lists names, and here only those of touched units). ``touched`` holds sessions that
-    are gone too.
+    shared kinds. Tasks list the folders and open the files, and the driver holds no names. In stores that aren't mounted
+    Spark's scans do it: the driver lists their files, and paths are named to scans, ``named`` at a time, one scan after
+    another. ``touched`` holds sessions that are gone too.
     """
     with files.many_files(spark):
         return _change(spark, bases, before, named)
 
 
 def _change(spark: SparkSession, bases: dict[str, list[str]], before: Manifest | None, named: int) -> Change:
-    first = before is None
     before = before or empty(spark)
-    listed = scans_of(spark, bases)
-    now = materialized(listing(spark, listed).hint("rebalance"), "listing")
+    now = materialized(listing(spark, bases).hint("rebalance"), "listing")
     units = materialized(compared(now, before.files).filter("unit is not null").select("unit").distinct(), "units")
-    own = now.join(units, "unit", "left_semi").select("kind", "source_path")
-    opened = materialized(own.unionByName(now.filter(F.col("kind").isin(*SHARED)).select("kind", "source_path")).hint("rebalance"), "opened")
-    if first:
-        scans = files.scan_folders(spark, bases, listed)
-    else:
-        scans = [files.scan_paths(spark, paths, [kind], recursive=False) for kind, paths in _blocks(opened, named)]
-    # a scan's tasks are as many as its files are; the table has rows by bytes, and kinds that a reader passes over
-    raw = files.split(materialized(files.with_numbers(spark, scans).hint("rebalance").sortWithinPartitions("kind"), "changed"))
+    own = now.join(units, "unit", "left_semi").unionByName(now.filter(F.col("kind").isin(*SHARED)))
+    opened = materialized(own.select("kind", "source_path", "size").hint("rebalance"), "opened")
+    remote = [files.qualified(spark, p) for there in bases.values() for p in there if not files.mounted(spark, p)]
+    by_scans = reduce(lambda a, p: a | F.col("source_path").startswith(p), remote, F.lit(False))
+    rows = files.read_listed(opened.filter(~by_scans))
+    if remote:
+        blocks = [materialized(files.scan_paths(spark, paths, [kind], recursive=False), "block") for kind, paths in _blocks(opened.filter(by_scans), named)]
+        rows = rows.unionByName(files.with_numbers(spark, blocks))
+    raw = files.split(materialized(rows.hint("rebalance").sortWithinPartitions("kind"), "changed"))
+    opened = opened.drop("size")
     found = files.session_files(raw).join(now.select("source_path", "unit"), "source_path").filter("unit is not null").select("unit", *SESSION).distinct()
     found = materialized(found, "found")
     gone = before.units.join(units, "unit", "left_semi")

@@ -162,3 +162,44 @@ def test_whole_files_are_read_by_the_scan_that_listed_them(spark, tmp_path, logs
     again = manifest.change(spark, bases, first.manifest)
     assert keys(again.touched) == [("opencode", "o1")] and True not in texts
     assert [r.content[0].text for r in files.all_messages(again.raw, F.current_timestamp()).orderBy("seq").collect()] == ["part 1", "longer line"]
+
+
+def test_tasks_list_and_read_logs_and_the_driver_names_none(spark, tmp_path, logs, monkeypatch):
+    """The same listing and rows as by Spark's scans, whose files the driver holds, and these aren't used."""
+    bases = {p: [str(tmp_path / d)] for p, d in (("claude", "c"), ("copilot", "p"), ("gemini", "g"), ("codex", "x"), ("opencode", "o"))}
+    logs("c/projects/p/empty.jsonl", "")
+    logs("c/projects/p/a b%20[c]+é.jsonl", f"{said(0, 'x')}\r\n\n{said(1, 'y')}")
+    for hidden in ("c/projects/.q/s.jsonl", "c/projects/_q/s.jsonl", "c/projects/p/_s.jsonl", "c/projects/p/.s.jsonl", "c/projects/p/s.jsonl._COPYING_"):
+        logs(hidden, said(0, "hidden"))
+    logs("c/projects/_k=1/s.jsonl", said(0, "a column"))
+    os.symlink(tmp_path / "nowhere", tmp_path / "c/projects/p/link.jsonl")
+    listed = lambda c: sorted(map(tuple, c.manifest.files.select("kind", "source_path", "unit", "size", "modified").collect()), key=str)
+    rows = lambda c: sorted(map(tuple, files.union(c.raw).collect()))
+    with monkeypatch.context() as m:
+        m.setattr(files, "mounted", lambda *_: False)
+        by_scans = manifest.change(spark, bases, named=4)
+
+    def never(*_, **__):
+        raise AssertionError("a scan whose files the driver lists")
+
+    monkeypatch.setattr(files, "below", never)
+    monkeypatch.setattr(files, "scan_paths", never)
+    by_tasks = manifest.change(spark, bases)
+    assert listed(by_tasks) == listed(by_scans) and len(listed(by_tasks)) == 25
+    assert rows(by_tasks) == rows(by_scans) and keys(by_tasks.touched) == keys(by_scans.touched)
+    logs("x/2026/03/01/rollout-3.jsonl", said(0, "longer than before"), 2_000_000)
+    assert keys(manifest.change(spark, bases, by_scans.manifest).touched) == [("codex_cli", "rollout-3")]
+
+
+def test_lines_in_pieces_are_those_of_a_scan_of_text(spark, tmp_path):
+    bodies = {"a": b"\xef\xbb\xbfone\r\ntwo\rthree\n\n\r\r\n  four \xff\xfe\n" + "é日".encode() * 30 + b"\nlast", "b": b"\n", "c": b"x", "d": b"\r\n\r\nab\r", "e": b"y" * 100 + b"\n" + b"z" * 70_000 + b"\nq\n"}
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+    want = {name: [bytes(r.value) for r in spark.read.text(str(tmp_path / name)).select(F.col("value").cast("binary").alias("value")).collect()] for name in bodies}
+    rows = spark.createDataFrame([("claude", str(tmp_path / n), len(b)) for n, b in bodies.items()], "kind string, source_path string, size long")
+    for piece in (1, 2, 3, 7, 50, 1 << 20):
+        few = rows if piece > 3 else rows.filter("size < 1000")
+        got = files.contents(few, False, piece).withColumn("at", F.monotonically_increasing_id()).withColumn("value", F.col("value").cast("binary")).collect()
+        for name in bodies if piece > 3 else "abcd":
+            own = sorted((r.start, r["at"], bytes(r.value)) for r in got if r.source_path == str(tmp_path / name))
+            assert [v for *_, v in own] == want[name], (piece, name)
