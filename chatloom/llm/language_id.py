@@ -14,6 +14,7 @@ it has one row only, fewer bytes. The tables are therefore bounded whatever the
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -234,10 +235,21 @@ def fit(docs: DataFrame, rows: int = ROWS) -> Model:
     return model
 
 
-def predict(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
+def words_of(text: str) -> str:
+    """The words of letters and their marks, one space between: numbers, keys, markup and controls tell no language.
+
+    What stands with numbers between white space is left out, unless there is nothing else (as in scripts without spaces).
+    """
+    kinds = lambda t: [unicodedata.category(c)[0] for c in t]
+    plain = lambda t: "".join(c if k in "LMN" else " " for c, k in zip(t, kinds(t))).split()
+    return " ".join(plain(" ".join(t for t in text.split() if "N" not in kinds(t)))) or " ".join(w for w in plain(text) if "N" not in kinds(w))
+
+
+def predict(docs: DataFrame, model: Model, carry: list[str] | None = None, foreign: float | None = None) -> DataFrame:
     """(doc_id, lang_pred, score, bits) for every row of (doc_id, text); lang_pred is ``und`` without any letter.
 
-    Columns named in ``carry`` are passed through.
+    Columns named in ``carry`` are passed through. Texts of more than ``foreign`` bits are predicted anew from their words alone, and
+    score and bits are those of the words then.
 
     bits: code length for each byte in the best language. score: how much shorter the best code is than the second
     best, as the logistic posterior of the two at one byte in eight, between 0 and 1; 0 for ``und``, 1 if one language
@@ -247,6 +259,25 @@ def predict(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Da
     shared = docs.sparkSession.sparkContext.broadcast(model)
     languages = model.languages
 
+    def totals(scorer: Scorer, data: bytes, offsets: np.ndarray) -> np.ndarray:
+        """Code length of each text in each language."""
+        total = np.zeros((len(offsets) - 1, max(1, len(languages))))
+        if languages:
+            code = FOLD[np.frombuffer(data, np.uint8)]
+            most = max(4096, 250_000 * 16 // max(16, len(languages)))
+            for a, b in _cuts(offsets, most):
+                if offsets[b] - offsets[a] > most:  # one long text: pieces that see the bytes before them
+                    for low_at in range(offsets[a], offsets[b], most):
+                        lead = min(ORDER, low_at - offsets[a])
+                        piece = code[low_at - lead : min(low_at + most, offsets[b])]
+                        total[a] += scorer.costs(piece, np.zeros(1, np.int64))[lead:].sum(axis=0, dtype=np.float64)
+                    continue
+                part = scorer.costs(code[offsets[a] : offsets[b]], offsets[a:b] - offsets[a])
+                filled = np.flatnonzero(offsets[a + 1 : b + 1] > offsets[a:b])
+                if len(filled):
+                    total[a + filled] = np.add.reduceat(part, (offsets[a:b] - offsets[a])[filled], axis=0, dtype=np.float64)
+        return total
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = shared.value.ready()
         for whole in batches:
@@ -255,21 +286,12 @@ def predict(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Da
                 data, offsets = utf8(batch, "text")
                 letters = batch.column(batch.schema.get_field_index("letters")).to_numpy(zero_copy_only=False)
                 rows = len(offsets) - 1
-                total = np.zeros((rows, max(1, len(languages))))
-                if languages:
-                    code = FOLD[np.frombuffer(data, np.uint8)]
-                    most = max(4096, 250_000 * 16 // max(16, len(languages)))
-                    for a, b in _cuts(offsets, most):
-                        if offsets[b] - offsets[a] > most:  # one long text: pieces that see the bytes before them
-                            for low_at in range(offsets[a], offsets[b], most):
-                                lead = min(ORDER, low_at - offsets[a])
-                                piece = code[low_at - lead : min(low_at + most, offsets[b])]
-                                total[a] += scorer.costs(piece, np.zeros(1, np.int64))[lead:].sum(axis=0, dtype=np.float64)
-                            continue
-                        part = scorer.costs(code[offsets[a] : offsets[b]], offsets[a:b] - offsets[a])
-                        filled = np.flatnonzero(offsets[a + 1 : b + 1] > offsets[a:b])
-                        if len(filled):
-                            total[a + filled] = np.add.reduceat(part, (offsets[a:b] - offsets[a])[filled], axis=0, dtype=np.float64)
+                total, size = totals(scorer, data, offsets), np.diff(offsets)
+                if foreign is not None:
+                    again = np.flatnonzero(letters.astype(bool) & (total.min(axis=1) > foreign * size))
+                    words = [words_of(bytes(data[offsets[k] : offsets[k + 1]]).decode("utf-8", "replace")).encode() for k in again]
+                    size[again] = [len(w) for w in words]
+                    total[again] = totals(scorer, b"".join(words), np.concatenate(([0], np.cumsum(size[again]))))
                 best = total.argmin(axis=1)
                 low_bits = total[np.arange(rows), best]
                 if total.shape[1] > 1:
@@ -278,7 +300,6 @@ def predict(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Da
                 else:
                     score = np.ones(rows)
                 known = letters.astype(bool) & bool(languages)
-                size = offsets[1:] - offsets[:-1]
                 answer = pa.RecordBatch.from_arrays(
                     [
                         batch.column(0),
